@@ -8,6 +8,7 @@ from millrun.plans.registry import ORACLE, QUERIES
 
 MODULES = [
     "millrun.plans.erp_queries",
+    "millrun.plans.plant_queries",
 ]
 
 for _m in MODULES:

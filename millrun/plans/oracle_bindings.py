@@ -142,4 +142,8 @@ def with_bindings(names: list[str], ctes: list[tuple[str, str]], final: str) ->
     for n in names:
         visit(n)
     parts = [f"{n} AS ({BINDINGS[n]})" for n in order] + [f"{n} AS ({body})" for n, body in ctes]
+    head = final.lstrip()
+    if parts and head[:5].upper() == "WITH ":
+        # the final query has CTEs of its own: splice them after ours
+        return "WITH " + ",\n".join(parts) + ",\n" + head[5:]
     return ("WITH " + ",\n".join(parts) + "\n" + final) if parts else final
