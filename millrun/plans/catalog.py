@@ -9,6 +9,7 @@ from millrun.plans.registry import ORACLE, QUERIES
 MODULES = [
     "millrun.plans.erp_queries",
     "millrun.plans.plant_queries",
+    "millrun.plans.text_queries",
 ]
 
 for _m in MODULES:
