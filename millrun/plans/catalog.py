@@ -10,6 +10,7 @@ MODULES = [
     "millrun.plans.erp_queries",
     "millrun.plans.plant_queries",
     "millrun.plans.text_queries",
+    "millrun.plans.planning_queries",
 ]
 
 for _m in MODULES:

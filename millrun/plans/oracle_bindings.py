@@ -26,7 +26,8 @@ BINDINGS: dict[str, str] = {
         'L' || CAST(l_linenumber AS VARCHAR) AS lgort, {dtext('l_shipdate')} AS eindt FROM lineitem""",
     "vbak": f"""SELECT CAST(o_orderkey AS VARCHAR) AS vbeln, 'S' || CAST(o_custkey % 4 AS VARCHAR) AS vkorg,
         '10' AS vtweg, '00' AS spart, CAST(o_custkey AS VARCHAR) AS kunnr,
-        CASE WHEN o_orderkey % 31 = 0 THEN '2025-02-30' ELSE {dtext('o_orderdate')} END AS audat FROM orders""",
+        CASE WHEN o_orderkey % 31 = 0 THEN '2025-02-30' ELSE {dtext('o_orderdate')} END AS audat,
+        o_orderpriority AS auart FROM orders""",
     "vbap": f"""SELECT CAST(l_orderkey AS VARCHAR) AS vbeln, CAST(l_linenumber AS VARCHAR) AS posnr,
         CAST(l_partkey AS VARCHAR) AS matnr, CAST(l_quantity AS INTEGER) AS kwmeng, 'EA' AS vrkme,
         l_extendedprice AS netwr, {dtext('l_shipdate')} AS edatu,
@@ -123,6 +124,26 @@ BINDINGS: dict[str, str] = {
         'Station ' || CAST(n AS VARCHAR) AS description, ['temp_c', 'oee_pct'] AS sensor_tags,
         CAST(n + 60 AS INTEGER) AS target_units_hr, n + 30.0 AS std_cycle_sec
         FROM (SELECT DISTINCT user_id % 18 AS n FROM events) WHERE n <> 17""",
+    "stock_network": """SELECT 'SKU-' || CAST(g.l_partkey AS VARCHAR) AS sku, 'BR-' || CAST(g.branch AS VARCHAR) AS branch_id,
+        g.primary_origin,
+        CASE WHEN p.p_type = 'PROMO' THEN '' WHEN g.branch < 2 THEN 'HUB' ELSE 'SPOKE' END AS location_type,
+        CASE g.l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'GA' ELSE 'FL' END AS region,
+        p.p_type AS product_category, g.available_stock, g.safety_stock, p.p_retailprice AS unit_cost,
+        CASE g.l_partkey % 4 WHEN 0 THEN 'Carrier' WHEN 1 THEN '1' WHEN 2 THEN '' END AS carrier_flag
+        FROM (SELECT l_partkey, l_suppkey % 6 AS branch,
+                CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS INTEGER) ELSE 0 END) AS INTEGER) AS available_stock,
+                CAST(floor(sum(CAST(l_quantity AS INTEGER)) / 2) AS INTEGER) AS safety_stock,
+                max(n_name) AS primary_origin
+              FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey
+              GROUP BY l_partkey, l_suppkey % 6) g
+        LEFT JOIN part p ON g.l_partkey = p.p_partkey""",
+    "demand_history": """SELECT 'SKU-' || CAST(g.l_partkey AS VARCHAR) AS sku_id, p.p_name AS sku_description,
+        p.p_type AS category, g.period,
+        CAST(floor((g.actual_qty * (g.l_partkey % 5 + 8) * 2 + 10) / 20) AS BIGINT) AS forecast_qty,
+        g.actual_qty, p.p_retailprice AS avg_selling_price
+        FROM (SELECT l_partkey, strftime(l_shipdate, '%Y-%m') AS period,
+                     CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS actual_qty
+              FROM lineitem GROUP BY 1, 2) g LEFT JOIN part p ON g.l_partkey = p.p_partkey""",
 }
 
 # which bindings read other bindings (none yet; kept for derived inputs)

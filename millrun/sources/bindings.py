@@ -96,6 +96,7 @@ def vbak(t: Tables) -> DataFrame:
         F.lit("00").alias("spart"),
         s("o_custkey").alias("kunnr"),
         F.when(F.col("o_orderkey") % 31 == 0, F.lit("2025-02-30")).otherwise(dtext("o_orderdate")).alias("audat"),
+        F.col("o_orderpriority").alias("auart"),
     )
 
 
@@ -359,3 +360,59 @@ def machine_master(t: Tables) -> DataFrame:
         (F.col("n") + 60).cast("int").alias("target_units_hr"),
         (F.col("n") + 30.0).alias("std_cycle_sec"),
     )
+
+
+# ---- planning inputs ---------------------------------------------------------------------------
+
+TARIFF_COUNTRY = "NATION_3"  # origin that the tariff scenario hits in the test data
+
+
+def stock_network(t: Tables) -> DataFrame:
+    """SKU x branch stock network: branch = supplier mod 6, HUB for branches 0-1, location type
+    blank for one category (O1 inference), region FL / GA / blank, brand flag in four forms."""
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    sup = t.supplier.select("s_suppkey", "s_nationkey").join(
+        F.broadcast(t.nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey")
+    )  # nation is a fixed 25-row table
+    q = F.col("l_quantity").cast("int")
+    g = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy(
+        "l_partkey", (F.col("l_suppkey") % 6).alias("branch")
+    ).agg(
+        F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0)).cast("int").alias("available_stock"),
+        F.floor(F.sum(q) / 2).cast("int").alias("safety_stock"),
+        F.max("n_name").alias("primary_origin"),
+    )
+    g = g.join(t.part.select("p_partkey", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    pm5, pm4 = F.col("l_partkey") % 5, F.col("l_partkey") % 4
+    return g.select(
+        F.concat(F.lit("SKU-"), s("l_partkey")).alias("sku"),
+        F.concat(F.lit("BR-"), s("branch")).alias("branch_id"),
+        "primary_origin",
+        F.when(F.col("p_type") == "PROMO", F.lit("")).when(F.col("branch") < 2, F.lit("HUB")).otherwise(F.lit("SPOKE")).alias("location_type"),
+        F.when(pm5 == 0, F.lit("")).when(pm5 == 1, F.lit("GA")).otherwise(F.lit("FL")).alias("region"),
+        F.col("p_type").alias("product_category"),
+        "available_stock",
+        "safety_stock",
+        F.col("p_retailprice").alias("unit_cost"),
+        F.when(pm4 == 0, F.lit("Carrier")).when(pm4 == 1, F.lit("1")).when(pm4 == 2, F.lit("")).alias("carrier_flag"),
+    )
+
+
+def demand_history(t: Tables) -> DataFrame:
+    """Monthly actual demand per part (ship month) and a biased forecast of it:
+    forecast = round(actual x (0.8 + (part mod 5) x 0.1)), half-up on integers."""
+    li = t.lineitem
+    g = li.groupBy("l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("period")).agg(
+        F.sum(F.col("l_quantity").cast("int")).cast("bigint").alias("actual_qty")
+    )
+    fc = F.floor((F.col("actual_qty") * (F.col("l_partkey") % 5 + 8) * 2 + 10) / 20).cast("bigint")
+    g = g.join(t.part.select("p_partkey", "p_type", "p_name", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    return g.select(
+        F.concat(F.lit("SKU-"), s("l_partkey")).alias("sku_id"),
+        F.col("p_name").alias("sku_description"),
+        F.col("p_type").alias("category"),
+        "period",
+        fc.alias("forecast_qty"),
+        "actual_qty",
+        F.col("p_retailprice").alias("avg_selling_price"),
+    )
