@@ -11,6 +11,7 @@ MODULES = [
     "millrun.plans.plant_queries",
     "millrun.plans.text_queries",
     "millrun.plans.planning_queries",
+    "millrun.plans.finance_queries",
 ]
 
 for _m in MODULES:

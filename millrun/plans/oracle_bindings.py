@@ -144,6 +144,10 @@ BINDINGS: dict[str, str] = {
         FROM (SELECT l_partkey, strftime(l_shipdate, '%Y-%m') AS period,
                      CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS actual_qty
               FROM lineitem GROUP BY 1, 2) g LEFT JOIN part p ON g.l_partkey = p.p_partkey""",
+    "finance_lines": """SELECT r_name AS region, n_name AS nation, o_orderdate, l_extendedprice, l_discount, l_tax,
+        l_quantity, l_linestatus
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
 # which bindings read other bindings (none yet; kept for derived inputs)

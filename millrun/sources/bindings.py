@@ -416,3 +416,16 @@ def demand_history(t: Tables) -> DataFrame:
         "actual_qty",
         F.col("p_retailprice").alias("avg_selling_price"),
     )
+
+
+def finance_lines(t: Tables) -> DataFrame:
+    """Order lines with their order date, line status and the customer's nation and region."""
+    geo = t.nation.select("n_nationkey", F.col("n_name").alias("nation"), "n_regionkey").join(
+        t.region.select("r_regionkey", F.col("r_name").alias("region")), F.col("n_regionkey") == F.col("r_regionkey")
+    )  # fixed 25-row geography
+    cust = t.customer.select("c_custkey", "c_nationkey").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = t.orders.select("o_orderkey", "o_orderdate", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    li = t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_linestatus")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "region", "nation", "o_orderdate", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_linestatus"
+    )
