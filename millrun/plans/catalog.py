@@ -12,6 +12,7 @@ MODULES = [
     "millrun.plans.text_queries",
     "millrun.plans.planning_queries",
     "millrun.plans.finance_queries",
+    "millrun.plans.lab_queries",
 ]
 
 for _m in MODULES:

@@ -148,6 +148,36 @@ BINDINGS: dict[str, str] = {
         l_quantity, l_linestatus
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "inspection_records": """SELECT o_orderkey AS id,
+        CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'PRD-' || CAST(o_custkey % 12 AS VARCHAR) END AS product,
+        CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 'MCH-' || CAST(o_custkey % 9 AS VARCHAR) END AS machinist,
+        'OP' || CAST((o_orderkey % 6) * 10 AS VARCHAR) AS operation,
+        CAST(o_orderdate AS DATE) + 120 AS inspection_date, o_orderstatus AS status FROM orders""",
+    "inspection_rows": """SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+            CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS id, l_orderkey AS record_id,
+        CASE WHEN l_returnflag = 'A' AND l_linenumber % 3 = 0 THEN 'FAIL' ELSE 'Pass' END AS piece_1st,
+        CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_5th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_10th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_15th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_20th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_25th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_30th, CASE l_returnflag WHEN 'N' THEN 'Pass' WHEN 'A' THEN '' END AS piece_35th,
+        CASE WHEN l_returnflag = 'R' AND l_linenumber % 4 = 0 THEN 'f' ELSE 'pass' END AS piece_iqa FROM lineitem""",
+    "test_runs": """SELECT o_orderkey AS id, CAST(o_custkey % 8 AS INTEGER) AS procedure_id,
+        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'in_progress' END AS status,
+        o_orderdate + to_seconds(CAST(120 * 86400 + (o_orderkey % 24) * 3600 AS BIGINT)) AS created_at FROM orders""",
+    "test_procedures": """SELECT id, 'Procedure ' || CAST(id AS VARCHAR) AS name,
+        CASE id % 3 WHEN 0 THEN 'pump' WHEN 1 THEN 'valve' ELSE 'compressor' END AS product_type
+        FROM (SELECT DISTINCT CAST(o_custkey % 8 AS INTEGER) AS id FROM orders)""",
+    "test_schedule": """SELECT o_orderkey AS id, CAST(o_custkey % 11 AS INTEGER) AS technician_id,
+        CASE o_orderkey % 4 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'cancelled' END AS status,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' ELSE 'normal' END AS priority,
+        CASE WHEN o_orderkey % 4 = 2 THEN TIMESTAMP '2001-12-01 00:00:00' - to_seconds(CAST((o_orderkey % 72) * 3600 AS BIGINT)) END
+            AS completed_at,
+        CAST(o_orderkey % 90 + 30 AS INTEGER) AS est_minutes,
+        CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'M-' || CAST(o_custkey % 18 AS VARCHAR) END AS machine_id FROM orders""",
+    "technicians": """SELECT id, 'Tech ' || CAST(id AS VARCHAR) AS name,
+        CASE WHEN id % 2 = 0 THEN 'pressure' ELSE 'flow' END AS specialty, id <> 10 AS is_active
+        FROM (SELECT DISTINCT CAST(o_custkey % 11 AS INTEGER) AS id FROM orders)""",
+    "pressure_readings": f"""SELECT event_id AS reading_id, 'M-' || CAST(user_id % 18 AS VARCHAR) AS machine_id,
+        event_type AS test_type, value + 50 AS pressure_psi, {K} / 1000.0 AS leak_rate_psi_min,
+        CASE WHEN value + 50 >= 130 AND {K} / 1000.0 < 0.1 THEN 'PASS' ELSE 'FAIL' END AS result_raw,
+        ts AS recorded_at FROM events""",
 }
 
 # which bindings read other bindings (none yet; kept for derived inputs)

@@ -429,3 +429,94 @@ def finance_lines(t: Tables) -> DataFrame:
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "region", "nation", "o_orderdate", "l_extendedprice", "l_discount", "l_tax", "l_quantity", "l_linestatus"
     )
+
+
+# ---- lab (inspection records, test runs, schedule, readings) --------------------------------------
+
+LAB_AS_OF = "2001-12-01 00:00:00"  # clock for lab data (inspection dates = order date + 120 days)
+PIECES = ("piece_1st", "piece_5th", "piece_10th", "piece_15th", "piece_20th", "piece_25th", "piece_30th", "piece_35th", "piece_iqa")
+
+
+def inspection_records(t: Tables) -> DataFrame:
+    o = t.orders
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderkey") % 37 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("PRD-"), s(F.col("o_custkey") % 12))).alias("product"),
+        F.when(F.col("o_orderkey") % 41 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("MCH-"), s(F.col("o_custkey") % 9))).alias("machinist"),
+        F.concat(F.lit("OP"), s((F.col("o_orderkey") % 6) * 10)).alias("operation"),
+        F.date_add(F.to_date("o_orderdate"), 120).alias("inspection_date"),
+        F.col("o_orderstatus").alias("status"),
+    )
+
+
+def inspection_rows(t: Tables) -> DataFrame:
+    li = t.lineitem
+    flag, ln = F.col("l_returnflag"), F.col("l_linenumber")
+    mid = F.when(flag == "N", F.lit("Pass")).when(flag == "A", F.lit(""))
+    return li.select(
+        F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("id"),
+        F.col("l_orderkey").alias("record_id"),
+        F.when((flag == "A") & (ln % 3 == 0), F.lit("FAIL")).otherwise(F.lit("Pass")).alias("piece_1st"),
+        *[mid.alias(c) for c in PIECES[1:-1]],
+        F.when((flag == "R") & (ln % 4 == 0), F.lit("f")).otherwise(F.lit("pass")).alias("piece_iqa"),
+    )
+
+
+def test_runs(t: Tables) -> DataFrame:
+    o = t.orders
+    st = F.col("o_orderstatus")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_custkey") % 8).cast("int").alias("procedure_id"),
+        F.when(st == "F", F.lit("completed")).when(st == "P", F.lit("failed")).otherwise(F.lit("in_progress")).alias("status"),
+        F.timestamp_seconds(F.unix_timestamp("o_orderdate") + 120 * 86400 + (F.col("o_orderkey") % 24) * 3600).alias("created_at"),
+    )
+
+
+def test_procedures(t: Tables) -> DataFrame:
+    ids = t.orders.select((F.col("o_custkey") % 8).cast("int").alias("id")).distinct()
+    m = F.col("id") % 3
+    return ids.select(
+        "id", F.concat(F.lit("Procedure "), s("id")).alias("name"),
+        F.when(m == 0, F.lit("pump")).when(m == 1, F.lit("valve")).otherwise(F.lit("compressor")).alias("product_type"),
+    )
+
+
+def test_schedule(t: Tables) -> DataFrame:
+    o = t.orders
+    m4 = F.col("o_orderkey") % 4
+    status = (F.when(m4 == 0, F.lit("scheduled")).when(m4 == 1, F.lit("in_progress"))
+              .when(m4 == 2, F.lit("completed")).otherwise(F.lit("cancelled")))
+    pr = F.col("o_orderpriority")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_custkey") % 11).cast("int").alias("technician_id"),
+        status.alias("status"),
+        F.when(pr == "1-URGENT", F.lit("critical")).when(pr == "2-HIGH", F.lit("high")).otherwise(F.lit("normal")).alias("priority"),
+        F.when(m4 == 2, F.timestamp_seconds(F.unix_timestamp(F.lit(LAB_AS_OF).cast("timestamp")) - (F.col("o_orderkey") % 72) * 3600))
+        .alias("completed_at"),
+        (F.col("o_orderkey") % 90 + 30).cast("int").alias("est_minutes"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit(None).cast("string")).otherwise(machine_of(F.col("o_custkey") % N_MACHINES)).alias("machine_id"),
+    )
+
+
+def technicians(t: Tables) -> DataFrame:
+    ids = t.orders.select((F.col("o_custkey") % 11).cast("int").alias("id")).distinct()
+    return ids.select("id", F.concat(F.lit("Tech "), s("id")).alias("name"),
+                      F.when(F.col("id") % 2 == 0, F.lit("pressure")).otherwise(F.lit("flow")).alias("specialty"),
+                      (F.col("id") != 10).alias("is_active"))
+
+
+def pressure_readings(t: Tables) -> DataFrame:
+    e = t.events
+    psi = F.col("value") + 50
+    leak = props_k() / 1000.0
+    return e.select(
+        F.col("event_id").alias("reading_id"),
+        machine_of(F.col("user_id") % N_MACHINES).alias("machine_id"),
+        F.col("event_type").alias("test_type"),
+        psi.alias("pressure_psi"),
+        leak.alias("leak_rate_psi_min"),
+        F.when((psi >= 130) & (leak < 0.1), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("result_raw"),
+        F.col("ts").alias("recorded_at"),
+    )
