@@ -13,6 +13,7 @@ MODULES = [
     "millrun.plans.planning_queries",
     "millrun.plans.finance_queries",
     "millrun.plans.lab_queries",
+    "millrun.plans.streaming_queries",
 ]
 
 for _m in MODULES:
