@@ -14,6 +14,7 @@ MODULES = [
     "millrun.plans.finance_queries",
     "millrun.plans.lab_queries",
     "millrun.plans.streaming_queries",
+    "millrun.plans.ml_queries",
 ]
 
 for _m in MODULES:
