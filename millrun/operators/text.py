@@ -85,7 +85,7 @@ def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame
 
 def retrieval_context(topk: DataFrame, qid_col: str, docs: DataFrame, doc_id: str, text_col: str, source_col: str) -> DataFrame:
     """The top chunks' texts joined in rank order with a separator, and their distinct sources."""
-    j = topk.join(docs.select(F.col(doc_id).alias("doc_id"), text_col, source_col), "doc_id", "left")
+    j = topk.join(docs.select(F.col(doc_id).alias("doc_id"), text_col, source_col), "doc_id")  # retrieved chunks that exist
     return j.groupBy(qid_col).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text_col))), lambda s: s[text_col]),
                      CONTEXT_SEPARATOR).alias("context"),

@@ -15,6 +15,7 @@ MODULES = [
     "millrun.plans.lab_queries",
     "millrun.plans.streaming_queries",
     "millrun.plans.ml_queries",
+    "millrun.plans.io_queries",
 ]
 
 for _m in MODULES:

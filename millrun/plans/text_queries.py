@@ -75,7 +75,7 @@ def q_vector_topk(t):
     f"""WITH {SQL_TOPK_CTES}
         SELECT r.label, string_agg(d.text, '{SEP}' ORDER BY r.rank) AS context,
                list_sort(list_distinct(list(d.source))) AS sources, count(*) AS n_chunks
-        FROM r LEFT JOIN documents d ON r.doc_id = d.doc_id WHERE r.rank <= 4 GROUP BY r.label""",
+        FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE r.rank <= 4 GROUP BY r.label""",
 )
 def q_retrieval_context(t):
     """T6 over the V1 result (vec_id = doc_id)."""
