@@ -16,6 +16,7 @@ MODULES = [
     "millrun.plans.streaming_queries",
     "millrun.plans.ml_queries",
     "millrun.plans.io_queries",
+    "millrun.plans.commercial_queries",
 ]
 
 for _m in MODULES:

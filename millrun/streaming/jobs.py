@@ -223,6 +223,7 @@ def page_time_log(t: Tables) -> DataFrame:
     e = t.events
     return e.select(
         F.concat(F.lit("U-"), F.col("user_id").cast("string")).alias("username"),
+        F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_name"),
         F.col("event_type").alias("page"),
         F.floor("value").cast("int").alias("seconds_spent"),
         B.props_k().alias("click_count"),
