@@ -17,6 +17,7 @@ MODULES = [
     "millrun.plans.ml_queries",
     "millrun.plans.io_queries",
     "millrun.plans.commercial_queries",
+    "millrun.plans.reliability_queries",
 ]
 
 for _m in MODULES:
