@@ -71,13 +71,13 @@ def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: flo
         F.sum(F.coalesce(F.col("safety_stock").cast("double"), F.lit(0.0))).alias("safety"),
         F.max(F.upper(F.trim(F.col("location_type")))).alias("loc"),
         F.min("unit_cost_after_tariff").alias("cost"),
+        F.count(F.lit(1)).alias("raw_rows"),
     )
-    cat = g.groupBy("product_category").agg(F.count(F.lit(1)).alias("n_rows")).join(
-        rows.groupBy("product_category").agg(
-            F.max((F.col("loc") == "HUB").cast("int")).alias("has_hub"),
-            F.max((F.col("loc") == "SPOKE").cast("int")).alias("has_spoke"),
-        ),
-        "product_category",
+    # one aggregate over the (category, sku, branch) rows gives every category-level fact
+    cat = rows.groupBy("product_category").agg(
+        F.sum("raw_rows").alias("n_rows"),
+        F.max((F.col("loc") == "HUB").cast("int")).alias("has_hub"),
+        F.max((F.col("loc") == "SPOKE").cast("int")).alias("has_spoke"),
     )
     # O1: rank branches by stock in the category; the top half (>= 1, <= n - 1) are hubs
     br = rows.groupBy("product_category", "branch_id").agg(F.sum("stock").alias("tot"))
