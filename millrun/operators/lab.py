@@ -201,3 +201,118 @@ def write_csv(df: DataFrame, path: str) -> None:
     """IO14 sink: header CSV, blanks for NULL."""
     df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
+
+
+# ---- test procedures: step evaluation (P30), visibility (P31), numbering (W10), completion (A42) ----
+
+# The leading-number rule of a browser parseFloat (optional blanks, sign, digits with
+# an optional fraction and exponent, or Infinity); anything else is not a number.
+LEADING_NUMBER = r"^\s*([+-]?Infinity|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+TOLERANCE_SCHEMA = "lower double, upper double, nominal double"
+CONDITION_SCHEMA = "step_id int, value string"
+
+
+def leading_number(text: Column) -> Column:
+    """The number a text starts with ("12mm" -> 12.0), NULL when it starts with none."""
+    return F.regexp_extract(text, LEADING_NUMBER, 1).try_cast("double")
+
+
+def step_passed(step_type: Column, value: Column, lower: Column, upper: Column) -> Column:
+    """Instruction or blank -> NULL; ok_check "OK"; pass_fail "Pass"; radio / text non-empty;
+    number / auto_number within the optional bounds (NULL when the text is not a number)."""
+    n = leading_number(value)
+    in_bounds = F.when(n.isNull(), F.lit(None).cast("boolean")).otherwise(
+        ~(lower.isNotNull() & (n < lower)) & ~(upper.isNotNull() & (n > upper)))
+    return (
+        F.when((step_type == "instruction") | value.isNull() | (value == ""), F.lit(None).cast("boolean"))
+        .when(step_type == "ok_check", value == "OK")
+        .when(step_type == "pass_fail", value == "Pass")
+        .when(step_type.isin("radio", "text"), F.length(value) > 0)
+        .when(step_type.isin("number", "auto_number"), in_bounds)
+    )
+
+
+def step_results(runs: DataFrame, sections: DataFrame, steps: DataFrame, responses: DataFrame, max_steps: int = 10_000,
+                 order_cols=("created_at", "id", "value")) -> DataFrame:
+    """P30 + P31 + W10: every step of every run with its latest response, visibility, pass flag
+    and displayed number.
+
+    Responses are first reduced to the newest per (run, step) with a hash aggregate (partial per
+    map task, so a run answered millions of times never lands in one task). Each run then holds
+    at most one row per step of its procedure, which bounds the per-run windows below: the
+    response map used by the visibility conditions and the running instruction count.
+    The step dimension is broadcast only after its size is checked."""
+    from millrun.session import bounded_broadcast
+
+    latest = responses.groupBy("run_id", "step_id").agg(
+        F.max_by("value", F.struct(*[F.col(c) for c in order_cols])).alias("value"))
+    sec_dim = sections.select(F.col("id").alias("section_id"), "procedure_id")
+    st = steps.join(sec_dim, "section_id").select(
+        F.col("id").alias("step_id"), "section_id", "procedure_id", "order_index", "step_type", "is_mandatory",
+        F.from_json("tolerances_json", TOLERANCE_SCHEMA).alias("tol"),
+        F.from_json("condition_json", CONDITION_SCHEMA).alias("cond"),
+    )  # procedure x step dimension: parsed once, before the broadcast
+    rs = runs.select(F.col("id").alias("run_id"), "procedure_id", "status").join(
+        bounded_broadcast(st, max_steps), "procedure_id")
+    j = rs.join(latest, ["run_id", "step_id"], "left")
+    answers = F.map_from_entries(F.collect_list(F.struct("step_id", "value")).over(Window.partitionBy("run_id")))
+    j = j.withColumn("_answers", answers)
+    visible = F.when(F.col("cond").isNull(), F.lit(True)).otherwise(
+        F.coalesce(F.element_at("_answers", F.col("cond.step_id")) == F.col("cond.value"), F.lit(False)))
+    j = j.withColumn("visible", visible)
+    sec = Window.partitionBy("run_id", "section_id").orderBy("order_index")
+    instr = (F.col("step_type") == "instruction") & F.col("visible")
+    running_instr = F.sum(instr.cast("int")).over(sec.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    position = F.row_number().over(sec)
+    number = F.when(~F.col("visible"), F.lit(None).cast("int")).when(
+        F.col("step_type") == "instruction", running_instr.cast("int")).otherwise(position)
+    return j.select(
+        "run_id", "procedure_id", "status", "section_id", "step_id", "order_index", "step_type", "is_mandatory",
+        F.coalesce(F.col("value"), F.lit("")).alias("value"),
+        "visible",
+        step_passed(F.col("step_type"), F.col("value"), F.col("tol.lower"), F.col("tol.upper")).alias("passed"),
+        number.alias("step_number"),
+    )
+
+
+def _section_counts(results: DataFrame) -> DataFrame:
+    """Per run x section: every count A42 needs, in one aggregate over the run-partitioned steps."""
+    data = F.col("step_type") != "instruction"
+    ok = F.coalesce(F.col("passed"), F.lit(False))
+    mand = data & F.col("is_mandatory")
+    mv = mand & F.col("visible")
+    return results.groupBy("run_id", "procedure_id", "status", "section_id").agg(
+        F.count_if(mv).alias("mandatory_steps"),
+        F.count_if(mv & (F.length(F.trim("value")) > 0)).alias("completed_mandatory"),
+        F.count_if(mv & ~ok).alias("_bad_visible"),
+        F.count_if(mand & ~ok).alias("_bad_all"),
+        F.count_if(data).alias("_data"),
+        F.count_if(data & ok).alias("_passed"),
+    ).withColumn("section_passed", (F.col("mandatory_steps") > 0) & (F.col("_bad_visible") == 0))
+
+
+def section_progress(results: DataFrame) -> DataFrame:
+    """A42 per run x section: visible mandatory data steps, how many are answered (non-blank after
+    trim) and whether the section passes (at least one, and every one passes)."""
+    return _section_counts(results).select("run_id", "section_id", "mandatory_steps", "completed_mandatory", "section_passed")
+
+
+def run_completion(results: DataFrame) -> DataFrame:
+    """A42 per run: data steps, passed steps, sections passed, and the run verdict. ``run_passed``
+    checks the visible mandatory data steps (Q16 fixed); ``run_passed_all_mandatory`` is the
+    faithful form that also requires hidden mandatory steps to pass. The stored run status is
+    reported beside them, not replaced (Q15). The run rollup is taken over the section rows, so
+    both aggregates reuse the run partitioning of the step rows (one pass, no new exchange)."""
+    g = _section_counts(results).groupBy("run_id", "procedure_id", "status").agg(
+        F.sum("_data").alias("data_steps"),
+        F.sum("_passed").alias("passed_steps"),
+        F.count(F.lit(1)).alias("sections"),
+        F.count_if("section_passed").alias("sections_passed"),
+        F.sum("_bad_visible").alias("_bv"),
+        F.sum("_bad_all").alias("_ba"),
+    )
+    return g.select(
+        "run_id", "procedure_id", "status", "data_steps", "passed_steps", "sections", "sections_passed",
+        (F.col("_bv") == 0).alias("run_passed"),
+        (F.col("_ba") == 0).alias("run_passed_all_mandatory"),
+    )

@@ -193,3 +193,83 @@ _TXT = ", ".join(f"coalesce(CAST(ir.{c} AS VARCHAR), '') AS {c}" for c in L.PIEC
 def q_inspection_export(t):
     """IO14 + W9: export rows with a distributed dense record-group number."""
     return L.export_rows(B.inspection_records(t), B.inspection_rows(t))
+
+
+# ---- test procedures: P30 / P31 / W10 / A42 ------------------------------------------------------
+STEP_BINDS = ["test_runs", "test_procedures", "test_proc_sections", "test_proc_steps", "test_run_responses"]
+SQL_STEP_RESULTS = f"""WITH latest AS (
+        SELECT run_id, step_id, value FROM (
+            SELECT run_id, step_id, value, row_number() OVER (
+                PARTITION BY run_id, step_id ORDER BY created_at DESC, id DESC, value DESC) AS rn
+            FROM test_run_responses) x WHERE rn = 1),
+    st AS (SELECT s.id AS step_id, s.section_id, sec.procedure_id, s.order_index, s.step_type, s.is_mandatory,
+                  TRY_CAST(json_extract_string(s.tolerances_json, '$.lower') AS DOUBLE) AS lo,
+                  TRY_CAST(json_extract_string(s.tolerances_json, '$.upper') AS DOUBLE) AS hi,
+                  CAST(json_extract_string(s.condition_json, '$.step_id') AS INTEGER) AS c_step,
+                  json_extract_string(s.condition_json, '$.value') AS c_value
+           FROM test_proc_steps s JOIN test_proc_sections sec ON s.section_id = sec.id),
+    j AS (SELECT r.id AS run_id, r.procedure_id, r.status, st.step_id, st.section_id, st.order_index, st.step_type,
+                 st.is_mandatory, st.lo, st.hi, st.c_step, st.c_value, l.value
+          FROM test_runs r JOIN st ON st.procedure_id = r.procedure_id
+          LEFT JOIN latest l ON l.run_id = r.id AND l.step_id = st.step_id),
+    v AS (SELECT j.*, CASE WHEN j.c_step IS NULL THEN TRUE ELSE coalesce(c.value = j.c_value, FALSE) END AS visible,
+                 TRY_CAST(regexp_extract(j.value, '{L.LEADING_NUMBER}', 1) AS DOUBLE) AS x
+          FROM j LEFT JOIN latest c ON c.run_id = j.run_id AND c.step_id = j.c_step)
+    SELECT run_id, procedure_id, status, section_id, step_id, order_index, step_type, is_mandatory,
+        coalesce(value, '') AS value, visible,
+        CASE WHEN step_type = 'instruction' OR value IS NULL OR value = '' THEN NULL
+             WHEN step_type = 'ok_check' THEN value = 'OK'
+             WHEN step_type = 'pass_fail' THEN value = 'Pass'
+             WHEN step_type IN ('radio', 'text') THEN length(value) > 0
+             WHEN step_type IN ('number', 'auto_number') THEN
+                 CASE WHEN x IS NULL THEN NULL ELSE NOT (lo IS NOT NULL AND x < lo) AND NOT (hi IS NOT NULL AND x > hi) END
+        END AS passed,
+        CASE WHEN NOT visible THEN NULL
+             WHEN step_type = 'instruction' THEN CAST(sum(CASE WHEN step_type = 'instruction' AND visible THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY run_id, section_id ORDER BY order_index ROWS UNBOUNDED PRECEDING) AS INTEGER)
+             ELSE CAST(row_number() OVER (PARTITION BY run_id, section_id ORDER BY order_index) AS INTEGER)
+        END AS step_number
+    FROM v"""
+SQL_SECTION_PROGRESS = """SELECT run_id, section_id,
+        count_if(step_type <> 'instruction' AND is_mandatory AND visible) AS mandatory_steps,
+        count_if(step_type <> 'instruction' AND is_mandatory AND visible AND length(trim(value)) > 0) AS completed_mandatory,
+        count_if(step_type <> 'instruction' AND is_mandatory AND visible) > 0
+            AND count_if(step_type <> 'instruction' AND is_mandatory AND visible AND NOT coalesce(passed, FALSE)) = 0
+            AS section_passed
+    FROM sr GROUP BY run_id, section_id"""
+
+
+def _steps(t):
+    return L.step_results(B.test_runs(t), B.test_proc_sections(t), B.test_proc_steps(t), B.test_run_responses(t))
+
+
+@query("test_step_results", W(STEP_BINDS, [], SQL_STEP_RESULTS))
+def q_test_step_results(t):
+    """P30 + P31 + W10: every step of every run with its newest response, visibility, pass flag and number."""
+    return _steps(t)
+
+
+@query("test_section_progress", W(STEP_BINDS, [("sr", SQL_STEP_RESULTS)], SQL_SECTION_PROGRESS))
+def q_test_section_progress(t):
+    """A42 per run x section: visible mandatory steps, answered, section pass."""
+    return L.section_progress(_steps(t))
+
+
+@query(
+    "test_run_completion",
+    W(STEP_BINDS, [("sr", SQL_STEP_RESULTS), ("sp", SQL_SECTION_PROGRESS)],
+      """WITH g AS (SELECT run_id, procedure_id, status, count_if(step_type <> 'instruction') AS data_steps,
+                        count_if(step_type <> 'instruction' AND coalesce(passed, FALSE)) AS passed_steps,
+                        count_if(step_type <> 'instruction' AND is_mandatory AND visible AND NOT coalesce(passed, FALSE)) = 0
+                            AS run_passed,
+                        count_if(step_type <> 'instruction' AND is_mandatory AND NOT coalesce(passed, FALSE)) = 0
+                            AS run_passed_all_mandatory
+                 FROM sr GROUP BY run_id, procedure_id, status),
+            s AS (SELECT run_id, count(*) AS sections, count_if(section_passed) AS sections_passed FROM sp GROUP BY run_id)
+         SELECT g.run_id, procedure_id, status, data_steps, passed_steps, sections, sections_passed, run_passed,
+                run_passed_all_mandatory FROM g JOIN s ON g.run_id = s.run_id"""),
+)
+def q_test_run_completion(t):
+    """A42 per run: data / passed steps, sections passed, run pass (visible mandatory; Q16 fixed) and the
+    faithful all-mandatory form beside the stored status (Q15)."""
+    return L.run_completion(_steps(t))

@@ -178,10 +178,40 @@ BINDINGS: dict[str, str] = {
         event_type AS test_type, value + 50 AS pressure_psi, {K} / 1000.0 AS leak_rate_psi_min,
         CASE WHEN value + 50 >= 130 AND {K} / 1000.0 < 0.1 THEN 'PASS' ELSE 'FAIL' END AS result_raw,
         ts AS recorded_at FROM events""",
+    "test_proc_sections": """SELECT CAST(id * 10 + sn AS INTEGER) AS id, id AS procedure_id, CAST(sn AS INTEGER) AS order_index,
+        CASE WHEN sn = 1 THEN 'Checks' ELSE 'Measurements' END AS title,
+        CASE WHEN sn = 1 THEN 'manual' ELSE 'auto' END AS section_type
+        FROM test_procedures, (VALUES (1), (2)) v(sn)""",
+    "test_proc_steps": """SELECT CAST(p.id * 100 + o AS INTEGER) AS id, CAST(p.id * 10 + sn AS INTEGER) AS section_id,
+        CAST(o AS INTEGER) AS order_index, ty AS step_type, 'Step ' || CAST(o AS VARCHAR) AS label,
+        CASE WHEN o = 5 AND p.id % 2 = 0 THEN printf('{"lower": %d, "upper": 40}', p.id + 10)
+             WHEN o = 5 THEN printf('{"lower": %d}', p.id + 10)
+             WHEN o = 6 THEN '{"upper": 5}' ELSE '{}' END AS tolerances_json,
+        m AS is_mandatory,
+        CASE WHEN o = 6 THEN printf('{"step_id": %d, "value": "Pass"}', p.id * 100 + 3) END AS condition_json
+        FROM test_procedures p, (VALUES (1, 1, 'instruction', TRUE), (2, 1, 'ok_check', TRUE), (3, 1, 'pass_fail', FALSE),
+            (4, 1, 'text', FALSE), (5, 2, 'number', TRUE), (6, 2, 'number', TRUE), (7, 2, 'instruction', TRUE)) t(o, sn, ty, m)""",
+    "test_run_responses": """SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+            CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS id,
+        l_orderkey AS run_id, CAST((o_custkey % 8) * 100 + l_linenumber AS INTEGER) AS step_id,
+        CASE l_linenumber
+            WHEN 2 THEN CASE WHEN l_returnflag = 'A' THEN 'NOT OK' ELSE 'OK' END
+            WHEN 3 THEN CASE WHEN l_returnflag = 'R' THEN 'Fail' WHEN CAST(l_quantity AS INTEGER) % 10 = 0 THEN '' ELSE 'Pass' END
+            WHEN 4 THEN CASE WHEN CAST(l_quantity AS INTEGER) % 3 = 0 THEN '' ELSE 'note ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END
+            WHEN 5 THEN CASE WHEN l_partkey % 17 = 0 THEN 'n/a'
+                             WHEN l_partkey % 19 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || 'mm'
+                             ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END
+            WHEN 6 THEN CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR)
+            ELSE '' END AS value,
+        CAST(l_shipdate AS TIMESTAMP) AS created_at
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 }
 
-# which bindings read other bindings (none yet; kept for derived inputs)
-DEPENDS: dict[str, list[str]] = {}
+# which bindings read other bindings (derived inputs)
+DEPENDS: dict[str, list[str]] = {
+    "test_proc_sections": ["test_procedures"],
+    "test_proc_steps": ["test_procedures"],
+}
 
 
 def with_bindings(names: list[str], ctes: list[tuple[str, str]], final: str) -> str:

@@ -520,3 +520,89 @@ def pressure_readings(t: Tables) -> DataFrame:
         F.when((psi >= 130) & (leak < 0.1), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("result_raw"),
         F.col("ts").alias("recorded_at"),
     )
+
+
+# ---- lab test procedures: sections, steps and run responses ------------------------------------
+
+# The step template every procedure carries (order index, section number, step type,
+# mandatory). Tolerances and conditions depend on the procedure id (see test_proc_steps).
+STEP_TEMPLATE = (
+    (1, 1, "instruction", True),
+    (2, 1, "ok_check", True),
+    (3, 1, "pass_fail", False),
+    (4, 1, "text", False),
+    (5, 2, "number", True),
+    (6, 2, "number", True),
+    (7, 2, "instruction", True),
+)
+
+
+def test_proc_sections(t: Tables) -> DataFrame:
+    """Two sections per procedure: a manual check list and an auto-captured measurement block."""
+    p = test_procedures(t).select(F.col("id").alias("procedure_id"))
+    sec = F.explode(F.array(F.lit(1), F.lit(2))).alias("section_no")
+    x = p.select("procedure_id", sec)
+    return x.select(
+        (F.col("procedure_id") * 10 + F.col("section_no")).cast("int").alias("id"),
+        "procedure_id",
+        F.col("section_no").cast("int").alias("order_index"),
+        F.when(F.col("section_no") == 1, F.lit("Checks")).otherwise(F.lit("Measurements")).alias("title"),
+        F.when(F.col("section_no") == 1, F.lit("manual")).otherwise(F.lit("auto")).alias("section_type"),
+    )
+
+
+def test_proc_steps(t: Tables) -> DataFrame:
+    """Procedures x the step template. Step 5 has bounds lower = 10 + id (and upper = 40 for even
+    ids); step 6 has upper = 5 and shows only when step 3 was answered "Pass"."""
+    tmpl = F.array(*[
+        F.struct(F.lit(o).alias("o"), F.lit(sn).alias("sn"), F.lit(ty).alias("ty"), F.lit(m).alias("m"))
+        for o, sn, ty, m in STEP_TEMPLATE
+    ])
+    p = test_procedures(t).select(F.col("id").alias("pid"))
+    x = p.select("pid", F.explode(tmpl).alias("s"))
+    o, pid = F.col("s.o"), F.col("pid")
+    tol = (
+        F.when((o == 5) & (pid % 2 == 0), F.format_string('{"lower": %d, "upper": 40}', pid + 10))
+        .when(o == 5, F.format_string('{"lower": %d}', pid + 10))
+        .when(o == 6, F.lit('{"upper": 5}'))
+        .otherwise(F.lit("{}"))
+    )
+    cond = F.when(o == 6, F.format_string('{"step_id": %d, "value": "Pass"}', pid * 100 + 3))
+    return x.select(
+        (pid * 100 + o).cast("int").alias("id"),
+        (pid * 10 + F.col("s.sn")).cast("int").alias("section_id"),
+        o.cast("int").alias("order_index"),
+        F.col("s.ty").alias("step_type"),
+        F.concat(F.lit("Step "), s(o)).alias("label"),
+        tol.alias("tolerances_json"),
+        F.col("s.m").alias("is_mandatory"),
+        cond.alias("condition_json"),
+    )
+
+
+def test_run_responses(t: Tables) -> DataFrame:
+    """One response per line item: run = order, step = the order's procedure step at the line
+    number. Values exercise blanks, bound-equal numbers, text in a number step and a numeric
+    prefix ("12mm"). (run, step) repeats in the data; the newest response counts (created_at,
+    then id, then value as a total order)."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax",
+                           "l_returnflag", "l_extendedprice", "l_shipdate")
+    o = t.orders.select("o_orderkey", "o_custkey")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    ln, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    flag, pk = F.col("l_returnflag"), F.col("l_partkey")
+    value = (
+        F.when(ln == 2, F.when(flag == "A", F.lit("NOT OK")).otherwise(F.lit("OK")))
+        .when(ln == 3, F.when(flag == "R", F.lit("Fail")).when(q % 10 == 0, F.lit("")).otherwise(F.lit("Pass")))
+        .when(ln == 4, F.when(q % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("note "), s(q))))
+        .when(ln == 5, F.when(pk % 17 == 0, F.lit("n/a")).when(pk % 19 == 0, F.concat(s(q), F.lit("mm"))).otherwise(s(q)))
+        .when(ln == 6, s(F.round(F.col("l_tax") * 100).cast("int")))
+        .otherwise(F.lit(""))
+    )
+    return j.select(
+        F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("id"),
+        F.col("l_orderkey").alias("run_id"),
+        ((F.col("o_custkey") % 8) * 100 + ln).cast("int").alias("step_id"),
+        value.alias("value"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"),
+    )

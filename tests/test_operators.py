@@ -184,3 +184,40 @@ def test_stream_replay_equals_batch(spark, sf_dir):
     batch = plant.telemetry_silver(B.machine_telemetry_raw(Tables(spark, sf_dir)))
     key = ["machine_id", "ts"]
     assert rows(stream.select(*batch.columns), key) == rows(batch, key)
+
+
+def test_step_evaluation_visibility_numbering(spark):
+    """P30/P31/W10/A42 edge rows: bound equal to value passes; blank -> NULL; text in a number step
+    -> NULL; numeric prefix "12mm" -> 12; hidden mandatory step (Q16); instruction numbering; the
+    newest of two responses wins."""
+    runs = spark.createDataFrame([(1, 7, "completed"), (2, 7, "completed")], "id bigint, procedure_id int, status string")
+    sections = spark.createDataFrame([(71, 7)], "id int, procedure_id int")
+    steps = spark.createDataFrame([
+        (701, 71, 1, "instruction", True, "{}", None),
+        (702, 71, 2, "pass_fail", False, "{}", None),
+        (703, 71, 3, "number", True, '{"lower": 10, "upper": 40}', None),
+        (704, 71, 4, "number", True, '{"upper": 5}', '{"step_id": 702, "value": "Pass"}'),
+        (705, 71, 5, "instruction", True, "{}", None),
+        (706, 71, 6, "text", False, "{}", None),
+    ], "id int, section_id int, order_index int, step_type string, is_mandatory boolean, tolerances_json string, condition_json string")
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    resp = spark.createDataFrame([
+        ("a", 1, 702, "Pass", t0), ("b", 1, 703, "40", t0), ("c", 1, 704, "5", t0), ("d", 1, 706, "", t0),
+        ("e", 2, 702, "Fail", t0), ("f", 2, 702, "Pass", t1),  # newest wins -> Pass
+        ("g", 2, 703, "12mm", t0), ("h", 2, 704, "n/a", t0),
+    ], "id string, run_id bigint, step_id int, value string, created_at timestamp")
+    res = lab.step_results(runs, sections, steps, resp)
+    r = {(x["run_id"], x["step_id"]): x for x in rows(res)}
+    assert r[(1, 703)]["passed"] is True and r[(1, 704)]["passed"] is True  # both bounds inclusive
+    assert r[(1, 706)]["passed"] is None and r[(1, 701)]["passed"] is None
+    assert r[(2, 703)]["passed"] is True and r[(2, 704)]["passed"] is None  # prefix number; text -> NULL
+    assert r[(1, 704)]["visible"] is True and r[(2, 702)]["value"] == "Pass"
+    assert [r[(1, s)]["step_number"] for s in (701, 702, 703, 704, 705, 706)] == [1, 2, 3, 4, 2, 6]
+    # run 3 never answered step 702 -> step 704 hidden; it is mandatory and unanswered
+    runs3 = spark.createDataFrame([(3, 7, "completed")], "id bigint, procedure_id int, status string")
+    resp3 = spark.createDataFrame([("x", 3, 703, "20", t0)], "id string, run_id bigint, step_id int, value string, created_at timestamp")
+    r3 = rows(lab.run_completion(lab.step_results(runs3, sections, steps, resp3)))[0]
+    assert r3["run_passed"] is True and r3["run_passed_all_mandatory"] is False  # Q16 fixed vs faithful
+    h = {x["step_id"]: x for x in rows(lab.step_results(runs3, sections, steps, resp3))}
+    assert h[704]["visible"] is False and h[704]["step_number"] is None
+    assert [h[s]["step_number"] for s in (701, 705)] == [1, 2]
