@@ -22,8 +22,12 @@ BREACH_RULES = (
 )
 # Fixed values of the reference's cascade rules.
 CASCADE_HOPS, CASCADE_DECAY, CASCADE_STOP = 3, 0.75, 0.05
-IMPACT_SPLIT = (("revenue", 0.58), ("delivery", 0.27), ("wip", 0.15))
+IMPACT_SPLIT = (("Revenue Loss", 0.58), ("Delivery Risk", 0.27), ("WIP Queue", 0.15))
 OEE_HIT_CAP, OEE_HIT_PER_8H = 35.0, 58.0
+RISK_HIGH_HOURS, RISK_MEDIUM_HOURS = 6.0, 3.0
+FALLBACK_SHARE = 0.85  # no downstream station starved: the final assembly takes 0.85 x outage hours
+SHARED_BLOCK_SHARE = 0.82  # outage of the shared final assembly blocks each line's last station at 0.82 x hours
+FINAL_ASSEMBLY = ("FAL-ASM-01", 60, 42000.0)  # station, rate per hour, unit value
 # The production line routes (station, step, buffer hours, rate per hour, unit value, shared).
 LINE_ROUTES = {
     "A": (("BDY-STM-01", "Stamping", 0.25, 38, 1200, False), ("BDY-WLD-01", "Robotic Weld", 0.50, 34, 1200, False),
@@ -114,56 +118,105 @@ def route_table(spark: SparkSession) -> DataFrame:
 
 def outages_at_stations(events: DataFrame, route: DataFrame) -> DataFrame:
     """Fault outages (hours) placed on route stations: a machine of line L sits on station
-    (machine number div 3) mod (stations of L - 1), i.e. never on the shared final assembly."""
+    (machine number div 3) mod (stations of L), so some outages hit the shared final assembly."""
     n = F.regexp_extract("machine_id", r"([0-9]+)$", 1).cast("int")
     f = events.filter((F.col("state") == "fault") & F.col("duration_minutes").isNotNull() & F.col("line").isNotNull())
-    sizes = route.groupBy("line").agg((F.count(F.lit(1)) - 1).alias("k"))
+    sizes = route.groupBy("line").agg(F.count(F.lit(1)).alias("k"))
     o = f.join(F.broadcast(sizes), "line").select(  # route: fixed 16 rows
         F.col("event_id").alias("outage_id"), "line", (F.floor(n / 3) % F.col("k")).cast("int").alias("idx"),
         (F.col("duration_minutes") / 60.0).alias("hours"))
     return o
 
 
-def cascade(outages: DataFrame, route: DataFrame, hops: int = CASCADE_HOPS, decay: float = CASCADE_DECAY) -> DataFrame:
-    """Impact hours at up to ``hops`` downstream stations: impact = max(0, remaining - buffer),
-    stop below 0.05, remaining = decay x impact. The origin station carries the outage itself."""
-    r = F.broadcast(route.select("line", "idx", "station", "buffer", "rate", "unit_value"))  # fixed 16 rows
-    origin = outages.join(r, ["line", "idx"]).select("outage_id", "line", "idx", "station", F.lit(0).alias("hop"),
-                                                    F.col("hours").alias("impact_hours"), "rate", "unit_value", F.col("hours").alias("rem"))
-    cur = origin
-    out = [origin]
+def _last_before_shared() -> list[tuple[str, str, int, float]]:
+    """Per line, the station just before the shared final assembly (fixed route data)."""
+    out = []
+    for line, st in LINE_ROUTES.items():
+        sid, _step, _buf, rate, val, shared = st[-2]
+        if not shared:
+            out.append((line, sid, rate, float(val)))
+    return out
+
+
+def cascade_raw(outages: DataFrame, route: DataFrame, hops: int = CASCADE_HOPS, decay: float = CASCADE_DECAY) -> DataFrame:
+    """C1 with unrounded hours: the stations an outage starves (level-1 nodes of the impact graph).
+
+    * Normal station: up to ``hops`` downstream stations of its line, impact = max(0, remaining -
+      buffer), stop at the first impact below 0.05, remaining = ``decay`` x impact.
+    * Nothing starved (last station, or the first impact below 0.05): the final assembly takes
+      0.85 x the outage hours.
+    * Shared final assembly down: the last station of every line is blocked at 0.82 x hours.
+
+    Every join is with the fixed route (16 rows, broadcast), so the cascade is map-only: the
+    unrolled hops replace recursion and no row ever leaves its task."""
+    r = F.broadcast(route.select("line", "idx", "station", "buffer", "rate", "unit_value", "shared"))  # fixed 16 rows
+    src = outages.join(r, ["line", "idx"]).select(
+        "outage_id", "line", "idx", "hours", F.col("station").alias("origin_station"), "shared",
+        F.col("unit_value").alias("src_unit_value"))
+    keep = ["outage_id", "origin_station", "hours", "src_unit_value"]
+    normal = src.filter(~F.col("shared"))
+    cur = normal.select(*keep, "line", "idx", F.col("hours").alias("rem"))
+    parts = []
     for k in range(1, hops + 1):
-        nxt = cur.select("outage_id", "line", (F.col("idx") + 1).alias("idx"), "rem").join(r, ["line", "idx"])
-        nxt = nxt.withColumn("impact_hours", F.greatest(F.lit(0.0), F.col("rem") - F.col("buffer"))).filter(F.col("impact_hours") >= CASCADE_STOP)
-        nxt = nxt.select("outage_id", "line", "idx", "station", F.lit(k).alias("hop"), "impact_hours", "rate", "unit_value",
+        nxt = cur.select(*keep, "line", (F.col("idx") + 1).alias("idx"), "rem").join(r.drop("shared"), ["line", "idx"])
+        nxt = nxt.withColumn("impact_hours", F.greatest(F.lit(0.0), F.col("rem") - F.col("buffer"))).filter(
+            F.col("impact_hours") >= CASCADE_STOP)
+        nxt = nxt.select(*keep, "line", "idx", "station", F.lit(k).alias("hop"), "impact_hours", "rate", "unit_value",
                          (F.col("impact_hours") * decay).alias("rem"))
-        out.append(nxt)
+        parts.append(nxt.drop("idx", "rem"))
         cur = nxt
-    u = out[0]
-    for x in out[1:]:
+    # nothing starved <=> the first hop is missing or below the stop level (hop k needs hop k - 1)
+    nr = r.select("line", (F.col("idx") - 1).alias("idx"), F.col("buffer").alias("next_buffer"))
+    first = normal.join(nr, ["line", "idx"], "left")
+    starved = F.col("next_buffer").isNotNull() & (F.greatest(F.lit(0.0), F.col("hours") - F.col("next_buffer")) >= CASCADE_STOP)
+    fa_station, fa_rate, fa_value = FINAL_ASSEMBLY
+    parts.append(first.filter(~starved).select(
+        *keep, "line", F.lit(fa_station).alias("station"), F.lit(1).alias("hop"),
+        (F.col("hours") * FALLBACK_SHARE).alias("impact_hours"), F.lit(fa_rate).alias("rate"), F.lit(fa_value).alias("unit_value")))
+    blocked = F.explode(F.array(*[
+        F.struct(F.lit(line).alias("line"), F.lit(sid).alias("station"), F.lit(rate).alias("rate"), F.lit(val).alias("unit_value"))
+        for line, sid, rate, val in _last_before_shared()]))
+    sh = src.filter(F.col("shared")).select(*keep, blocked.alias("b"))
+    parts.append(sh.select(*keep, F.col("b.line").alias("line"), F.col("b.station").alias("station"), F.lit(1).alias("hop"),
+                           (F.col("hours") * SHARED_BLOCK_SHARE).alias("impact_hours"), F.col("b.rate").alias("rate"),
+                           F.col("b.unit_value").alias("unit_value")))
+    u = parts[0]
+    for x in parts[1:]:
         u = u.unionByName(x)
-    return u.select("outage_id", "line", "station", F.col("hop").cast("int").alias("hop"),
-                    P.round_half_up("impact_hours", 4).alias("impact_hours"), "rate", "unit_value")
+    return u.withColumn("hop", F.col("hop").cast("int")).withColumn("rate", F.col("rate").cast("int"))
+
+
+def cascade(outages: DataFrame, route: DataFrame, hops: int = CASCADE_HOPS, decay: float = CASCADE_DECAY) -> DataFrame:
+    """C1 result rows (hours rounded to 4 dp for display)."""
+    c = cascade_raw(outages, route, hops, decay)
+    return c.select("outage_id", "origin_station", "line", "station", "hop", P.round_half_up("impact_hours", 4).alias("impact_hours"),
+                    "rate", "unit_value")
 
 
 def impact_split(casc: DataFrame) -> DataFrame:
-    """Each cascade row's value at risk split 58 / 27 / 15 over revenue, delivery, WIP."""
+    """Each starved station's hours split 58 / 27 / 15 over revenue loss, delivery risk, WIP queue."""
     arr = F.array(*[F.struct(F.lit(n).alias("link"), F.lit(s).alias("share")) for n, s in IMPACT_SPLIT])
-    x = casc.select("outage_id", "station", "hop", (F.col("impact_hours") * F.col("rate") * F.col("unit_value")).alias("v"),
-                    F.explode(arr).alias("s"))
-    return x.select("outage_id", "station", "hop", F.col("s.link").alias("link"), P.round_half_up(F.col("v") * F.col("s.share"), 2).alias("value"))
+    x = casc.select("outage_id", "station", "hop", "impact_hours", F.explode(arr).alias("s"))
+    return x.select("outage_id", "station", "hop", F.col("s.link").alias("link"),
+                    P.round_half_up(F.col("impact_hours") * F.col("s.share"), 4).alias("value"))
 
 
 def impact_kpis(casc: DataFrame) -> DataFrame:
-    """C3 per outage: units lost = round(sum hours x rate), revenue = sum hours x rate x value,
-    OEE hit = min(35, h / 8 x 58) on the origin hours, delivery risk HIGH > 6 h, MEDIUM > 3 h."""
-    g = casc.groupBy("outage_id").agg(
-        F.sum(F.col("impact_hours") * F.col("rate")).alias("u"), F.sum(F.col("impact_hours") * F.col("rate") * F.col("unit_value")).alias("rev"),
-        F.max(F.when(F.col("hop") == 0, F.col("impact_hours"))).alias("h"), F.count(F.lit(1)).alias("stations"))
+    """C3 per outage over the unrounded cascade: units lost = round(sum impact x rate); revenue =
+    units lost x the source station's unit value; OEE hit = min(35, round1(hours / 8 x 58));
+    delivery risk from the total starved hours (HIGH > 6, MEDIUM > 3)."""
+    g = casc.groupBy("outage_id", "origin_station", "hours", "src_unit_value").agg(
+        F.count(F.lit(1)).alias("stations"),
+        F.sum(F.col("impact_hours") * F.col("rate")).alias("u"),
+        F.sum("impact_hours").alias("total"))
+    units = F.floor(F.col("u") + 0.5).cast("bigint")
     return g.select(
-        "outage_id", "stations", F.floor(F.col("u") + 0.5).cast("bigint").alias("units_lost"), P.round_half_up("rev", 2).alias("revenue_at_risk"),
-        P.round_half_up(F.least(F.lit(OEE_HIT_CAP), F.col("h") / 8 * OEE_HIT_PER_8H), 2).alias("oee_hit_pts"),
-        F.when(F.col("h") > 6, F.lit("HIGH")).when(F.col("h") > 3, F.lit("MEDIUM")).otherwise(F.lit("LOW")).alias("delivery_risk"))
+        "outage_id", "origin_station", "stations", units.alias("units_lost"),
+        (units * F.col("src_unit_value")).alias("revenue_impact"),
+        P.round_half_up("total", 4).alias("total_impact_hours"),
+        F.least(F.lit(OEE_HIT_CAP), P.round_half_up(F.col("hours") / 8 * OEE_HIT_PER_8H, 1)).alias("oee_hit_pts"),
+        F.when(F.col("total") > RISK_HIGH_HOURS, F.lit("HIGH")).when(F.col("total") > RISK_MEDIUM_HOURS, F.lit("MEDIUM"))
+        .otherwise(F.lit("LOW")).alias("delivery_risk"))
 
 
 _ = Column

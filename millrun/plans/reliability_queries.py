@@ -118,70 +118,86 @@ def q_alarm_response(t):
 
 # ---- C1-C3 cascade --------------------------------------------------------------------------------
 _ROUTE = "(VALUES " + ", ".join(
-    f"('{line}', {i}, '{sid}', CAST({buf} AS DOUBLE), {rate}, CAST({val} AS DOUBLE))"
-    for line, st in R.LINE_ROUTES.items() for i, (sid, _s, buf, rate, val, _sh) in enumerate(st)
-) + ") r(line, idx, station, buffer, rate, unit_value)"
-SQL_CASCADE = f"""WITH rt AS (SELECT * FROM {_ROUTE}),
-      k AS (SELECT line, count(*) - 1 AS k FROM rt GROUP BY line),
+    f"('{line}', {i}, '{sid}', CAST({buf} AS DOUBLE), {rate}, CAST({val} AS DOUBLE), {str(sh).upper()})"
+    for line, st in R.LINE_ROUTES.items() for i, (sid, _s, buf, rate, val, sh) in enumerate(st)
+) + ") r(line, idx, station, buffer, rate, unit_value, shared)"
+
+
+def _hop(k: int, prev: str) -> str:
+    return f"""h{k} AS (SELECT * FROM (SELECT p.outage_id, p.origin_station, p.hours, p.src_unit_value, p.line, rt.idx, rt.station,
+                                   {k} AS hop, greatest(0.0, p.rem - rt.buffer) AS impact, rt.rate, rt.unit_value
+                            FROM {prev} p JOIN rt ON p.line = rt.line AND rt.idx = p.idx + 1) x
+             CROSS JOIN LATERAL (SELECT x.impact * 0.75 AS rem) y WHERE impact >= 0.05)"""
+
+
+_COLS = "outage_id, origin_station, hours, src_unit_value, line, station, hop, impact, rate, unit_value"
+SQL_CASCADE_RAW = f"""WITH rt AS (SELECT * FROM {_ROUTE}),
+      k AS (SELECT line, count(*) AS k FROM rt GROUP BY line),
       o AS (SELECT e.event_id AS outage_id, e.line,
                    CAST(floor(CAST(regexp_extract(e.machine_id, '([0-9]+)$', 1) AS INTEGER) / 3) % k.k AS INTEGER) AS idx,
                    e.duration_minutes / 60.0 AS hours
             FROM se e JOIN k ON e.line = k.line WHERE e.state = 'fault' AND e.duration_minutes IS NOT NULL),
-      h0 AS (SELECT o.outage_id, o.line, o.idx, rt.station, 0 AS hop, o.hours AS impact, rt.rate, rt.unit_value, o.hours AS rem
-             FROM o JOIN rt ON o.line = rt.line AND o.idx = rt.idx),
-      h1 AS (SELECT * FROM (SELECT p.outage_id, p.line, rt.idx, rt.station, 1 AS hop, greatest(0.0, p.rem - rt.buffer) AS impact,
-                                   rt.rate, rt.unit_value FROM h0 p JOIN rt ON p.line = rt.line AND rt.idx = p.idx + 1) x
-             CROSS JOIN LATERAL (SELECT x.impact * 0.75 AS rem) y WHERE impact >= 0.05),
-      h2 AS (SELECT * FROM (SELECT p.outage_id, p.line, rt.idx, rt.station, 2 AS hop, greatest(0.0, p.rem - rt.buffer) AS impact,
-                                   rt.rate, rt.unit_value FROM h1 p JOIN rt ON p.line = rt.line AND rt.idx = p.idx + 1) x
-             CROSS JOIN LATERAL (SELECT x.impact * 0.75 AS rem) y WHERE impact >= 0.05),
-      h3 AS (SELECT * FROM (SELECT p.outage_id, p.line, rt.idx, rt.station, 3 AS hop, greatest(0.0, p.rem - rt.buffer) AS impact,
-                                   rt.rate, rt.unit_value FROM h2 p JOIN rt ON p.line = rt.line AND rt.idx = p.idx + 1) x
-             CROSS JOIN LATERAL (SELECT x.impact * 0.75 AS rem) y WHERE impact >= 0.05),
-      u AS (SELECT outage_id, line, station, hop, impact, rate, unit_value FROM h0 UNION ALL
-            SELECT outage_id, line, station, hop, impact, rate, unit_value FROM h1 UNION ALL
-            SELECT outage_id, line, station, hop, impact, rate, unit_value FROM h2 UNION ALL
-            SELECT outage_id, line, station, hop, impact, rate, unit_value FROM h3)
-    SELECT outage_id, line, station, CAST(hop AS INTEGER) AS hop, {RH("impact", 4)} AS impact_hours, CAST(rate AS INTEGER) AS rate,
-           unit_value FROM u"""
+      src AS (SELECT o.*, rt.station AS origin_station, rt.shared, rt.unit_value AS src_unit_value
+              FROM o JOIN rt ON o.line = rt.line AND o.idx = rt.idx),
+      h0 AS (SELECT outage_id, origin_station, hours, src_unit_value, line, idx, hours AS rem FROM src WHERE NOT shared),
+      {_hop(1, "h0")}, {_hop(2, "h1")}, {_hop(3, "h2")},
+      fb AS (SELECT outage_id, origin_station, hours, src_unit_value, line, 'FAL-ASM-01' AS station, 1 AS hop,
+                    hours * 0.85 AS impact, 60 AS rate, CAST(42000 AS DOUBLE) AS unit_value
+             FROM h0 WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.outage_id = h0.outage_id)),
+      lb AS (SELECT r1.line, r1.station, r1.rate, r1.unit_value FROM rt r1 JOIN k ON r1.line = k.line
+             WHERE r1.idx = k.k - 2 AND NOT r1.shared),
+      sh AS (SELECT s.outage_id, s.origin_station, s.hours, s.src_unit_value, lb.line, lb.station, 1 AS hop,
+                    s.hours * 0.82 AS impact, lb.rate, lb.unit_value FROM src s, lb WHERE s.shared)
+    SELECT {_COLS} FROM h1 UNION ALL SELECT {_COLS} FROM h2 UNION ALL SELECT {_COLS} FROM h3
+    UNION ALL SELECT {_COLS} FROM fb UNION ALL SELECT {_COLS} FROM sh"""
 _SE = ["production_events_raw", "machine_master"]
+_CR = [("se", SQL_STATE_EVENTS), ("cr", SQL_CASCADE_RAW)]
 
 
-def _cascade(t):
+def _cascade_raw(t):
     route = R.route_table(t.spark)
     ev = plant.state_events_silver(B.production_events_raw(t), B.machine_master(t))
-    return R.cascade(R.outages_at_stations(ev, route), route)
+    return R.cascade_raw(R.outages_at_stations(ev, route), route)
 
 
-@query("downtime_cascade", W(_SE, [("se", SQL_STATE_EVENTS)], SQL_CASCADE))
+@query(
+    "downtime_cascade",
+    W(_SE, _CR, f"""SELECT outage_id, origin_station, line, station, CAST(hop AS INTEGER) AS hop, {RH("impact", 4)} AS impact_hours,
+                          CAST(rate AS INTEGER) AS rate, unit_value FROM cr"""),
+)
 def q_downtime_cascade(t):
-    """Fault outages propagated over at most three downstream stations of the line route."""
-    return _cascade(t)
+    """Stations starved by each fault outage: up to three downstream hops, the final-assembly
+    fallback, and the shared-station case that blocks every line."""
+    c = _cascade_raw(t)
+    return c.select("outage_id", "origin_station", "line", "station", "hop", P.round_half_up("impact_hours", 4).alias("impact_hours"),
+                    "rate", "unit_value")
 
 
 @query(
     "cascade_impact_split",
-    W(_SE, [("se", SQL_STATE_EVENTS), ("c", SQL_CASCADE)],
-      f"""SELECT outage_id, station, hop, s.link, {RH("impact_hours * rate * unit_value * s.share", 2)} AS value
-          FROM c, (VALUES ('revenue', CAST(0.58 AS DOUBLE)), ('delivery', CAST(0.27 AS DOUBLE)), ('wip', CAST(0.15 AS DOUBLE))) s(link, share)"""),
+    W(_SE, _CR,
+      f"""SELECT outage_id, station, CAST(hop AS INTEGER) AS hop, s.link, {RH("impact * s.share", 4)} AS value
+          FROM cr, (VALUES ('Revenue Loss', CAST(0.58 AS DOUBLE)), ('Delivery Risk', CAST(0.27 AS DOUBLE)),
+                           ('WIP Queue', CAST(0.15 AS DOUBLE))) s(link, share)"""),
 )
 def q_cascade_impact_split(t):
-    """C2."""
-    return R.impact_split(_cascade(t))
+    """Starved hours split over revenue loss, delivery risk and WIP queue."""
+    return R.impact_split(_cascade_raw(t))
 
 
 @query(
     "cascade_impact_kpis",
-    W(_SE, [("se", SQL_STATE_EVENTS), ("c", SQL_CASCADE)],
-      f"""WITH g AS (SELECT outage_id, sum(impact_hours * rate) AS u, sum(impact_hours * rate * unit_value) AS rev,
-                          max(CASE WHEN hop = 0 THEN impact_hours END) AS h, count(*) AS stations FROM c GROUP BY 1)
-        SELECT outage_id, stations, CAST(floor(u + 0.5) AS BIGINT) AS units_lost, {RH("rev", 2)} AS revenue_at_risk,
-               {RH("least(35.0, h / 8 * 58.0)", 2)} AS oee_hit_pts,
-               CASE WHEN h > 6 THEN 'HIGH' WHEN h > 3 THEN 'MEDIUM' ELSE 'LOW' END AS delivery_risk FROM g"""),
+    W(_SE, _CR,
+      f"""WITH g AS (SELECT outage_id, origin_station, hours, src_unit_value, count(*) AS stations, sum(impact * rate) AS u,
+                          sum(impact) AS total FROM cr GROUP BY 1, 2, 3, 4)
+        SELECT outage_id, origin_station, stations, CAST(floor(u + 0.5) AS BIGINT) AS units_lost,
+               CAST(floor(u + 0.5) AS BIGINT) * src_unit_value AS revenue_impact, {RH("total", 4)} AS total_impact_hours,
+               least(35.0, {RH("hours / 8 * 58.0", 1)}) AS oee_hit_pts,
+               CASE WHEN total > 6 THEN 'HIGH' WHEN total > 3 THEN 'MEDIUM' ELSE 'LOW' END AS delivery_risk FROM g"""),
 )
 def q_cascade_impact_kpis(t):
-    """C3."""
-    return R.impact_kpis(_cascade(t))
+    """C3 per outage: units lost, revenue impact at the source unit value, OEE hit, delivery risk."""
+    return R.impact_kpis(_cascade_raw(t))
 
 
 # ---- J16 nested document ---------------------------------------------------------------------------

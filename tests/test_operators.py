@@ -221,3 +221,21 @@ def test_step_evaluation_visibility_numbering(spark):
     h = {x["step_id"]: x for x in rows(lab.step_results(runs3, sections, steps, resp3))}
     assert h[704]["visible"] is False and h[704]["step_number"] is None
     assert [h[s]["step_number"] for s in (701, 705)] == [1, 2]
+
+
+def test_cascade_special_cases(spark):
+    """Normal chain stops below 0.05; nothing starved -> final assembly at 0.85 h; shared final
+    assembly down -> each line's last station at 0.82 h. C3: revenue = units x source unit value."""
+    from millrun.operators import reliability as R
+
+    route = R.route_table(spark)
+    out = spark.createDataFrame([("o1", "A", 3, 2.0), ("o2", "B", 0, 0.5), ("o3", "A", 4, 1.0)],
+                                "outage_id string, line string, idx int, hours double")
+    c = {(x["outage_id"], x["station"]): x for x in rows(R.cascade_raw(out, route))}
+    assert set(k for k in c if k[0] == "o1") == {("o1", "FAL-ASM-01")} and c[("o1", "FAL-ASM-01")]["impact_hours"] == 2.0
+    assert set(k for k in c if k[0] == "o2") == {("o2", "FAL-ASM-01")} and c[("o2", "FAL-ASM-01")]["impact_hours"] == 0.5 * 0.85
+    assert {k[1] for k in c if k[0] == "o3"} == {"BDY-INS-01", "PNT-INS-01", "PTN-DYN-01"}
+    assert all(abs(c[k]["impact_hours"] - 0.82) < 1e-12 for k in c if k[0] == "o3")
+    k = {x["outage_id"]: x for x in rows(R.impact_kpis(R.cascade_raw(out, route)))}
+    assert k["o1"]["units_lost"] == 120 and k["o1"]["revenue_impact"] == 120 * 1200.0  # source value, not the starved one
+    assert k["o3"]["units_lost"] == round(0.82 * (38 + 28 + 11)) and k["o3"]["delivery_risk"] == "LOW"
