@@ -18,6 +18,7 @@ MODULES = [
     "millrun.plans.io_queries",
     "millrun.plans.commercial_queries",
     "millrun.plans.reliability_queries",
+    "millrun.plans.field_queries",
 ]
 
 for _m in MODULES:

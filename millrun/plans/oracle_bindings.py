@@ -205,6 +205,25 @@ BINDINGS: dict[str, str] = {
             ELSE '' END AS value,
         CAST(l_shipdate AS TIMESTAMP) AS created_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "field_work_orders": """SELECT 'WO-' || CAST(o_orderkey AS VARCHAR) AS work_order_id, 'RIG-' || CAST(o_custkey % 6 AS VARCHAR) AS rig_id,
+        'EQ-' || CAST(o_custkey % 30 AS VARCHAR) AS equipment_id,
+        CASE o_orderpriority WHEN '1-URGENT' THEN 'P1' WHEN '2-HIGH' THEN 'P2' ELSE 'P3' END AS priority,
+        CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'in_progress' END AS status,
+        CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 + 14 AS INTEGER) AS due_date,
+        CAST(o_orderkey % 40 + 1 AS INTEGER) AS estimated_hours, CAST(o_orderdate AS DATE) AS created_date FROM orders""",
+    "calibration_records": """SELECT 'CAL-' || CAST(o_orderkey AS VARCHAR) AS cal_id, 'EQ-' || CAST(o_custkey % 30 AS VARCHAR) AS equipment_id,
+        CAST(o_orderdate AS DATE) AS cal_date,
+        (['Initial', 'Periodic', 'Post_Repair', 'Pre_Deployment', 'Annual'])[CAST(o_orderkey % 5 + 1 AS INTEGER)] AS cal_type,
+        CASE o_orderstatus WHEN 'F' THEN 'Pass' WHEN 'O' THEN 'Pass_With_Adjustment' ELSE 'Fail' END AS cal_result FROM orders""",
+    "daily_reports": """SELECT 'RPT-' || CAST(o_orderkey AS VARCHAR) AS report_id, 'RIG-' || CAST(o_custkey % 6 AS VARCHAR) AS rig_id,
+        CAST(o_orderdate AS DATE) AS report_date,
+        CASE WHEN o_orderstatus = 'P' THEN CAST((o_orderkey % 7) * 0.5 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS npdt_hours,
+        CAST(o_orderkey % 3 AS INTEGER) AS wells_tested, floor(o_totalprice) / 100.0 AS oil_produced_bbl,
+        floor(o_totalprice / 1000) / 100.0 AS gas_produced_mmscf,
+        CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS hse_events FROM orders""",
+    "equipment_health": f"""SELECT 'EH-' || CAST(event_id AS VARCHAR) AS health_id, 'EQ-' || CAST(user_id % 30 AS VARCHAR) AS equipment_id,
+        ts AS snapshot_ts, floor((value % 60 + 40) * 10 + 0.5) / 10 AS overall_health_score,
+        CASE WHEN {K} % 3 = 0 THEN NULL ELSE 'FC-00' || CAST({K} % 5 + 1 AS VARCHAR) END AS fault_code FROM events""",
 }
 
 # which bindings read other bindings (derived inputs)

@@ -606,3 +606,65 @@ def test_run_responses(t: Tables) -> DataFrame:
         value.alias("value"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"),
     )
+
+
+# ---- oil-field operations: work orders, calibrations, daily reports, equipment health -------------
+
+FIELD_RIGS, FIELD_EQUIPMENT = 6, 30  # rig ids RIG-0..5 and equipment ids EQ-0..29 of the binding
+# Calibration types as the reference lists them (picked by order key mod 5).
+CAL_TYPES = ("Initial", "Periodic", "Post_Repair", "Pre_Deployment", "Annual")
+
+
+def field_work_orders(t: Tables) -> DataFrame:
+    o = t.orders
+    pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
+    return o.select(
+        F.concat(F.lit("WO-"), s("o_orderkey")).alias("work_order_id"),
+        F.concat(F.lit("RIG-"), s(F.col("o_custkey") % FIELD_RIGS)).alias("rig_id"),
+        F.concat(F.lit("EQ-"), s(F.col("o_custkey") % FIELD_EQUIPMENT)).alias("equipment_id"),
+        F.when(pr == "1-URGENT", F.lit("P1")).when(pr == "2-HIGH", F.lit("P2")).otherwise(F.lit("P3")).alias("priority"),
+        F.when(st == "F", F.lit("closed")).when(st == "O", F.lit("open")).otherwise(F.lit("in_progress")).alias("status"),
+        F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 30 + 14).cast("int")).alias("due_date"),
+        (F.col("o_orderkey") % 40 + 1).cast("int").alias("estimated_hours"),
+        F.to_date("o_orderdate").alias("created_date"),
+    )
+
+
+def calibration_records(t: Tables) -> DataFrame:
+    o = t.orders
+    st = F.col("o_orderstatus")
+    return o.select(
+        F.concat(F.lit("CAL-"), s("o_orderkey")).alias("cal_id"),
+        F.concat(F.lit("EQ-"), s(F.col("o_custkey") % FIELD_EQUIPMENT)).alias("equipment_id"),
+        F.to_date("o_orderdate").alias("cal_date"),
+        F.element_at(F.array(*[F.lit(c) for c in CAL_TYPES]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("cal_type"),
+        F.when(st == "F", F.lit("Pass")).when(st == "O", F.lit("Pass_With_Adjustment")).otherwise(F.lit("Fail")).alias("cal_result"),
+    )
+
+
+def daily_reports(t: Tables) -> DataFrame:
+    o = t.orders
+    return o.select(
+        F.concat(F.lit("RPT-"), s("o_orderkey")).alias("report_id"),
+        F.concat(F.lit("RIG-"), s(F.col("o_custkey") % FIELD_RIGS)).alias("rig_id"),
+        F.to_date("o_orderdate").alias("report_date"),
+        F.when(F.col("o_orderstatus") == "P", (F.col("o_orderkey") % 7) * 0.5).otherwise(F.lit(0.0)).alias("npdt_hours"),
+        (F.col("o_orderkey") % 3).cast("int").alias("wells_tested"),
+        (F.floor("o_totalprice") / 100.0).alias("oil_produced_bbl"),
+        (F.floor(F.col("o_totalprice") / 1000) / 100.0).alias("gas_produced_mmscf"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(1)).otherwise(F.lit(0)).alias("hse_events"),
+    )
+
+
+def equipment_health(t: Tables) -> DataFrame:
+    """Health snapshots from events; the raw fault code is set for two thirds of the snapshots
+    whatever the score, so the < 70 validation has work to do."""
+    e = t.events
+    k = props_k()
+    return e.select(
+        F.concat(F.lit("EH-"), s("event_id")).alias("health_id"),
+        F.concat(F.lit("EQ-"), s(F.col("user_id") % FIELD_EQUIPMENT)).alias("equipment_id"),
+        F.col("ts").alias("snapshot_ts"),
+        (F.floor((F.col("value") % 60 + 40) * 10 + 0.5) / 10).alias("overall_health_score"),
+        F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("FC-00"), s(k % 5 + 1))).alias("fault_code"),
+    )
