@@ -316,3 +316,59 @@ def run_completion(results: DataFrame) -> DataFrame:
         (F.col("_bv") == 0).alias("run_passed"),
         (F.col("_ba") == 0).alias("run_passed_all_mandatory"),
     )
+
+
+# ---- J17 latest overlay ------------------------------------------------------------------------
+
+OVERRIDE_RESULTS = ("PASS", "FAIL")  # fixed values: the result overrides the enhancement form accepts
+
+
+def latest_overlay(readings: DataFrame, enhancements: DataFrame) -> DataFrame:
+    """Each reading with its newest enhancement (created_at, then id) and the effective result,
+    i.e. the enhancement's ``override_values.result`` when it is PASS / FAIL, else the machine's.
+
+    The newest enhancement per reading is a ``max_by(struct)`` hash aggregate: partial per map
+    task, so a reading enhanced a million times never sits in one task; the left join then
+    carries at most one enhancement row per reading."""
+    latest = enhancements.groupBy("bronze_reading_id").agg(
+        F.max_by(F.struct("id", "technician_id", "override_values", "confidence_in_data", "created_at"),
+                 F.struct("created_at", "id")).alias("e"),
+        F.count(F.lit(1)).alias("enhancements"),
+    )
+    j = readings.join(latest, readings.reading_id == latest.bronze_reading_id, "left")
+    ov = F.from_json(F.col("e.override_values"), "map<string,string>")["result"]
+    ov = F.when(ov.isin(*OVERRIDE_RESULTS), ov)
+    return j.select(
+        "reading_id", "machine_id", "recorded_at", "result_raw",
+        F.col("e.id").alias("enhancement_id"), F.col("e.technician_id").alias("technician_id"),
+        F.col("e.confidence_in_data").alias("confidence_in_data"),
+        F.coalesce(F.col("enhancements"), F.lit(0)).alias("enhancements"),
+        ov.alias("override_result"),
+        F.coalesce(ov, F.col("result_raw")).alias("effective_result"),
+    )
+
+
+def failed_records(pf: DataFrame, limit: int = 500) -> DataFrame:
+    """The record list with only failing records (a filter after the aggregate, i.e. HAVING),
+    newest inspection first; the page limit (at most 500) is the feature of the listing."""
+    return pf.filter(F.col("has_fail")).orderBy(F.desc("inspection_date"), F.desc("id")).limit(min(limit, 500))
+
+
+def readings_page(readings: DataFrame, n: int = 50, offset: int = 0, before=None) -> DataFrame:
+    """One page of readings, newest first (reading id breaks ties). OFFSET pages plan as one
+    top-(offset + n) per task; ``before`` = (recorded_at, reading_id) of the last row seen gives the
+    keyset variant, whose cost does not grow with the page number."""
+    df = readings
+    if before is not None:
+        ts, rid = before
+        t = F.lit(ts).cast("timestamp")
+        df = df.filter((F.col("recorded_at") < t) | ((F.col("recorded_at") == t) & (F.col("reading_id") < F.lit(rid))))
+    ordered = df.orderBy(F.desc("recorded_at"), F.desc("reading_id"))
+    return (ordered.offset(offset) if offset and before is None else ordered).limit(n)
+
+
+def recent_across(readings: DataFrame, n: int = 60) -> DataFrame:
+    """The newest ``n`` readings over all machines. The reference takes the top n per machine,
+    concatenates and re-sorts; a global sort + limit is the same result, and Spark already plans
+    it as a top-n per task followed by one small merge (TakeOrderedAndProject)."""
+    return readings.orderBy(F.desc("recorded_at"), F.desc("reading_id")).limit(n)

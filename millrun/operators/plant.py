@@ -588,3 +588,14 @@ def loss_contribution(events: DataFrame) -> DataFrame:
 def oee_band(oee: DataFrame, green: float = 88.0, yellow: float = 80.0) -> DataFrame:
     """Green / yellow / red band of the plant OEE per shift."""
     return oee.select("shift_id", "plant_oee", P.kpi_band("plant_oee", green, yellow).alias("band"))
+
+
+def oee_latest_pct(latest: DataFrame, sep: str = " — ") -> DataFrame:
+    """Dashboard form of the latest OEE row: ``facility — machine`` axis label and the four
+    factors as percentages (x 100, 1 dp, half-up)."""
+    pct = lambda c: P.round_half_up(F.col(c) * 100, 1).alias(f"{c}_pct")
+    return latest.select(
+        "facility", "machine_center", "production_date",
+        F.concat(F.col("facility"), F.lit(sep), F.col("machine_center")).alias("label"),
+        pct("availability"), pct("performance"), pct("quality"), pct("oee"),
+    )

@@ -273,3 +273,48 @@ def q_test_run_completion(t):
     """A42 per run: data / passed steps, sections passed, run pass (visible mandatory; Q16 fixed) and the
     faithful all-mandatory form beside the stored status (Q15)."""
     return L.run_completion(_steps(t))
+
+
+# ---- J17 overlay, A58 failed records, S4 page, S5 recent across machines ---------------------------
+@query(
+    "reading_overlay",
+    W(["pressure_readings", "reading_enhancements"], [],
+      """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bronze_reading_id ORDER BY created_at DESC, id DESC) AS rn,
+                                         count(*) OVER (PARTITION BY bronze_reading_id) AS n FROM reading_enhancements) x WHERE rn = 1),
+            j AS (SELECT r.*, l.id AS enhancement_id, l.technician_id, l.confidence_in_data, l.n,
+                         json_extract_string(l.override_values, '$.result') AS ov
+                  FROM pressure_readings r LEFT JOIN l ON l.bronze_reading_id = r.reading_id)
+         SELECT reading_id, machine_id, recorded_at, result_raw, enhancement_id, technician_id, confidence_in_data,
+                coalesce(n, 0) AS enhancements, CASE WHEN ov IN ('PASS', 'FAIL') THEN ov END AS override_result,
+                coalesce(CASE WHEN ov IN ('PASS', 'FAIL') THEN ov END, result_raw) AS effective_result FROM j"""),
+)
+def q_reading_overlay(t):
+    """Readings with their newest enhancement and the overridden (effective) result."""
+    return L.latest_overlay(B.pressure_readings(t), B.reading_enhancements(t))
+
+
+@query(
+    "failed_inspection_records",
+    W(INSP, [("pf", SQL_PF)], "SELECT * FROM pf WHERE has_fail ORDER BY inspection_date DESC, id DESC LIMIT 500"),
+)
+def q_failed_inspection_records(t):
+    """Failing records only (HAVING after the grouped pass/fail), newest first, page of 500."""
+    return L.failed_records(_pf(t), 500)
+
+
+@query(
+    "readings_page",
+    W(["pressure_readings"], [], "SELECT * FROM pressure_readings ORDER BY recorded_at DESC, reading_id DESC LIMIT 50 OFFSET 50"),
+)
+def q_readings_page(t):
+    """The second page (50 rows) of readings, newest first."""
+    return L.readings_page(B.pressure_readings(t), 50, 50)
+
+
+@query(
+    "recent_readings",
+    W(["pressure_readings"], [], "SELECT * FROM pressure_readings ORDER BY recorded_at DESC, reading_id DESC LIMIT 60"),
+)
+def q_recent_readings(t):
+    """The newest 60 readings over all machines (per-machine top-n + merge = one TakeOrdered)."""
+    return L.recent_across(B.pressure_readings(t), 60)

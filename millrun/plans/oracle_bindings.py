@@ -224,6 +224,12 @@ BINDINGS: dict[str, str] = {
     "equipment_health": f"""SELECT 'EH-' || CAST(event_id AS VARCHAR) AS health_id, 'EQ-' || CAST(user_id % 30 AS VARCHAR) AS equipment_id,
         ts AS snapshot_ts, floor((value % 60 + 40) * 10 + 0.5) / 10 AS overall_health_score,
         CASE WHEN {K} % 3 = 0 THEN NULL ELSE 'FC-00' || CAST({K} % 5 + 1 AS VARCHAR) END AS fault_code FROM events""",
+    "reading_enhancements": f"""SELECT event_id * 10 + j AS id, event_id AS bronze_reading_id, 'M-' || CAST(user_id % 18 AS VARCHAR) AS machine_id,
+        CAST((k + j) % 11 AS INTEGER) AS technician_id,
+        CASE (k + j) % 3 WHEN 0 THEN '{{"result": "PASS"}}' WHEN 1 THEN '{{"result": "FAIL"}}' ELSE '{{}}' END AS override_values,
+        CAST((k + j) % 5 + 1 AS INTEGER) AS confidence_in_data, ts + to_seconds(CAST((j + 1) * 1800 AS BIGINT)) AS created_at
+        FROM (SELECT event_id, user_id, ts, {K} AS k FROM events WHERE {K} % 4 = 0) e,
+             LATERAL (SELECT unnest(range(0, k % 3 + 1)) AS j) r""",
 }
 
 # which bindings read other bindings (derived inputs)

@@ -668,3 +668,23 @@ def equipment_health(t: Tables) -> DataFrame:
         (F.floor((F.col("value") % 60 + 40) * 10 + 0.5) / 10).alias("overall_health_score"),
         F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("FC-00"), s(k % 5 + 1))).alias("fault_code"),
     )
+
+
+def reading_enhancements(t: Tables) -> DataFrame:
+    """Manual overlays on readings: every fourth reading (by k) gets 1-3 enhancements 30 minutes
+    apart; the override is PASS, FAIL or none in turn, so the newest one decides."""
+    e = t.events
+    k = props_k()
+    x = e.filter(k % 4 == 0).select(
+        "event_id", "user_id", "ts", k.alias("k"), F.explode(F.sequence(F.lit(0), k % 3)).alias("j"))
+    m = (F.col("k") + F.col("j")) % 3
+    return x.select(
+        (F.col("event_id") * 10 + F.col("j")).alias("id"),
+        F.col("event_id").alias("bronze_reading_id"),
+        machine_of(F.col("user_id") % N_MACHINES).alias("machine_id"),
+        ((F.col("k") + F.col("j")) % 11).cast("int").alias("technician_id"),
+        F.when(m == 0, F.lit('{"result": "PASS"}')).when(m == 1, F.lit('{"result": "FAIL"}')).otherwise(F.lit("{}"))
+        .alias("override_values"),
+        ((F.col("k") + F.col("j")) % 5 + 1).cast("int").alias("confidence_in_data"),
+        (F.col("ts") + F.make_interval(mins=((F.col("j") + 1) * 30).cast("int"))).alias("created_at"),
+    )
