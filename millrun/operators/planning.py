@@ -132,6 +132,47 @@ def plan_risk(plan: DataFrame, network: DataFrame) -> DataFrame:
     )
 
 
+def rebalance_pairs(network: DataFrame, freight_rate: float = 0.05) -> DataFrame:
+    """Branch-to-branch transfer pairs per SKU, from branches above safety stock to branches
+    below it, with freight cost = qty x unit cost x ``freight_rate`` (our parameter; the reference
+    shows literal rows only).
+
+    Excess and shortfall are laid out on two number lines per SKU (branches in id order); pair
+    (i, j) moves the overlap of excess interval i and need interval j, capped at min(total excess,
+    total need). The pairs come from merging the interval start points in one window per SKU and
+    forward-filling the current source and target: at most (#sources + #targets - 1) pairs and
+    never a source x target product. The (sku, branch) pre-aggregate bounds every window
+    partition by the branch count, however many raw rows a hot SKU has."""
+    g = network.groupBy("sku", "branch_id").agg(
+        F.sum(F.coalesce(F.col("available_stock").cast("bigint"), F.lit(0))).alias("stock"),
+        F.sum(F.coalesce(F.col("safety_stock").cast("bigint"), F.lit(0))).alias("safety"),
+        F.min("unit_cost").alias("cost"),
+    )
+    g = g.withColumn("excess", F.greatest(F.col("stock") - F.col("safety"), F.lit(0))).withColumn(
+        "need", F.greatest(F.col("safety") - F.col("stock"), F.lit(0)))
+    sku_w = Window.partitionBy("sku")
+    run = sku_w.orderBy("branch_id").rowsBetween(Window.unboundedPreceding, 0)
+    g = (g.withColumn("e_end", F.sum("excess").over(run)).withColumn("n_end", F.sum("need").over(run))
+         .withColumn("cap", F.least(F.sum("excess").over(sku_w), F.sum("need").over(sku_w)))
+         .withColumn("sku_cost", F.min_by("cost", "branch_id").over(sku_w)))
+    src = g.filter(F.col("excess") > 0).select(
+        "sku", "cap", "sku_cost", (F.col("e_end") - F.col("excess")).alias("pos"), F.lit(0).alias("kind"),
+        F.col("branch_id").alias("from_branch"), F.lit(None).cast("string").alias("to_branch"))
+    dst = g.filter(F.col("need") > 0).select(
+        "sku", "cap", "sku_cost", (F.col("n_end") - F.col("need")).alias("pos"), F.lit(1).alias("kind"),
+        F.lit(None).cast("string").alias("from_branch"), F.col("branch_id").alias("to_branch"))
+    pts = src.unionByName(dst).filter(F.col("pos") < F.col("cap"))
+    order = sku_w.orderBy("pos", "kind")
+    fill = order.rowsBetween(Window.unboundedPreceding, 0)
+    pts = (pts.withColumn("f", F.last("from_branch", ignorenulls=True).over(fill))
+           .withColumn("t", F.last("to_branch", ignorenulls=True).over(fill))
+           .withColumn("end", F.coalesce(F.lead("pos").over(order), F.col("cap"))))
+    seg = pts.filter(F.col("f").isNotNull() & F.col("t").isNotNull() & (F.col("end") > F.col("pos")))
+    return seg.select(
+        "sku", F.col("f").alias("from_branch"), F.col("t").alias("to_branch"), (F.col("end") - F.col("pos")).alias("qty"),
+        P.round_half_up((F.col("end") - F.col("pos")) * F.col("sku_cost") * freight_rate, 2).alias("freight_cost"))
+
+
 # ---- forecasting (P22-P24, F1, F4, W7, W16) -----------------------------------------------------
 
 

@@ -259,3 +259,24 @@ def q_days_of_supply(t):
 def q_order_automation(t):
     """A43."""
     return PL.order_automation(B.vbak(t))
+
+
+@query(
+    "stock_rebalance_pairs",
+    W(["stock_network"], [],
+      f"""WITH g AS (SELECT sku, branch_id, sum(coalesce(CAST(available_stock AS BIGINT), 0)) AS stock,
+                          sum(coalesce(CAST(safety_stock AS BIGINT), 0)) AS safety, min(unit_cost) AS cost
+                   FROM stock_network GROUP BY 1, 2),
+            h AS (SELECT *, greatest(stock - safety, 0) AS excess, greatest(safety - stock, 0) AS need FROM g),
+            c AS (SELECT *, sum(excess) OVER (PARTITION BY sku ORDER BY branch_id) AS e_end,
+                            sum(need) OVER (PARTITION BY sku ORDER BY branch_id) AS n_end,
+                            least(sum(excess) OVER (PARTITION BY sku), sum(need) OVER (PARTITION BY sku)) AS cap,
+                            arg_min(cost, branch_id) OVER (PARTITION BY sku) AS sku_cost FROM h),
+            p AS (SELECT e.sku, e.branch_id AS from_branch, n.branch_id AS to_branch, e.sku_cost,
+                         least(e.e_end, n.n_end, e.cap) - greatest(e.e_end - e.excess, n.n_end - n.need) AS qty
+                  FROM c e JOIN c n ON e.sku = n.sku AND e.excess > 0 AND n.need > 0)
+        SELECT sku, from_branch, to_branch, qty, {RH("qty * sku_cost * 0.05", 2)} AS freight_cost FROM p WHERE qty > 0"""),
+)
+def q_stock_rebalance_pairs(t):
+    """Excess -> short branch transfer pairs per SKU with freight cost (interval merge, no all-pairs)."""
+    return PL.rebalance_pairs(B.stock_network(t))

@@ -239,3 +239,20 @@ def test_cascade_special_cases(spark):
     k = {x["outage_id"]: x for x in rows(R.impact_kpis(R.cascade_raw(out, route)))}
     assert k["o1"]["units_lost"] == 120 and k["o1"]["revenue_impact"] == 120 * 1200.0  # source value, not the starved one
     assert k["o3"]["units_lost"] == round(0.82 * (38 + 28 + 11)) and k["o3"]["delivery_risk"] == "LOW"
+
+
+def test_rebalance_pairs_properties(spark):
+    """Outflow <= excess, inflow <= need, total moved = min(total excess, total need), pairs
+    <= sources + targets - 1; equal start points and duplicate (sku, branch) rows."""
+    net = spark.createDataFrame([
+        ("S1", "B0", 50, 10, 2.0), ("S1", "B1", 0, 30, 2.0), ("S1", "B2", 5, 25, 2.0), ("S1", "B3", 40, 10, 2.0),
+        ("S1", "B3", 0, 0, 2.0),  # duplicate row of B3 is summed
+        ("S2", "B0", 0, 10, 1.0), ("S2", "B1", 100, 0, 1.0),  # need before excess in branch order
+        ("S3", "B0", 5, 10, 1.0),  # need only: no pairs
+    ], "sku string, branch_id string, available_stock int, safety_stock int, unit_cost double")
+    p = rows(planning.rebalance_pairs(net), ["sku", "from_branch", "to_branch"])
+    s1 = [(r["from_branch"], r["to_branch"], r["qty"]) for r in p if r["sku"] == "S1"]
+    assert s1 == [("B0", "B1", 30), ("B0", "B2", 10), ("B3", "B2", 10)]  # excess 40 + 30, need 30 + 20
+    assert [(r["from_branch"], r["to_branch"], r["qty"]) for r in p if r["sku"] == "S2"] == [("B1", "B0", 10)]
+    assert not [r for r in p if r["sku"] == "S3"]
+    assert p[0]["freight_cost"] == 3.0
