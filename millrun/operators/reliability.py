@@ -220,3 +220,37 @@ def impact_kpis(casc: DataFrame) -> DataFrame:
 
 
 _ = Column
+
+
+# ---- C4: rework routing cost --------------------------------------------------------------------
+
+# The reference's routing per disposition (station, minutes), in routing order.
+REWORK_ROUTES = {
+    "SCRAP": (("E-Coat Strip & Clean", 45), ("Phosphate Pre-Treatment", 30), ("E-Coat Re-dip", 60),
+              ("Base Coat", 25), ("Clear Coat", 20), ("Final Inspection", 15)),
+    "REWORK": (("Localised Strip & Feather", 20), ("Spot Phosphate Treatment", 15), ("Spot E-Coat Touch-Up", 35),
+               ("Base Coat Blend", 20), ("Clear Coat Blend", 18), ("Final Inspection", 10)),
+}
+
+
+def routing_table(spark: SparkSession) -> DataFrame:
+    rows = [(d, i + 1, st, m) for d, route in REWORK_ROUTES.items() for i, (st, m) in enumerate(route)]
+    return spark.createDataFrame(rows, "decision string, seq int, station string, minutes int")
+
+
+def rework_routing_cost(decisions: DataFrame) -> DataFrame:
+    """C4 per decision x station: images routed, station minutes per image and in total. Images are
+    counted per decision first (map-side partial count), so the fixed 12-row routing is joined to
+    at most one row per decision instead of being exploded per image."""
+    counts = decisions.filter(F.col("decision").isNotNull()).groupBy("decision").agg(F.count(F.lit(1)).alias("images"))
+    route = F.broadcast(routing_table(decisions.sparkSession))  # fixed 12 rows
+    return counts.join(route, "decision").select(
+        "decision", "seq", "station", "minutes", "images", (F.col("images") * F.col("minutes")).alias("total_minutes"))
+
+
+def rework_cost_by_decision(decisions: DataFrame) -> DataFrame:
+    """C4 per decision: images, routing minutes per image (sum over stations) and total minutes."""
+    per = rework_routing_cost(decisions)
+    return per.groupBy("decision", "images").agg(
+        F.count(F.lit(1)).alias("stations"), F.sum("minutes").alias("minutes_per_image"),
+        F.sum("total_minutes").alias("total_minutes"))

@@ -230,6 +230,9 @@ BINDINGS: dict[str, str] = {
         CAST((k + j) % 5 + 1 AS INTEGER) AS confidence_in_data, ts + to_seconds(CAST((j + 1) * 1800 AS BIGINT)) AS created_at
         FROM (SELECT event_id, user_id, ts, {K} AS k FROM events WHERE {K} % 4 = 0) e,
              LATERAL (SELECT unnest(range(0, k % 3 + 1)) AS j) r""",
+    "inspection_decisions": """SELECT vec_id AS image_id, label % 2 = 1 AS defective,
+        CASE WHEN label % 2 = 0 THEN NULL WHEN label % 4 = 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+        CASE WHEN label % 2 = 0 THEN NULL WHEN label % 4 = 3 THEN 'SCRAP' ELSE 'REWORK' END AS decision FROM embeddings""",
 }
 
 # which bindings read other bindings (derived inputs)

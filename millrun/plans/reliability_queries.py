@@ -270,3 +270,28 @@ def q_action_generation(t):
 
 
 _ = (L,)
+
+
+# ---- C4 rework routing cost ------------------------------------------------------------------------
+_RR = "(VALUES " + ", ".join(
+    f"('{d}', {i + 1}, '{st}', {m})" for d, route in R.REWORK_ROUTES.items() for i, (st, m) in enumerate(route)
+) + ") r(decision, seq, station, minutes)"
+SQL_REWORK = f"""SELECT r.decision, r.seq, r.station, r.minutes, count(*) AS images, CAST(count(*) * r.minutes AS BIGINT) AS total_minutes
+    FROM inspection_decisions d JOIN {_RR} ON r.decision = d.decision GROUP BY r.decision, r.seq, r.station, r.minutes"""
+
+
+@query("rework_routing_cost", W(["inspection_decisions"], [], SQL_REWORK))
+def q_rework_routing_cost(t):
+    """C4: station minutes per disposition (scrap / rework) over the defective inspection images."""
+    return R.rework_routing_cost(B.inspection_decisions(t))
+
+
+@query(
+    "rework_cost_by_decision",
+    W(["inspection_decisions"], [("rr", SQL_REWORK)],
+      """SELECT decision, images, count(*) AS stations, sum(minutes) AS minutes_per_image, sum(total_minutes) AS total_minutes
+         FROM rr GROUP BY decision, images"""),
+)
+def q_rework_cost_by_decision(t):
+    """C4: routing minutes per image and in total for each disposition."""
+    return R.rework_cost_by_decision(B.inspection_decisions(t))

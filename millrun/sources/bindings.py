@@ -688,3 +688,17 @@ def reading_enhancements(t: Tables) -> DataFrame:
         ((F.col("k") + F.col("j")) % 5 + 1).cast("int").alias("confidence_in_data"),
         (F.col("ts") + F.make_interval(mins=((F.col("j") + 1) * 30).cast("int"))).alias("created_at"),
     )
+
+
+def inspection_decisions(t: Tables) -> DataFrame:
+    """Vision inspection outcome per image: odd labels are defective; label mod 4 = 3 is HIGH
+    severity (scrap), the other defects MEDIUM (rework)."""
+    e = t.embeddings
+    lab = F.col("label")
+    sev = F.when(lab % 2 == 0, F.lit(None).cast("string")).when(lab % 4 == 3, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
+    return e.select(
+        F.col("vec_id").alias("image_id"),
+        (lab % 2 == 1).alias("defective"),
+        sev.alias("severity"),
+        F.when(sev == "HIGH", F.lit("SCRAP")).when(sev == "MEDIUM", F.lit("REWORK")).alias("decision"),
+    )
