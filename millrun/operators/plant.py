@@ -122,7 +122,8 @@ def state_events_silver(raw: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def alarms_silver(raw: DataFrame, master: DataFrame, as_of: str) -> DataFrame:
-    """J4 + P10 + P14 + P15."""
+    """J4 + P10 + P14 + P15. The alarms of one machine (J18) are this frame joined to or filtered by
+    the machine key."""
     a = raw.filter(F.col("alarm_id").isNotNull() & F.col("machine_id").isNotNull() & F.col("triggered_ts").isNotNull())
     m = master.select("machine_id", "line", "line_name", "product", F.col("name").alias("machine_name"))
     secs = F.unix_timestamp(_ts(as_of)) - F.unix_timestamp("triggered_ts")
@@ -280,7 +281,7 @@ def oee_by_shift(telemetry: DataFrame, master: DataFrame, last_n: int = 14) -> D
     """A10 + A11 + S2: average OEE (> 0) per shift x line plus the plant ("ALL") in one pass.
 
     GROUPING SETS over a *left* join replaces the reference's UNION ALL of an inner-joined line
-    level and a plant level (Q17: an unlisted machine counts in the plant figure only, so the
+    level (J5) and a plant level (Q17: an unlisted machine counts in the plant figure only, so the
     line-level grouping drops its NULL line). The shift date comes from the id prefix (Q1 fix).
     """
     t = telemetry.filter(F.col("oee_pct") > 0).join(master.select("machine_id", "line"), "machine_id", "left")

@@ -1,14 +1,15 @@
-"""Text, matching and retrieval.
+"""Text, matching and retrieval.
 
 * Chunking is a per-row ``split`` / ``sequence`` / ``posexplode``: whole texts, no shuffle.
 * Vector top-k scores a bounded, size-checked query set against the whole corpus and keeps the
-  top k per query with ``row_number() <= k``, which Spark plans as a WindowGroupLimit: each
+  top k per query (S8) with ``row_number() <= k``, which Spark plans as a WindowGroupLimit: each
   map task keeps k rows per query before the shuffle, so no query gathers the corpus.
 * Fuzzy matching never forms all pairs. A pair can reach the MEDIUM tier only when its
   trigram cosine is at least 0.4, and two sets with cosine >= t share a token within their
   first |X| - ceil(t^2 |X|) + 1 rarest tokens (prefix filtering). Candidates come from an
   equi-join on those prefix tokens, which is exact for every non-LOW pair; LOW pairs are
-  counted, not listed (their number is the pair total minus the rest).
+  counted, not listed (their number is the pair total minus the rest). This replaces the
+  reference's ``a.id < b.id`` theta self-join (J11) over the distinct trimmed names (U2).
 * Keyword ranking embeds the small fixed knowledge base as a literal array, so scoring is a
   per-row expression with no join.
 """
