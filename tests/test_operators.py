@@ -256,3 +256,42 @@ def test_rebalance_pairs_properties(spark):
     assert [(r["from_branch"], r["to_branch"], r["qty"]) for r in p if r["sku"] == "S2"] == [("B1", "B0", 10)]
     assert not [r for r in p if r["sku"] == "S3"]
     assert p[0]["freight_cost"] == 3.0
+
+
+def test_calibration_due_and_health_faults(spark):
+    """Annual +365, Periodic +90, other +180; overdue vs as_of. P42: code kept only below 70."""
+    from millrun.operators import field
+
+    d = dt.date(2001, 1, 1)
+    cals = spark.createDataFrame([("c1", "e", d, "Annual", "Pass"), ("c2", "e", d, "Periodic", "Pass"), ("c3", "e", d, "Initial", "Fail")],
+                                 "cal_id string, equipment_id string, cal_date date, cal_type string, cal_result string")
+    r = {x["cal_id"]: x for x in rows(field.calibration_due(cals, "2001-06-01"))}
+    assert r["c1"]["next_due_date"] == dt.date(2002, 1, 1) and r["c1"]["overdue"] is False
+    assert r["c2"]["next_due_date"] == dt.date(2001, 4, 1) and r["c2"]["overdue"] is True and r["c2"]["days_to_due"] == -61
+    assert r["c3"]["next_due_date"] == dt.date(2001, 6, 30)
+    ts = dt.datetime(2024, 1, 1)
+    h = spark.createDataFrame([("h1", "e", ts, 69.9, "FC-001"), ("h2", "e", ts, 70.0, "FC-002"), ("h3", "e", ts, 50.0, None)],
+                              "health_id string, equipment_id string, snapshot_ts timestamp, overall_health_score double, fault_code string")
+    f = {x["health_id"]: x for x in rows(field.health_faults(h))}
+    assert f["h1"]["fault_code"] == "FC-001" and f["h1"]["fault_description"] == "High bearing temperature"
+    assert f["h2"]["fault_code"] is None and f["h2"]["code_valid"] is False  # score exactly 70 is not below 70
+    assert f["h3"]["code_valid"] is True and f["h3"]["fault_description"] is None
+
+
+def test_latest_overlay_and_pages(spark):
+    """The newest enhancement wins; an override other than PASS / FAIL is ignored; no
+    enhancement keeps the machine result. S4/S5: pages and recent rows are newest first."""
+    t0 = dt.datetime(2024, 1, 1)
+    rd = spark.createDataFrame([(1, "M-1", t0, "FAIL"), (2, "M-1", t0 + dt.timedelta(hours=1), "PASS"), (3, "M-2", t0, "FAIL")],
+                               "reading_id bigint, machine_id string, recorded_at timestamp, result_raw string")
+    en = spark.createDataFrame([
+        (10, 1, "M-1", 1, '{"result": "FAIL"}', 3, t0), (11, 1, "M-1", 1, '{"result": "PASS"}', 3, t0 + dt.timedelta(minutes=5)),
+        (20, 2, "M-1", 1, '{"result": "MAYBE"}', 3, t0),
+    ], "id bigint, bronze_reading_id bigint, machine_id string, technician_id int, override_values string, confidence_in_data int, created_at timestamp")
+    r = {x["reading_id"]: x for x in rows(lab.latest_overlay(rd, en))}
+    assert r[1]["enhancement_id"] == 11 and r[1]["effective_result"] == "PASS" and r[1]["enhancements"] == 2
+    assert r[2]["override_result"] is None and r[2]["effective_result"] == "PASS"
+    assert r[3]["enhancement_id"] is None and r[3]["enhancements"] == 0 and r[3]["effective_result"] == "FAIL"
+    assert [x["reading_id"] for x in lab.readings_page(rd, 2, 1).collect()] == [3, 1]  # ties on time: id desc
+    assert [x["reading_id"] for x in lab.readings_page(rd, 5, before=(t0 + dt.timedelta(hours=1), 2)).collect()] == [3, 1]
+    assert [x["reading_id"] for x in lab.recent_across(rd, 1).collect()] == [2]
