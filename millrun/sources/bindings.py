@@ -375,11 +375,17 @@ def stock_network(t: Tables) -> DataFrame:
         F.broadcast(t.nation.select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey")
     )  # nation is a fixed 25-row table
     q = F.col("l_quantity").cast("int")
-    g = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy(
+    # line items are summed per (part, supplier) first (partial aggregate per map task), so the
+    # supplier join carries one row per pair instead of one per line item
+    pre = li.groupBy("l_partkey", "l_suppkey").agg(
+        F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0)).alias("avail"),
+        F.sum(q).alias("qty"),
+    )
+    g = pre.join(sup, F.col("l_suppkey") == F.col("s_suppkey"), "left").groupBy(
         "l_partkey", (F.col("l_suppkey") % 6).alias("branch")
     ).agg(
-        F.sum(F.when(F.col("l_returnflag") == "N", q).otherwise(0)).cast("int").alias("available_stock"),
-        F.floor(F.sum(q) / 2).cast("int").alias("safety_stock"),
+        F.sum("avail").cast("int").alias("available_stock"),
+        F.floor(F.sum("qty") / 2).cast("int").alias("safety_stock"),
         F.max("n_name").alias("primary_origin"),
     )
     g = g.join(t.part.select("p_partkey", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
