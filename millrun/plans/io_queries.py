@@ -191,3 +191,35 @@ def q_io_sheet_import(t):
     return records.join(n, "record_group").select(
         "record_group", F.col("record_id").cast("bigint").alias("record_id"), "product",
         F.when(F.col("machinist") == "", None).otherwise(F.col("machinist")).alias("machinist"), "inspection_date", "n_rows")
+
+
+# ---- IO5 partitioned write + partition-pruned read ------------------------------------------------
+def _io_folder(spark, name: str, sf_dir: str) -> str:
+    """A folder for written tables under the cluster's shared checkpoint folder (one per input set)."""
+    import os
+
+    from millrun.session import ensure_checkpoint_dir
+
+    tag = os.path.basename(os.path.normpath(sf_dir))
+    return os.path.join(ensure_checkpoint_dir(spark), "millrun-io", tag, name)
+
+
+@query(
+    "io_partitioned_roundtrip",
+    f"""SELECT 'TAG-' || CAST(user_id % 18 AS VARCHAR) AS tag, CAST(ts AS DATE) AS reading_date, count(*) AS readings,
+              count_if(value <= 100) AS good_readings
+       FROM events WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '{B.AS_OF_EVENTS}' AS DATE) - 7 GROUP BY 1, 2""",
+)
+def q_io_partitioned_roundtrip(t):
+    """IO5: SCADA readings written partitioned by day (dynamic partition overwrite, so a rerun
+    replaces only the days it writes), read back with a last-7-days filter that prunes partitions
+    at the scan, then counted per tag x day."""
+    readings = t.events.select(
+        F.concat(F.lit("TAG-"), (F.col("user_id") % 18).cast("string")).alias("tag"),
+        F.to_date("ts").alias("reading_date"), "value")
+    path = _io_folder(t.spark, "scada_readings", t.sf_dir)
+    IO.write_table(readings, path, mode="overwrite", by=("reading_date",))
+    start = F.date_sub(F.lit(B.AS_OF_EVENTS).cast("timestamp").cast("date"), 7)
+    back = t.spark.read.parquet(path).filter(F.col("reading_date") >= start)
+    return back.groupBy("tag", "reading_date").agg(
+        F.count(F.lit(1)).alias("readings"), F.count_if(F.col("value") <= 100).alias("good_readings"))
