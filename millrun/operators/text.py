@@ -262,3 +262,47 @@ def conversation_text(conv: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("text")
     )
 
+
+
+# ---- T2 as a Python UDTF (the UDF surface of SURVEY §2.12; the built-in form above is the default) ----
+
+# The whitespace class of the built-in chunker's regular expression (Java ``\s``).
+_WS = "[ \t\n\x0b\f\r]+"
+
+
+def _chunk_udtf():
+    import hashlib
+    import re
+
+    from pyspark.sql.functions import udtf
+
+    ws = re.compile(_WS)
+
+    @udtf(returnType="chunk_id: string, source: string, chunk_index: int, content: string")
+    class ChunkWords:
+        """One row per word window of one document (per-row helper; Spark partitions the documents)."""
+
+        def eval(self, source, text, size: int, step: int):
+            if source is None or text is None:
+                return
+            words = ws.sub(" ", text).strip(" ")
+            if not words:
+                return
+            w = words.split(" ")
+            for i, start in enumerate(range(0, len(w), step)):
+                yield (hashlib.md5(f"{source}:{i}".encode()).hexdigest(), source, i, " ".join(w[start:start + size]))
+
+    return ChunkWords
+
+
+def chunk_documents_udtf(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE,
+                         overlap: int = CHUNK_OVERLAP, view: str = "millrun_chunk_docs") -> DataFrame:
+    """T2 through a Python UDTF applied laterally to every document; same rows as ``chunk_documents``.
+    Kept as the table-function form of the chunker; the built-in expression form stays the default
+    (no Python worker, whole-stage codegen)."""
+    spark = docs.sparkSession
+    spark.udtf.register("millrun_chunk_words", _chunk_udtf())
+    docs.select(F.col(id_col).cast("string").alias("source"), F.col(text_col).alias("text")).createOrReplaceTempView(view)
+    return spark.sql(
+        f"SELECT c.chunk_id, c.source, c.chunk_index, c.content FROM {view} d, "
+        f"LATERAL millrun_chunk_words(d.source, d.text, {int(size)}, {int(size - overlap)}) c")

@@ -318,3 +318,12 @@ def test_widen_scan_bounds_and_pruning(spark, sf_dir):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     ref = plain.filter(F.col("l_quantity") > 10).select("l_orderkey", "l_quantity")
     assert sorted(map(tuple, q.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_chunk_udtf_matches_builtin(spark, sf_dir):
+    """T2 UDTF form gives exactly the built-in chunks over whole documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = text.chunk_documents(docs, "doc_id", "text")
+    b = text.chunk_documents_udtf(docs, "doc_id", "text")
+    assert a.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
