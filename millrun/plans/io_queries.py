@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrun.operators import lab as L
+from millrun.operators.ordinals import ordinal_within
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
 from millrun.sources import bindings as B
@@ -184,7 +184,7 @@ def q_io_sheet_import(t):
         F.col("machinist").alias(" Machinist "), F.col("inspection_date").cast("string").alias("Inspection Date"),
         "row_id", "piece_iqa",
     )
-    flat = flat.withColumn("row_idx", F.row_number().over(Window.partitionBy("Record Group").orderBy("row_id")))
+    flat = ordinal_within(flat, ["Record Group"], ["row_id"], "row_idx", base=1)
     records, irows = IO.sheet_import(flat, ["Record Id", "Product", "Machinist", "Inspection Date"], ["row_id", "piece_iqa"],
                                      date_cols=("Inspection Date",))
     n = irows.groupBy("record_group").agg(F.count(F.lit(1)).alias("n_rows"))

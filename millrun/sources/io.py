@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,10 +87,12 @@ def replace_children(target: DataFrame, source: DataFrame, parent: str) -> DataF
 
 def merge_full_sync(target: DataFrame, source: DataFrame, parent: str, key: str, order_col: str) -> DataFrame:
     """IO8: per parent in the source - update matched, insert new, delete missing children -
-    and renumber the children 0..n-1 by ``order_col`` (one parent's children per window)."""
+    and renumber the children 0..n-1 by ``order_col`` (skew-proof ordinals: a parent with millions
+    of children is numbered in slices, not in one task)."""
+    from millrun.operators.ordinals import ordinal_within
+
     merged = replace_children(target, source, parent)
-    w = Window.partitionBy(parent).orderBy(order_col, key)
-    return merged.withColumn("order_index", (F.row_number().over(w) - 1).cast("int"))
+    return ordinal_within(merged, [parent], [order_col, key], "order_index").select(*merged.columns, "order_index")
 
 
 def soft_delete(target: DataFrame, ids: DataFrame, key: str, flag: str = "is_active") -> DataFrame:
@@ -147,9 +149,10 @@ def sheet_import(flat: DataFrame, header_cols: list[str], row_cols: list[str], d
         trimmed = trimmed.withColumn(_canonical(c), parse_sheet_date(F.col(_canonical(c))))
     records = trimmed.groupBy("record_group").agg(F.min_by(F.struct(*header_cols), F.col("row_idx")).alias("h")).select(
         "record_group", *[F.col(f"h.{c}").alias(c) for c in header_cols])
-    w = Window.partitionBy("record_group").orderBy("row_idx")
-    rows = trimmed.select("record_group", "row_idx", *row_cols).withColumn("order_index", (F.row_number().over(w) - 1).cast("int"))
-    return records, rows
+    from millrun.operators.ordinals import ordinal_within
+
+    rows = ordinal_within(trimmed.select("record_group", "row_idx", *row_cols), ["record_group"], ["row_idx"], "order_index")
+    return records, rows.select("record_group", "row_idx", *row_cols, "order_index")
 
 
 # ---- IO16-IO18, IO20-IO23: operations -------------------------------------------------------------------

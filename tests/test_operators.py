@@ -327,3 +327,27 @@ def test_chunk_udtf_matches_builtin(spark, sf_dir):
     b = text.chunk_documents_udtf(docs, "doc_id", "text")
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_ordinal_within_hot_group(spark):
+    """Skew-proof ordinals equal row_number - 1 per group, with one group holding most rows (it
+    spans several range partitions) and ties broken by the key."""
+    from pyspark.sql import Window
+
+    from millrun.operators.ordinals import ordinal_within
+
+    hot = spark.range(5000).select(F.lit("hot").alias("g"), (F.col("id") % 97).alias("o"), F.col("id").alias("k"))
+    cold = spark.range(30).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("g"), F.col("id").alias("o"),
+                                  F.col("id").alias("k"))
+    df = hot.unionByName(cold)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")  # at this size AQE would merge the range partitions into one
+    try:
+        got = ordinal_within(df, ["g"], ["o", "k"], "ix")
+        ref = df.withColumn("ix", (F.row_number().over(Window.partitionBy("g").orderBy("o", "k")) - 1).cast("int"))
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+        slices = df.repartitionByRange("g", "o", "k").withColumn("p", F.spark_partition_id()).filter(F.col("g") == "hot")
+        assert slices.select("p").distinct().count() > 1  # the hot group really is split
+    finally:
+        spark.conf.set(key, old)
