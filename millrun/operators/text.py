@@ -48,12 +48,16 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = CHU
     words = F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
     d = docs.select(F.col(id_col).cast("string").alias("source"), words.alias("w"))
     d = d.filter(F.size("w") > 0)
-    d = d.select("source", "w", F.posexplode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("chunk_index", "start"))
+    # the chunk texts are built inside the document row, so each exploded row carries only its
+    # own text - not a copy of the whole word array (which would be quadratic in document length)
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))
+    texts = F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, F.lit(size)), " "))
+    d = d.select("source", F.posexplode(texts).alias("chunk_index", "content"))
     return d.select(
         F.md5(F.concat_ws(":", "source", F.col("chunk_index").cast("string"))).alias("chunk_id"),
         "source",
         F.col("chunk_index").cast("int").alias("chunk_index"),
-        F.array_join(F.slice("w", F.col("start") + 1, F.lit(size)), " ").alias("content"),
+        "content",
     )
 
 
