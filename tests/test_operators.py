@@ -351,3 +351,58 @@ def test_ordinal_within_hot_group(spark):
         assert slices.select("p").distinct().count() > 1  # the hot group really is split
     finally:
         spark.conf.set(key, old)
+
+
+def test_pareto_shares_sum_to_100(spark, sf_dir):
+    """SURVEY §5 property: downtime Pareto shares sum to 100 within rounding (one 0.05 per reason),
+    and the cumulative share ends at that sum."""
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    p = rows(qs["downtime_pareto"](spark, sf_dir))
+    assert p and abs(sum(r["pct"] for r in p) - 100.0) <= 0.05 * len(p) + 1e-9
+    c = rows(qs["pareto_cumulative"](spark, sf_dir))
+    assert c and max(r[k] for r in c for k in r if "cum" in k) <= 100.0 + 0.05 * len(c) + 1e-9
+
+
+def _brute_pairs(rows_in):
+    """Reference O4 pairing by explicit interval walks (plain Python on a tiny fixture)."""
+    agg = {}
+    for sku, br, st, sf, cost in rows_in:
+        a = agg.setdefault((sku, br), [0, 0, cost])
+        a[0] += st
+        a[1] += sf
+        a[2] = min(a[2], cost)
+    out = {}
+    for sku in sorted({k[0] for k in agg}):
+        brs = sorted(b for s, b in agg if s == sku)
+        src = [(b, max(agg[(sku, b)][0] - agg[(sku, b)][1], 0)) for b in brs]
+        dst = [(b, max(agg[(sku, b)][1] - agg[(sku, b)][0], 0)) for b in brs]
+        src, dst = [x for x in src if x[1] > 0], [x for x in dst if x[1] > 0]
+        i = j = 0
+        rem_s = src[0][1] if src else 0
+        rem_d = dst[0][1] if dst else 0
+        while i < len(src) and j < len(dst):
+            q = min(rem_s, rem_d)
+            out[(sku, src[i][0], dst[j][0])] = out.get((sku, src[i][0], dst[j][0]), 0) + q
+            rem_s -= q
+            rem_d -= q
+            if rem_s == 0:
+                i += 1
+                rem_s = src[i][1] if i < len(src) else 0
+            if rem_d == 0:
+                j += 1
+                rem_d = dst[j][1] if j < len(dst) else 0
+    return out
+
+
+def test_rebalance_pairs_against_brute_force(spark):
+    """O4 equals an explicit two-pointer walk over the excess and need intervals on random networks."""
+    import random
+
+    rnd = random.Random(7)
+    data = [(f"S{rnd.randint(0, 4)}", f"B{rnd.randint(0, 6)}", rnd.randint(0, 60), rnd.randint(0, 60), 1.0)
+            for _ in range(120)]
+    net = spark.createDataFrame(data, "sku string, branch_id string, available_stock int, safety_stock int, unit_cost double")
+    got = {(r["sku"], r["from_branch"], r["to_branch"]): r["qty"] for r in rows(planning.rebalance_pairs(net))}
+    assert got == _brute_pairs(data)
