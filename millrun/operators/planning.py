@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.session import cut_lineage
 
 # Fixed values of the reference's planning rules.
 MARGIN_RATE = 0.15
@@ -73,6 +74,10 @@ def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: flo
         F.min("unit_cost_after_tariff").alias("cost"),
         F.count(F.lit(1)).alias("raw_rows"),
     )
+    # three consumers below prune these rows to different columns, so Spark cannot reuse one
+    # exchange for them and would rescan the inputs once per consumer; a reliable checkpoint in
+    # the shared folder computes the network rows once (and survives executor loss)
+    rows = cut_lineage(rows)
     # one aggregate over the (category, sku, branch) rows gives every category-level fact
     cat = rows.groupBy("product_category").agg(
         F.sum("raw_rows").alias("n_rows"),
