@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.session import cut_lineage
 
 # Fixed values of the reference's sensor limits.
 BREACH_RULES = (
@@ -153,6 +154,9 @@ def cascade_raw(outages: DataFrame, route: DataFrame, hops: int = CASCADE_HOPS,
     src = outages.join(r, ["line", "idx"]).select(
         "outage_id", "line", "idx", "hours", F.col("station").alias("origin_station"), "shared",
         F.col("unit_value").alias("src_unit_value"))
+    # five branches below (three hops, fallback, shared station) read the outages; a reliable
+    # checkpoint computes them once instead of re-running the event scan and state windows per branch
+    src = cut_lineage(src)
     keep = ["outage_id", "origin_station", "hours", "src_unit_value"]
     normal = src.filter(~F.col("shared"))
     cur = normal.select(*keep, "line", "idx", F.col("hours").alias("rem"))
