@@ -176,7 +176,10 @@ def dense_index(ids: DataFrame, id_col: str, out: str = "group_no", bucket_width
     Distinct ids are bucketed by ``id div bucket_width``; a running sum of distinct counts over
     the bucket rows gives each bucket's offset, and ``dense_rank`` runs inside one bucket only.
     """
-    d = ids.select(id_col).distinct().withColumn("_b", F.floor(F.col(id_col) / bucket_width))
+    from millrun.session import cut_lineage
+
+    # the distinct ids feed both the bucket counts and the local ranks: materialise them once
+    d = cut_lineage(ids.select(id_col).distinct().withColumn("_b", F.floor(F.col(id_col) / bucket_width)))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
     local = d.withColumn("_local", F.dense_rank().over(Window.partitionBy("_b").orderBy(id_col)))
