@@ -39,11 +39,11 @@ def widen_scan(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("millrun.widenScans", "true") != "true":
         return df
-    cores = spark.sparkContext.defaultParallelism
     try:
+        cores = spark.sparkContext.defaultParallelism
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         parts = df.rdd.getNumPartitions()
-    except Exception:  # statistics unavailable: keep the scan as it is
+    except Exception:  # no statistics (e.g. a remote session): keep the scan as it is
         return df
     if parts < cores and WIDEN_MIN_BYTES <= size <= WIDEN_MAX_BYTES:
         return df.repartition(cores)
