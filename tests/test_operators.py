@@ -406,3 +406,15 @@ def test_rebalance_pairs_against_brute_force(spark):
     net = spark.createDataFrame(data, "sku string, branch_id string, available_stock int, safety_stock int, unit_cost double")
     got = {(r["sku"], r["from_branch"], r["to_branch"]): r["qty"] for r in rows(planning.rebalance_pairs(net))}
     assert got == _brute_pairs(data)
+
+
+def test_partitioned_roundtrip_is_idempotent(spark, sf_dir):
+    """IO5: a rerun overwrites only the days it writes (dynamic partition overwrite), so running the
+    round trip twice gives the same result and prunes to the last seven days."""
+    import __spark_entry__ as entry
+
+    q = entry.queries()["io_partitioned_roundtrip"]
+    first = sorted(map(tuple, q(spark, sf_dir).collect()))
+    second = q(spark, sf_dir)
+    assert sorted(map(tuple, second.collect())) == first and first
+    assert "PartitionFilters: [isnotnull(reading_date" in second._jdf.queryExecution().executedPlan().toString()
