@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import simhash, suffix_dedup
-from millrun.llm.common import read
+from millrun.llm import mixing, packing, quality, simhash, suffix_dedup
+from millrun.llm.common import read, written
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens; the ids as their CRC-32."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"), packing.byte_bpe_50k())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights flattened by a square root, as many documents as there are."""
+    return mixing.poisson_mix(read(spark, sf_dir, "documents")).withColumnRenamed("_copy", "copy")
+
+
+def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, histogram distances and verdict of every document."""
+    rows = quality.with_features(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text")
+    return quality.judge(written(rows, "features")).select("doc_id", "_quality.*")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +48,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_quality_divergence": op6_quality_divergence,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
