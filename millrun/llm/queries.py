@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import mixing, packing, quality, simhash, suffix_dedup
+from millrun.llm import mixing, packing, pii, quality, simhash, suffix_dedup
 from millrun.llm.common import read, written
 
+#: Stands for the secret that a deployment passes in.
+PII_KEY = "corpus-pseudonyms"
+
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens; the ids as their CRC-32."""
@@ -30,6 +33,12 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(written(rows, "features")).select("doc_id", "_quality.*")
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal numbers, dates and addresses as format-preserving pseudonyms."""
+    rows = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+    return rows.select("doc_id", "text", F.col("_replaced").cast("bigint").alias("n_replaced"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents covered by a 200-byte string that also starts elsewhere."""
     cut = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
@@ -48,6 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_quality_divergence": op6_quality_divergence,

@@ -55,15 +55,17 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs(doc_id, text)``; ``fp`` is the fingerprint's signed 64-bit value."""
+    """``(doc_id, th, fp)`` for every row of ``docs(doc_id, text)``: text hash and the fingerprint's signed 64-bit value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle_words, seed) for t in b.column(1).to_pylist()), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t, shingle_words, seed) for t in b.column(2).to_pylist()), np.uint64, len(b))
+            cols = [b.column(0), b.column(1), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def flips(low: int, high: int, most: int) -> np.ndarray:
@@ -171,24 +173,41 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = root[root]
 
 
+def fingerprint_classes(fps: DataFrame, first: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fp, first``: for each distinct fingerprint of ``fps``, the least value of the expression ``first`` in its class."""
+    reps = written(fps.groupBy("fp").agg(F.expr(f"min({first})").alias("first")), "distinct-fps")
+    roots = connected_components(meeting_edges(reps.select("fp"), max_bits))
+    named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "roots")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(least, "root").select("fp", "first")
+
+
 def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, fingerprint, component_id``.
 
     ``fingerprint`` is 16 lower-case hex digits; ``component_id`` the smallest doc_id of all
     documents reachable by links of at most ``max_bits`` differing bits. Empty and null texts have
     fingerprint zero and link like any other. Repeated rows come back as often as they come in;
-    null doc_ids are kept and never smallest unless all are null. Other columns are ignored, an empty table gives
+    a null doc_id is never smallest unless all are null. Other columns are ignored, an empty table gives
     an empty result. Copies share one fingerprint and never form pairs.
     """
     fps = written(fingerprints(docs, shingle_words), "fps")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
-    roots = connected_components(meeting_edges(reps.select("fp"), max_bits))
-    named = reps.join(roots, reps.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = written(named, "roots")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    classes = fingerprint_classes(fps, "doc_id", max_bits)
+    return fps.join(classes, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
+
+
+def keep_one_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id.
+
+    Of rows with that doc_id, the one of least text hash stays; of identical rows one. A null doc_id comes
+    after all others. All columns are kept; names that begin with an underscore are reserved.
+    """
+    fps = written(fingerprints(docs, shingle_words), "fps")
+    best = fingerprint_classes(fps, "struct(doc_id is null as n, doc_id, th)", max_bits).select("first").distinct()
+    best = best.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    kept = rows.join(best, rows.doc_id.eqNullSafe(best._id) & (rows._h == best._th), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
