@@ -56,9 +56,9 @@ def mixing_rates(docs: DataFrame, targets: DataFrame | None = None, size: float
         t = targets.groupBy(F.col("source").alias("_s")).agg(F.sum("weight").cast("double").alias("w"))
         n = n.join(t, n.source.eqNullSafe(t._s), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     n = written(n, "sources")
-    total = n.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.when(F.col("all_w") > 0, F.lit(float(size)) * F.col("all_n") * F.col("w") / F.col("all_w") / F.col("n"))
-    return n.crossJoin(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # one row
+    all_n, all_w = n.agg(F.sum("n"), F.sum("w")).first()
+    rate = F.lit(float(size)) * all_n * F.col("w") / all_w / F.col("n") if all_w else F.lit(0.0)
+    return n.select("source", rate.alias("rate"))
 
 
 def poisson_mix(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import mixing, packing, pii, quality, simhash, suffix_dedup
+from millrun.llm import imatch, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from millrun.llm.common import read, written
+from millrun.session import ensure_checkpoint_dir
 
 #: Stands for the secret that a deployment passes in.
 PII_KEY = "corpus-pseudonyms"
@@ -22,6 +24,38 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and their edited texts, and their likeness."""
+    return imatch.imatch(read(spark, sf_dir, "documents"))
+
+
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
+    pages = read(spark, sf_dir, "pages")
+    got = warc.round_trip(pages, path)
+    kind = pages.schema["page_id"].dataType
+    rows = got.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+    # A revisit's payload is its response's: one row for each digest that is revisited.
+    rows = written(rows, "read-back")
+    revisits, responses = rows.where("record_type = 'revisit'"), rows.where("record_type <> 'revisit'")
+    sizes = responses.join(revisits.select("payload_digest").distinct(), "payload_digest", "left_semi")
+    sizes = sizes.groupBy("payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    full = revisits.join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.col("_bytes")).drop("_bytes")
+    return responses.unionByName(full)
+
+
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for toxicity by a model fitted on the labels that are not held out."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights flattened by a square root, as many documents as there are."""
     return mixing.poisson_mix(read(spark, sf_dir, "documents")).withColumnRenamed("_copy", "copy")
@@ -59,6 +93,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op2_imatch_fingerprints": op2_imatch_fingerprints,
+    "op3_warc_segments": op3_warc_segments,
+    "op7_subword_toxicity": op7_subword_toxicity,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_quality_divergence": op6_quality_divergence,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
