@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import imatch, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from millrun.llm import imatch, licenses, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from millrun.llm.common import read, written
 from millrun.session import ensure_checkpoint_dir
 
@@ -56,6 +56,19 @@ def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents: predicted paragraphs, confirmed families, and the surest probability."""
+    rows = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    confirmed = F.filter("_licenses", lambda x: x["confirmed"])
+    return rows.select(
+        "doc_id",
+        F.size("_licenses").alias("n_predicted"),
+        F.size(confirmed).alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda x: x["family"]))), ",").alias("families"),
+        F.array_max(F.transform(confirmed, lambda x: x["probability"])).alias("probability"),
+    )
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights flattened by a square root, as many documents as there are."""
     return mixing.poisson_mix(read(spark, sf_dir, "documents")).withColumnRenamed("_copy", "copy")
@@ -96,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch_fingerprints": op2_imatch_fingerprints,
     "op3_warc_segments": op3_warc_segments,
     "op7_subword_toxicity": op7_subword_toxicity,
+    "op4_license_classifier": op4_license_classifier,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_quality_divergence": op6_quality_divergence,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,

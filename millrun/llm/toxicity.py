@@ -29,7 +29,7 @@ PASSAGE = 16
 #: Labelled documents that train the model, half of them toxic if there are as many; passages of each.
 TRAIN_DOCUMENTS = 6000
 TRAIN_PASSAGES = 64
-EPOCHS = 4
+EPOCHS = 6
 THRESHOLD = 0.7
 #: Words remembered by a task at a time.
 WORDS_A_TASK = 200_000
@@ -57,8 +57,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_passages(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """``doc_id, toxic, passages`` of the bounded training sample: those of least hash among rows not held out."""
+def training_passages(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], float]:
+    """``doc_id, toxic, passages`` of the bounded training sample (those of least hash among rows not held out), and the
+    share of toxic rows among all that are not held out."""
     seen = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     seen = seen.where(~held_out(F.col("doc_id")))
     half = TRAIN_DOCUMENTS // 2
@@ -83,7 +84,13 @@ def training_passages(docs: DataFrame, labels: DataFrame) -> list[tuple]:
     rows = found.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
         run, f"doc_id {kind}, toxic int, passages array<string>"
     )
-    return sorted(((r[0], r[1], list(r[2])) for r in rows.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    share = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return sorted(((r[0], r[1], list(r[2])) for r in rows.collect()), key=lambda r: (str(r[0]), r[1], r[2])), share or 0.0
+
+
+def summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows that share an index, for indexes 0..n-1."""
+    return np.stack([np.bincount(index, rows[:, d], n) for d in range(rows.shape[1])], axis=1)
 
 
 class Model:
@@ -108,34 +115,31 @@ class Model:
         rows = np.concatenate([grams[i] for i in words])
         of_word = np.repeat(np.arange(len(words)), [len(grams[i]) for i in words])
         gram_share = (1 / np.array([len(grams[i]) for i in words]))[of_word]
-        v = np.zeros((len(words), DIMENSION))
-        np.add.at(v, of_word, self.e[rows] * gram_share[:, None])
-        x = np.zeros((len(bags), DIMENSION))
-        np.add.at(x, owner, v[place] * share[:, None])
+        v = np.add.reduceat(self.e[rows] * gram_share[:, None], np.flatnonzero(np.diff(of_word, prepend=-1)))
+        x = np.add.reduceat(v[place] * share[:, None], np.flatnonzero(np.diff(owner, prepend=-1)))
         z = x @ self.w + self.b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p /= len(y)
         dx = p @ self.w.T
-        dv = np.zeros_like(v)
-        np.add.at(dv, place, dx[owner] * share[:, None])
+        dv = summed(place, dx[owner] * share[:, None], len(words))
         at, inverse = np.unique(rows, return_inverse=True)
-        de = np.zeros((len(at), DIMENSION))
-        np.add.at(de, inverse, dv[of_word] * gram_share[:, None])
+        de = summed(inverse, dv[of_word] * gram_share[:, None], len(at))
         for x, s, g, k in ((self.w, self.sums[1], x.T @ p, ...), (self.b, self.sums[2], p.sum(axis=0), ...), (self.e, self.sums[0], de, at)):
             s[k] += g * g
             x[k] -= rate * g / np.sqrt(s[k])
 
 
-def fit(rows: list[tuple]) -> tuple[np.ndarray, float, float]:
+def fit(rows: list[tuple], toxic_share: float) -> tuple[np.ndarray, float, float]:
     """From ``training_passages``: a number for each hashed n-gram, and slope and offset of the score's curve.
 
+    The sample has more toxic documents than the labels have; the offset is moved back to their share.
     Without two classes the curve is flat: all documents score the share of toxic ones.
     """
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
+        share = toxic_share
         return np.zeros(BUCKETS), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     index: dict[str, int] = {}
     bags = [[np.array([index.setdefault(w, len(index)) for w in p.split()] or [index.setdefault("", len(index))]) for p in r[2]] for r in rows]
@@ -160,6 +164,8 @@ def fit(rows: list[tuple]) -> tuple[np.ndarray, float, float]:
     scores = model.word_scores(grams)
     best = np.array([max(scores[p].mean() for p in doc) for doc in bags])
     slope, offset = platt(best[held], y[held])
+    sampled = y[held].mean().clip(1e-3, 1 - 1e-3)
+    offset += np.log(toxic_share / (1 - toxic_share)) - np.log(sampled / (1 - sampled))
     return model.e @ (model.w[:, 1] - model.w[:, 0]), slope, offset
 
 
@@ -207,7 +213,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text of neutral words. Repeated rows score alike; a null doc_id is scored and not held out; other columns are ignored; an empty
     table gives an empty result. Without labels of both classes every score is the share of toxic labels.
     """
-    u, slope, offset = fit(training_passages(docs, labels))
+    u, slope, offset = fit(*training_passages(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordScores(u)
