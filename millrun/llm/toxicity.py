@@ -32,20 +32,19 @@ TRAIN_PASSAGES = 64
 EPOCHS = 6
 THRESHOLD = 0.7
 #: Words remembered by a task at a time.
-WORDS_A_TASK = 200_000
+WORDS_A_TASK = 400_000
 #: Longest part of a word whose n-grams are taken one by one; a longer word is taken in such parts.
 WORD_PART = 64
 
 
 def gram_rows(word: str) -> list[int]:
-    """Hashed rows of the n-grams of a word with its ends marked, and of the word itself."""
-    out = []
-    for s in range(0, len(word), WORD_PART):
-        w = f"<{word[s : s + WORD_PART]}>".encode("utf-8", "surrogatepass")
-        out.append(zlib.crc32(w) % BUCKETS)
-        text = f"<{word[s : s + WORD_PART]}>"
+    """Hashed rows of the n-grams (of UTF-8 bytes) of a word with its ends marked, and of the word itself."""
+    whole, crc, out = word.encode("utf-8", "surrogatepass"), zlib.crc32, []
+    for s in range(0, max(1, len(whole)), WORD_PART):
+        w = b"<%b>" % whole[s : s + WORD_PART]
+        out.append(crc(w) % BUCKETS)
         for n in range(GRAMS[0], GRAMS[1] + 1):
-            out += [zlib.crc32(text[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(text) - n + 1)]
+            out += [crc(w[i : i + n]) % BUCKETS for i in range(len(w) - n + 1)]
     return out
 
 
@@ -196,12 +195,13 @@ def best_passage(scores: np.ndarray) -> float:
 class _WordScores(dict):
     def __init__(self, u: np.ndarray):
         super().__init__()
-        self.u = u
+        self.u = u.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) >= WORDS_A_TASK:
             self.clear()
-        x = self[word] = float(self.u[gram_rows(word)].mean())
+        rows = gram_rows(word)
+        x = self[word] = sum(map(self.u.__getitem__, rows)) / len(rows)
         return x
 
 
