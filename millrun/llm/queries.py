@@ -117,4 +117,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_poisson_mixing": """
+        WITH n AS (SELECT source, count(*)::DOUBLE AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source),
+        r AS (SELECT source, (SELECT sum(n) FROM n) * w / (SELECT sum(w) FROM n) / n AS rate FROM n),
+        k AS (SELECT source, j, exp(j * ln(rate) - rate - lgamma(j + 1)) AS p
+              FROM r, range(0, 400) t(j) WHERE j <= ceil(rate + 12 * sqrt(rate) + 30)),
+        cdf AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM k),
+        d AS (SELECT *, (CAST('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) + 0.5)
+                        / 4503599627370496.0 AS u FROM documents),
+        m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
+              FROM d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c < d.u GROUP BY ALL)
+        SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM m
+    """
+}

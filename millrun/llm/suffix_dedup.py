@@ -45,6 +45,9 @@ RUN_SUFFIXES = 60_000
 SPLIT_BYTES = 24
 SAMPLE_GRAMS = 4096
 RANGE_SUFFIXES = 50_000
+#: A gram is merged in one task unless it occurs oftener than LEAST_HOT times and than a FAIR_PARTS-th of a range's mean.
+LEAST_HOT = 256
+FAIR_PARTS = 4
 
 
 @lru_cache(1)
@@ -320,7 +323,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated = written(counted.where("c > 1"), "grams")
     flagged = repeated.agg(F.sum("c")).first()[0] or 0
     n_ranges = max(shuffle_partitions(spark), -(-flagged // RANGE_SUFFIXES))
-    hot = max(256, flagged // (4 * n_ranges))
+    hot = max(LEAST_HOT, flagged // (FAIR_PARTS * n_ranges))
     # At most SAMPLE_GRAMS short strings, whatever the input.
     sample = repeated.where("prefix is not null").orderBy("h").limit(SAMPLE_GRAMS).select("prefix").collect()
     sample = sorted({bytes(r[0]) for r in sample})
@@ -394,8 +397,8 @@ def _build_runs(
         entries = sorted((f, b, i, min(2, copies[i])) for (f, b, hot), i in numbers.items() if not hot)
         grams = np.array([e[0][:SPLIT_BYTES] for e in entries], object)
         pid = np.searchsorted(splitters, grams, side="right") if len(splitters) else np.zeros(len(entries), int)
-        cut = np.flatnonzero(np.append(True, pid[1:] != pid[:-1])) if len(entries) else []
-        for s, e in zip(cut, [*cut[1:], len(entries)], strict=True):
+        cut = np.flatnonzero(np.append(True, pid[1:] != pid[:-1])).tolist() if entries else []
+        for s, e in zip(cut, [*cut[1:], len(entries)]):
             yield rows(0, 1, pid=[int(pid[s])], blob=[encode_run(entries[s:e])])
         hot = [(f, b, i) for (f, b, hot), i in numbers.items() if hot]
         for s in range(0, len(hot), 256):
