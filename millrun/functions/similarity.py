@@ -91,4 +91,5 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine of the angle; null if either vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))

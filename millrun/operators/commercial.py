@@ -71,7 +71,7 @@ def price_elasticity(products: DataFrame, elasticity: float = -1.5, grid=(-0.2,
         P.round_half_up(price, 2).alias("price"),
         units.cast("bigint").alias("units"),
         P.round_half_up((units * price - F.col("base_units") * F.col("base_price")) / 1000, 2).alias("revenue_impact_k"),
-        P.round_half_up((price - F.col("base_cost")) / price * 100, 2).alias("margin_pct"),
+        P.round_half_up(F.try_divide(price - F.col("base_cost"), price) * 100, 2).alias("margin_pct"),
         _r0(100 * (1 + dem)).cast("int").alias("demand_index"),
         F.least(F.lit(WIN_MAX), F.greatest(F.lit(WIN_MIN), _r0(WIN_BASE - F.col("price_change") * WIN_SLOPE))).cast("int").alias("win_pct"),
     )
@@ -100,12 +100,12 @@ def plan_gap(history: DataFrame, target_pct: float = 100.0, tolerance: float = 5
         F.sum(F.col("forecast_qty") * F.col("avg_selling_price")).alias("plan_value"),
     )
     att = F.when(F.col("plan_units") > 0, F.col("actual_units") * 100.0 / F.col("plan_units"))
-    asp = F.col("plan_value") / F.col("plan_units")
+    asp = F.try_divide(F.col("plan_value"), F.col("plan_units"))
     return g.select(
         "category", "period", "plan_units", "actual_units", P.round_half_up(att, 1).alias("attainment_pct"),
         P.round_half_up(att - target_pct, 1).alias("gap_pct"), (att - target_pct >= -tolerance).alias("on_track"),
         P.round_half_up(F.col("plan_value") / 1e6, 3).alias("plan_value_m"),
-        P.round_half_up(F.col("plan_value") / asp / 1000, 3).alias("plan_k_units"),
+        P.round_half_up(F.try_divide(F.col("plan_value"), asp) / 1000, 3).alias("plan_k_units"),
     )
 
 

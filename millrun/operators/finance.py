@@ -182,7 +182,7 @@ def pl_scenarios(pl: DataFrame, year: int) -> DataFrame:
         r1(rev / 1e6).alias("revenue_m"), r1(gp / 1e6).alias("gross_profit_m"),
         r1(F.when(rev != 0, gp / rev * 100)).alias("gross_margin_pct"),
         r1(ebitda / 1e6).alias("ebitda_m"), r1(F.when(rev != 0, ebitda / rev * 100)).alias("ebitda_margin_pct"),
-        F.coalesce(ebitda / rev * 100 >= EBITDA_TARGET_PCT, F.lit(False)).alias("meets_target"),
+        F.coalesce(F.try_divide(ebitda, rev) * 100 >= EBITDA_TARGET_PCT, F.lit(False)).alias("meets_target"),
     )
 
 

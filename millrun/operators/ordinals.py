@@ -4,7 +4,9 @@
 the rows are range-partitioned on (g, o) instead: a group holding a third of the data spans
 several range partitions, each numbers its own slice (a window over (g, partition id), which
 re-hashes the slices evenly), and a running count over the small (g, partition id) count table
-gives each slice its offset. The result equals the plain window's row_number for a total order.
+gives each slice its offset. The rows are checkpointed with their partition id, so the numbering and
+the counts see one and the same slicing: range bounds are sampled, and a second evaluation
+could draw others. The result equals the plain window's row_number for a total order.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrun.session import cut_lineage
+
 
 def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "order_index",
                    base: int = 0) -> DataFrame:
     """Add ``out`` = position of each row within its group by ``order_cols`` (``base``, base + 1, ...).
     ``order_cols`` must be a total order within a group (end with a key)."""
-    ranged = df.repartitionByRange(*group_cols, *order_cols).withColumn("_slice", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(*group_cols, *order_cols).withColumn("_slice", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)))
     counts = local.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

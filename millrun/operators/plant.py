@@ -58,7 +58,7 @@ def telemetry_silver(raw: DataFrame) -> DataFrame:
     valid = P.in_range_filter(raw, TELEMETRY_BOUNDS).filter(F.col("ts").isNotNull() & F.col("machine_id").isNotNull())
     payload = ["oee_pct", "temp_c", "cycle_time_sec", "power_kw", "units_count", "ingest_ts"]
     latest = valid.groupBy("machine_id", "ts").agg(
-        F.max_by(F.struct(*payload), F.struct("ingest_ts", "oee_pct", "temp_c", "units_count")).alias("r")
+        F.max_by(F.struct(*payload), F.struct("ingest_ts", "oee_pct", "temp_c", "units_count", "cycle_time_sec", "power_kw")).alias("r")
     )
     sid, period = P.shift_of("ts")
     return latest.select(

@@ -94,7 +94,7 @@ def telemetry_clean_stream(st: StreamTables, watermark: str = DEFAULT_WATERMARK)
     valid = P.in_range_filter(raw, plant.TELEMETRY_BOUNDS).filter(F.col("ts").isNotNull() & F.col("machine_id").isNotNull())
     payload = ["oee_pct", "temp_c", "cycle_time_sec", "power_kw", "units_count", "ingest_ts"]
     agg = valid.withWatermark("ts", watermark).groupBy("machine_id", "ts").agg(
-        F.max_by(F.struct(*payload), F.struct("ingest_ts", "oee_pct", "temp_c", "units_count")).alias("r")
+        F.max_by(F.struct(*payload), F.struct("ingest_ts", "oee_pct", "temp_c", "units_count", "cycle_time_sec", "power_kw")).alias("r")
     ).select("machine_id", "ts", *[F.col(f"r.{c}").alias(c) for c in payload])
     latest = latest_per_key(run_to_changelog(agg, "telemetry"), ["machine_id", "ts"])
     sid, period = P.shift_of("ts")

@@ -329,26 +329,29 @@ def test_chunk_udtf_matches_builtin(spark, sf_dir):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_ordinal_within_hot_group(spark):
-    """Skew-proof ordinals equal row_number - 1 per group, with one group holding most rows (it
-    spans several range partitions) and ties broken by the key."""
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordinal_within_hot_group(spark, adaptive, tmp_path):
+    """Skew-proof ordinals equal row_number - 1 per group over a million rows with payload columns, two
+    thirds of them in one group that spans several slices; written out, no row is lost."""
     from pyspark.sql import Window
 
     from millrun.operators.ordinals import ordinal_within
 
-    hot = spark.range(5000).select(F.lit("hot").alias("g"), (F.col("id") % 97).alias("o"), F.col("id").alias("k"))
-    cold = spark.range(30).select(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("g"), F.col("id").alias("o"),
-                                  F.col("id").alias("k"))
-    df = hot.unionByName(cold)
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    n = 1_000_000
+    group = F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 7).cast("string")))
+    df = spark.range(n).select(
+        group.alias("g"), (F.col("id") * 7919 % 9973).alias("o"), F.col("id").alias("k"),
+        F.sha1(F.col("id").cast("string")).alias("a"), F.repeat(F.col("id").cast("string"), 3).alias("b"),
+    )
+    key = "spark.sql.adaptive.enabled"
     old = spark.conf.get(key)
-    spark.conf.set(key, "false")  # at this size AQE would merge the range partitions into one
+    spark.conf.set(key, adaptive)
     try:
-        got = ordinal_within(df, ["g"], ["o", "k"], "ix")
+        ordinal_within(df, ["g"], ["o", "k"], "ix").write.parquet(f"{tmp_path}/out")
+        got = spark.read.parquet(f"{tmp_path}/out")
         ref = df.withColumn("ix", (F.row_number().over(Window.partitionBy("g").orderBy("o", "k")) - 1).cast("int"))
-        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
-        slices = df.repartitionByRange("g", "o", "k").withColumn("p", F.spark_partition_id()).filter(F.col("g") == "hot")
-        assert slices.select("p").distinct().count() > 1  # the hot group really is split
+        assert got.count() == n
+        assert got.join(ref, ["g", "o", "k", "a", "b", "ix"], "left_semi").count() == n
     finally:
         spark.conf.set(key, old)
 
