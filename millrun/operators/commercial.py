@@ -148,13 +148,14 @@ def churn_exposure(accounts: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def value_at_risk(scorecard: DataFrame, high: float = 75.0, medium: float = 60.0) -> DataFrame:
-    """Supplier risk from late share (score = 100 - on-time %): High / Medium / Low; count of
-    High and spend where risk is not Low."""
-    score = F.lit(100.0) - F.coalesce(F.col("on_time_pct"), F.lit(0.0))
-    tier = F.when(score >= high, F.lit("High")).when(score >= medium, F.lit("Medium")).otherwise(F.lit("Low"))
+    """Supplier risk from late share (score = 100 - on-time %): High / Medium / Low, Unknown for a
+    supplier without a completed delivery; count of High and spend where risk is High or Medium."""
+    score = F.lit(100.0) - F.col("on_time_pct")
+    tier = (F.when(score.isNull(), F.lit("Unknown")).when(score >= high, F.lit("High"))
+            .when(score >= medium, F.lit("Medium")).otherwise(F.lit("Low")))
     s = scorecard.withColumn("risk", tier)
     return s.agg(F.count_if(F.col("risk") == "High").alias("high_risk_suppliers"),
-                 F.sum(F.when(F.col("risk") != "Low", F.col("spend_usd").cast("decimal(20,2)"))).cast("double").alias("value_at_risk_usd"))
+                 F.sum(F.when(F.col("risk").isin("High", "Medium"), F.col("spend_usd").cast("decimal(20,2)"))).cast("double").alias("value_at_risk_usd"))
 
 
 def ticket_breakdown(tickets: DataFrame) -> DataFrame:

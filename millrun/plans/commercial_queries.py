@@ -201,8 +201,8 @@ _SC_SQL = f"""SELECT g.supplier_number, CAST(sum(CAST(g.total_net_value_usd AS D
     "value_at_risk",
     W(["ekpo", "ekko", "lips", "likp"], [("proc_lines", SQL_PROC_LINES), ("proc_gold", SQL_PROC_GOLD), ("dl", SQL_DELIVERY_LINES),
                                         ("sc", _SC_SQL)],
-      """SELECT count_if(100.0 - coalesce(on_time_pct, 0.0) >= 75) AS high_risk_suppliers,
-         CAST(sum(CASE WHEN 100.0 - coalesce(on_time_pct, 0.0) >= 60 THEN CAST(spend_usd AS DECIMAL(20,2)) END) AS DOUBLE)
+      """SELECT count_if(on_time_pct <= 25) AS high_risk_suppliers,
+         CAST(sum(CASE WHEN on_time_pct <= 40 THEN CAST(spend_usd AS DECIMAL(20,2)) END) AS DOUBLE)
              AS value_at_risk_usd FROM sc"""),
 )
 def q_value_at_risk(t):

@@ -194,14 +194,14 @@ def q_io_sheet_import(t):
 
 
 # ---- IO5 partitioned write + partition-pruned read ------------------------------------------------
-def _io_folder(spark, name: str, sf_dir: str) -> str:
-    """A folder for written tables under the cluster's shared checkpoint folder (one per input set)."""
+def _io_folder(spark, name: str) -> str:
+    """A new folder for a written table under the cluster's shared checkpoint folder."""
     import os
+    import uuid
 
     from millrun.session import ensure_checkpoint_dir
 
-    tag = os.path.basename(os.path.normpath(sf_dir))
-    return os.path.join(ensure_checkpoint_dir(spark), "millrun-io", tag, name)
+    return os.path.join(ensure_checkpoint_dir(spark), f"millrun-io-{name}-{uuid.uuid4().hex}")
 
 
 @query(
@@ -211,13 +211,13 @@ def _io_folder(spark, name: str, sf_dir: str) -> str:
        FROM events WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '{B.AS_OF_EVENTS}' AS DATE) - 7 GROUP BY 1, 2""",
 )
 def q_io_partitioned_roundtrip(t):
-    """IO5: SCADA readings written partitioned by day (dynamic partition overwrite, so a rerun
-    replaces only the days it writes), read back with a last-7-days filter that prunes partitions
+    """IO5: SCADA readings written partitioned by day (dynamic partition overwrite) into a folder of this
+    run, so that no day of another input or an earlier state of it is read, read back with a last-7-days filter that prunes partitions
     at the scan, then counted per tag x day."""
     readings = t.events.select(
         F.concat(F.lit("TAG-"), (F.col("user_id") % 18).cast("string")).alias("tag"),
         F.to_date("ts").alias("reading_date"), "value")
-    path = _io_folder(t.spark, "scada_readings", t.sf_dir)
+    path = _io_folder(t.spark, "scada_readings")
     IO.write_table(readings, path, mode="overwrite", by=("reading_date",))
     start = F.date_sub(F.lit(B.AS_OF_EVENTS).cast("timestamp").cast("date"), 7)
     back = t.spark.read.parquet(path).filter(F.col("reading_date") >= start)

@@ -14,40 +14,16 @@ TABLE_NAMES = (
 ).split()
 
 
-# A scan spread over fewer partitions than cores is widened only when the table is at least this
-# big (a tiny dimension stays in one task) and at most this big (a large table comes in many
-# files / row groups, and a full shuffle of it would cost more than it saves).
-WIDEN_MIN_BYTES = 8 << 20
-WIDEN_MAX_BYTES = 1 << 30
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """IO1: read one named table. Column pruning / filter pushdown happen in the scan."""
-    return widen_scan(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
-
-
-def widen_scan(df: DataFrame) -> DataFrame:
-    """Parallelism floor for small, unsplittable inputs.
+    """IO1: read one named table. Column pruning / filter pushdown happen in the scan.
 
-    A Parquet file with one row group is read by one task however many splits it has, so every
-    map-side operator above it (projections, broadcast-join probes, partial aggregates) would
-    run on one core. When the scan yields fewer partitions than the cluster has cores and the
-    table is between ``WIDEN_MIN_BYTES`` and ``WIDEN_MAX_BYTES``, a round-robin repartition
-    spreads the rows. Filters and column pruning still reach the scan (Catalyst pushes them
-    through a repartition). Large tables never get this shuffle.
+    A Parquet file of one row group is read by one task. Where the caller knows a table to be written like that,
+    the session setting ``millrun.scanPartitions`` ("lineitem=8,events=8") deals its rows to as many
+    tasks; there is no such shuffle by default, and none that depends on a table's size.
     """
-    spark = df.sparkSession
-    if spark.conf.get("millrun.widenScans", "true") != "true":
-        return df
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no statistics (e.g. a remote session): keep the scan as it is
-        return df
-    if parts < cores and WIDEN_MIN_BYTES <= size <= WIDEN_MAX_BYTES:
-        return df.repartition(cores)
-    return df
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    chosen = dict(x.split("=") for x in spark.conf.get("millrun.scanPartitions", "").split(",") if x)
+    return df.repartition(int(chosen[name])) if name in chosen else df
 
 
 def safe_table(spark: SparkSession, name: str, schema: StructType, sf_dir: str | None = None) -> DataFrame:

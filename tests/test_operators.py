@@ -297,29 +297,51 @@ def test_latest_overlay_and_pages(spark):
     assert [x["reading_id"] for x in lab.recent_across(rd, 1).collect()] == [2]
 
 
-def test_widen_scan_bounds_and_pruning(spark, sf_dir):
-    """The scan floor adds a round-robin repartition only inside its size bounds; filters and column
-    pruning still reach the Parquet scan, and results are unchanged."""
+def test_chosen_scan_partitions_and_pruning(spark, sf_dir):
+    """A scan is dealt out only where the caller says so; filters and column pruning still reach it."""
     from millrun.sources import tables as T
 
-    path = f"{sf_dir}/lineitem.parquet"
-    plain = spark.read.parquet(path)
-    assert T.widen_scan(plain) is plain  # sf0.001 lineitem is far below the 8 MB floor
-    old = T.WIDEN_MIN_BYTES
+    plain = T.read_table(spark, sf_dir, "lineitem")
+    assert "Repartition" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("millrun.scanPartitions", "lineitem=3,events=2")
     try:
-        T.WIDEN_MIN_BYTES = 0
-        wide = T.widen_scan(spark.read.parquet(path))
+        wide = T.read_table(spark, sf_dir, "lineitem")
     finally:
-        T.WIDEN_MIN_BYTES = old
+        spark.conf.unset("millrun.scanPartitions")
+    assert wide.rdd.getNumPartitions() == 3
     q = wide.filter(F.col("l_quantity") > 10).select("l_orderkey", "l_quantity")
     plan = q._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     ref = plain.filter(F.col("l_quantity") > 10).select("l_orderkey", "l_quantity")
     assert sorted(map(tuple, q.collect())) == sorted(map(tuple, ref.collect()))
 
 
+def test_unknown_supplier_is_not_high_risk(spark):
+    from millrun.operators import commercial
+
+    df = spark.createDataFrame([(None, 10.0), (20.0, 5.0), (35.0, 3.0), (90.0, 2.0)], "on_time_pct double, spend_usd double")
+    assert commercial.value_at_risk(df).first().asDict() == {"high_risk_suppliers": 1, "value_at_risk_usd": 8.0}
+
+
+def test_cosine_of_zero_vector_is_null(spark):
+    from millrun.functions.similarity import cosine
+
+    df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+
+def test_no_local_scratch_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from millrun.session import ensure_checkpoint_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake = N(conf=N(get=lambda *a: None), sparkContext=N(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError):
+            ensure_checkpoint_dir(fake)
+
+
 def test_chunk_udtf_matches_builtin(spark, sf_dir):
     """T2 UDTF form gives exactly the built-in chunks over whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
