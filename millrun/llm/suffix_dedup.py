@@ -40,10 +40,11 @@ GRAM = 64
 #: Bytes hashed at a time; a longer text is taken in overlapping pieces with the same anchors.
 PIECE = 1 << 17
 POSITION = np.uint64((1 << 18) - 1)
-#: Distinct suffixes in one run, and bytes of a gram that splitters are compared by.
+#: Distinct suffixes in one run, bytes of a gram that splitters are compared by, and how many grams are sampled for them.
 RUN_SUFFIXES = 60_000
 SPLIT_BYTES = 24
-SAMPLE_GRAMS = 4096
+SAMPLE_EVERY = 64
+SAMPLE_A_RANGE = 16
 RANGE_SUFFIXES = 50_000
 #: A gram is merged in one task unless it occurs oftener than LEAST_HOT times and than a FAIR_PARTS-th of a range's mean.
 LEAST_HOT = 256
@@ -276,7 +277,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``h, doc_id, th, packed, prefix``: every anchor; the prefix of a 4096th of the grams, for splitters."""
+    """``h, doc_id, th, packed, prefix``: every anchor; the prefix of one gram in SAMPLE_EVERY, for splitters."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     owner.append(np.full(len(h), i))
                     prefix += [
                         b[x : x + SPLIT_BYTES].tobytes() if not k else None
-                        for k, x in zip((h & np.uint64(SAMPLE_GRAMS - 1)).tolist(), a.tolist(), strict=True)
+                        for k, x in zip((h & np.uint64(SAMPLE_EVERY - 1)).tolist(), a.tolist(), strict=True)
                     ]
                 at = pa.array(np.concatenate(owner))
                 cols = [
@@ -324,8 +325,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     flagged = repeated.agg(F.sum("c")).first()[0] or 0
     n_ranges = max(shuffle_partitions(spark), -(-flagged // RANGE_SUFFIXES))
     hot = max(LEAST_HOT, flagged // (FAIR_PARTS * n_ranges))
-    # At most SAMPLE_GRAMS short strings, whatever the input.
-    sample = repeated.where("prefix is not null").orderBy("h").limit(SAMPLE_GRAMS).select("prefix").collect()
+    # A few short strings a task: the driver keeps no more of the data than of its own task list.
+    sample = repeated.where("prefix is not null").orderBy("h").limit(SAMPLE_A_RANGE * n_ranges).select("prefix").collect()
     sample = sorted({bytes(r[0]) for r in sample})
     splitters = np.array(
         sorted({sample[i * len(sample) // n_ranges] for i in range(1, n_ranges)} if sample else []), object
