@@ -211,5 +211,6 @@ def and_all(conds: list[Column]) -> Column:
 
 
 def dynamic_filter(df: DataFrame, **equals) -> DataFrame:
-    """AND of the equality filters whose value is not None."""
-    return df.filter(and_all([F.col(k) == v for k, v in equals.items() if v is not None]))
+    """AND of the filters that are given: a value is matched exactly, a list by any of its values, None is no filter."""
+    given = {k: v for k, v in equals.items() if v is not None}
+    return df.filter(and_all([F.col(k).isin(v) if isinstance(v, (list, tuple)) else F.col(k) == v for k, v in given.items()]))

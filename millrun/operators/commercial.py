@@ -92,15 +92,22 @@ def demand_scenarios(base: DataFrame, scenarios=((0, 0, 0), (10, 5, 0), (-10, 0,
     )
 
 
+def _cents(quantity: str) -> Column:
+    """Value of a quantity at the selling price, summed exactly."""
+    price = F.col("avg_selling_price").cast("decimal(18,2)")
+    return F.sum(F.col(quantity).cast("decimal(18,0)") * price).cast("double")
+
+
 def plan_gap(history: DataFrame, target_pct: float = 100.0, tolerance: float = 5.0) -> DataFrame:
     """Attainment (actual / plan) per category x month against the target; plan value ($M)
-    converted to thousand units by the category's average selling price."""
+    converted to thousand units by the price actually realised that month (actual value / actual units),
+    so that a plan of dearer products than were sold is worth more units than it lists."""
     g = history.groupBy("category", "period").agg(
         F.sum("forecast_qty").alias("plan_units"), F.sum("actual_qty").alias("actual_units"),
-        F.sum(F.col("forecast_qty") * F.col("avg_selling_price")).alias("plan_value"),
+        _cents("forecast_qty").alias("plan_value"), _cents("actual_qty").alias("actual_value"),
     )
     att = F.when(F.col("plan_units") > 0, F.col("actual_units") * 100.0 / F.col("plan_units"))
-    asp = F.try_divide(F.col("plan_value"), F.col("plan_units"))
+    asp = F.try_divide(F.col("actual_value"), F.col("actual_units"))
     return g.select(
         "category", "period", "plan_units", "actual_units", P.round_half_up(att, 1).alias("attainment_pct"),
         P.round_half_up(att - target_pct, 1).alias("gap_pct"), (att - target_pct >= -tolerance).alias("on_track"),
@@ -122,21 +129,25 @@ def plan_scenarios(plan: DataFrame) -> DataFrame:
 
 def exception_summary(delivery: DataFrame, orders: DataFrame, as_of: str) -> DataFrame:
     """Exceptions by type - late deliveries, open (pending) deliveries, rejected order
-    lines - with count, mean age in days and value; a union of rule queries."""
+    lines - with count, mean age in days, units and USD value; a union of rule queries.
+    Delivery lines carry no price: their value is NULL, never units in a money column."""
     d = F.lit(as_of).cast("date")
-    late = delivery.filter(F.col("delivery_status") == "Late").select(
-        F.lit("late_delivery").alias("exception_type"), F.datediff(d, F.coalesce("planned_delivery_date", "actual_delivery_date")).alias("age"),
-        F.col("delivered_quantity").cast("double").alias("value"))
-    pend = delivery.filter(F.col("delivery_status") == "Pending").select(
-        F.lit("pending_delivery").alias("exception_type"), F.datediff(d, "planned_delivery_date").alias("age"),
-        F.col("delivered_quantity").cast("double").alias("value"))
-    rej = orders.filter(F.col("is_rejected")).select(
-        F.lit("rejected_line").alias("exception_type"), F.datediff(d, P.safe_to_date("order_date")).alias("age"),
-        F.col("net_value_usd").cast("decimal(18,2)").cast("double").alias("value"))
-    u = late.unionByName(pend).unionByName(rej)
-    return u.groupBy("exception_type").agg(
+    planned = F.col("planned_delivery_date")
+
+    def rule(rows: DataFrame, name: str, since: Column, units: str, usd: Column) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("exception_type"), F.datediff(d, since).alias("age"),
+            F.col(units).cast("bigint").alias("units"), usd.cast("decimal(18,2)").alias("usd"))
+
+    no_price = F.lit(None)
+    late = rule(delivery.filter(F.col("delivery_status") == "Late"), "late_delivery",
+                F.coalesce(planned, "actual_delivery_date"), "delivered_quantity", no_price)
+    pend = rule(delivery.filter(F.col("delivery_status") == "Pending"), "pending_delivery", planned, "delivered_quantity", no_price)
+    rej = rule(orders.filter(F.col("is_rejected")), "rejected_line",
+               P.safe_to_date("order_date"), "order_quantity", F.col("net_value_usd"))
+    return late.unionByName(pend).unionByName(rej).groupBy("exception_type").agg(
         F.count(F.lit(1)).alias("exceptions"), P.round_half_up(F.avg("age"), 1).alias("avg_age_days"),
-        F.sum(F.col("value").cast("decimal(20,2)")).cast("double").alias("value"))
+        F.sum("units").alias("units"), F.sum("usd").cast("double").alias("value_usd"))
 
 
 def churn_exposure(accounts: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -226,21 +237,25 @@ def cost_trend_forecast(proc_lines: DataFrame, horizon: int = 6) -> DataFrame:
                     P.round_half_up(price, 2).alias("forecast_unit_cost"))
 
 
-def make_buy(proc_lines: DataFrame, internal_factor: float = 0.9, capacity_limit: float = 85.0) -> DataFrame:
-    """F3 (thresholds are ours): per material x plant, internal cost = 0.9 x lowest supplier
-    price, capacity use = the material's share (%) of its plant's volume; Make when internal is at
-    least 5 % cheaper and capacity use is below the limit, Buy when internal is dearer, else Hybrid."""
+def make_buy(proc_lines: DataFrame, costs: DataFrame, saving: float = 0.05, capacity_limit: float = 85.0) -> DataFrame:
+    """F3 (thresholds are ours): per material x plant, the lowest supplier price against the internal cost
+    of ``costs(material_number, internal_cost)``, and capacity use = the material's share (%) of its plant's
+    volume. Buy when internal is dearer or unknown, Make when it saves at least ``saving`` and capacity
+    use is below the limit, else Hybrid. Plant totals are sums of the material x plant rows, joined back: a plant
+    with a third of all rows is never one task."""
     g = proc_lines.filter(F.col("unit_price").isNotNull()).groupBy("material_number", "plant").agg(
         F.min("unit_price").alias("supplier_price"), F.sum("ordered_quantity").alias("qty"))
-    w = Window.partitionBy("plant")  # a plant's materials
-    cap = g.withColumn("capacity_use_pct", F.col("qty") * 100.0 / F.sum("qty").over(w))
-    internal = F.col("supplier_price") * internal_factor
+    plants = g.groupBy(F.col("plant").alias("_plant")).agg(F.sum("qty").alias("_volume"))
+    x = g.join(plants, g.plant.eqNullSafe(plants["_plant"])).join(costs, "material_number", "left")
+    x = x.withColumn("capacity_use_pct", F.try_divide(F.col("qty") * 100.0, F.col("_volume")))
+    price, internal = F.col("supplier_price"), F.col("internal_cost")
     decision = (
-        F.when((internal <= F.col("supplier_price") * 0.95) & (F.col("capacity_use_pct") < capacity_limit), F.lit("Make"))
-        .when(internal > F.col("supplier_price") * 0.95, F.lit("Buy")).otherwise(F.lit("Hybrid")))
-    return cap.select("material_number", "plant", P.round_half_up("supplier_price", 4).alias("supplier_price"),
-                      P.round_half_up(internal, 4).alias("internal_cost"), P.round_half_up("capacity_use_pct", 4).alias("capacity_use_pct"),
-                      decision.alias("decision"))
+        F.when(internal.isNull() | (internal > price), F.lit("Buy"))
+        .when((internal <= price * (1 - saving)) & (F.col("capacity_use_pct") < capacity_limit), F.lit("Make"))
+        .otherwise(F.lit("Hybrid")))
+    return x.select("material_number", "plant", P.round_half_up(price, 4).alias("supplier_price"),
+                    P.round_half_up(internal, 4).alias("internal_cost"), P.round_half_up("capacity_use_pct", 4).alias("capacity_use_pct"),
+                    decision.alias("decision"))
 
 
 def action_generation(dos: DataFrame, cat_mape: DataFrame, scorecard: DataFrame, as_of: str) -> DataFrame:

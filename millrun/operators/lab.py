@@ -235,7 +235,7 @@ def step_passed(step_type: Column, value: Column, lower: Column, upper: Column)
     )
 
 
-def step_results(runs: DataFrame, sections: DataFrame, steps: DataFrame, responses: DataFrame, max_steps: int = 10_000,
+def step_results(runs: DataFrame, sections: DataFrame, steps: DataFrame, responses: DataFrame,
                  order_cols=("created_at", "id", "value")) -> DataFrame:
     """P30 + P31 + W10: every step of every run with its latest response, visibility, pass flag
     and displayed number.
@@ -244,9 +244,7 @@ def step_results(runs: DataFrame, sections: DataFrame, steps: DataFrame, respons
     map task, so a run answered millions of times never lands in one task). Each run then holds
     at most one row per step of its procedure, which bounds the per-run windows below: the
     response map used by the visibility conditions and the running instruction count.
-    The step dimension is broadcast only after its size is checked."""
-    from millrun.session import bounded_broadcast
-
+    The step dimension is a plain join side: AQE broadcasts it from its measured bytes."""
     latest = responses.groupBy("run_id", "step_id").agg(
         F.max_by("value", F.struct(*[F.col(c) for c in order_cols])).alias("value"))
     sec_dim = sections.select(F.col("id").alias("section_id"), "procedure_id")
@@ -256,7 +254,7 @@ def step_results(runs: DataFrame, sections: DataFrame, steps: DataFrame, respons
         F.from_json("condition_json", CONDITION_SCHEMA).alias("cond"),
     )  # procedure x step dimension: parsed once, before the broadcast
     rs = runs.select(F.col("id").alias("run_id"), "procedure_id", "status").join(
-        bounded_broadcast(st, max_steps), "procedure_id")
+        st, "procedure_id")
     j = rs.join(latest, ["run_id", "step_id"], "left")
     answers = F.map_from_entries(F.collect_list(F.struct("step_id", "value")).over(Window.partitionBy("run_id")))
     j = j.withColumn("_answers", answers)

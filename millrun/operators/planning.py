@@ -307,16 +307,24 @@ def supplier_scorecard(proc_gold: DataFrame, delivery: DataFrame) -> DataFrame:
     )
 
 
-def days_of_supply(inv_gold: DataFrame, order_lines_df: DataFrame, days: int = 365, lo: float = 30.0, hi: float = 90.0) -> DataFrame:
-    """Days of supply = stock / average daily demand per material; band and health."""
+def days_of_supply(
+    inv_gold: DataFrame, order_lines_df: DataFrame, as_of: str, days: int = 365, lo: float = 30.0, hi: float = 90.0
+) -> DataFrame:
+    """Days of supply = stock / average daily demand of the ``days`` up to ``as_of`` per material, and health.
+
+    stockout: nothing left, or less than DOS_FLOOR_DAYS of demand (it runs out before an order arrives);
+    at_risk below ``lo``, excess above ``hi`` or without demand, else optimal. Lines without a valid order date have no demand rate.
+    """
+    ordered = P.safe_to_date("order_date")
+    last = F.lit(as_of).cast("date")
+    order_lines_df = order_lines_df.filter((ordered > F.date_sub(last, days)) & (ordered <= last))
     stock = inv_gold.groupBy("material_number").agg(F.sum("unrestricted_stock").cast("bigint").alias("stock"))
     dem = order_lines_df.groupBy("material_number").agg(F.sum("order_quantity").cast("bigint").alias("qty"))
     j = stock.join(dem, "material_number", "left").withColumn("qty", F.coalesce("qty", F.lit(0)))
     dos = F.when(F.col("qty") > 0, _half_up_div(F.col("stock") * days, F.col("qty"), 1))
     health = (
-        F.when(F.col("stock") <= 0, F.lit("stockout"))
+        F.when((F.col("stock") <= 0) | (dos < DOS_FLOOR_DAYS), F.lit("stockout"))
         .when(dos.isNull(), F.lit("excess"))
-        .when(dos < DOS_FLOOR_DAYS, F.lit("at_risk"))
         .when(dos < lo, F.lit("at_risk"))
         .when(dos > hi, F.lit("excess"))
         .otherwise(F.lit("optimal"))

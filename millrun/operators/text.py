@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
 from millrun.functions import similarity as S
-from millrun.session import bounded_broadcast
 
 # Fixed values of the reference's chunker and retrieval.
 CHUNK_SIZE = 600
@@ -71,13 +70,13 @@ def label_centroids(vectors: DataFrame, label_col: str, vec_col: str) -> DataFra
 
 
 def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid_col: str, qvec_col: str,
-                k: int = 4, max_broadcast_queries: int = 100_000) -> DataFrame:
+                k: int = 4) -> DataFrame:
     """V1: exact cosine top-k of every query over the whole corpus.
 
-    The query side is broadcast only after a bounded size check; beyond the bound the join
-    stays a (shuffled) nested loop and the result is the same.
+    The query set is stated by the caller and meets every corpus row in blocks of partitions. Spark broadcasts it
+    when its measured bytes are under the session's threshold; nothing is counted while the plan is built.
     """
-    q = bounded_broadcast(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("qvec")), max_broadcast_queries)
+    q = queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("qvec"))
     c = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).alias("vec"))
     scored = c.join(q, how="inner", on=F.lit(True)).select("qid", "doc_id", S.cosine("qvec", "vec").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))

@@ -113,12 +113,14 @@ def q_demand_scenarios(t):
 
 
 _PLAN = f"""SELECT category, period, sum(forecast_qty) AS plan_units, sum(actual_qty) AS actual_units,
-        sum(forecast_qty * avg_selling_price) AS plan_value FROM demand_history GROUP BY 1, 2"""
+        CAST(sum(CAST(forecast_qty AS DECIMAL(18,0)) * CAST(avg_selling_price AS DECIMAL(18,2))) AS DOUBLE) AS plan_value,
+        CAST(sum(CAST(actual_qty AS DECIMAL(18,0)) * CAST(avg_selling_price AS DECIMAL(18,2))) AS DOUBLE) AS actual_value
+        FROM demand_history GROUP BY 1, 2"""
 SQL_PLAN_GAP = f"""SELECT category, period, CAST(plan_units AS BIGINT) AS plan_units, CAST(actual_units AS BIGINT) AS actual_units,
         {RH("CASE WHEN plan_units > 0 THEN actual_units * 100.0 / plan_units END", 1)} AS attainment_pct,
         {RH("CASE WHEN plan_units > 0 THEN actual_units * 100.0 / plan_units END - 100.0", 1)} AS gap_pct,
         CASE WHEN plan_units > 0 THEN actual_units * 100.0 / plan_units END - 100.0 >= -5.0 AS on_track,
-        {RH("plan_value / 1e6", 3)} AS plan_value_m, {RH("plan_value / (plan_value / plan_units) / 1000", 3)} AS plan_k_units FROM g"""
+        {RH("plan_value / 1e6", 3)} AS plan_value_m, {RH("plan_value / nullif(actual_value / nullif(actual_units, 0), 0) / 1000", 3)} AS plan_k_units FROM g"""
 
 
 @query("plan_gap", W(["demand_history"], [("g", _PLAN)], SQL_PLAN_GAP))
@@ -147,15 +149,16 @@ def q_plan_scenarios(t):
       f"""WITH u AS (
             SELECT 'late_delivery' AS exception_type,
                    CAST(date_diff('day', coalesce(planned_delivery_date, actual_delivery_date), DATE '{B.AS_OF_ORDERS}') AS INTEGER) AS age,
-                   CAST(delivered_quantity AS DOUBLE) AS value FROM dl WHERE delivery_status = 'Late'
+                   delivered_quantity AS units, NULL AS usd FROM dl WHERE delivery_status = 'Late'
             UNION ALL
             SELECT 'pending_delivery', CAST(date_diff('day', planned_delivery_date, DATE '{B.AS_OF_ORDERS}') AS INTEGER),
-                   CAST(delivered_quantity AS DOUBLE) FROM dl WHERE delivery_status = 'Pending'
+                   delivered_quantity, NULL FROM dl WHERE delivery_status = 'Pending'
             UNION ALL
             SELECT 'rejected_line', CAST(date_diff('day', TRY_CAST(order_date AS DATE), DATE '{B.AS_OF_ORDERS}') AS INTEGER),
-                   CAST(CAST(net_value_usd AS DECIMAL(18,2)) AS DOUBLE) FROM ol WHERE is_rejected)
+                   order_quantity, CAST(net_value_usd AS DECIMAL(18,2)) FROM ol WHERE is_rejected)
         SELECT exception_type, count(*) AS exceptions, {RH("avg(age)", 1)} AS avg_age_days,
-               CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS value FROM u GROUP BY 1"""),
+               CAST(sum(units) AS BIGINT) AS units, CAST(sum(CAST(usd AS DECIMAL(18,2))) AS DOUBLE) AS value_usd
+        FROM u GROUP BY 1"""),
 )
 def q_exception_summary(t):
     """A44 as of the ERP clock."""
@@ -305,14 +308,18 @@ def q_cost_trend_forecast(t):
     W(["ekpo", "ekko"], [("pl", SQL_PROC_LINES)],
       f"""WITH g AS (SELECT material_number, plant, min(unit_price) AS sp, sum(ordered_quantity) AS qty FROM pl
                      WHERE unit_price IS NOT NULL GROUP BY 1, 2),
-            c AS (SELECT *, qty * 100.0 / sum(qty) OVER (PARTITION BY plant) AS cap, sp * {D(0.9)} AS ic FROM g)
+            c AS (SELECT g.*, qty * 100.0 / sum(qty) OVER (PARTITION BY plant) AS cap,
+                         p_retailprice * CAST(p_partkey % 10 + 1 AS DOUBLE) / 5 AS ic
+                  FROM g LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = material_number)
         SELECT material_number, plant, {RH("sp", 4)} AS supplier_price, {RH("ic", 4)} AS internal_cost, {RH("cap", 4)} AS capacity_use_pct,
-               CASE WHEN ic <= sp * {D(0.95)} AND cap < 85.0 THEN 'Make' WHEN ic > sp * {D(0.95)} THEN 'Buy' ELSE 'Hybrid' END AS decision
+               CASE WHEN ic <= sp * (1 - {D(0.05)}) AND cap < 85.0 THEN 'Make' WHEN ic <= sp THEN 'Hybrid' ELSE 'Buy' END AS decision
         FROM c"""),
 )
 def q_make_buy(t):
-    """F3 per material x plant."""
-    return C.make_buy(erp.procurement_lines(B.ekpo(t), B.ekko(t)))
+    """F3 per material x plant; the internal cost is a fifth to twice the list price, by part number."""
+    cost = F.col("p_retailprice") * (F.col("p_partkey") % 10 + 1).cast("double") / 5
+    costs = t.part.select(F.col("p_partkey").cast("string").alias("material_number"), cost.alias("internal_cost"))
+    return C.make_buy(erp.procurement_lines(B.ekpo(t), B.ekko(t)), costs)
 
 
 _ = (L, SQL_PROC_GOLD)

@@ -232,18 +232,19 @@ def q_supplier_scorecard(t):
     "days_of_supply",
     W(["mard", "vbap", "vbak"], [("inv_pos", SQL_INV_POS), ("inv_gold", SQL_INV_GOLD), ("ol", SQL_ORDER_LINES)],
       f"""WITH st AS (SELECT material_number, CAST(sum(unrestricted_stock) AS BIGINT) AS stock FROM inv_gold GROUP BY 1),
-          dm AS (SELECT material_number, CAST(sum(order_quantity) AS BIGINT) AS qty FROM ol GROUP BY 1),
+          dm AS (SELECT material_number, CAST(sum(order_quantity) AS BIGINT) AS qty FROM ol
+                 WHERE date_diff('day', TRY_CAST(order_date AS DATE), DATE '{B.AS_OF_ORDERS}') BETWEEN 0 AND 364 GROUP BY 1),
           j AS (SELECT st.material_number, st.stock, coalesce(dm.qty, 0) AS qty,
                        CASE WHEN coalesce(dm.qty, 0) > 0 THEN {HD("st.stock * 365", "dm.qty", 1)} END AS dos
                 FROM st LEFT JOIN dm ON st.material_number = dm.material_number)
         SELECT material_number, stock, qty AS annual_demand, dos AS days_of_supply,
-          CASE WHEN stock <= 0 THEN 'stockout' WHEN dos IS NULL THEN 'excess' WHEN dos < 7 THEN 'at_risk'
-               WHEN dos < 30 THEN 'at_risk' WHEN dos > 90 THEN 'excess' ELSE 'optimal' END AS health FROM j"""),
+          CASE WHEN stock = 0 THEN 'stockout' WHEN dos >= 7 AND dos < 30 THEN 'at_risk' WHEN dos >= 30 AND dos <= 90 THEN 'optimal'
+               WHEN dos < 7 THEN 'stockout' ELSE 'excess' END AS health FROM j"""),
 )
 def q_days_of_supply(t):
     """A46."""
     inv = erp.inventory_gold(erp.inventory_positions(B.mard(t)))
-    return PL.days_of_supply(inv, erp.order_lines(B.vbap(t), B.vbak(t)))
+    return PL.days_of_supply(inv, erp.order_lines(B.vbap(t), B.vbak(t)), B.AS_OF_ORDERS)
 
 
 @query(

@@ -206,7 +206,7 @@ def q_cascade_impact_kpis(t):
     W(["inspection_records", "inspection_rows"], [],
       """SELECT r.id, r.product, count(ir.id) AS n_rows, list(ir.id ORDER BY ir.id) FILTER (WHERE ir.id IS NOT NULL) AS row_ids,
                 list(ir.piece_iqa ORDER BY ir.id) FILTER (WHERE ir.id IS NOT NULL) AS iqa
-         FROM inspection_records r JOIN inspection_rows ir ON ir.record_id = r.id GROUP BY r.id, r.product"""),
+         FROM inspection_records r LEFT JOIN inspection_rows ir ON ir.record_id = r.id GROUP BY r.id, r.product"""),
 )
 def q_inspection_documents(t):
     """Each record with its rows nested in order (one grouped collect per record, no N+1)."""
@@ -214,8 +214,8 @@ def q_inspection_documents(t):
     nested = rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                            F.sort_array(F.collect_list(F.struct("id", "piece_iqa"))).alias("r"))
     recs = B.inspection_records(t).select("id", "product")
-    j = recs.join(nested, recs.id == nested.record_id)
-    return j.select("id", "product", "n_rows", F.transform("r", lambda x: x["id"]).alias("row_ids"),
+    j = recs.join(nested, recs.id == nested.record_id, "left")
+    return j.select("id", "product", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.transform("r", lambda x: x["id"]).alias("row_ids"),
                     F.transform("r", lambda x: x["piece_iqa"]).alias("iqa"))
 
 
@@ -228,18 +228,19 @@ def q_inspection_documents(t):
 def q_pl_filtered(t):
     """P43 + P44: fiscal-year prefix, first half and region predicates on the P&L."""
     pl = FI.pl_summary(B.finance_lines(t))
-    return P.dynamic_filter(pl.filter(F.col("period_key").startswith("FY2000") & F.col("fiscal_quarter").isin(1, 2)
-                                      & F.col("region").isin("AMERICA", "EUROPE")))
+    year = pl.filter(F.col("period_key").startswith("FY2000"))
+    return P.dynamic_filter(year, fiscal_quarter=[1, 2], region=["AMERICA", "EUROPE"])
 
 
 # ---- F5 action generation ------------------------------------------------------------------------
-_DOS = """WITH st AS (SELECT material_number, CAST(sum(unrestricted_stock) AS BIGINT) AS stock FROM inv_gold GROUP BY 1),
-          dm AS (SELECT material_number, CAST(sum(order_quantity) AS BIGINT) AS qty FROM ol GROUP BY 1)
+_DOS = f"""WITH st AS (SELECT material_number, CAST(sum(unrestricted_stock) AS BIGINT) AS stock FROM inv_gold GROUP BY 1),
+          dm AS (SELECT material_number, CAST(sum(order_quantity) AS BIGINT) AS qty FROM ol
+                 WHERE date_diff('day', TRY_CAST(order_date AS DATE), DATE '{B.AS_OF_ORDERS}') BETWEEN 0 AND 364 GROUP BY 1)
      SELECT st.material_number, coalesce(dm.qty, 0) AS annual_demand, st.stock,
             CASE WHEN coalesce(dm.qty, 0) > 0 THEN floor((st.stock * 365 * 20 + dm.qty) / (dm.qty * 2)) / 10 END AS dos
      FROM st LEFT JOIN dm ON st.material_number = dm.material_number"""
-_HEALTH = """CASE WHEN stock <= 0 THEN 'stockout' WHEN dos IS NULL THEN 'excess' WHEN dos < 7 THEN 'at_risk'
-                  WHEN dos < 30 THEN 'at_risk' WHEN dos > 90 THEN 'excess' ELSE 'optimal' END"""
+_HEALTH = """CASE WHEN stock = 0 THEN 'stockout' WHEN dos >= 7 AND dos < 30 THEN 'at_risk' WHEN dos >= 30 AND dos <= 90 THEN 'optimal'
+                  WHEN dos < 7 THEN 'stockout' ELSE 'excess' END"""
 
 
 @query(
@@ -262,7 +263,7 @@ _HEALTH = """CASE WHEN stock <= 0 THEN 'stockout' WHEN dos IS NULL THEN 'excess'
 def q_action_generation(t):
     """reorder / forecast-override / supplier-escalation actions from the A46, A18, A45 rules."""
     ol = erp.order_lines(B.vbap(t), B.vbak(t))
-    dos = PL.days_of_supply(erp.inventory_gold(erp.inventory_positions(B.mard(t))), ol)
+    dos = PL.days_of_supply(erp.inventory_gold(erp.inventory_positions(B.mard(t))), ol, B.AS_OF_ORDERS)
     cm = PL.category_mape(PL.forecast_accuracy(B.demand_history(t)))
     proc = erp.procurement_gold(erp.procurement_lines(B.ekpo(t), B.ekko(t)))
     sc = PL.supplier_scorecard(proc, erp.delivery_lines(B.lips(t), B.likp(t)))

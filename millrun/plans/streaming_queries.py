@@ -45,7 +45,7 @@ def q_shift_oee_stream(t):
       "SELECT event_id, machine_id, event_ts, state, next_event_ts, duration_minutes, downtime_category FROM se"),
 )
 def q_state_duration_stream(t):
-    """ST3: applyInPandasWithState keeps each machine's open event."""
+    """ST3: applyInPandasWithState threads each machine's events, late ones too."""
     return J.state_duration_stream(_st(t))
 
 

@@ -1,9 +1,8 @@
 """Session construction and cluster-safe helpers shared by every operator.
 
 Nothing here holds data. The helpers only decide *how* Spark should execute a plan:
-the session defaults (UTC, ANSI, AQE), where lineage is cut (the shared checkpoint
-directory named by the cluster), and when a join side may be broadcast (only after its
-size has been checked against a bound; otherwise the plan keeps its shuffle join).
+the session defaults (UTC, ANSI, AQE) and where lineage is cut (the shared checkpoint
+directory named by the cluster).
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Defaults that every oracle-exact result depends on.
 SESSION_DEFAULTS = {
@@ -68,15 +66,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan), so it costs
-    little for a real dimension and nothing grows with the fact table. Beyond the bound the
-    frame is returned as is and the planner keeps a shuffle join (AQE may still demote it to a
-    broadcast at run time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -8,8 +8,8 @@ executor) only appends an identical version, so the reconciled result stays exac
 
 Aggregations run in update mode with a watermark on event time (the delay bounds the state);
 the shift and downtime windows are tumbling / sliding ``window`` aggregates; the state-duration
-job keeps each machine's open event in ``applyInPandasWithState`` and closes it when the next
-event arrives; page sessions use ``session_window``.
+job keeps each machine's events of the watermark's span in ``applyInPandasWithState`` and threads late ones
+in; page sessions use ``session_window``.
 """
 
 from __future__ import annotations
@@ -124,36 +124,42 @@ def shift_oee_stream(st: StreamTables, watermark: str = DEFAULT_WATERMARK) -> Da
 # ---- ST3: state duration with keyed state ----------------------------------------------------------
 
 _EVENT_COLS = ["event_id", "machine_id", "event_ts", "state", "idle_reason"]
-_STATE_SCHEMA = "event_id string, event_ts timestamp, state string, idle_reason string"
+#: The events of a machine that a late one may still follow, in order, column by column.
+_STATE_SCHEMA = "event_id array<string>, event_us array<bigint>, state array<string>, idle_reason array<string>"
 _OUT_SCHEMA = "event_id string, machine_id string, event_ts timestamp, state string, idle_reason string, next_event_ts timestamp"
 
 
-def _close_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per machine: order this batch's events (after the open one kept in state), emit each with
-    the next event's time, emit the newest as open (NULL) and keep it in state."""
-    frames = [b[_EVENT_COLS] for b in batches]
-    cur = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=_EVENT_COLS)
+def _thread_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per machine: sort this batch's events in among the kept ones; emit each new event, and each event that a
+    new one now follows, with the next event's time (NULL for the newest). Kept for the next batch: events from the
+    watermark on and the one before it, so an event within the watermark's delay corrects its predecessor."""
+    frames = [b[_EVENT_COLS].assign(new=True) for b in batches]
     if state.exists:
-        eid, ets, st, ir = state.get
-        prev = pd.DataFrame([{"event_id": eid, "machine_id": key[0], "event_ts": ets, "state": st, "idle_reason": ir}])
-        cur = pd.concat([prev, cur], ignore_index=True)
-    if cur.empty:
-        return
-    cur["event_ts"] = pd.to_datetime(cur["event_ts"])
-    cur = cur.sort_values(["event_ts", "event_id"], kind="mergesort").reset_index(drop=True)
+        ids, us, states, reasons = state.get
+        kept = {"event_id": ids, "machine_id": key[0], "event_ts": pd.to_datetime(us, unit="us"), "state": states, "idle_reason": reasons}
+        frames.append(pd.DataFrame(kept).assign(new=False))
+    cur = pd.concat(frames, ignore_index=True).sort_values(["event_ts", "event_id"], kind="mergesort", ignore_index=True)
     cur["next_event_ts"] = cur["event_ts"].shift(-1)
-    last = cur.iloc[-1]
-    state.update((last["event_id"], last["event_ts"].to_pydatetime(), last["state"], last["idle_reason"]))
-    yield cur[_EVENT_COLS + ["next_event_ts"]]
+    changed = cur["new"] | cur["new"].shift(-1, fill_value=False)
+    yield cur.loc[changed, [*_EVENT_COLS, "next_event_ts"]]
+    us = (cur["event_ts"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+    first = max(int((us < state.getCurrentWatermarkMs() * 1000).sum()) - 1, 0)
+    rest = cur.iloc[first:]
+    reasons = [None if pd.isna(x) else x for x in rest["idle_reason"]]
+    state.update((rest["event_id"].tolist(), us.iloc[first:].tolist(), rest["state"].tolist(), reasons))
 
 
 def state_duration_stream(st: StreamTables, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """ST3 = W2 + P13 as a stream (events in order per machine within the watermark)."""
+    """ST3 = W2 + P13 as a stream, whatever the order of arrival within the watermark's delay.
+
+    State per machine is what the delay spans; ``max_files_per_trigger`` of the tables bounds a micro-batch.
+    An event later than the delay gets its own duration but no longer shortens its predecessor's.
+    """
     raw = B.production_events_raw(st).filter(
         F.col("event_ts").isNotNull() & F.col("machine_id").isNotNull() & F.col("state").isin(*plant.STATES)
     )
     out = raw.select(*_EVENT_COLS).withWatermark("event_ts", watermark).groupBy("machine_id").applyInPandasWithState(
-        _close_events, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+        _thread_events, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
     )
     latest = latest_per_key(run_to_changelog(out, "state_duration"), ["event_id"])
     secs = F.unix_timestamp("next_event_ts") - F.unix_timestamp("event_ts")

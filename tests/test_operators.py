@@ -5,11 +5,12 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
 from millrun.functions.similarity import jaro_winkler
-from millrun.operators import erp, lab, plant, planning, text
+from millrun.operators import commercial, erp, lab, plant, planning, text
 from millrun.sources import io as IO
 
 
@@ -443,3 +444,68 @@ def test_partitioned_roundtrip_is_idempotent(spark, sf_dir):
     second = q(spark, sf_dir)
     assert sorted(map(tuple, second.collect())) == first and first
     assert "PartitionFilters: [isnotnull(reading_date" in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_duration_stream_out_of_order(spark, sf_dir):
+    """ST3 equals the batch answer when files arrive interleaved, and when the newest arrive first."""
+    from millrun.plans.catalog import QUERIES
+    from millrun.streaming import jobs as J
+
+    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    cols = ["event_id", "machine_id", "event_ts", "state", "next_event_ts", "duration_minutes", "downtime_category"]
+    want = sorted(map(str, QUERIES["state_events_silver"](spark, sf_dir).select(*cols).collect()))
+    late = F.lit(3) - F.ntile(3).over(Window.orderBy("ts", "event_id"))
+    for part in (F.col("event_id") % 3, late):
+        d = tempfile.mkdtemp(prefix="millrun-late-")
+        for i, name in enumerate("abc"):
+            ev.withColumn("_p", part).where(F.col("_p") == i).drop("_p").coalesce(1).write.parquet(os.path.join(d, name))
+        st = J.StreamTables(spark, sf_dir)
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "*"))
+        st.__dict__["events"] = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        got = J.state_duration_stream(st, watermark="4000 days").select(*cols)
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_make_buy_decisions(spark):
+    """dearer or unknown -> Buy, clearly cheaper -> Make, little cheaper or a full plant -> Hybrid."""
+    items = [("a", "p", 10.0, 1), ("b", "p", 10.0, 1), ("c", "p", 10.0, 1), ("d", "p", 10.0, 1), ("a", "q", 10.0, 9), ("b", "q", 10.0, 1)]
+    lines = spark.createDataFrame(items, "material_number string, plant string, unit_price double, ordered_quantity int")
+    costs = spark.createDataFrame([("a", 5.0), ("b", 9.8), ("c", 10.1)], "material_number string, internal_cost double")
+    got = {(r["material_number"], r["plant"]): r["decision"] for r in rows(commercial.make_buy(lines, costs))}
+    assert got == {("a", "p"): "Make", ("b", "p"): "Hybrid", ("c", "p"): "Buy", ("d", "p"): "Buy", ("a", "q"): "Hybrid", ("b", "q"): "Hybrid"}
+
+
+def test_days_of_supply_rate_and_floor(spark):
+    """Demand of the last 365 days only; under 7 days of it is a stockout; no demand is excess."""
+    inv = spark.createDataFrame([("a", 6), ("b", 20), ("c", 60), ("d", 91), ("e", 0), ("f", 5)], "material_number string, unrestricted_stock int")
+    sold = [(m, 365, "2001-06-01") for m in "abcde"] + [("f", 365, "2000-11-30"), ("a", 9999, "2000-12-01"), ("b", 9999, "2025-02-30")]
+    orders = spark.createDataFrame(sold, "material_number string, order_quantity int, order_date string")
+    got = {r["material_number"]: r for r in rows(planning.days_of_supply(inv, orders, "2001-12-01"))}
+    assert {k: r["health"] for k, r in got.items()} == {
+        "a": "stockout", "b": "at_risk", "c": "optimal", "d": "excess", "e": "stockout", "f": "excess"}
+    assert got["a"]["days_of_supply"] == 6.0 and got["a"]["annual_demand"] == 365 and got["f"]["days_of_supply"] is None
+
+
+def test_exception_values_and_optional_filters(spark):
+    """USD only from lines that carry a price. P32: lists match any value, None is no filter."""
+    dl = spark.createDataFrame([("Late", None, dt.date(2020, 1, 1), 3), ("Pending", dt.date(2020, 1, 2), None, 4), ("On Time", None, None, 9)],
+                               "delivery_status string, planned_delivery_date date, actual_delivery_date date, delivered_quantity int")
+    ol = spark.createDataFrame([(True, "2020-01-01", 2, 10.5), (False, "2020-01-01", 7, 99.0)],
+                               "is_rejected boolean, order_date string, order_quantity int, net_value_usd double")
+    got = {r["exception_type"]: r for r in rows(commercial.exception_summary(dl, ol, "2020-01-11"))}
+    assert (got["late_delivery"]["units"], got["late_delivery"]["value_usd"], got["late_delivery"]["avg_age_days"]) == (3, None, 10.0)
+    assert (got["pending_delivery"]["units"], got["rejected_line"]["units"], got["rejected_line"]["value_usd"]) == (4, 2, 10.5)
+    assert P.dynamic_filter(dl, delivery_status=["Late", "Pending"], delivered_quantity=None).count() == 2
+    assert P.dynamic_filter(dl, delivery_status="Late", delivered_quantity=4).count() == 0
+    assert P.dynamic_filter(dl).count() == 3
+
+
+def test_delivery_kpis_count_distinct_across_documents(spark):
+    """One delivery of two lines and one without a header; a material of both counts once."""
+    lips = spark.createDataFrame([("1", "1", "m", 5, "EA"), ("1", "2", "n", 6, "EA"), ("2", "1", "m", 7, "EA")],
+                                 "vbeln string, posnr string, matnr string, lfimg int, vrkme string")
+    likp = spark.createDataFrame([("1", "c", "2020-01-10", "2020-01-13", "x")],
+                                 "vbeln string, kunnr string, lfdat string, wadat_ist string, tragr string")
+    r = rows(erp.kpi_delivery(erp.delivery_lines(lips, likp)))[0]
+    assert r == {"total_deliveries": 2, "total_delivery_lines": 3, "total_units_delivered": 18, "unique_customers": 1,
+                 "unique_materials_delivered": 2, "on_time_delivery_rate_pct": 0.0, "avg_delivery_variance_days": 3.0}
