@@ -3,8 +3,7 @@
 Record-level pass/fail pre-aggregates the child rows per record (map-side partial aggregate)
 before joining the headers, so the join carries one row per record. The per-dimension
 breakdown is one GROUPING SETS pass instead of three scans. The export's dense group number is
-computed with range buckets (distinct ids per bucket -> running offsets over the few bucket
-rows -> dense_rank inside a bucket), never with one un-partitioned window over all ids.
+counted by range slices of the distinct ids, never with one un-partitioned window over all of them.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrun.operators.ordinals import ordinal_within
 
 # Piece columns of an inspection row, and the texts that mean failure.
 PIECES = ("piece_1st", "piece_5th", "piece_10th", "piece_15th", "piece_20th", "piece_25th", "piece_30th", "piece_35th", "piece_iqa")
@@ -73,8 +73,10 @@ def inspection_by_dimension(pf: DataFrame, top_products: int = 10) -> DataFrame:
     dim = F.when(F.col("gid") == 3, F.lit("product")).when(F.col("gid") == 5, F.lit("machinist")).otherwise(F.lit("operation"))
     val = F.when(F.col("gid") == 3, F.col("product")).when(F.col("gid") == 5, F.col("machinist")).otherwise(F.col("operation"))
     g = g.select(dim.alias("dimension"), val.alias("value"), "total", "passed", "failed").filter(F.col("value").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("total"), F.asc("value")))  # few groups
-    g = g.withColumn("_r", rank).filter((F.col("dimension") != "product") | (F.col("_r") <= top_products)).drop("_r")
+    # Products share one group and are cut to n in each task before the shuffle; any other value is its own group.
+    group = F.when(F.col("dimension") != "product", F.col("value"))
+    rank = F.row_number().over(Window.partitionBy("dimension", group).orderBy(F.desc("total"), F.asc("value")))
+    g = g.withColumn("_r", rank).filter(F.col("_r") <= top_products).drop("_r")
     return g.withColumn("pass_rate", _half_up_div(F.col("passed") * 100, F.col("total"), 1))
 
 
@@ -170,20 +172,13 @@ def records_without_rows(records: DataFrame, rows: DataFrame) -> DataFrame:
     return records.join(rows, records.id == rows.record_id, "left_anti")
 
 
-def dense_index(ids: DataFrame, id_col: str, out: str = "group_no", bucket_width: int = 1 << 20) -> DataFrame:
-    """W9 at scale: dense rank (1-based) of the distinct values of an integer id column.
+def dense_index(ids: DataFrame, id_col: str, out: str = "group_no") -> DataFrame:
+    """W9 at scale: dense rank (1-based) of the distinct values of an id column of any type.
 
-    Distinct ids are bucketed by ``id div bucket_width``; a running sum of distinct counts over
-    the bucket rows gives each bucket's offset, and ``dense_rank`` runs inside one bucket only.
+    The distinct ids are numbered by range slices (see ``ordinal_within``), so dense, sparse, hashed and
+    text ids spread alike and no task sees them all.
     """
-    from millrun.session import cut_lineage
-
-    # the distinct ids feed both the bucket counts and the local ranks: materialise them once
-    d = cut_lineage(ids.select(id_col).distinct().withColumn("_b", F.floor(F.col(id_col) / bucket_width)))
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    local = d.withColumn("_local", F.dense_rank().over(Window.partitionBy("_b").orderBy(id_col)))
-    return local.join(offs, "_b").select(id_col, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).alias(out))
+    return ordinal_within(ids.select(id_col).distinct(), [], [id_col], out, base=1, kind="bigint")
 
 
 def export_rows(records: DataFrame, rows: DataFrame) -> DataFrame:

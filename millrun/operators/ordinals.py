@@ -18,13 +18,13 @@ from millrun.session import cut_lineage
 
 
 def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "order_index",
-                   base: int = 0) -> DataFrame:
-    """Add ``out`` = position of each row within its group by ``order_cols`` (``base``, base + 1, ...).
-    ``order_cols`` must be a total order within a group (end with a key)."""
+                   base: int = 0, kind: str = "int") -> DataFrame:
+    """Add ``out`` = position of each row within its group by ``order_cols`` (``base``, base + 1, ...),
+    as a ``kind``. No group columns: one group of all rows. ``order_cols`` must be a total order within a group (end with a key)."""
     ranged = cut_lineage(df.repartitionByRange(*group_cols, *order_cols).withColumn("_slice", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*group_cols, "_slice").orderBy(*order_cols)))
     counts = local.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     joined = local.join(offsets, [*group_cols, "_slice"])
-    return joined.withColumn(out, (F.col("_off") + F.col("_local") - 1 + base).cast("int")).drop("_slice", "_local", "_off")
+    return joined.withColumn(out, (F.col("_off") + F.col("_local") - 1 + base).cast(kind)).drop("_slice", "_local", "_off")
