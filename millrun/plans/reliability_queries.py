@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
 from millrun.operators import commercial as C
-from millrun.operators import erp, finance as FI, lab as L, plant, planning as PL
+from millrun.operators import erp, finance as FI, plant, planning as PL
 from millrun.operators import reliability as R
 from millrun.plans.commercial_queries import _SC_SQL
 from millrun.plans.erp_queries import SQL_DELIVERY_LINES, SQL_INV_GOLD, SQL_INV_POS, SQL_ORDER_LINES, SQL_PROC_GOLD, SQL_PROC_LINES
@@ -270,9 +270,6 @@ def q_action_generation(t):
     return C.action_generation(dos, cm, sc, B.AS_OF_ORDERS)
 
 
-_ = (L,)
-
-
 # ---- C4 rework routing cost ------------------------------------------------------------------------
 _RR = "(VALUES " + ", ".join(
     f"('{d}', {i + 1}, '{st}', {m})" for d, route in R.REWORK_ROUTES.items() for i, (st, m) in enumerate(route)

@@ -4,7 +4,7 @@ and returns the reconciled result, checked against the batch formulation in Duck
 from __future__ import annotations
 
 from millrun.plans.oracle_bindings import with_bindings as W
-from millrun.plans.plant_queries import HD, SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY, TS_AS_OF
+from millrun.plans.plant_queries import SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY
 from millrun.plans.registry import query
 from millrun.sources import bindings as B
 from millrun.streaming import jobs as J
@@ -117,6 +117,3 @@ def q_late_data_audit_stream(t):
 def q_page_sessions_stream(t):
     """ST8: session_window per user (A50 engagement as sessions)."""
     return J.page_sessions_stream(_st(t))
-
-
-_ = (HD, TS_AS_OF)
