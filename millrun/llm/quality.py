@@ -1,10 +1,10 @@
 """Quality rules: base counts, and the distance of a document's histograms from its language's.
 
-Two histograms of every document are compared to reference histograms of its language: character
-classes, and common function words. The distance is the Jensen-Shannon distance (square root of the
+Two histograms of every document are compared to reference histograms of its language (medians over documents
+and sources that pass the base rule): character classes, and common function words. The distance is the Jensen-Shannon distance (square root of the
 divergence in bits: 0 equal, 1 disjoint). A document fails if a distance is over its limit and the
 document is long enough to tell. Everything is DataFrame expressions; the only shuffle is of
-one partial sum a language and task.
+one partial state a language, source and task.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 100
 MAX_CLASS_DISTANCE = 0.34
 MAX_WORD_DISTANCE = 0.32
+#: Shares are rounded to this part before their medians are taken.
+SHARE_STEPS = 1000
 SPACE = r" \t\n\x0B\f\r"
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -74,20 +76,57 @@ def with_histograms(docs: DataFrame) -> DataFrame:
     return out.withColumn("_common", F.concat("_counts", F.array(rest))).drop("_found", "_counts")
 
 
-def language_references(rows: DataFrame) -> DataFrame:
-    """``_ref, _ref_classes, _ref_common`` from ``with_features``: all documents of a language, as shares (null: '')."""
+def base_failed(features: str) -> Column:
+    """The base rule, from the struct of counts."""
+    n = F.col(f"{features}.n_words")
+    return (n < MIN_WORDS) | (100 * F.col(f"{features}.n_repeat_words") > MAX_REPEAT_PERCENT * n)
+
 
-    def share(col: str, n: int) -> Column:
-        sums = [F.coalesce(F.sum(F.get(col, F.lit(i)).cast("bigint")), F.lit(0)) for i in range(n)]
-        total = reduce(lambda a, b: a + b, sums)
-        return F.array(*(F.try_divide(s.cast("double"), total) for s in sums))
+def language_references(rows: DataFrame) -> DataFrame:
+    """``_ref, _ref_classes, _ref_common`` from ``with_features``: the typical shares of a language (null: '').
 
+    Only documents count that pass the base rule and are long enough to tell. The share of a class or word is the
+    median over a source's documents, then the median over sources, each weighted by the square root of its
+    documents; so neither a junk source with most rows nor junk in fewer than half of the documents of each source
+    moves it. Without a ``source`` column all is one source. Shares are counted in steps of 1 / SHARE_STEPS, so that
+    medians are exact and a source's state is small. Null where no document of the language is long enough.
+    """
     longest = max(len(w.split()) for w in COMMON_WORDS.values()) + 1
-    return rows.groupBy(F.coalesce("lang", F.lit("")).alias("_ref")).agg(
-        share("_features.classes", len(CLASSES) + 1).alias("_ref_classes"),
-        share("_features.common", longest).alias("_ref_common"),
+    sizes = {"classes": len(CLASSES) + 1, "common": longest}
+    enough = {
+        "classes": F.col("_features.word_chars") >= MIN_CHARS,
+        "common": F.col("_features.n_words") >= MIN_HISTOGRAM_WORDS,
+    }
+
+    def steps(col: str, i: int) -> Column:
+        counts = F.col(f"_features.{col}")
+        total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.when(enough[col], F.round(F.try_divide(F.get(counts, F.lit(i)) * SHARE_STEPS, total)).cast("int"))
+
+    source = F.col("source") if "source" in rows.columns else F.lit(None).cast("string")
+    passed = rows.where(~base_failed("_features"))
+    names = [(col, i, f"_{col}{i}") for col, n in sizes.items() for i in range(n)]
+    flat = passed.select(
+        F.coalesce("lang", F.lit("")).alias("_ref"),
+        source.alias("_source"),
+        *(enough[col].cast("int").alias(f"_n_{col}") for col in sizes),
+        *(steps(col, i).alias(k) for col, i, k in names),
+    )
+    by_source = flat.groupBy("_ref", "_source").agg(
+        *(F.floor(F.sqrt(F.sum(f"_n_{col}")) * 1000).alias(f"_w_{col}") for col in sizes),
+        *(F.percentile(k, F.lit(0.5)).alias(k) for _, _, k in names),
+    )
+    typical = by_source.groupBy("_ref").agg(
+        *(F.percentile(k, F.lit(0.5), F.col(f"_w_{col}")).alias(k) for col, _, k in names)
     )
 
+    def shares(col: str) -> Column:
+        medians = [F.col(k) for c, _, k in names if c == col]
+        total = reduce(lambda a, b: a + b, (F.coalesce(m, F.lit(0.0)) for m in medians))
+        return F.array(*(F.try_divide(m, total) for m in medians)).alias(f"_ref_{col}")
+
+    return typical.select("_ref", shares("classes"), shares("common"))
+
 
 def js_distance(counts: Column, shares: Column) -> Column:
     """Jensen-Shannon distance of a histogram of counts from one of shares; null if either is empty or unknown."""
@@ -127,7 +166,7 @@ def repeat_words(words: str) -> list[tuple[str, Column]]:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs(text, lang, ...)`` and ``_features``: the counts and histograms of each row."""
+    """All columns of ``docs(text, lang, source, ...)`` and ``_features``: the counts and histograms of each row."""
     rows = docs.withColumns({"_text": F.coalesce("text", F.lit("")), "_lang": F.coalesce("lang", F.lit(""))})
     rows = with_histograms(rows)
     for name, col in repeat_words("_words"):
@@ -163,7 +202,7 @@ def judge(rows: DataFrame) -> DataFrame:
             "_by_word": js_distance(F.col("_features.common"), F.col("_ref_common")),
         }
     )
-    failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
+    failed = base_failed("_features")
     odd = ((f["word_chars"] >= MIN_CHARS) & (F.col("_by_class") > MAX_CLASS_DISTANCE)) | (
         (f["n_words"] >= MIN_HISTOGRAM_WORDS)
         & (F.size("_features.common") > 1)
@@ -180,9 +219,9 @@ def judge(rows: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs(text, lang, ...)`` with a struct ``_quality`` (see ``judge``).
+    """All rows and columns of ``docs(text, lang, source, ...)`` with a struct ``_quality`` (see ``judge``).
 
-    Null text counts as empty (fails the base rule). A null language is a language of its own, one
+    Null text counts as empty (fails the base rule); a null source is a source. A null language is a language of its own, one
     outside COMMON_WORDS has no common words and is compared by character classes alone; short texts
     have no verdict but the base rule's. Distances are null where they cannot be told. Repeated rows are
     judged alike; further columns pass through, only names that begin with an underscore are

@@ -76,7 +76,7 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, histogram distances and verdict of every document."""
-    rows = quality.with_features(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text")
+    rows = quality.with_features(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
     return quality.judge(written(rows, "features")).select("doc_id", "_quality.*")
 
 

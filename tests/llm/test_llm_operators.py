@@ -192,6 +192,21 @@ def test_quality_counts(small):
     assert quality.quality(empty(small)).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["one source", "all sources"])
+def test_quality_reference_is_independent_of_junk(spark, hot):
+    r = np.random.default_rng(3)
+    common, other = "the of and to in a is that it for".split(), ["river", "stone", "light", "amber", "quiet"]
+    prose = lambda: " ".join(str(r.choice(common if r.random() < 0.4 else other)) + "s" * (r.random() < 0.1) for _ in range(160))
+    junk = lambda: " ".join(f"{r.integers(10**6)}|{r.integers(10**6)}" for _ in range(160))
+    clean = [(i, prose(), "en", f"s{i % 6}", 1) for i in range(60)]
+    bad = [(100 + i, junk(), "en", "junk" if hot == "one source" else f"s{i % 6}", 0) for i in range(30)]
+    bad += [(200 + i, "spam " * 300, "en", f"s{i % 6}", 0) for i in range(60)]  # fails the base rule
+    df = spark.createDataFrame(clean + bad, "doc_id int, text string, lang string, source string, good int")
+    assert {(x.good, x._quality.kept) for x in quality.quality(df).collect()} == {(1, True), (0, False)}
+    none = quality.quality(df.drop("source")).collect()  # all one source
+    assert {(x.good, x._quality.kept) for x in none} == {(1, True), (0, False)}
+
+
 def test_js_distance(spark):
     p, q = np.array([3, 1, 0]), np.array([0.2, 0.3, 0.5])
     df = spark.createDataFrame([([3, 1, 0], q.tolist()), ([0, 0, 0], q.tolist())], "p array<int>, q array<double>")
