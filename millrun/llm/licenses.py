@@ -1,9 +1,10 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph (line) is a sparse bag of word n-grams. Features are the n-grams of the templates that contain a telling
+A paragraph is a line, or a window of the words of consecutive lines (a block without a blank line, comment marks
+and indents taken off), so that a notice wrapped at any width is read whole. It is a sparse bag of word n-grams. Features are the n-grams of the templates that contain a telling
 word, so a paragraph without a telling word has no feature at all: it scores as the intercepts do, which is the
 unknown class, and need not be looked at further. A multinomial logistic regression is fitted on variants
-of the templates and on paragraphs of the corpus that name no licence (unknown), with a temperature that is
+of the templates and on lines of the corpus that hold a telling word but hardly a trigram of a template (unknown), with a temperature that is
 calibrated on variants held back. A predicted family counts only if the paragraph also holds most of the
 word trigrams of one of the family's templates. Training and scoring are DataFrame operations.
 """
@@ -83,13 +84,21 @@ BACKGROUND_PARAGRAPHS = 2000
 #: Least calibrated probability, and least share of a template's trigrams.
 MIN_PROBABILITY = 0.5
 MIN_COVERAGE = 0.6
+#: Corpus lines with at least this share of a template's trigrams don't teach the unknown class.
+BACKGROUND_COVERAGE = 0.1
 SPACE = r"[^a-z0-9.\-]+"
+#: Words of a window, and from one window's start to the next's: a span of up to 48 words is whole in one of them.
+WINDOW_WORDS = 64
+WINDOW_STEP = 16
+#: Ends of lines, and the comment marks that are letters (others are no words).
+LINE_END = r"\r\n|\r|\n"
+COMMENT = r"(?i)^\s*(?:rem|dnl)(?=\s|$)"
 
 
 def words(text: Column) -> Column:
     """Lower-case words of letters, digits, dots and hyphens, without a dot at their end."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), SPACE, " "), r"\.+( |$)", "$1")
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(F.split(flat, " "), lambda w: w.rlike("[a-z0-9]"))
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -115,13 +124,33 @@ def feature_names() -> list[str]:
 
 
 def with_paragraphs(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_paragraphs``: the words of each line that has a telling word."""
-    lines = F.when(
-        F.col("text").rlike(f"(?i){TELLING}"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(f"(?i){TELLING}")),
-    )
-    lines = F.coalesce(lines, F.array().cast("array<string>"))
-    return docs.withColumn("_paragraphs", F.transform(lines, words))
+    """``docs`` with ``_blocks``: for each block of lines with a telling word, ``lines`` and ``windows`` (their words).
+
+    ``lines`` are the block's lines that have a telling word, ``windows`` those of its windows, none if it is one line.
+    """
+    telling = lambda x: x.rlike(f"(?i){TELLING}")
+    lines = F.transform(F.split("text", LINE_END), lambda x: F.regexp_replace(x, COMMENT, " "))
+    # A line without a letter or digit (blank, or comment marks alone) ends a block; \n\n then stands between blocks.
+    joined = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise("")), "\n")
+    blocks = F.when(telling(F.col("text")), F.filter(F.split(joined, "\n{2,}"), lambda x: telling(F.replace(x, F.lit("\n"), F.lit(" ")))))
+    blocks = F.coalesce(blocks, F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.size(w) - (WINDOW_WORDS - WINDOW_STEP), F.lit(1)) - 1
+        cut = F.transform(F.sequence(F.lit(0), last, F.lit(WINDOW_STEP)), lambda i: F.slice(w, i + 1, WINDOW_WORDS))
+        return F.filter(cut, lambda x: telling(F.array_join(x, " ")))
+
+    def read(x: Column) -> Column:
+        own = F.transform(F.filter(F.split(x, "\n"), telling), words)
+        wrapped = F.when(F.trim(x, F.lit("\n")).contains("\n"), F.flatten(F.transform(F.array(words(x)), windows)))
+        return F.struct(own.alias("lines"), F.coalesce(wrapped, F.array().cast("array<array<string>>")).alias("windows"))
+
+    return docs.withColumn("_blocks", F.transform(blocks, read))
+
+
+def template_grams() -> dict[str, list[list[str]]]:
+    """The trigrams of each template, by family."""
+    return {f: [sorted(set(_grams(_py_words(t), 3))) for t in ts] for f, ts in TEMPLATES.items()}
 
 
 def _features(w: Column, names: list[str]) -> Column:
@@ -152,9 +181,17 @@ def training_rows(docs: DataFrame) -> list[tuple[list[str], str]]:
         n = int(rng.integers(1, 4))
         s = int(rng.integers(0, max(1, len(w) - n)))
         rows.append((padded(w[s : s + n]), UNKNOWN))
-    sample = docs.select("text").where(F.col("text").isNotNull())
-    sample = sample.orderBy(F.xxhash64("text"), "text").limit(BACKGROUND_PARAGRAPHS)
-    lines = sample.select(words(F.substring("text", 1, 400)).alias("w")).where(f"not array_join(w, ' ') rlike '{TELLING}'")
+    line = F.explode(F.split("text", LINE_END)).alias("line")
+    lines = docs.where(F.col("text").rlike(f"(?i){TELLING}")).select(line).where(F.col("line").rlike(f"(?i){TELLING}"))
+    # The surroundings of the first telling word, so that a row is small however long the line.
+    near = lines.select(words(F.regexp_extract("line", f"(?i).{{0,200}}?(?:{TELLING}).{{0,200}}", 0)).alias("w"))
+    grams = [g for ts in template_grams().values() for g in ts]
+    share = F.transform(
+        F.array(*(F.array(*map(F.lit, g)) for g in grams)),
+        lambda t: F.size(F.array_intersect(t, ngrams(F.col("w"), 3))).cast("double") / F.size(t),
+    )
+    lines = near.where(F.array_max(share) < BACKGROUND_COVERAGE).distinct()
+    lines = lines.orderBy(F.xxhash64("w"), F.array_join("w", " ")).limit(BACKGROUND_PARAGRAPHS)
     rows += [(list(r[0]), UNKNOWN) for r in lines.collect()]
     return rows
 
@@ -205,31 +242,17 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def scan(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs(text, ...)`` and ``_licenses``: an array of (paragraph, family, probability, coverage, confirmed).
 
-    An entry for each paragraph with a telling word whose likeliest class is a family with at least
+    An entry for each line with a telling word whose likeliest class is a family with at least
     ``MIN_PROBABILITY``; ``coverage`` is the greatest share of a template's trigrams, ``confirmed`` if it is at least
-    ``MIN_COVERAGE``. Null and empty texts have no entry. Repeated rows are scanned alike; further
-    columns pass through, names that begin with an underscore are reserved; an empty table gives an empty result.
+    ``MIN_COVERAGE``. A family that a block of lines confirms only by a window has one entry for the block, the window
+    of greatest coverage, in place of its unconfirmed lines. Null and empty texts have no entry. Repeated rows
+    are scanned alike; further columns pass through, names that begin with an underscore are reserved; an empty table gives an empty result.
     """
     model = Classifier(docs.sparkSession, training_rows(docs))
     rows = with_paragraphs(docs)
     names = model.names
     families = F.array(*map(F.lit, model.families))
-    read = F.transform("_paragraphs", lambda w: F.struct(w.alias("w"), _features(w, names).alias("found")))
-    rows = rows.withColumn("_read", F.filter(read, lambda x: F.size(x["found"]) > 0))
-    scored = F.transform("_read", lambda x: F.struct(x["w"].alias("w"), model.probabilities(x["found"]).alias("p")))
-    rows = rows.withColumn("_scored", scored)
-    best = F.transform(
-        "_scored",
-        lambda x: F.struct(
-            x["w"].alias("w"),
-            F.array_max(x["p"]).alias("p"),
-            F.get(families, (F.array_position(x["p"], F.array_max(x["p"])) - 1).cast("int")).alias("family"),
-        ),
-    )
-    rows = rows.withColumn("_best", F.filter(best, lambda x: (x["family"] != UNKNOWN) & (x["p"] >= MIN_PROBABILITY)))
-    grams = {
-        f: F.array(*(F.array(*map(F.lit, sorted(set(_grams(_py_words(t), 3))))) for t in ts)) for f, ts in TEMPLATES.items()
-    }
+    grams = {f: F.array(*(F.array(*map(F.lit, g)) for g in ts)) for f, ts in template_grams().items()}
     templates = F.create_map(*(x for f, a in grams.items() for x in (F.lit(f), a)))
 
     def coverage(x: Column) -> Column:
@@ -239,21 +262,54 @@ def scan(docs: DataFrame) -> DataFrame:
         )
         return F.array_max(shares)
 
-    compared = F.transform(
-        "_best",
-        lambda x: F.struct(
-            F.array_join(x["w"], " ").alias("paragraph"),
-            x["family"].alias("family"),
-            x["p"].alias("probability"),
-            coverage(x).alias("coverage"),
-        ),
-    )
-    rows = rows.withColumn("_compared", compared)
-    out = F.transform(
-        "_compared",
-        lambda x: F.struct(
+    def found(x: Column) -> Column:
+        return F.struct(x["wrapped"].alias("wrapped"), x["w"].alias("w"), _features(x["w"], names).alias("found"))
+
+    def scored(x: Column) -> Column:
+        return F.struct(x["wrapped"].alias("wrapped"), x["w"].alias("w"), model.probabilities(x["found"]).alias("p"))
+
+    def best(x: Column) -> Column:
+        family = F.get(families, (F.array_position(x["p"], F.array_max(x["p"])) - 1).cast("int"))
+        return F.struct(x["wrapped"].alias("wrapped"), x["w"].alias("w"), F.array_max(x["p"]).alias("p"), family.alias("family"))
+
+    def compared(x: Column) -> Column:
+        fields = {"paragraph": F.array_join(x["w"], " "), "family": x["family"], "probability": x["p"], "coverage": coverage(x)}
+        return F.struct(x["wrapped"].alias("wrapped"), *(c.alias(k) for k, c in fields.items()))
+
+    def units(b: Column) -> Column:
+        """A block's lines and windows, marked."""
+        mark = lambda k, flag: F.transform(b[k], lambda w: F.struct(F.lit(flag).alias("wrapped"), w.alias("w")))
+        return F.concat(mark("lines", False), mark("windows", True))
+
+    def settled(e: Column) -> Column:
+        """A block's entries: its lines', and the best window of each family that no line confirms."""
+        sure = F.filter(e, lambda x: x["coverage"] >= MIN_COVERAGE)
+        by_line = F.transform(F.filter(sure, lambda x: ~x["wrapped"]), lambda x: x["family"])
+        across = F.filter(sure, lambda x: x["wrapped"] & ~F.array_contains(by_line, x["family"]))
+        ahead = lambda y, x: (y["family"] == x["family"]) & (
+            (y["coverage"] > x["coverage"]) | ((y["coverage"] == x["coverage"]) & (y["paragraph"] < x["paragraph"]))
+        )
+        first = F.filter(F.array_distinct(across), lambda x: ~F.exists(across, lambda y: ahead(y, x)))
+        taken = F.transform(first, lambda x: x["family"])
+        lines = F.filter(e, lambda x: ~x["wrapped"] & ~F.array_contains(taken, x["family"]))
+        return F.concat(lines, first)
+
+    def entry(x: Column) -> Column:
+        return F.struct(
             *(x[k].alias(k) for k in ("paragraph", "family", "probability", "coverage")),
             (x["coverage"] >= MIN_COVERAGE).alias("confirmed"),
-        ),
+        )
+
+    known = lambda x: (x["family"] != UNKNOWN) & (x["p"] >= MIN_PROBABILITY)
+    steps = (
+        units,
+        lambda b: F.filter(F.transform(b, found), lambda x: F.size(x["found"]) > 0),
+        lambda b: F.transform(b, scored),
+        lambda b: F.filter(F.transform(b, best), known),
+        lambda b: F.transform(b, compared),
+        settled,
+        lambda b: F.transform(b, entry),
     )
-    return rows.select(*docs.columns, out.alias("_licenses"))
+    for step in steps:
+        rows = rows.withColumn("_blocks", F.transform("_blocks", step))
+    return rows.select(*docs.columns, F.flatten("_blocks").alias("_licenses"))

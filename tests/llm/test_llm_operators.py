@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -146,6 +147,39 @@ def test_licenses(spark):
     assert licenses.scan(empty(df)).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software""",
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met:""",
+    "apache-2.0": """Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_wrapped_licenses(spark):
+    rows = []
+    for family, text in WRAPPED.items():
+        for width, mark in ((76, ""), (70, " * "), (72, "# "), (50, "// "), (60, "-- "), (66, "dnl ")):
+            lines = [mark + x for x in textwrap.wrap(" ".join(text.split()), width)]
+            end = "\r\n" if mark == "# " else "\n"
+            text_of = end.join(["some words", mark, *lines, mark, "other words"])
+            rows.append((f"{family} {width} {mark}", text_of, family))
+    background = "the software of the {} department needs a license, permission or copyright of {}"
+    rows += [(f"bg{i}", background.format(i, i) + "\nand\nwarranty was creative", "") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, f string")
+    for r in as_rows(licenses.scan(df)):
+        sure = [x["family"] for x in r["_licenses"] if x["confirmed"]]
+        assert sure == ([r["f"]] if r["f"] else []), r  # one entry for a notice
+    taught = {tuple(w) for w, f in licenses.training_rows(df) if f == licenses.UNKNOWN}
+    telling = [w for w in taught if "department" in w]
+    assert len(telling) == 40 and not any("hereby" in w and "charge" in w for w in taught)
+
+
 # --- mixing ---
 
 
