@@ -22,12 +22,17 @@ FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![\w/-]|\.[0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?!(?!T[0-9])[\w/-]|\.[0-9])",
     "phone": r"(?<![\w+-])(?:\+?1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])",
     "secret": r"(?<!\w)(?:AKIA[A-Z0-9]{16}(?!\w)|(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9]{8,128})",
 }
+#: Formats whose pattern may take in what follows a value, and the mark put after the value then (taken out again).
+GREEDY = ("iban", "card")
+MARK = "\uE000"
+#: Times that the text is scanned anew for such matches.
+RESCANS = 2
 #: A text without any of these has no value to replace.
 GATE = r"[0-9@=:]|AKIA"
 
@@ -244,21 +249,47 @@ def pseudonyms(tokens: Column, key: str) -> Column:
     return out
 
 
+def _bounded(t: Column) -> Column:
+    """A match of a greedy format that isn't valid, with ``MARK`` after the longest prefix that is, else before its last part."""
+    greedy = t.rlike("|".join(f"^(?:{FORMATS[k]})$" for k in GREEDY)) & _kind(t).isNull()
+    spans = F.sequence(F.char_length(t) - 1, F.lit(1), F.lit(-1))
+    ends = F.filter(spans, lambda i: F.substr(t, i + 1, F.lit(1)).isin(" ", "-"))
+    valid = F.filter(ends, lambda i: _kind(F.substr(t, F.lit(1), i)).isin(*GREEDY))
+    end = F.coalesce(F.get(valid, F.lit(0)), F.get(ends, F.lit(0)))
+    cut = let(end, lambda i: F.concat(F.substr(t, F.lit(1), i), F.lit(MARK), F.substr(t, i + 1, F.char_length(t))))
+    return F.when(greedy, F.coalesce(cut, t)).otherwise(t)
+
+
+def _scan(rows: DataFrame, pattern: str) -> DataFrame:
+    """``_found`` and ``_between``: the matches in ``_text``, and what is around them (null if there is none)."""
+    found = F.when(F.col("_text").rlike(GATE), F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+    rows = rows.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    return rows.withColumn("_between", F.when(F.size("_found") > 0, F.split("_text", pattern, -1)))
+
+
+def _joined(values: str) -> Column:
+    """The text with ``values`` for the matches; null if there is none."""
+    return F.array_join(F.zip_with("_between", values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs(text, ...)`` with its text rewritten and ``_replaced``, the number of values replaced.
 
-    Values that fail validation, and all else, stay as they are. Null text stays null (0 replaced), as does empty
+    Values that fail validation, and all else, stay as they are; a card or IBAN match that fails is tried again shorter,
+    up to ``RESCANS`` times, and what it had taken in is scanned (not in a text that holds ``MARK`` itself). Null text stays null (0 replaced), as does empty
     text; rows are independent, so repeated rows are rewritten alike; further columns pass
     through and only names that begin with an underscore are reserved. ``key`` is the secret.
     """
     pattern = "|".join(f"(?:{p})" for p in FORMATS.values()).replace(r"([./])[0-9]{2}\1", r"(?:\.[0-9]{2}\.|/[0-9]{2}/)")
-    found = F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    rows = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
+    rows = docs.withColumn("_text", F.col("text"))
+    for _ in range(RESCANS):
+        rows = _scan(rows, pattern)
+        rows = rows.withColumn("_bounded", F.when(~F.col("text").contains(MARK), F.transform("_found", _bounded)))
+        rows = rows.withColumn("_text", F.coalesce(F.when(F.col("_bounded") != F.col("_found"), _joined("_bounded")), F.col("_text")))
+    rows = _scan(rows, pattern)
     rows = rows.withColumn("_new", pseudonyms(F.col("_found"), key))
-    between = F.when(F.size("_found") > 0, F.split("text", pattern, -1))
-    moved = F.zip_with(F.col("_found"), F.col("_new"), lambda old, new: F.coalesce(new, old))
-    rows = rows.withColumns({"_between": between, "_moved": moved})
-    text = F.array_join(F.zip_with("_between", "_moved", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    rows = rows.withColumn("_moved", F.zip_with(F.col("_found"), F.col("_new"), lambda old, new: F.coalesce(new, old)))
+    plain = F.when(F.col("text").contains(MARK), _joined("_moved")).otherwise(F.replace(_joined("_moved"), F.lit(MARK), F.lit("")))
     replaced = F.size(F.filter("_new", lambda x: x.isNotNull()))
-    columns = [F.coalesce(text, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [F.coalesce(plain, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return rows.select(*columns, replaced.alias("_replaced"))

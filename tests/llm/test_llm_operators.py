@@ -307,6 +307,25 @@ def test_pii(spark):
     assert [r.text for r in pii.pseudonymise(again, "other").collect()] != [r.text for r in pii.pseudonymise(again, "k").collect()]
 
 
+def test_pii_values_with_neighbours(spark):
+    cases = [
+        ("exp 4111 1111 1111 1111 12/25.", "4111 1111 1111 1111", 1),
+        ("cvv 4111111111111111 123 ok", "4111111111111111", 1),
+        ("at 4785380592391139 190.143.12.7 ok", "4785380592391139|190.143.12.7", 2),
+        ("at 1234567890123 190.143.12.7 ok", "190.143.12.7", 1),
+        ("pay ES91 2100 0418 4502 0005 1332 BIC now", "ES91 2100 0418 4502 0005 1332", 1),
+        ("pay ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111 x", "ES91 2100 0418 4502 0005 1332|4111 1111 1111 1111", 2),
+        ("on 1987-05-21T00:00:00Z", "1987-05-21", 1),
+        ("no 4785 3805 9239 1138 12", "", 0),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        old, values, n = cases[r.i]
+        assert r._replaced == n and (r.text != old) == (n > 0) and pii.MARK not in r.text, (old, r.text)
+        assert not any(v in r.text for v in values.split("|") if v), (old, r.text)
+        assert re.sub("[0-9]+", "9", old) == re.sub("[0-9]+", "9", r.text), (old, r.text)
+
+
 def test_feistel_permutes(spark):
     df = spark.range(7 * 12).selectExpr("array(id % 7, id div 7) as v", "array(7L, 12L) as m")
     got = df.select(pii.feistel(F.col("v"), F.col("m"), F.lit("f"), "k").alias("x")).collect()
