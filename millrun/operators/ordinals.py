@@ -26,5 +26,11 @@ def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     counts = local.groupBy(*group_cols, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = local.join(offsets, [*group_cols, "_slice"])
-    return joined.withColumn(out, (F.col("_off") + F.col("_local") - 1 + base).cast(kind)).drop("_slice", "_local", "_off")
+    # a null group is a group, as in a window, so its keys must meet too
+    keys = {c: f"_group{i}" for i, c in enumerate(group_cols)}
+    offsets = offsets.select(*(F.col(c).alias(k) for c, k in keys.items()), F.col("_slice").alias("_of"), "_off")
+    same = F.col("_slice") == F.col("_of")
+    for c, k in keys.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    joined = local.join(offsets, same).withColumn(out, (F.col("_off") + F.col("_local") - 1 + base).cast(kind))
+    return joined.select(*group_cols, *(c for c in df.columns if c not in (*group_cols, out)), out)

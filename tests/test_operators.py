@@ -355,6 +355,17 @@ def test_chunk_udtf_matches_builtin(spark, sf_dir):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_ordinal_within_null_group(spark):
+    """Rows of a null group are numbered like any group's, also where only part of the key is null."""
+    from millrun.operators.ordinals import ordinal_within
+
+    rows = [(g, h, k) for k, (g, h) in enumerate([(None, 1), (1, None), (None, None), (1, 1)] * 5)]
+    df = spark.createDataFrame(rows, "g int, h int, k int")
+    want = df.withColumn("ix", F.row_number().over(Window.partitionBy("g", "h").orderBy("k")) - 1)
+    got = ordinal_within(df, ["g", "h"], ["k"], "ix")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 20
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_ordinal_within_hot_group(spark, adaptive, tmp_path):
     """Skew-proof ordinals equal row_number - 1 per group over a million rows with payload columns, two
