@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.llm import imatch, licenses, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from millrun.llm import attention, imatch, licenses, middle, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc, whitening
 from millrun.llm.common import read, written
 from millrun.session import ensure_checkpoint_dir
 
@@ -103,6 +103,31 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality by a model fitted on the labels that are not held out."""
+    return attention.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with prefix, middle and suffix exchanged, and restored; both texts as digests."""
+    rows = middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    return rows.select(
+        *("doc_id", "n", "form", "prefix_chars", "middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid embeddings whitened: a row for each of the first 32 components."""
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    cells = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "cell")
+    return rows.select("vec_id", "n", "deviation", "identity_error", cells).select(
+        *("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation"),
+        *("cell.whitened", "cell.explained", "identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
@@ -114,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_divergence": op6_quality_divergence,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_attention_quality": op11_attention_quality,
+    "op12_block_rotation": op12_block_rotation,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL where SQL can express the operator.
@@ -129,5 +157,24 @@ ORACLE: dict[str, str] = {
         m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
               FROM d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c < d.u GROUP BY ALL)
         SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM m
-    """
+    """,
+    "op12_block_rotation": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        u AS (SELECT doc_id, t, s, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units FROM d),
+        h AS (SELECT *, len(units) AS n,
+                     CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(units) + 1) AS c1,
+                     CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(units) + 1) AS c2,
+                     CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 50 AS suffix_first,
+                     t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM u),
+        b AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS p,
+                     array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                     array_to_string(units[greatest(c1, c2) + 1:], '') AS x FROM h)
+        SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+               CASE WHEN NOT plain THEN length(p) END AS prefix_chars,
+               CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+               sha256(CASE WHEN plain THEN t WHEN suffix_first THEN '<S>' || x || '<P>' || p || '<M>' || m
+                           ELSE '<P>' || p || '<S>' || x || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM b
+    """,
 }
