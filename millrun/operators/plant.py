@@ -5,8 +5,8 @@ SURVEY §2.2 P8-P18, P47; §2.3 J2-J10; §2.4 A8-A16, A25-A27, A56; §2.5 W1-W5,
 Scale notes (one machine may hold a third of all rows):
 * "latest row per key" is an aggregate (``max_by(struct, order)``) with a map-side partial
   step, never a window that gathers the whole key in one task;
-* the state-duration ``lead`` runs per (machine, day) bucket, and the last row of each bucket
-  takes the first event of the machine's next non-empty bucket from a bucket-grain table;
+* the state-duration ``lead`` runs per (machine, hour) slice, and the last row of each slice
+  takes the first event of the machine's next non-empty slice from a slice-grain table;
 * MTBF uses the telescoping mean of consecutive gaps, (last - first) / (n - 1): an aggregate;
 * shares of a total (Pareto, defects) are computed after aggregation, on a few rows.
 Rounded outputs use exact integer arithmetic (tenths / hundredths) or ``round_half_up`` so
@@ -29,6 +29,8 @@ MTBF_FLAG_HOURS = 200.0
 TARGET_FPY = 99.0
 PARETO_DAYS = 7
 STATES = ("running", "fault", "idle", "maintenance")
+#: Length of a time slice of state durations: the most that one task must hold of a machine.
+SLICE_SECONDS = 3600
 
 
 def _ts(as_of: str) -> Column:
@@ -71,25 +73,28 @@ def telemetry_silver(raw: DataFrame) -> DataFrame:
     )
 
 
-def state_duration(events: DataFrame, key: str, ts: str, tiebreak: str, out: str = "next_event_ts") -> DataFrame:
-    """Timestamp of the next event of the same key (NULL for the current one), skew-safe.
+def slice_start(ts: str, seconds: int = SLICE_SECONDS) -> Column:
+    return F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / seconds) * seconds)
 
-    ``lead`` runs inside (key, day) buckets; a bucket's last row looks up the first event of the
-    key's next non-empty bucket in a bucket-grain table (keys x days rows, small), joined on the
-    same (key, bucket) partitioning as the window.
+
+def with_next_head(events: DataFrame, key: str, ts: str, piece: str, next_in_slice: str, out: str) -> DataFrame:
+    """Complete ``next_in_slice`` (NULL for a slice's last event) by the first event of the key's next non-empty slice.
+
+    The slice heads are a table of keys x slices rows, joined on the partitioning of the slices.
     """
-    b = F.date_trunc("day", F.col(ts)).alias("_bucket")
-    ev = events.withColumn("_bucket", b)
-    w = Window.partitionBy(key, "_bucket").orderBy(F.col(ts), F.col(tiebreak))
-    ev = ev.withColumn("_next_in_bucket", F.lead(ts).over(w))
-    heads = ev.groupBy(key, "_bucket").agg(F.min(F.col(ts)).alias("_head"))
-    wb = Window.partitionBy(key).orderBy("_bucket")
-    heads = heads.withColumn("_next_head", F.lead("_head").over(wb)).drop("_head")
-    return (
-        ev.join(heads, [key, "_bucket"], "left")
-        .withColumn(out, F.coalesce(F.col("_next_in_bucket"), F.col("_next_head")))
-        .drop("_bucket", "_next_in_bucket", "_next_head")
-    )
+    heads = events.groupBy(key, piece).agg(F.min(ts).alias("_head"))
+    following = F.lead("_head").over(Window.partitionBy(key).orderBy(piece))
+    heads = heads.withColumn("_next_head", following).drop("_head")
+    joined = events.join(heads, [key, piece], "left")
+    return joined.withColumn(out, F.coalesce(F.col(next_in_slice), F.col("_next_head"))).drop(piece, next_in_slice, "_next_head")
+
+
+def state_duration(events: DataFrame, key: str, ts: str, tiebreak: str, out: str = "next_event_ts", seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Timestamp of the next event of the same key (NULL for the current one), skew-safe: ``lead`` runs inside
+    (key, time slice)."""
+    w = Window.partitionBy(key, "_slice").orderBy(F.col(ts), F.col(tiebreak))
+    rows = events.withColumn("_slice", slice_start(ts, seconds)).withColumn("_next_in_slice", F.lead(ts).over(w))
+    return with_next_head(rows, key, ts, "_slice", "_next_in_slice", out)
 
 
 def state_events_silver(raw: DataFrame, master: DataFrame) -> DataFrame:
@@ -292,8 +297,12 @@ def oee_by_shift(telemetry: DataFrame, master: DataFrame, last_n: int = 14) -> D
         F.grouping_id().alias("gid"),
         F.sum("h").alias("sum_h"),
         F.count("h").alias("n"),
-        F.countDistinct("machine_id").alias("machine_count"),
     )
+    return shift_oee_wide(g, last_n)
+
+
+def shift_oee_wide(g: DataFrame, last_n: int = 14) -> DataFrame:
+    """A11 + S2: a row for each of the last shifts from OEE sums (hundredths) per shift and line (``gid`` 0) and per shift (1)."""
     g = g.filter((F.col("gid") == 1) | F.col("line").isNotNull()).withColumn(
         "line", F.when(F.col("gid") == 1, F.lit("ALL")).otherwise(F.col("line"))
     )

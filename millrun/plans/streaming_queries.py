@@ -3,11 +3,14 @@ and returns the reconciled result, checked against the batch formulation in Duck
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrun.plans.oracle_bindings import with_bindings as W
-from millrun.plans.plant_queries import SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY
+from millrun.plans.plant_queries import MACHINE_STATE_ORACLE, OEE_SHIFT_ORACLE, SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY
 from millrun.plans.registry import query
 from millrun.sources import bindings as B
 from millrun.streaming import jobs as J
+from millrun.streaming import late as L
 
 
 def _st(t):
@@ -20,6 +23,21 @@ def q_telemetry_clean_stream(t):
     return J.telemetry_clean_stream(_st(t))
 
 
+@query(
+    "telemetry_first_stream",
+    W(["machine_telemetry_raw"], [("tel", SQL_TELEMETRY)], "SELECT DISTINCT machine_id, ts, shift_id, shift_period FROM tel"),
+)
+def q_telemetry_first_stream(t):
+    """ST1, cheap mode: each (machine, hour) once, by deduplication within the watermark."""
+    return J.telemetry_first_stream(_st(t)).select("machine_id", "ts", "shift_id", "shift_period")
+
+
+@query("oee_by_shift_stream", OEE_SHIFT_ORACLE)
+def q_oee_by_shift_stream(t):
+    """ST2: streaming twin of oee_by_shift, two chained stateful operators in append mode."""
+    return J.oee_by_shift_stream(_st(t))
+
+
 @query(
     "shift_oee_stream",
     W(["machine_telemetry_raw", "machine_master"], [],
@@ -62,17 +80,9 @@ def q_alarm_snapshot_stream(t):
     return J.alarm_snapshot_stream(_st(t), B.AS_OF_EVENTS)
 
 
-@query(
-    "machine_state_stream",
-    W(["production_events_raw", "machine_master"], [],
-      """SELECT m.machine_id, m.line, m.name, coalesce(e.state, 'running') AS state, e.fault_code, e.event_ts AS last_event_ts
-         FROM machine_master m LEFT JOIN (
-           SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY event_ts DESC, event_id DESC) AS rn
-           FROM production_events_raw WHERE state IN ('running', 'fault', 'idle', 'maintenance')) e
-         ON m.machine_id = e.machine_id AND e.rn = 1"""),
-)
+@query("machine_state_stream", MACHINE_STATE_ORACLE)
 def q_machine_state_stream(t):
-    """ST5: latest event per machine + static master join."""
+    """ST5: streaming twin of machine_state: latest event, cleaned telemetry, units of the open shift."""
     return J.machine_state_stream(_st(t))
 
 
@@ -102,6 +112,50 @@ def q_late_data_audit_stream(t):
     return J.late_data_audit_stream(_st(t))
 
 
+def arrivals(t):
+    """Binding of an order of arrival: events land by the week, and every tenth (ids ending in 3) a week late."""
+    raw = B.production_events_raw(t).select("event_id", "machine_id", F.col("event_ts").cast("timestamp").alias("event_ts"), "state")
+    week = F.floor(F.unix_timestamp("event_ts") / 604800)
+    return raw.withColumn("week", week + F.when(F.col("event_id").cast("bigint") % 10 == 3, 1).otherwise(0))
+
+
+#: The same order of arrival, and the watermark that a row meets: the newest event of all earlier weeks of arrival, less two days.
+SQL_ARRIVALS = """SELECT event_id, machine_id, event_ts, state,
+        CAST(floor(epoch(event_ts) / 604800) AS BIGINT) + if(CAST(event_id AS BIGINT) % 10 = 3, 1, 0) AS week FROM production_events_raw"""
+SQL_JUDGED = """SELECT r.*, w.watermark FROM arrivals r LEFT JOIN (
+        SELECT week, max(max(event_ts)) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS watermark
+        FROM arrivals GROUP BY week) w USING (week)"""
+JUDGED = [("arrivals", SQL_ARRIVALS), ("judged", SQL_JUDGED)]
+
+
+def _split(t):
+    rows = arrivals(t)
+    return rows.drop("week"), *L.split_late(L.Landing(rows, "week", "events"), "event_ts", "2 days", "events")
+
+
+@query(
+    "late_rows_stream",
+    W(["production_events_raw"], JUDGED,
+      "SELECT event_id, machine_id, event_ts, state, watermark FROM judged WHERE event_ts < watermark"),
+)
+def q_late_rows_stream(t):
+    """ST7: the side table, events that arrive behind the watermark with the watermark they missed."""
+    return _split(t)[2].drop("_batch")
+
+
+@query(
+    "late_reconciled_stream",
+    W(["production_events_raw"], JUDGED,
+      """SELECT CAST(event_ts AS DATE) AS day, count(*) FILTER (WHERE watermark IS NULL OR event_ts >= watermark) AS on_time_rows,
+                count(*) FILTER (WHERE event_ts < watermark) AS late_rows, count(*) AS batch_rows, CAST(0 AS BIGINT) AS missing
+         FROM judged GROUP BY 1"""),
+)
+def q_late_reconciled_stream(t):
+    """ST7: main and side table against the batch, by day."""
+    batch, main, late = _split(t)
+    return L.reconciled(main, late, batch, [F.to_date("event_ts").alias("day")])
+
+
 @query(
     "page_sessions_stream",
     """WITH l AS (SELECT 'U-' || CAST(user_id AS VARCHAR) AS username, CAST(floor(value) AS INTEGER) AS seconds_spent,
