@@ -56,11 +56,10 @@ def brand_filter(df: DataFrame, faithful: bool = False) -> DataFrame:
 # ---- O1 + O2 -----------------------------------------------------------------------------------
 
 
-def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: float = 0.25, region: str = "FL",
+def network_roles(network: DataFrame, country: str = "nation_3", tariff_pct: float = 0.25, region: str = "FL",
                   faithful_brand: bool = False) -> DataFrame:
-    """O1 + O2: recommended stock shift per (category, SKU, branch) and margin recovery.
+    """P19-P21 + O1: stock, safety stock, cost and role (HUB / SPOKE) per (category, SKU, branch).
 
-    Hub rows ship (negative), spoke rows receive (positive); shifts sum to zero per SKU.
     Duplicate (SKU, branch) rows are summed first (Q10). Categories with fewer than two rows,
     or without both a hub and a spoke after inference, produce no rows.
     """
@@ -96,12 +95,36 @@ def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: flo
     r = rows.join(cat, "product_category").join(br, ["product_category", "branch_id"])
     explicit = (F.col("has_hub") == 1) & (F.col("has_spoke") == 1)
     r = r.withColumn("role", F.when(explicit, F.col("loc")).otherwise(F.col("inferred")))
-    r = r.filter((F.col("n_rows") >= 2) & (explicit | (F.col("n") >= 2)) & F.col("role").isin("HUB", "SPOKE"))
+    return r.filter((F.col("n_rows") >= 2) & (explicit | (F.col("n") >= 2)) & F.col("role").isin("HUB", "SPOKE"))
+
+
+def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: float = 0.25, region: str = "FL",
+                  faithful_brand: bool = False, protect_hub_safety: bool = False, ship_surplus: bool = False) -> DataFrame:
+    """O1 + O2: recommended stock shift per (category, SKU, branch) and margin recovery.
+
+    Hub rows ship (negative), spoke rows receive (positive); shifts sum to zero per SKU. With ``protect_hub_safety`` a hub
+    ships only what it has above its own safety stock. With ``ship_surplus`` a second pass gives what the needs leave in the
+    hubs to the SKU's first spoke (the literal optimum of the reference's objective, which rewards any movement).
+    """
+    roles = network_roles(network, country, tariff_pct, region, faithful_brand)
+    return allocate(roles, F.lit(protect_hub_safety), F.lit(ship_surplus))
+
+
+def transfer_plan_options(network: DataFrame, **filters) -> DataFrame:
+    """O2 under each pair of options, from one reading of the network: ``transfer_plan`` plus the two option columns."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("protect_hub_safety"), F.lit(b).alias("ship_surplus")) for a in (False, True) for b in (False, True)])
+    rows = network_roles(network, **filters).withColumn("_option", F.explode(pairs)).select("*", "_option.*").drop("_option")
+    return allocate(rows, F.col("protect_hub_safety"), F.col("ship_surplus"), ["protect_hub_safety", "ship_surplus"])
+
 
-    supply = F.when(F.col("role") == "HUB", F.greatest(F.col("stock"), F.lit(0.0))).otherwise(F.lit(0.0))
+def allocate(r: DataFrame, protect: Column, surplus: Column, options: list[str] | None = None) -> DataFrame:
+    """O2 on rows with roles: running sums over each SKU's branches, no hub x spoke pairs."""
+    options = options or []
+    kept_back = F.when(protect, F.col("safety")).otherwise(F.lit(0.0))
+    supply = F.when(F.col("role") == "HUB", F.greatest(F.col("stock") - kept_back, F.lit(0.0))).otherwise(F.lit(0.0))
     need = F.when(F.col("role") == "SPOKE", F.greatest(F.col("safety") - F.col("stock"), F.lit(0.0))).otherwise(F.lit(0.0))
     r = r.withColumn("supply", supply).withColumn("need", need)
-    sku_w = Window.partitionBy("product_category", "sku")  # one SKU's branches
+    sku_w = Window.partitionBy("product_category", "sku", *options)  # one SKU's branches
     run = sku_w.orderBy("branch_id").rowsBetween(Window.unboundedPreceding, 0)
     r = (
         r.withColumn("s_cum", F.sum("supply").over(run))
@@ -109,11 +132,17 @@ def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: flo
         .withColumn("s_tot", F.sum("supply").over(sku_w))
         .withColumn("n_tot", F.sum("need").over(sku_w))
         .withColumn("sku_cost", F.min_by("cost", "branch_id").over(sku_w))
+        .withColumn("first_spoke", F.min(F.when(F.col("role") == "SPOKE", F.col("branch_id"))).over(sku_w))
     )
-    shipped = F.greatest(F.lit(0.0), F.least(F.col("s_cum"), F.col("n_tot")) - (F.col("s_cum") - F.col("supply")))
+    left = F.greatest(F.col("s_tot") - F.col("n_tot"), F.lit(0.0))
+    r = r.withColumn("extra", F.when(surplus & F.col("first_spoke").isNotNull(), left).otherwise(F.lit(0.0)))
+    asked = F.col("n_tot") + F.col("extra")
+    shipped = F.greatest(F.lit(0.0), F.least(F.col("s_cum"), asked) - (F.col("s_cum") - F.col("supply")))
     received = F.greatest(F.lit(0.0), F.least(F.col("n_cum"), F.col("s_tot")) - (F.col("n_cum") - F.col("need")))
+    received = received + F.when(F.col("branch_id") == F.col("first_spoke"), F.col("extra")).otherwise(F.lit(0.0))
     shift = F.when(F.col("role") == "HUB", -shipped).otherwise(received)
     return r.select(
+        *options,
         "product_category",
         F.col("sku").alias("SKU"),
         F.col("branch_id").alias("Branch_ID"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.operators.quantiles import quantile
 from millrun.session import cut_lineage
 
 # Fixed values of the reference's sensor limits.
@@ -21,6 +22,11 @@ BREACH_RULES = (
     ("temp_c", ">", 60.0), ("vibration_rms", ">", 3.5), ("spindle_load_pct", ">", 85.0),
     ("oil_pressure_bar", "<", 1.5), ("cycle_time_deviation_pct", ">", 15.0), ("hours_since_last_pm", ">", 1500.0),
 )
+# Fixed values of the reference's driving sensors (W12): sensor, threshold, side on which it is in breach.
+DRIVING_LIMITS = (
+    ("fault_count_7d", 4.0, "above"), ("vibration_rms", 3.5, "above"), ("temp_c", 62.0, "above"),
+    ("spindle_load_pct", 85.0, "above"), ("cycle_time_deviation_pct", 15.0, "above"), ("oil_pressure_bar", 1.8, "below"),
+)
 # Fixed values of the reference's cascade rules.
 CASCADE_HOPS, CASCADE_DECAY, CASCADE_STOP = 3, 0.75, 0.05
 IMPACT_SPLIT = (("Revenue Loss", 0.58), ("Delivery Risk", 0.27), ("WIP Queue", 0.15))
@@ -84,12 +90,51 @@ def trend_to_threshold(telemetry: DataFrame, as_of: str, value_col: str = "temp_
                     "last_value", P.round_half_up(eta, 1).alias("hours_to_threshold"))
 
 
+def sensor_trends(features: DataFrame, as_of: str, limits=DRIVING_LIMITS, hours: int = 24) -> DataFrame:
+    """W12 for every sensor: the last ``hours`` hourly points before ``as_of`` against the sensor's threshold, per machine.
+
+    ``features`` has a column for each sensor of ``limits(sensor, threshold, direction)``; they are unpivoted, so a machine's
+    sensors are separate groups. ``hours_to_threshold`` is 0 once the last value is in breach, the time of the least-squares line to
+    the threshold if it moves towards it, else NULL. NULL readings don't count.
+    """
+    end = F.lit(as_of).cast("timestamp")
+    cols = [c for c, _, _ in limits]
+    recent = features.filter((F.col("ts") < end) & (F.col("ts") >= end - F.make_interval(hours=F.lit(hours))))
+    long = recent.select("machine_id", "ts", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(["machine_id", "ts"], cols, "sensor", "value")
+    threshold = F.element_at(F.create_map(*[F.lit(x) for c, v, _ in limits for x in (c, v)]), F.col("sensor"))
+    side = F.element_at(F.create_map(*[F.lit(x) for c, _, d in limits for x in (c, d)]), F.col("sensor"))
+    sign = F.when(side == "above", 1.0).otherwise(-1.0)  # distances grow towards the breach
+    x = (F.unix_timestamp("ts") - F.unix_timestamp(end)) / 3600.0
+    long = long.filter(F.col("value").isNotNull()).withColumns({"threshold": threshold, "direction": side, "past": sign * (F.col("value") - threshold)})
+    g = long.groupBy("machine_id", "sensor", "threshold", "direction").agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(F.col("past") > 0).alias("breaches"), F.regr_slope("value", x).alias("slope"),
+        F.max_by("value", "ts").alias("last_value"))
+    gap = F.when(F.col("direction") == "above", F.col("threshold") - F.col("last_value")).otherwise(F.col("last_value") - F.col("threshold"))
+    towards = F.when(F.col("direction") == "above", F.col("slope")).otherwise(-F.col("slope"))
+    eta = F.when(gap < 0, 0.0).when(towards > 0, gap / towards)
+    return g.select("machine_id", "sensor", "direction", "threshold", "points", "breaches", "last_value",
+                    P.round_half_up("slope", 4).alias("slope_per_hour"), P.round_half_up(eta, 1).alias("hours_to_threshold"))
+
+
+def driving_sensor(trends: DataFrame) -> DataFrame:
+    """Of each machine's sensors the one that reaches its threshold first (of equally early ones the first by name).
+
+    A machine none of whose sensors is on its way has a NULL time and its first sensor by name.
+    """
+    first = F.struct(F.col("hours_to_threshold").isNull(), "hours_to_threshold", "sensor")
+    cols = ["sensor", "direction", "threshold", "last_value", "slope_per_hour", "hours_to_threshold"]
+    g = trends.groupBy("machine_id").agg(
+        F.min_by(F.struct(*cols), first).alias("d"), F.count_if(F.col("hours_to_threshold") == 0).alias("sensors_in_breach"))
+    return g.select("machine_id", "d.*", "sensors_in_breach")
+
+
 def spend_outliers(spend: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """Robust z = 0.6745 (x - median) / MAD within each group (exact medians), variance %
+    """Robust z = 0.6745 (x - median) / MAD within each group (exact medians by ``operators.quantiles``), variance %
     against the median, tier outlier (|z| > 3.5) / watch (> 2) / normal."""
-    med = spend.groupBy(group_col).agg(F.median(value_col).alias("med"))
+    med = quantile(spend, [group_col], value_col, 0.5, "med")
     d = spend.join(med, group_col)
-    mad = d.groupBy(group_col).agg(F.median(F.abs(F.col(value_col) - F.col("med"))).alias("mad"))
+    off = d.withColumn("_off", F.abs(F.col(value_col) - F.col("med")))
+    mad = quantile(off, [group_col], "_off", 0.5, "mad")
     j = d.join(mad, group_col)
     z = F.when(F.col("mad") > 0, 0.6745 * (F.col(value_col) - F.col("med")) / F.col("mad"))
     tier = F.when(F.abs(z) > 3.5, F.lit("outlier")).when(F.abs(z) > 2, F.lit("watch")).otherwise(F.lit("normal"))

@@ -71,6 +71,38 @@ def q_prescriptive_plan(t):
     return _plan(t)
 
 
+# The options by explicit lanes: hub interval x need interval, with one more need interval for what is left (first spoke).
+SQL_PLAN_OPTIONS = SQL_PLAN.split("    ff AS (")[0] + f"""    op AS (SELECT * FROM (VALUES (FALSE), (TRUE)) a(protect_hub_safety), (VALUES (FALSE), (TRUE)) b(ship_surplus)),
+    ff AS (SELECT rr.*, op.*, if(role = 'HUB', greatest(stock - if(protect_hub_safety, safety, 0.0), 0.0), 0.0) AS supply,
+                  if(role = 'SPOKE', greatest(safety - stock, 0.0), 0.0) AS need
+           FROM rr, op WHERE n_rows >= 2 AND ((has_hub = 1 AND has_spoke = 1) OR n >= 2) AND role IN ('HUB', 'SPOKE')),
+    hubs AS (SELECT *, coalesce(sum(supply) OVER w, 0.0) AS a FROM ff WHERE role = 'HUB'
+             WINDOW w AS (PARTITION BY product_category, sku, protect_hub_safety, ship_surplus ORDER BY branch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    wants AS (SELECT product_category, sku, protect_hub_safety, ship_surplus, branch_id, 0 AS pass, need FROM ff WHERE role = 'SPOKE'
+              UNION ALL
+              SELECT product_category, sku, protect_hub_safety, ship_surplus, min(branch_id) FILTER (WHERE role = 'SPOKE'), 1, greatest(sum(supply) - sum(need), 0.0)
+              FROM ff WHERE ship_surplus GROUP BY ALL HAVING count(*) FILTER (WHERE role = 'SPOKE') > 0),
+    spokes AS (SELECT *, coalesce(sum(need) OVER w, 0.0) AS a FROM wants
+               WINDOW w AS (PARTITION BY product_category, sku, protect_hub_safety, ship_surplus ORDER BY pass, branch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    lanes AS (SELECT h.product_category, h.sku, h.protect_hub_safety, h.ship_surplus, h.branch_id AS hub, s.branch_id AS spoke,
+                     greatest(0.0, least(h.a + h.supply, s.a + s.need) - greatest(h.a, s.a)) AS x
+              FROM hubs h JOIN spokes s USING (product_category, sku, protect_hub_safety, ship_surplus)),
+    moved AS (SELECT product_category, sku, protect_hub_safety, ship_surplus, hub AS branch_id, -sum(x) AS shift FROM lanes GROUP BY ALL
+              UNION ALL
+              SELECT product_category, sku, protect_hub_safety, ship_surplus, spoke, sum(x) FROM lanes GROUP BY ALL),
+    cost AS (SELECT product_category, sku, arg_min(cost, branch_id) AS sku_cost FROM ff GROUP BY 1, 2)
+    SELECT ff.protect_hub_safety, ff.ship_surplus, ff.product_category, ff.sku AS SKU, ff.branch_id AS Branch_ID, role AS location_type,
+           coalesce(shift, 0.0) + 0.0 AS Recommended_Stock_Shift,
+           {RH("abs(coalesce(shift, 0.0)) * sku_cost * CAST(0.15 AS DOUBLE)", 4)} AS Projected_Margin_Recovery
+    FROM ff LEFT JOIN moved USING (product_category, sku, protect_hub_safety, ship_surplus, branch_id) JOIN cost USING (product_category, sku)"""
+
+
+@query("transfer_plan_options", W(["stock_network"], [], SQL_PLAN_OPTIONS))
+def q_transfer_plan_options(t):
+    """O2 under the four pairs of protect_hub_safety and ship_surplus."""
+    return PL.transfer_plan_options(B.stock_network(t), country=B.TARIFF_COUNTRY)
+
+
 @query(
     "plan_risk",
     W(["stock_network"], [("plan", SQL_PLAN)],

@@ -78,6 +78,37 @@ def q_trend_to_threshold(t):
     return R.trend_to_threshold(_tel(t), B.AS_OF_EVENTS)
 
 
+_LIMITS = "(VALUES " + ", ".join(f"('{c}', CAST({v} AS DOUBLE), '{d}')" for c, v, d in R.DRIVING_LIMITS) + ") k(sensor, threshold, direction)"
+_LCOLS = [c for c, _, _ in R.DRIVING_LIMITS]
+SQL_TRENDS = f"""SELECT machine_id, sensor, direction, threshold, points, breaches, last_value, {RH("slope", 4)} AS slope_per_hour,
+        {RH("CASE WHEN beyond THEN 0.0 WHEN direction = 'above' AND slope > 0 OR direction = 'below' AND slope < 0 THEN (threshold - last_value) / slope END", 1)}
+            AS hours_to_threshold
+    FROM (SELECT machine_id, sensor, direction, threshold, count(*) AS points, regr_slope(value, date_diff('hour', {TS_AS_OF}, ts)) AS slope,
+                 count_if(if(direction = 'above', value > threshold, value < threshold)) AS breaches, arg_max(value, ts) AS last_value,
+                 arg_max(if(direction = 'above', value > threshold, value < threshold), ts) AS beyond
+          FROM (SELECT machine_id, ts, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _LCOLS)} FROM f
+                WHERE ts >= {TS_AS_OF} - INTERVAL 24 HOUR AND ts < {TS_AS_OF}) c
+          UNPIVOT (value FOR sensor IN ({", ".join(_LCOLS)})) JOIN {_LIMITS} USING (sensor) GROUP BY ALL)"""
+
+
+@query("sensor_trends", W(_BINDS, _CTES + [("f", SQL_FEATURES)], SQL_TRENDS))
+def q_sensor_trends(t):
+    """W12 for every sensor with its direction, last 24 hours."""
+    return R.sensor_trends(_features(t), B.AS_OF_EVENTS)
+
+
+@query(
+    "driving_sensor",
+    W(_BINDS, _CTES + [("f", SQL_FEATURES), ("tr", SQL_TRENDS)],
+      """SELECT machine_id, sensor, direction, threshold, last_value, slope_per_hour, hours_to_threshold, sensors_in_breach
+         FROM (SELECT *, count_if(hours_to_threshold = 0) OVER (PARTITION BY machine_id) AS sensors_in_breach,
+                      row_number() OVER (PARTITION BY machine_id ORDER BY hours_to_threshold NULLS LAST, sensor) AS r FROM tr) WHERE r = 1"""),
+)
+def q_driving_sensor(t):
+    """The sensor of each machine that reaches its threshold first."""
+    return R.driving_sensor(R.sensor_trends(_features(t), B.AS_OF_EVENTS))
+
+
 # ---- W18 spend outliers -------------------------------------------------------------------------
 def _supplier_spend(t):
     li = t.lineitem.groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("spend"))
