@@ -8,10 +8,13 @@ half-up on the binary double (``floor(x + 0.5)``) so results do not depend on th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.sources.io import resolve_columns
 
 # Fixed values of the reference's quoting rules.
 SEGMENT_DISCOUNT = {"enterprise": 0.05, "midmarket": 0.03, "smb": 0.0}
@@ -24,6 +27,10 @@ DEMAND_WEIGHTS = (1.0, 0.6, 0.4)  # volume, promotion, season
 MAPE_FLOOR, MAPE_SLOPE = 5.1, 0.12
 SS_PER_POINT_M, FILL_PER_POINT, BIAS_SLOPE, BIAS_BASE = 0.18, 0.08, 0.05, -2.1
 PLAN_SCENARIOS = (("base", 1.0), ("upside", 1.12), ("downside", 0.85))
+# The life cycle of an action: statuses a log entry may give, and those that hold until it is reopened.
+LIFE_CYCLE = ("pending", "acknowledged", "in_progress", "done", "rejected", "reopened")
+CLOSED = ("done", "rejected")
+TRANSFER_HIGH_USD = 10_000.0  # ours: a lane worth as much is a High action
 # Our binding of customer segments to quote tiers (test data market segments).
 SEGMENT_OF = {"BUILDING": "enterprise", "MACHINERY": "enterprise", "AUTOMOBILE": "midmarket", "FURNITURE": "midmarket"}
 
@@ -258,9 +265,14 @@ def make_buy(proc_lines: DataFrame, costs: DataFrame, saving: float = 0.05, capa
                     decision.alias("decision"))
 
 
-def action_generation(dos: DataFrame, cat_mape: DataFrame, scorecard: DataFrame, as_of: str) -> DataFrame:
-    """typed, prioritised actions from rule queries - reorder at-risk materials, override
-    biased category forecasts, escalate late suppliers - with impact and due date."""
+def action_generation(dos: DataFrame, cat_mape: DataFrame, scorecard: DataFrame, as_of: str, transfers: DataFrame | None = None,
+                      log: DataFrame | None = None) -> DataFrame:
+    """typed, prioritised actions from rule queries, with impact, due date and the status that the log gives them.
+
+    Reorder at-risk materials, override biased category forecasts, escalate late suppliers, and (from ``transfers(sku, from_branch,
+    to_branch, qty, unit_cost)``) move excess stock of one branch to another's shortfall: one action per lane of a SKU, due in two days, worth the goods
+    moved. The action id is its type and entity, so the same rule hit keeps its id and its status from run to run.
+    """
     d = F.lit(as_of).cast("date")
     reorder = dos.filter(F.col("health").isin("at_risk", "stockout")).select(
         F.lit("reorder").alias("action_type"), F.col("material_number").alias("entity_id"),
@@ -272,4 +284,83 @@ def action_generation(dos: DataFrame, cat_mape: DataFrame, scorecard: DataFrame,
     escalate = scorecard.filter(F.col("on_time_pct") < 50).select(
         F.lit("escalate_supplier").alias("action_type"), F.col("supplier_number").alias("entity_id"), F.lit("High").alias("priority"),
         F.col("spend_usd").alias("impact"), F.date_add(d, 5).alias("due_date"))
-    return reorder.unionByName(override).unionByName(escalate).withColumn("status", F.lit("pending"))
+    actions = reorder.unionByName(override).unionByName(escalate)
+    if transfers is not None:
+        value = P.round_half_up(F.col("qty") * F.col("unit_cost"), 2)
+        actions = actions.unionByName(transfers.select(
+            F.lit("lateral_transfer").alias("action_type"), F.concat_ws("/", "sku", "from_branch", "to_branch").alias("entity_id"),
+            F.when(value >= TRANSFER_HIGH_USD, F.lit("High")).otherwise(F.lit("Medium")).alias("priority"),
+            value.alias("impact"), F.date_add(d, 2).alias("due_date")))
+    return with_status(actions.withColumn("action_id", F.concat_ws(":", "action_type", "entity_id")), log)
+
+
+def with_status(actions: DataFrame, log: DataFrame | None) -> DataFrame:
+    """Actions with their place in the life cycle from an append-only ``log(entry_id, action_id, status, changed_at)``.
+
+    The newest entry counts (of entries at the same time the one of greatest id) unless an earlier one has closed the action: ``done`` and
+    ``rejected`` hold until an entry says ``reopened``, which makes it pending again. Entries with another status or without a time
+    don't count, nor do those of actions that no rule gives any more. Without an entry an action is pending.
+    The log folds into one row an action by partial aggregates, so a hot action is no hot task.
+    """
+    if log is None:
+        return actions.withColumns({"status": F.lit("pending"), "status_since": F.lit(None).cast("timestamp"), "n_changes": F.lit(0).cast("bigint")})
+    known = log.filter(F.col("status").isin(*LIFE_CYCLE) & F.col("changed_at").isNotNull() & F.col("action_id").isNotNull())
+    order = F.struct("changed_at", "entry_id")
+    entry = F.struct("changed_at", "entry_id", "status")
+    opened = known.groupBy("action_id").agg(F.max(F.when(F.col("status") == "reopened", order)).alias("_opened"), F.count(F.lit(1)).alias("n_changes"))
+    # Since the last reopening: the first closing entry if there is one, else the newest entry.
+    current = known.join(opened, "action_id").filter(F.col("_opened").isNull() | (order >= F.col("_opened")))
+    closing = F.when(F.col("status").isin(*CLOSED), entry)
+    state = current.groupBy("action_id", "n_changes").agg(F.coalesce(F.min(closing), F.max(entry)).alias("_s"))
+    state = state.select("action_id", "n_changes", F.when(F.col("_s.status") == "reopened", F.lit("pending")).otherwise(F.col("_s.status")).alias("_status"),
+                         F.col("_s.changed_at").alias("status_since"))
+    joined = actions.join(state, "action_id", "left")
+    return joined.withColumns({"status": F.coalesce("_status", F.lit("pending")), "n_changes": F.coalesce("n_changes", F.lit(0))}).drop("_status")
+
+
+# ---- control tower ----------------------------------------------------------------------------------
+
+#: The record sets of the control tower, each field with its source columns in order of preference, its type and its default.
+CONTROL_TOWER = {
+    "procurement": (
+        ("po", ("ebeln", "po"), "string", ""), ("vendor", ("lifnr", "vendor"), "string", ""),
+        ("vendorName", ("vendor_name", "vendorName", "vendor", "lifnr"), "string", ""), ("material", ("matnr", "material"), "string", ""),
+        ("qty", ("menge", "qty"), "int", 0), ("value", ("netwr", "value"), "double", 0.0), ("status", ("status",), "string", "Open"),
+        ("delivery", ("eindt", "delivery"), "string", "")),
+    "inventory": (
+        ("material", ("matnr", "material"), "string", ""), ("plant", ("werks", "plant"), "string", ""),
+        ("storageLoc", ("lgort", "storageLoc"), "string", ""), ("unrestricted", ("unrestricted", "labst"), "int", 0),
+        ("blocked", ("blocked", "speme"), "int", 0), ("inTransit", ("in_transit", "inTransit"), "int", 0),
+        ("reorderPoint", ("reorder_point", "reorderPoint", "eisbe"), "int", 0)),
+    "manufacturing": (
+        ("order", ("aufnr", "order", "wono"), "string", ""), ("material", ("matnr", "material", "part"), "string", ""),
+        ("plant", ("werks", "plant", "site"), "string", ""), ("qty", ("psmng", "qty", "qty_ord"), "int", 0),
+        ("status", ("status", "ord_status"), "string", ""), ("start", ("gstrs", "start", "start_date"), "string", ""),
+        ("end", ("gltrs", "end", "due_date"), "string", "")),
+    "logistics": (
+        ("delivery", ("vbeln", "delivery"), "string", ""), ("shipTo", ("kunnr", "shipTo"), "string", ""),
+        ("material", ("matnr", "material"), "string", ""), ("qty", ("lfimg", "qty"), "int", 0), ("status", ("status",), "string", ""),
+        ("planned", ("lfdat", "planned"), "string", ""), ("carrier", ("carrier", "tragr"), "string", "")),
+    "demand": (
+        ("order", ("vbeln", "order"), "string", ""), ("customer", ("kunnr", "customer"), "string", ""),
+        ("material", ("matnr", "material"), "string", ""), ("qty", ("kwmeng", "qty"), "int", 0),
+        ("requestDate", ("edatu", "requestDate"), "string", ""), ("status", ("status", "absta"), "string", ""),
+        ("forecastQty", ("forecast_qty", "forecastQty"), "int", 0)),
+}
+
+
+def control_tower_payload(sets: dict[str, DataFrame | None]) -> DataFrame:
+    """Records of unlike tables as one stream of ``record_set, payload``: a JSON object a row, its fields named for the control tower.
+
+    A field comes from the first of its source columns that the table has (in any case), NULL values and absent columns take the
+    default, and a set whose table is missing (None, or not given) has no records. Nothing is gathered: rows stay where they are read.
+    """
+    parts = []
+    for name, fields in CONTROL_TOWER.items():
+        df = sets.get(name)
+        if df is None:
+            continue
+        found = resolve_columns(df, {target: (list(sources), default) for target, sources, _, default in fields})
+        typed = [F.coalesce(F.col(target).cast(kind), F.lit(default).cast(kind)).alias(target) for target, _, kind, default in fields]
+        parts.append(found.select(F.lit(name).alias("record_set"), F.to_json(F.struct(*typed)).alias("payload")))
+    return reduce(DataFrame.unionByName, parts)

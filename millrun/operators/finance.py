@@ -7,7 +7,7 @@ reported figures. The quarter grain is small (quarters x regions), so the window
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
@@ -196,3 +196,66 @@ def working_capital_impact(pl: DataFrame, year: int) -> DataFrame:
     cash = -F.col("s.d_dso") * F.col("rev") / 365 + F.col("s.d_dpo") * F.col("cogs") / 365
     return x.select(F.col("s.scenario").alias("scenario"), P.round_half_up(cash / 1e6, 2).alias("cash_impact_m"))
 
+
+# ---- P43 + P44: periods and organisation as joined tables ----------------------------------------------
+
+#: Departments that a cost type covers.
+COST_TYPES = (("opex", "Operations"), ("opex", "Commercial"), ("capex", "Technology"), ("ga", "Corporate"))
+#: Our regions of the reference's business units.
+BUSINESS_UNITS = (("amer", "AMERICA"), ("emea", "EUROPE"), ("emea", "MIDDLE EAST"), ("emea", "AFRICA"), ("apac", "ASIA"))
+
+
+def fiscal_calendar(spark: SparkSession, first: str, last: str, start_month: int = 1) -> DataFrame:
+    """A row for each month from ``first`` to ``last``: its fiscal year (named for the calendar year in which it ends) and quarter, and
+    the period key ``FY<year>-Q<quarter>``."""
+    months = F.explode(F.sequence(F.trunc(F.lit(first).cast("date"), "month"), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH")))
+    cal = spark.range(1).select(months.alias("month"))
+    shifted = F.add_months("month", (13 - start_month) % 12)
+    year, quarter = F.year(shifted), F.quarter(shifted)
+    key = F.concat(F.lit("FY"), year.cast("string"), F.lit("-Q"), quarter.cast("string"))
+    return cal.select("month", year.alias("fiscal_year"), quarter.alias("fiscal_quarter"), key.alias("period_key"))
+
+
+def period_selections(calendar: DataFrame, as_of: str) -> DataFrame:
+    """``selection, period_key`` of what a report can choose at ``as_of``: this quarter, the last quarter, the year to date,
+    this and the last fiscal year, the first and the second quarter of this year, and all.
+
+    A selection that reaches outside the calendar has the periods that are inside.
+    """
+    day = F.lit(as_of).cast("date")
+    quarters = calendar.groupBy("period_key", "fiscal_year", "fiscal_quarter").agg(F.min("month").alias("starts"))
+    now = quarters.where(F.col("starts") <= day).agg(F.max(F.struct("starts", "fiscal_year", "fiscal_quarter")).alias("now"))
+    q = quarters.crossJoin(F.broadcast(now))  # one row
+    index = F.col("fiscal_year") * 4 + F.col("fiscal_quarter")
+    current = F.col("now.fiscal_year") * 4 + F.col("now.fiscal_quarter")
+    this_year = F.col("fiscal_year") == F.col("now.fiscal_year")
+    rules = {
+        "this_quarter": index == current, "last_quarter": index == current - 1, "ytd": this_year & (index <= current), "this_year": this_year,
+        "last_year": F.col("fiscal_year") == F.col("now.fiscal_year") - 1, "q1": this_year & (F.col("fiscal_quarter") == 1),
+        "q2": this_year & (F.col("fiscal_quarter") == 2), "all": F.lit(True),
+    }
+    chosen = F.explode(F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull()))
+    return q.select(chosen.alias("selection"), "period_key")
+
+
+def pl_by_selection(pl: DataFrame, selections: DataFrame) -> DataFrame:
+    """P&L totals of every selection of periods."""
+    j = pl.join(selections, "period_key")
+    g = j.groupBy("selection").agg(
+        F.countDistinct("period_key").alias("periods"), F.sum(F.col("actual_revenue").cast("decimal(20,4)")).cast("double").alias("revenue"),
+        F.sum(F.col("actual_ebitda").cast("decimal(20,4)")).cast("double").alias("ebitda"))
+    return g.withColumn("margin_pct", _margin(F.col("ebitda"), F.col("revenue")))
+
+
+def cost_by_organisation(costs: DataFrame, selections: DataFrame) -> DataFrame:
+    """P43 + P44: costs per selection of periods, business unit and cost type, from ``costs(region, department, period_key, cost)``.
+
+    Units, cost types and periods are small tables that are joined; what belongs to no unit or type is reported under
+    NULL, so that the parts add up to the whole.
+    """
+    spark = costs.sparkSession
+    small = costs.groupBy("region", "department", "period_key").agg(F.sum(F.col("cost").cast("decimal(20,2)")).alias("cost"))
+    units = spark.createDataFrame(BUSINESS_UNITS, "unit string, region string")
+    types = spark.createDataFrame(COST_TYPES, "cost_type string, department string")
+    j = small.join(units, "region", "left").join(types, "department", "left").join(selections, "period_key")
+    return j.groupBy("selection", "unit", "cost_type").agg(F.sum("cost").cast("double").alias("cost"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.operators.ordinals import ordinal_within
+from millrun.operators.quantiles import quantile
 
 # Piece columns of an inspection row, and the texts that mean failure.
 PIECES = ("piece_1st", "piece_5th", "piece_10th", "piece_15th", "piece_20th", "piece_25th", "piece_30th", "piece_35th", "piece_iqa")
@@ -119,6 +120,13 @@ def test_run_by_procedure(runs: DataFrame, procedures: DataFrame, as_of: str, da
     return _run_counts(r, "procedure_id", F.col("name").alias("procedure_name"), "product_type")
 
 
+def test_run_totals(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Last-week totals, one row also without any run (the rate is NULL then)."""
+    done = F.count_if(F.col("status") == "completed")
+    g = _recent_runs(runs, as_of, days).agg(F.count(F.lit(1)).alias("total"), done.alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return g.withColumn("pass_rate", F.when(F.col("total") > 0, _half_up_div(F.col("passed") * 100, F.col("total"), 1)))
+
+
 def test_run_trend(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """Last-week runs per day."""
     return _run_counts(_recent_runs(runs, as_of, days), F.to_date("created_at").cast("string").alias("day"))
@@ -156,15 +164,19 @@ def workload_hours(schedule: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("outstanding"), (F.sum("est_minutes") / 60.0).alias("hours"))
 
 
-def reading_stats(readings: DataFrame, by_type: bool = True) -> DataFrame:
-    """A41 + P29: total, PASS, FAIL and pass % (optionally per test type)."""
+def reading_stats(readings: DataFrame, by_type: bool = True, p95_of: str = "pressure_psi") -> DataFrame:
+    """A41 + P29: total, PASS, FAIL, pass % and the 95th percentile of ``p95_of`` (optionally per test type)."""
     keys = ["test_type"] if by_type else []
     g = readings.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_readings"),
         F.count_if(F.col("result_raw") == "PASS").alias("pass_count"),
         F.count_if(F.col("result_raw") == "FAIL").alias("fail_count"),
     )
-    return g.withColumn("pass_rate_pct", _half_up_div(F.col("pass_count") * 100, F.col("total_readings"), 1))
+    g = g.withColumn("pass_rate_pct", _half_up_div(F.col("pass_count") * 100, F.col("total_readings"), 1))
+    p95 = quantile(readings, keys, p95_of, 0.95, f"p95_{p95_of}")
+    if not by_type:
+        return g.crossJoin(p95)  # one row each
+    return g.join(p95.withColumnRenamed("test_type", "_type"), F.col("test_type").eqNullSafe(F.col("_type")), "left").drop("_type")
 
 
 def records_without_rows(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -368,3 +380,56 @@ def recent_across(readings: DataFrame, n: int = 60) -> DataFrame:
     concatenates and re-sorts; a global sort + limit is the same result, and Spark already plans
     it as a top-n per task followed by one small merge (TakeOrderedAndProject)."""
     return readings.orderBy(F.desc("recorded_at"), F.desc("reading_id")).limit(n)
+
+
+# ---- J16: documents two levels deep --------------------------------------------------------------------
+
+STEP_FIELDS = ("order_index", "id", "step_type", "label", "is_mandatory")
+SECTION_FIELDS = ("order_index", "id", "title", "section_type")
+NULLS = {"ignoreNullFields": "false"}
+
+
+def nested_sections(sections: DataFrame, steps: DataFrame) -> DataFrame:
+    """``procedure_id, sections, n_steps``: a procedure's sections in order, each with its steps in order (empty without any).
+
+    A list holds a procedure's template, never its runs.
+    """
+    per_section = steps.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct(*STEP_FIELDS))).alias("steps"))
+    j = sections.join(per_section, sections.id == per_section.section_id, "left")
+    kind = per_section.schema["steps"].dataType.simpleString()
+    j = j.withColumn("steps", F.coalesce("steps", F.array().cast(kind)))
+    ordered = F.array_sort(F.collect_list(F.struct(*SECTION_FIELDS, "steps")))
+    return j.groupBy("procedure_id").agg(ordered.alias("sections"), F.sum(F.size("steps")).alias("n_steps"))
+
+
+def procedure_documents(procedures: DataFrame, sections: DataFrame, steps: DataFrame) -> DataFrame:
+    """A procedure with its sections and their steps as one JSON document, by one grouped pass a level (no N+1 reads)."""
+    nested = nested_sections(sections, steps)
+    kind = nested.schema["sections"].dataType.simpleString()
+    j = procedures.join(nested, procedures.id == nested.procedure_id, "left")
+    lists = F.coalesce("sections", F.array().cast(kind)).alias("sections")
+    return j.select(
+        F.col("id").alias("procedure_id"), F.size(lists).alias("n_sections"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
+        F.to_json(F.struct("id", "name", "product_type", lists), NULLS).alias("document"))
+
+
+def run_documents(runs: DataFrame, procedures: DataFrame, sections: DataFrame, steps: DataFrame, responses: DataFrame,
+                  order_cols=("created_at", "id", "value")) -> DataFrame:
+    """A run with its procedure's name and sections, and its responses in the order of the steps, as one JSON document.
+
+    Responses are reduced to the newest of each step first (partial aggregates), so a run that was answered millions of
+    times has a document of its procedure's size; ``n_responses`` counts them all. Runs of an unknown procedure are left out, as
+    in the reference; runs without responses have an empty list.
+    """
+    newest = responses.groupBy("run_id", "step_id").agg(
+        F.max_by("value", F.struct(*order_cols)).alias("value"), F.count(F.lit(1)).alias("n"))
+    per_run = newest.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("step_id", "value"))).alias("responses"), F.sum("n").alias("n_responses"))
+    nested = nested_sections(sections, steps).drop("n_steps")
+    p = procedures.select(F.col("id").alias("procedure_id"), F.col("name").alias("procedure_name"))
+    p = p.join(nested, "procedure_id", "left")
+    empty = [F.coalesce(c, F.array().cast(d.schema[c].dataType.simpleString())).alias(c) for d, c in ((per_run, "responses"), (nested, "sections"))]
+    j = runs.join(p, "procedure_id").join(per_run, runs.id == per_run.run_id, "left")
+    return j.select(
+        F.col("id").alias("run_id"), F.coalesce("n_responses", F.lit(0)).alias("n_responses"),
+        F.to_json(F.struct("id", "procedure_id", "procedure_name", "status", *empty), NULLS).alias("document"))

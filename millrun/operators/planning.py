@@ -204,6 +204,7 @@ def rebalance_pairs(network: DataFrame, freight_rate: float = 0.05) -> DataFrame
     seg = pts.filter(F.col("f").isNotNull() & F.col("t").isNotNull() & (F.col("end") > F.col("pos")))
     return seg.select(
         "sku", F.col("f").alias("from_branch"), F.col("t").alias("to_branch"), (F.col("end") - F.col("pos")).alias("qty"),
+        F.col("sku_cost").alias("unit_cost"),
         P.round_half_up((F.col("end") - F.col("pos")) * F.col("sku_cost") * freight_rate, 2).alias("freight_cost"))
 
 
@@ -361,6 +362,38 @@ def days_of_supply(
     return j.select("material_number", "stock", F.col("qty").alias("annual_demand"), dos.alias("days_of_supply"), health.alias("health"))
 
 
+def dc_utilization(positions: DataFrame, capacity: DataFrame, dos: DataFrame) -> DataFrame:
+    """A46 per distribution centre (plant): stock units against ``capacity(plant, capacity_units)``, SKUs, and materials by health.
+
+    A centre without a stated capacity has NULL utilisation. Positions are reduced to plant x material before anything else,
+    so a hot plant or material is one row a task.
+    """
+    pm = positions.groupBy("plant", "material_number").agg(F.sum("total_stock").cast("bigint").alias("units"))
+    j = pm.join(dos.select("material_number", "health"), "material_number", "left")
+    g = j.groupBy("plant").agg(
+        F.sum("units").alias("stock_units"), F.count_if(F.col("units") > 0).alias("skus"),
+        *[F.count_if(F.col("health") == h).alias(f"{h}_skus") for h in ("optimal", "excess", "at_risk", "stockout")])
+    pct = F.when(F.col("capacity_units") > 0, _half_up_div(F.col("stock_units") * 100, F.col("capacity_units"), 1))
+    return g.join(capacity, "plant", "left").withColumn("utilization_pct", pct)
+
+
+def category_days_of_supply(dos: DataFrame, categories: DataFrame, bands: DataFrame, days: int = 365) -> DataFrame:
+    """A46 per category: days of supply of its summed stock and demand, against the band ``bands(category, lo, hi)``.
+
+    ``categories(material_number, category, unit_value)``; materials without a category are left out. The position is "below", "in" or "above" the band,
+    NULL without demand or band.
+    """
+    j = dos.join(categories, "material_number")
+    value = F.col("stock").cast("decimal(20,0)") * F.col("unit_value").cast("decimal(18,2)")
+    g = j.groupBy("category").agg(
+        F.sum("stock").cast("bigint").alias("stock"), F.sum("annual_demand").cast("bigint").alias("annual_demand"),
+        F.sum(value).cast("double").alias("value"), *[F.count_if(F.col("health") == h).alias(h) for h in ("optimal", "excess", "at_risk", "stockout")])
+    g = g.withColumn("days_of_supply", F.when(F.col("annual_demand") > 0, _half_up_div(F.col("stock") * days, F.col("annual_demand"), 1)))
+    dos_ = F.col("days_of_supply")
+    place = F.when(dos_ < F.col("lo"), F.lit("below")).when(dos_ > F.col("hi"), F.lit("above")).when(dos_.isNotNull() & F.col("lo").isNotNull(), F.lit("in"))
+    return g.join(bands, "category", "left").withColumn("position", place)
+
+
 def order_automation(headers: DataFrame, automated_types=("4-NOT SPECIFIED", "5-LOW")) -> DataFrame:
     """Orders per month (valid order dates), automated vs manual by order type, and the rate."""
     o = headers.select(P.year_month("audat").alias("order_year_month"), F.col("auart").isin(*automated_types).cast("int").alias("auto"))

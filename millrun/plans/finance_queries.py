@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrun.operators import finance as FI
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
@@ -177,3 +179,53 @@ _WS = " UNION ALL ".join(f"SELECT '{n}' AS scenario, {d} AS d_dso, {p} AS d_dpo"
 def q_working_capital_impact(t):
     """P46 for the reporting year."""
     return FI.working_capital_impact(_pl(t), YEAR)
+
+
+# ---- P43 + P44 by joined tables ------------------------------------------------------------------------
+FIRST_MONTH, LAST_MONTH, REPORT_DAY = "1992-01-01", "2002-12-31", "2000-11-15"
+_SEL_SQL = f"""SELECT selection, period_key FROM (
+        SELECT DISTINCT year(m) AS y, quarter(m) AS q, 'FY' || year(m)::VARCHAR || '-Q' || quarter(m)::VARCHAR AS period_key
+        FROM (SELECT unnest(generate_series(DATE '{FIRST_MONTH}', DATE '{LAST_MONTH}', INTERVAL 1 MONTH)) AS m)) c,
+    LATERAL (SELECT unnest(list_filter([
+        if(y = {YEAR} AND q = {QUARTER}, 'this_quarter', NULL), if(y * 4 + q = {YEAR * 4 + QUARTER - 1}, 'last_quarter', NULL),
+        if(y = {YEAR} AND q <= {QUARTER}, 'ytd', NULL), if(y = {YEAR}, 'this_year', NULL), if(y = {YEAR - 1}, 'last_year', NULL),
+        if(y = {YEAR} AND q = 1, 'q1', NULL), if(y = {YEAR} AND q = 2, 'q2', NULL), 'all'], lambda x: x IS NOT NULL)) AS selection) l"""
+
+
+def _selections(t):
+    return FI.period_selections(FI.fiscal_calendar(t.spark, FIRST_MONTH, LAST_MONTH), REPORT_DAY)
+
+
+@query(
+    "pl_by_period",
+    W(_PLB, _PLC + [("sel", _SEL_SQL)],
+      f"""SELECT selection, count(DISTINCT period_key) AS periods, CAST(sum(CAST(actual_revenue AS DECIMAL(20,4))) AS DOUBLE) AS revenue,
+                 CAST(sum(CAST(actual_ebitda AS DECIMAL(20,4))) AS DOUBLE) AS ebitda,
+                 CASE WHEN sum(actual_revenue) <> 0 THEN {RH("CAST(sum(CAST(actual_ebitda AS DECIMAL(20,4))) AS DOUBLE) / CAST(sum(CAST(actual_revenue AS DECIMAL(20,4))) AS DOUBLE) * 100", 1)} END AS margin_pct
+          FROM pl JOIN sel USING (period_key) GROUP BY 1"""),
+)
+def q_pl_by_period(t):
+    """Quarter, last quarter, year to date, years and all over a fiscal calendar."""
+    return FI.pl_by_selection(_pl(t), _selections(t))
+
+
+def _costs(t):
+    """Binding: a line's department by the length of its nation's name (five kinds, the last without a cost type)."""
+    department = F.element_at(F.array(*[F.lit(d) for d in ("Operations", "Commercial", "Technology", "Corporate", "Research")]), F.length("nation") % 5 + 1)
+    day = F.col("o_orderdate")
+    key = F.concat(F.lit("FY"), F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string"))
+    return B.finance_lines(t).select("region", department.alias("department"), key.alias("period_key"), (F.col("l_quantity").cast("int") * 10).cast("decimal(18,2)").alias("cost"))
+
+
+@query(
+    "cost_by_organisation",
+    W(_PLB, [("sel", _SEL_SQL)],
+      f"""SELECT selection, CASE region WHEN 'AMERICA' THEN 'amer' WHEN 'ASIA' THEN 'apac' WHEN 'EUROPE' THEN 'emea'
+                                        WHEN 'AFRICA' THEN 'emea' WHEN 'MIDDLE EAST' THEN 'emea' END AS unit,
+                 CASE length(nation) % 5 WHEN 0 THEN 'opex' WHEN 1 THEN 'opex' WHEN 2 THEN 'capex' WHEN 3 THEN 'ga' END AS cost_type,
+                 CAST(sum({COST}) AS DOUBLE) AS cost
+          FROM finance_lines JOIN sel ON period_key = 'FY' || year(o_orderdate)::VARCHAR || '-Q' || quarter(o_orderdate)::VARCHAR GROUP BY 1, 2, 3"""),
+)
+def q_cost_by_organisation(t):
+    """P43 + P44: costs by selection of periods, business unit and cost type."""
+    return FI.cost_by_organisation(_costs(t), _selections(t))

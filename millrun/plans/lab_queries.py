@@ -3,6 +3,8 @@ UNION ALL forms)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrun.operators import lab as L
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
@@ -105,6 +107,17 @@ def q_test_run_by_procedure(t):
     return L.test_run_by_procedure(B.test_runs(t), B.test_procedures(t), AS_OF)
 
 
+@query(
+    "test_run_totals_7d",
+    W(["test_runs"], [],
+      f"""SELECT count(*) AS total, count_if(status = 'completed') AS passed, count_if(status = 'failed') AS failed,
+          CASE WHEN count(*) > 0 THEN {HD("count_if(status = 'completed') * 100", "count(*)", 1)} END AS pass_rate FROM test_runs WHERE {_RECENT}"""),
+)
+def q_test_run_totals_7d(t):
+    """A37 (totals)."""
+    return L.test_run_totals(B.test_runs(t), AS_OF)
+
+
 @query(
     "test_run_trend_7d",
     W(["test_runs"], [],
@@ -161,8 +174,8 @@ def q_workload_hours(t):
     "reading_stats",
     W(["pressure_readings"], [],
       f"""SELECT test_type, count(*) AS total_readings, count_if(result_raw = 'PASS') AS pass_count,
-          count_if(result_raw = 'FAIL') AS fail_count, {HD("count_if(result_raw = 'PASS') * 100", "count(*)", 1)} AS pass_rate_pct
-          FROM pressure_readings GROUP BY test_type"""),
+          count_if(result_raw = 'FAIL') AS fail_count, {HD("count_if(result_raw = 'PASS') * 100", "count(*)", 1)} AS pass_rate_pct,
+          quantile_cont(pressure_psi, 0.95) AS p95_pressure_psi FROM pressure_readings GROUP BY test_type"""),
 )
 def q_reading_stats(t):
     """A41 + P29 per test type."""
@@ -318,3 +331,53 @@ def q_readings_page(t):
 def q_recent_readings(t):
     """The newest 60 readings over all machines (per-machine top-n + merge = one TakeOrdered)."""
     return L.recent_across(B.pressure_readings(t), 60)
+
+
+# ---- J16 documents -------------------------------------------------------------------------------------
+def _sections(t):
+    """The bound sections and, for even procedures, a last one without steps."""
+    sec = B.test_proc_sections(t)
+    last = B.test_procedures(t).filter("id % 2 = 0").select(
+        (F.col("id") * 10 + 3).cast("int").alias("id"), F.col("id").alias("procedure_id"), F.lit(3).alias("order_index"),
+        F.lit("Sign-off").alias("title"), F.lit(None).cast("string").alias("section_type"))
+    return sec.unionByName(last)
+
+
+_SECTIONS = """SELECT * FROM test_proc_sections UNION ALL
+    SELECT CAST(id * 10 + 3 AS INTEGER), id, 3, 'Sign-off', NULL FROM test_procedures WHERE id % 2 = 0"""
+_NESTED = """SELECT s.procedure_id, count(DISTINCT s.id) AS n_sections, sum(n)::BIGINT AS n_steps,
+        list({'order_index': s.order_index, 'id': s.id, 'title': title, 'section_type': section_type, 'steps': coalesce(steps, [])} ORDER BY s.order_index) AS sections
+    FROM secs s LEFT JOIN (SELECT section_id, list({'order_index': order_index, 'id': id, 'step_type': step_type, 'label': label,
+                                  'is_mandatory': is_mandatory} ORDER BY order_index) AS steps FROM test_proc_steps GROUP BY 1) x ON s.id = x.section_id
+    LEFT JOIN (SELECT section_id, count(*) AS n FROM test_proc_steps GROUP BY 1) c ON s.id = c.section_id GROUP BY 1"""
+_DOC_BINDS = ["test_procedures", "test_proc_sections", "test_proc_steps"]
+
+
+@query(
+    "procedure_documents",
+    W(_DOC_BINDS, [("secs", _SECTIONS), ("nested", _NESTED)],
+      """SELECT id AS procedure_id, CAST(coalesce(n_sections, 0) AS INTEGER) AS n_sections, coalesce(n_steps, 0) AS n_steps,
+                CAST(to_json({'id': id, 'name': name, 'product_type': product_type, 'sections': sections}) AS VARCHAR) AS document
+         FROM test_procedures p LEFT JOIN nested n ON p.id = n.procedure_id"""),
+)
+def q_procedure_documents(t):
+    """Procedure -> sections -> steps, with sections that have none."""
+    return L.procedure_documents(B.test_procedures(t), _sections(t), B.test_proc_steps(t))
+
+
+@query(
+    "run_documents",
+    W([*_DOC_BINDS, "test_runs", "test_run_responses"], [("secs", _SECTIONS), ("nested", _NESTED)],
+      """WITH newest AS (SELECT run_id, step_id, value, count(*) OVER (PARTITION BY run_id) AS n_responses,
+                                row_number() OVER (PARTITION BY run_id, step_id ORDER BY created_at DESC, id DESC, value DESC) AS r FROM test_run_responses),
+            answers AS (SELECT run_id, any_value(n_responses) AS n_responses, list({'step_id': step_id, 'value': value} ORDER BY step_id) AS responses
+                        FROM newest WHERE r = 1 GROUP BY 1)
+         SELECT r.id AS run_id, coalesce(n_responses, 0) AS n_responses,
+                CAST(to_json({'id': r.id, 'procedure_id': r.procedure_id, 'procedure_name': p.name, 'status': r.status,
+                              'responses': coalesce(responses, []), 'sections': sections}) AS VARCHAR) AS document
+         FROM test_runs r JOIN test_procedures p ON p.id = r.procedure_id LEFT JOIN nested n ON n.procedure_id = p.id
+         LEFT JOIN answers a ON a.run_id = r.id"""),
+)
+def q_run_documents(t):
+    """Run -> responses and its procedure's sections -> steps."""
+    return L.run_documents(B.test_runs(t), B.test_procedures(t), _sections(t), B.test_proc_steps(t), B.test_run_responses(t))

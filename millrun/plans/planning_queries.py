@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrun.operators import erp, planning as PL
 from millrun.plans.erp_queries import SQL_DELIVERY_LINES, SQL_INV_GOLD, SQL_INV_POS, SQL_ORDER_LINES, SQL_PROC_GOLD, SQL_PROC_LINES
 from millrun.plans.oracle_bindings import with_bindings as W
@@ -279,6 +281,59 @@ def q_days_of_supply(t):
     return PL.days_of_supply(inv, erp.order_lines(B.vbap(t), B.vbak(t)), B.AS_OF_ORDERS)
 
 
+_DOS_SQL = f"""SELECT st.material_number, st.stock, coalesce(dm.qty, 0) AS annual_demand,
+        CASE WHEN coalesce(dm.qty, 0) > 0 THEN {HD("st.stock * 365", "dm.qty", 1)} END AS dos
+    FROM (SELECT material_number, CAST(sum(unrestricted_stock) AS BIGINT) AS stock FROM inv_gold GROUP BY 1) st
+    LEFT JOIN (SELECT material_number, CAST(sum(order_quantity) AS BIGINT) AS qty FROM ol
+               WHERE TRY_CAST(order_date AS DATE) BETWEEN DATE '{B.AS_OF_ORDERS}' - 364 AND DATE '{B.AS_OF_ORDERS}' GROUP BY 1) dm USING (material_number)"""
+_HEALTH_SQL = """SELECT *, CASE WHEN stock <= 0 OR dos < 7 THEN 'stockout' WHEN dos IS NULL OR dos > 90 THEN 'excess'
+        WHEN dos < 30 THEN 'at_risk' ELSE 'optimal' END AS health FROM dos0"""
+_DOS_CTES = [("inv_pos", SQL_INV_POS), ("inv_gold", SQL_INV_GOLD), ("ol", SQL_ORDER_LINES), ("dos0", _DOS_SQL), ("dos", _HEALTH_SQL)]
+_HEALTHS = ("optimal", "excess", "at_risk", "stockout")
+#: Units that one storage position of the test data can hold, and bands of days of supply for its categories (ours; PROMO has none).
+POSITION_UNITS = 60
+BANDS = (("STANDARD", 25, 45), ("MEDIUM", 8, 18), ("SMALL", 30, 60), ("LARGE", 30, 60), ("ECONOMY", 45, 90))
+
+
+def _dos(t):
+    return PL.days_of_supply(erp.inventory_gold(erp.inventory_positions(B.mard(t))), erp.order_lines(B.vbap(t), B.vbak(t)), B.AS_OF_ORDERS)
+
+
+@query(
+    "dc_utilization",
+    W(["mard", "vbap", "vbak"], _DOS_CTES,
+      f"""WITH cap AS (SELECT plant, CAST(count(*) * {POSITION_UNITS} AS BIGINT) AS capacity_units FROM inv_pos WHERE plant <> 'P2' GROUP BY 1),
+            u AS (SELECT plant, material_number, CAST(sum(total_stock) AS BIGINT) AS units FROM inv_pos GROUP BY 1, 2)
+        SELECT plant, CAST(sum(units) AS BIGINT) AS stock_units, count_if(units > 0) AS skus,
+               {", ".join(f"count_if(health = '{h}') AS {h}_skus" for h in _HEALTHS)}, any_value(capacity_units) AS capacity_units,
+               CASE WHEN any_value(capacity_units) > 0 THEN {HD("CAST(sum(units) AS BIGINT) * 100", "any_value(capacity_units)", 1)} END AS utilization_pct
+        FROM u LEFT JOIN dos USING (material_number) LEFT JOIN cap USING (plant) GROUP BY plant"""),
+)
+def q_dc_utilization(t):
+    """A46 per distribution centre; the capacity of plant P2 is not known."""
+    positions = erp.inventory_positions(B.mard(t))
+    capacity = positions.filter("plant <> 'P2'").groupBy("plant").agg((F.count(F.lit(1)) * POSITION_UNITS).alias("capacity_units"))
+    return PL.dc_utilization(positions, capacity, _dos(t))
+
+
+@query(
+    "category_days_of_supply",
+    W(["mard", "vbap", "vbak"], _DOS_CTES,
+      f"""WITH b(category, lo, hi) AS (VALUES {", ".join(f"('{c}', {lo}, {hi})" for c, lo, hi in BANDS)}),
+            g AS (SELECT p_type AS category, CAST(sum(stock) AS BIGINT) AS stock, CAST(sum(annual_demand) AS BIGINT) AS annual_demand,
+                         CAST(sum(CAST(stock AS DECIMAL(20,0)) * CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS value,
+                         {", ".join(f"count_if(health = '{h}') AS {h}" for h in _HEALTHS)}
+                  FROM dos JOIN part ON CAST(p_partkey AS VARCHAR) = material_number GROUP BY 1),
+            d AS (SELECT *, CASE WHEN annual_demand > 0 THEN {HD("stock * 365", "annual_demand", 1)} END AS days_of_supply FROM g)
+        SELECT d.*, lo, hi, CASE WHEN lo IS NULL OR days_of_supply IS NULL THEN NULL WHEN days_of_supply BETWEEN lo AND hi THEN 'in'
+                                 WHEN days_of_supply < lo THEN 'below' ELSE 'above' END AS position FROM d LEFT JOIN b USING (category)"""),
+)
+def q_category_days_of_supply(t):
+    """A46 per category against its band."""
+    categories = t.part.select(F.col("p_partkey").cast("string").alias("material_number"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("unit_value"))
+    return PL.category_days_of_supply(_dos(t), categories, t.spark.createDataFrame(BANDS, "category string, lo int, hi int"))
+
+
 @query(
     "order_automation",
     W(["vbak"], [],
@@ -312,4 +367,4 @@ def q_order_automation(t):
 )
 def q_stock_rebalance_pairs(t):
     """Excess -> short branch transfer pairs per SKU with freight cost (interval merge, no all-pairs)."""
-    return PL.rebalance_pairs(B.stock_network(t))
+    return PL.rebalance_pairs(B.stock_network(t)).drop("unit_cost")

@@ -274,31 +274,97 @@ _HEALTH = """CASE WHEN stock = 0 THEN 'stockout' WHEN dos >= 7 AND dos < 30 THEN
                   WHEN dos < 7 THEN 'stockout' ELSE 'excess' END"""
 
 
+#: Binding of the status log: an event is an entry about the reorder of the material that has its user's number.
+LOG_STATUS = (("view", "acknowledged"), ("click", "in_progress"), ("signup", "reopened"), ("purchase", "done"), ("error", "rejected"))
+_PAIRS_SQL = """SELECT sku || '/' || from_branch || '/' || to_branch AS entity_id, qty, sku_cost FROM (
+    SELECT e.sku, e.branch_id AS from_branch, n.branch_id AS to_branch, e.sku_cost, least(e.e_end, n.n_end, e.cap) - greatest(e.e_end - e.excess, n.n_end - n.need) AS qty
+    FROM lanes e JOIN lanes n ON e.sku = n.sku AND e.excess > 0 AND n.need > 0) WHERE qty > 0"""
+_LANES_SQL = """SELECT *, sum(excess) OVER (PARTITION BY sku ORDER BY branch_id) AS e_end, sum(need) OVER (PARTITION BY sku ORDER BY branch_id) AS n_end,
+        least(sum(excess) OVER (PARTITION BY sku), sum(need) OVER (PARTITION BY sku)) AS cap, arg_min(cost, branch_id) OVER (PARTITION BY sku) AS sku_cost
+    FROM (SELECT sku, branch_id, min(unit_cost) AS cost,
+                 greatest(sum(coalesce(available_stock, 0)) - sum(coalesce(safety_stock, 0)), 0) AS excess,
+                 greatest(sum(coalesce(safety_stock, 0)) - sum(coalesce(available_stock, 0)), 0) AS need FROM stock_network GROUP BY 1, 2)"""
+# The life cycle by a walk over each action's entries: since the last reopening the first closing entry, else the last entry.
+_STATE_SQL = """SELECT action_id, any_value(n) AS n_changes,
+        coalesce(arg_min(struct_pack(s := status, t := ts), (ts, event_id)) FILTER (WHERE status IN ('done', 'rejected')),
+                 arg_max(struct_pack(s := status, t := ts), (ts, event_id))) AS st
+    FROM (SELECT *, count(*) OVER (PARTITION BY action_id) AS n, count(*) FILTER (WHERE status = 'reopened') OVER (PARTITION BY action_id) AS openings,
+                 count(*) FILTER (WHERE status = 'reopened') OVER (PARTITION BY action_id ORDER BY ts, event_id) AS opened
+          FROM (SELECT 'reorder:' || user_id::VARCHAR AS action_id, event_id, ts, CASE event_type """ + " ".join(
+    f"WHEN '{e}' THEN '{st}'" for e, st in LOG_STATUS) + """ END AS status FROM events))
+    WHERE opened = openings GROUP BY 1"""
+
+
+def _status_log(t):
+    status = F.element_at(F.create_map(*[F.lit(x) for pair in LOG_STATUS for x in pair]), F.col("event_type"))
+    return t.events.select(F.col("event_id").alias("entry_id"), F.concat(F.lit("reorder:"), F.col("user_id").cast("string")).alias("action_id"),
+                           status.alias("status"), F.col("ts").cast("timestamp").alias("changed_at"))
+
+
 @query(
     "action_generation",
-    W(["mard", "vbap", "vbak", "demand_history", "ekpo", "ekko", "lips", "likp"],
+    W(["mard", "vbap", "vbak", "demand_history", "ekpo", "ekko", "lips", "likp", "stock_network"],
       [("inv_pos", SQL_INV_POS), ("inv_gold", SQL_INV_GOLD), ("ol", SQL_ORDER_LINES), ("dos0", _DOS),
        ("dos", f"SELECT *, {_HEALTH} AS health FROM dos0"), ("acc", SQL_ACC),
        ("cm", f"SELECT category, {RH('sum(round(bias_pct * 10)) / count(*) / 10', 2)} AS mean_bias_pct FROM acc WHERE actual_qty > 0 GROUP BY 1"),
-       ("proc_lines", SQL_PROC_LINES), ("proc_gold", SQL_PROC_GOLD), ("dl", SQL_DELIVERY_LINES), ("sc", _SC_SQL)],
-      f"""SELECT 'reorder' AS action_type, material_number AS entity_id,
+       ("proc_lines", SQL_PROC_LINES), ("proc_gold", SQL_PROC_GOLD), ("dl", SQL_DELIVERY_LINES), ("sc", _SC_SQL),
+       ("lanes", _LANES_SQL), ("pairs", _PAIRS_SQL), ("state", _STATE_SQL)],
+      f"""WITH a AS (
+          SELECT 'reorder' AS action_type, material_number AS entity_id,
                  CASE WHEN health = 'stockout' THEN 'Critical' ELSE 'High' END AS priority, CAST(annual_demand AS DOUBLE) AS impact,
-                 DATE '{B.AS_OF_ORDERS}' + 3 AS due_date, 'pending' AS status FROM dos WHERE health IN ('at_risk', 'stockout')
+                 DATE '{B.AS_OF_ORDERS}' + 3 AS due_date FROM dos WHERE health IN ('at_risk', 'stockout')
           UNION ALL
-          SELECT 'forecast_override', category, 'Medium', mean_bias_pct, DATE '{B.AS_OF_ORDERS}' + 7, 'pending' FROM cm
+          SELECT 'forecast_override', category, 'Medium', mean_bias_pct, DATE '{B.AS_OF_ORDERS}' + 7 FROM cm
           WHERE abs(mean_bias_pct) > 5
           UNION ALL
-          SELECT 'escalate_supplier', supplier_number, 'High', spend_usd, DATE '{B.AS_OF_ORDERS}' + 5, 'pending' FROM sc
-          WHERE on_time_pct < 50"""),
+          SELECT 'escalate_supplier', supplier_number, 'High', spend_usd, DATE '{B.AS_OF_ORDERS}' + 5 FROM sc
+          WHERE on_time_pct < 50
+          UNION ALL
+          SELECT 'lateral_transfer', entity_id, if({RH("qty * sku_cost", 2)} >= 10000, 'High', 'Medium'), {RH("qty * sku_cost", 2)},
+                 DATE '{B.AS_OF_ORDERS}' + 2 FROM pairs)
+        SELECT a.*, action_type || ':' || entity_id AS action_id, coalesce(if(st.s = 'reopened', 'pending', st.s), 'pending') AS status,
+               st.t AS status_since, coalesce(n_changes, 0) AS n_changes
+        FROM a LEFT JOIN state ON state.action_id = action_type || ':' || entity_id"""),
 )
 def q_action_generation(t):
-    """reorder / forecast-override / supplier-escalation actions from the A46, A18, A45 rules."""
+    """reorder / forecast-override / supplier-escalation / transfer actions from the A46, A18, A45 and O4 rules, and their status."""
     ol = erp.order_lines(B.vbap(t), B.vbak(t))
     dos = PL.days_of_supply(erp.inventory_gold(erp.inventory_positions(B.mard(t))), ol, B.AS_OF_ORDERS)
     cm = PL.category_mape(PL.forecast_accuracy(B.demand_history(t)))
     proc = erp.procurement_gold(erp.procurement_lines(B.ekpo(t), B.ekko(t)))
     sc = PL.supplier_scorecard(proc, erp.delivery_lines(B.lips(t), B.likp(t)))
-    return C.action_generation(dos, cm, sc, B.AS_OF_ORDERS)
+    return C.action_generation(dos, cm, sc, B.AS_OF_ORDERS, PL.rebalance_pairs(B.stock_network(t)), _status_log(t))
+
+
+# ---- control tower payload ---------------------------------------------------------------------------
+@query(
+    "control_tower_payload",
+    W(["ekpo", "ekko", "mard", "wo_mst", "lips", "likp", "vbap", "vbak"], [],
+      """SELECT 'procurement' AS record_set, CAST(json_object('po', ebeln, 'vendor', coalesce(lifnr, ''), 'vendorName', coalesce(lifnr, ''),
+                'material', coalesce(matnr, ''), 'qty', coalesce(menge, 0), 'value', coalesce(netwr, 0.0), 'status', 'Open', 'delivery', coalesce(eindt, '')) AS VARCHAR) AS payload
+         FROM ekpo LEFT JOIN ekko USING (ebeln)
+         UNION ALL
+         SELECT 'inventory', json_object('material', matnr, 'plant', werks, 'storageLoc', lgort, 'unrestricted', labst, 'blocked', speme,
+                                         'inTransit', 0, 'reorderPoint', coalesce(eisbe, 0))::VARCHAR FROM mard
+         UNION ALL
+         SELECT 'manufacturing', json_object('order', wono, 'material', part, 'plant', site, 'qty', qty_ord, 'status', ord_status,
+                                             'start', CAST(start_date AS VARCHAR), 'end', CAST(due_date AS VARCHAR))::VARCHAR FROM wo_mst
+         UNION ALL
+         SELECT 'logistics', json_object('delivery', vbeln, 'shipTo', coalesce(kunnr, ''), 'material', matnr, 'qty', lfimg, 'status', '',
+                                         'planned', coalesce(lfdat, ''), 'carrier', coalesce(tragr, ''))::VARCHAR FROM lips LEFT JOIN likp USING (vbeln)
+         UNION ALL
+         SELECT 'demand', json_object('order', vbeln, 'customer', coalesce(kunnr, ''), 'material', matnr, 'qty', kwmeng, 'requestDate', edatu,
+                                      'status', coalesce(absta, ''), 'forecastQty', 0)::VARCHAR FROM vbap LEFT JOIN vbak USING (vbeln)"""),
+)
+def q_control_tower_payload(t):
+    """Five record sets as JSON records of one table."""
+    return C.control_tower_payload({
+        "procurement": B.ekpo(t).join(B.ekko(t), "ebeln", "left"),
+        "inventory": B.mard(t),
+        "manufacturing": B.wo_mst(t),
+        "logistics": B.lips(t).join(B.likp(t), "vbeln", "left"),
+        "demand": B.vbap(t).join(B.vbak(t), "vbeln", "left"),
+    })
 
 
 # ---- C4 rework routing cost ------------------------------------------------------------------------
