@@ -175,7 +175,7 @@ def reading_stats(readings: DataFrame, by_type: bool = True, p95_of: str = "pres
     g = g.withColumn("pass_rate_pct", _half_up_div(F.col("pass_count") * 100, F.col("total_readings"), 1))
     p95 = quantile(readings, keys, p95_of, 0.95, f"p95_{p95_of}")
     if not by_type:
-        return g.crossJoin(p95)  # one row each
+        return g.join(p95, F.lit(True), "left")  # one row each
     return g.join(p95.withColumnRenamed("test_type", "_type"), F.col("test_type").eqNullSafe(F.col("_type")), "left").drop("_type")
 
 

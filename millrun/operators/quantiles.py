@@ -44,4 +44,4 @@ def quantile(df: DataFrame, group: list[str], value: str, q: float, out: str, ac
     lower, upper = F.max(F.when(held(F.floor(rank)), F.col("_v"))), F.max(F.when(held(F.ceil(rank)), F.col("_v")))
     share = F.max(rank - F.floor(rank))
     large = counts.groupBy(*group).agg((lower + (upper - lower) * share).alias(out))
-    return small.unionByName(large)
+    return small.unionByName(large).where(F.col(out).isNotNull())  # without group columns the part that is empty has a row, too
