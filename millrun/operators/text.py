@@ -9,13 +9,16 @@
   first |X| - ceil(t^2 |X|) + 1 rarest tokens (prefix filtering). Candidates come from an
   equi-join on those prefix tokens, which is exact for every non-LOW pair; LOW pairs are
   counted, not listed (their number is the pair total minus the rest). This replaces the
-  reference's ``a.id < b.id`` theta self-join (J11) over the distinct trimmed names (U2).
+  reference's ``a.id < b.id`` theta self-join (J11) over the distinct trimmed names (U2). Frequent grams are
+  dealt to a grid of keys, and pairs pass size and position bounds before they are scored.
 * Keyword ranking embeds the small fixed knowledge base as a literal array, so scoring is a
   per-row expression with no join.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +64,9 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = CHU
 
 
 def label_centroids(vectors: DataFrame, label_col: str, vec_col: str) -> DataFrame:
-    """Mean vector per label (query vectors for V1), by position so it scales with the corpus."""
-    e = vectors.select(label_col, F.posexplode(vec_col).alias("pos", "x"))
-    per_pos = e.groupBy(label_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return per_pos.groupBy(label_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("qvec")
-    )
+    """Mean vector per label (query vectors for V1): one running mean a task and label, no explode."""
+    v = vectors.select(label_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("v"))
+    return v.groupBy(label_col).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("qvec"))
 
 
 def vector_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid_col: str, qvec_col: str,
@@ -107,24 +107,51 @@ def semantic_threshold(medium: float = TIER_MEDIUM) -> float:
     return max((medium - W_JW - W_LEV) / W_SEMANTIC - 1e-3, 0.0)
 
 
-def candidate_pairs(names: DataFrame, id_col: str, grams_col: str, threshold: float) -> DataFrame:
-    """M2: exact prefix-filtered blocking for trigram cosine >= ``threshold``."""
-    tok = names.select(id_col, F.explode(grams_col).alias("tok"))
-    freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tok.join(freq, "tok").withColumn(
-        "r", F.row_number().over(Window.partitionBy(id_col).orderBy("df", "tok"))  # one name's tokens
-    )
-    size = F.count(F.lit(1)).over(Window.partitionBy(id_col))
-    prefix_len = size - F.ceil(size * (threshold * threshold)) + 1
-    pref = ranked.withColumn("plen", prefix_len).filter(F.col("r") <= F.col("plen")).select(id_col, "tok")
-    a, b = pref.alias("a"), pref.alias("b")
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
-    return pairs.select(F.col(f"a.{id_col}").alias("id_a"), F.col(f"b.{id_col}").alias("id_b")).distinct()
+#: Rows of one gram and side that meet in one task: a gram with more is dealt to a grid of keys.
+GRAM_ROWS = 512
+
 
+def candidate_pairs(names: DataFrame, id_col: str, grams_col: str, threshold: float, gram_rows: int = GRAM_ROWS) -> DataFrame:
+    """M2: exact blocking for a set cosine (Ochiai) of at least ``threshold``: no such pair is lost.
 
-def score_pairs(pairs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    The smaller set of a pair (of equal ones that of smaller id) is found by its first |X| - ceil(t |X|) + 1 rarest grams, the larger one by its first
+    |Y| - ceil(t^2 |Y|) + 1: the overlap is at least t sqrt(|X||Y|), which is t |X| or more and t^2 |Y| or more. A
+    pair that meets at places i and j of the common order can share 1 + min(|X| - i, |Y| - j) grams at most, and is dropped
+    unless that and the sizes suffice (it would also have met at its first common gram).
+
+    A gram with many rows is split: its rows are dealt to parts of about ``gram_rows``, and each part of the one side meets each part of
+    the other under a key of its own, so no task compares more than gram_rows^2 pairs of one gram.
+    """
+    tok = names.select(id_col, F.size(grams_col).alias("size"), F.explode(grams_col).alias("tok"))
+    freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    one_name = Window.partitionBy(id_col).orderBy("df", "tok")  # one name's grams
+    ranked = tok.join(freq, "tok").withColumn("place", F.row_number().over(one_name))
+    size = F.col("size")
+    small = F.col("place") <= size - F.ceil(size * threshold - 1e-9) + 1
+    large = ranked.filter(F.col("place") <= size - F.ceil(size * (threshold * threshold) - 1e-9) + 1).withColumn("small", small)
+    sides = large.groupBy("tok").agg(F.count_if("small").alias("n_small"), F.count(F.lit(1)).alias("n_large"))
+    parts = {side: F.ceil(F.col(f"n_{side}") / gram_rows).cast("int").alias(f"{side}_parts") for side in ("small", "large")}
+    rows = large.join(sides.filter("n_small > 0 and n_large > 1").select("tok", *parts.values()), "tok")
+    mine = lambda n: F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("small").select("tok", F.col(id_col).alias("x"), F.col("size").alias("x_size"), F.col("place").alias("i"),
+                                       mine("small_parts").alias("a"), every("large_parts").alias("b"))
+    right = rows.select("tok", F.col(id_col).alias("y"), F.col("size").alias("y_size"), F.col("place").alias("j"),
+                        mine("large_parts").alias("b"), every("small_parts").alias("a"))
+    ordered = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x") < F.col("y")))
+    most = 1 + F.least(F.col("x_size") - F.col("i"), F.col("y_size") - F.col("j"))
+    enough = most >= threshold * F.sqrt(F.col("x_size") * F.col("y_size")) - 1e-9
+    length = F.col("x_size") >= threshold * threshold * F.col("y_size") - 1e-9
+    met = left.join(right, ["tok", "a", "b"]).filter(ordered & length & enough)
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def score_pairs(pairs: DataFrame, names: DataFrame, id_col: str, text_col: str, at_least: float = 0.0) -> DataFrame:
     """M1 + M3 over given pairs: edit distance, its similarity, Jaro-Winkler, trigram cosine,
-    composite and tier (tier on the un-rounded sum of the 4-dp parts)."""
+    composite and tier (tier on the un-rounded sum of the 4-dp parts).
+
+    With ``at_least``, pairs whose composite cannot reach it by their grams and lengths are left out before the edit distance and the
+    Python function see them."""
     n = names.select(id_col, text_col, "grams")
     a = n.select(F.col(id_col).alias("id_a"), F.col(text_col).alias("description_a"), F.col("grams").alias("ga"))
     b = n.select(F.col(id_col).alias("id_b"), F.col(text_col).alias("description_b"), F.col("grams").alias("gb"))
@@ -134,6 +161,13 @@ def score_pairs(pairs: DataFrame, names: DataFrame, id_col: str, text_col: str)
     longest = F.greatest(F.length("description_a"), F.length("description_b"))
     lev_sim = F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - dist / longest.cast("double"))  # Q18 guard
     r4 = lambda c: P.round_half_up(c, 4)
+    if at_least > 0:
+        # The cheap part first: with the best Jaro-Winkler the lengths allow, could the pair still reach the tier?
+        p = p.withColumn("_cosine", r4(S.set_cosine("ga", "gb")))
+        share = F.when(longest == 0, F.lit(1.0)).otherwise(F.least(F.length("description_a"), F.length("description_b")) / longest.cast("double"))
+        jaro = (2 + share) / 3
+        best = F.col("_cosine") * W_SEMANTIC + (jaro + 4 * S.JW_PREFIX_WEIGHT * (1 - jaro)) * W_JW + share * W_LEV
+        p = p.filter(best >= at_least - 1e-3)
     scored = p.select(
         F.col("id_a").alias("sku_id_a"),
         "description_a",
@@ -142,7 +176,7 @@ def score_pairs(pairs: DataFrame, names: DataFrame, id_col: str, text_col: str)
         dist.alias("levenshtein_distance"),
         r4(lev_sim).alias("levenshtein_similarity"),
         r4(S.jaro_winkler_udf(la, lb)).alias("jarowinkler_similarity"),
-        r4(S.set_cosine("ga", "gb")).alias("ngram_similarity"),
+        (F.col("_cosine") if at_least > 0 else r4(S.set_cosine("ga", "gb"))).alias("ngram_similarity"),
     )
     raw = F.col("ngram_similarity") * W_SEMANTIC + F.col("jarowinkler_similarity") * W_JW + F.col("levenshtein_similarity") * W_LEV
     tier = (
@@ -162,7 +196,7 @@ def fuzzy_match(names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """M1-M3: every pair of distinct names whose tier is EXACT, HIGH or MEDIUM."""
     g = with_grams(names, text_col)
     pairs = candidate_pairs(g, id_col, "grams", semantic_threshold())
-    return score_pairs(pairs, g, id_col, text_col).filter(F.col("match_tier") != "LOW")
+    return score_pairs(pairs, g, id_col, text_col, TIER_MEDIUM).filter(F.col("match_tier") != "LOW")
 
 
 def fuzzy_tier_counts(names: DataFrame, id_col: str, text_col: str) -> DataFrame:

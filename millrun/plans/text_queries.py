@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrun.operators import text as T
+from millrun.operators import vector_index as VI
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
 
@@ -82,6 +83,17 @@ def q_retrieval_context(t):
     return T.retrieval_context(_topk(t), "label", t.documents, "doc_id", "text", "source")
 
 
+def index_queries(t):
+    """The stated query set of the index: embeddings whose id is divisible by 100."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@query("vector_topk_indexed")
+def q_vector_topk_indexed(t):
+    """V1 by the projection index: top 10 of each query of the stated set (recall is measured in the tests)."""
+    return VI.indexed_topk(t.embeddings, "vec_id", "embedding", index_queries(t), "qid", "qvec", k=10)
+
+
 # ---- fuzzy matching ------------------------------------------------------------------------
 def _names(t):
     return t.part.groupBy(F.trim("p_name").alias("sku_description")).agg(F.min("p_partkey").alias("sku_id"))
