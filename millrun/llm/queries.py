@@ -12,10 +12,6 @@ from millrun.llm import attention, imatch, licenses, middle, mixing, packing, pi
 from millrun.llm.common import read, written
 from millrun.session import ensure_checkpoint_dir
 
-#: Stands for the secret that a deployment passes in.
-PII_KEY = "corpus-pseudonyms"
-
-
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens; the ids as their CRC-32."""
     pieces = packing.pack(read(spark, sf_dir, "documents"), packing.byte_bpe_50k())
@@ -82,7 +78,7 @@ def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal numbers, dates and addresses as format-preserving pseudonyms."""
-    rows = pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY)
+    rows = pii.pseudonymise(read(spark, sf_dir, "documents"), pii.session_key(spark))
     return rows.select("doc_id", "text", F.col("_replaced").cast("bigint").alias("n_replaced"))
 
 
