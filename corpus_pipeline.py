@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from millrun.llm import mixing, packing, pii, quality, simhash
 from millrun.llm.common import read, written
 
-#: Stands for the secret that a deployment passes in.
-PII_KEY = "corpus-pseudonyms"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -24,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values replaced; ``n_chars`` follows the text where a value changes length."""
-    rows = pii.pseudonymise(docs, PII_KEY)
+    rows = pii.pseudonymise(docs, pii.session_key(spark))
     n_chars = F.when(F.col("_replaced") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).drop("_replaced")
 
