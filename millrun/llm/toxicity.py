@@ -83,6 +83,8 @@ def training_passages(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple],
     rows = found.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(
         run, f"doc_id {kind}, toxic int, passages array<string>"
     )
+    # Of a doc_id's rows one, so that no more than TRAIN_DOCUMENTS reach the driver.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "passages")).alias("row")).select("doc_id", "row.*")
     share = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return sorted(((r[0], r[1], list(r[2])) for r in rows.collect()), key=lambda r: (str(r[0]), r[1], r[2])), share or 0.0
 
@@ -209,7 +211,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
 
     The model is fitted on ``labels(doc_id, toxic)`` but for the rows held out (CRC-32 of the doc_id as
-    text leaves 1 on division by 3); of repeated labels the greatest counts, null ones don't. Null and empty texts score like a
+    text leaves 1 on division by 3); of repeated labels the greatest counts, of repeated documents the first by its passages, null ones don't. Null and empty texts score like a
     text of neutral words. Repeated rows score alike; a null doc_id is scored and not held out; other columns are ignored; an empty
     table gives an empty result. Without labels of both classes every score is the share of toxic labels.
     """
