@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrun.llm.common import shuffle_partitions, sorted_groups, written
+from millrun.llm.common import fits_broadcast, shuffle_partitions, sorted_groups, written
 from millrun.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -84,16 +84,14 @@ def meeting_edges(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     radius = (max_bits + 1) // 2
     n = distinct_fps.count()
     ball = sum(math.comb(64, i) for i in range(radius + 1))
-    bits = min(16, max(1, math.ceil(math.log2(max(2, n * ball / VARIANTS_A_TASK)))))
+    bits = min(48, max(1, math.ceil(math.log2(max(2, n * ball / VARIANTS_A_TASK)))))
     low = 64 - bits
     inner = [flips(0, low, r) for r in range(radius + 1)]
     outer = flips(low, 64, radius)
-    # Fingerprints by their own leading bits: at most 2^16 numbers, whatever the input.
-    center = F.shiftrightunsigned("fp", low).alias("k")
-    counts = np.zeros(1 << bits, np.int64)
-    for row in distinct_fps.groupBy(center).count().collect():
-        counts[row[0]] = row[1]
-    salts = np.maximum(1, -(-counts * len(inner[radius]) // (4 * VARIANTS_A_TASK))).astype(np.int64)
+    # Patterns that hold more than a task's share of the fingerprints, and the parts that each is split into.
+    patterns = distinct_fps.groupBy(F.shiftrightunsigned("fp", low).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") * len(inner[radius]) / (4 * VARIANTS_A_TASK))
+    hot = written(patterns.select("k", parts.alias("salts")).where("salts > 1"), "hot-patterns")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,20 +99,20 @@ def meeting_edges(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
                 fp = b.column(0).slice(i, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
                 fp = np.ascontiguousarray(fp)
                 k = ((fp[:, None] ^ outer[None, :]) >> np.uint64(low)).astype(np.int64).ravel()
-                owner = np.repeat(fp, len(outer))
-                copies = salts[k]
-                salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                out = [np.repeat(k, copies), salt, np.repeat(owner, copies).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["k", "salt", "fp"])
+                owner = np.repeat(fp, len(outer)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(owner)], ["k", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, salt), (fp,) in sorted_groups(batches, 2):
-            a, b = meet_in_bucket(fp.view(np.uint64), int(k), int(salt), int(salts[k]), low, inner, max_bits)
+        for (k, salt, salts), (fp,) in sorted_groups(batches, 3):
+            a, b = meet_in_bucket(fp.view(np.uint64), int(k), int(salt), int(salts), low, inner, max_bits)
             if len(a):
                 out = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(out, ["a", "b"])
 
-    sent = distinct_fps.select("fp").mapInArrow(emit, "k bigint, salt bigint, fp bigint")
+    sent = distinct_fps.select("fp").mapInArrow(emit, "k bigint, fp bigint")
+    split = sent.join(F.broadcast(hot) if fits_broadcast(hot) else hot, "k", "left")
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    sent = split.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), salts.alias("salts"), "fp")
     dealt = sent.repartition(shuffle_partitions(spark), "k", "salt").sortWithinPartitions("k", "salt")
     return dealt.mapInArrow(meet, "a bigint, b bigint")
 
@@ -202,12 +200,13 @@ def simhash_near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_
 def keep_one_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest doc_id.
 
-    Of rows with that doc_id, the one of least text hash stays; of identical rows one. A null doc_id comes
-    after all others. All columns are kept; names that begin with an underscore are reserved.
+    Of rows with that doc_id, the one of least text hash stays; of those that differ in other columns only, the one whose
+    columns have the least hash. A null doc_id comes after all others. All columns are kept; names that begin with an underscore are reserved.
     """
     fps = written(fingerprints(docs, shingle_words), "fps")
     best = fingerprint_classes(fps, "struct(doc_id is null as n, doc_id, th)", max_bits).select("first").distinct()
     best = best.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
     rows = docs.withColumn("_h", F.xxhash64("text"))
     kept = rows.join(best, rows.doc_id.eqNullSafe(best._id) & (rows._h == best._th), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    one = kept.groupBy("doc_id", "_h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
