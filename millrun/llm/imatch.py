@@ -7,6 +7,9 @@ alike survive an edit in part of their subsets. For each of ``SUBSETS`` subsets
 document's distinct terms in the subset are sorted and hashed. The likeness of two fingerprints is the
 share of equal hashes among the subsets that are not empty in both.
 
+Where many near copies of a text are in the corpus, what they share lies above the band. So a text less than half of
+whose terms lie in it takes its rarest terms above it, too, until half are covered.
+
 The edited text needs the next document by doc_id: texts are dealt out by doc_id ranges once, in
 compressed form, and the first text of each range is handed to the range before.
 """
@@ -25,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrun.llm.common import shuffle_partitions, written
+from millrun.llm.common import fits_broadcast, shuffle_partitions, written
 
 SUBSETS = 8
 #: The band: terms in at least so many documents and at most this share of them.
 MIN_DOCUMENTS = 2
 MAX_SHARE = 0.02
+#: Share of a text's terms (of those in MIN_DOCUMENTS or more) that its lexicon must cover, with terms above the band if need be.
+COVER = 0.5
 #: Distinct terms that a task counts or remembers at a time.
 TERMS_A_TASK = 200_000
 _MIX = [np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for i in range(SUBSETS)]
@@ -74,6 +79,14 @@ def select(h: np.ndarray, j: int) -> np.ndarray:
     return h[(subset_hashes(h) < np.uint64(1 << (65 - j) if j > 1 else 0xFFFFFFFFFFFFFFFF)).any(axis=0)]
 
 
+def in_lexicon(df: np.ndarray, most: int) -> np.ndarray:
+    """Which of a text's terms are used, by their document frequencies: those in the band, and the rarest (all of equal frequency) to COVER."""
+    if not len(df):
+        return np.zeros(0, bool)
+    need = int(np.ceil(COVER * len(df)))
+    return df <= max(most, np.partition(df, need - 1)[need - 1])
+
+
 def fingerprint_of(h: np.ndarray, j: int, whole: bytes) -> bytes:
     """Rate and 32-bit hashes of the subsets at the coarser and finer rate (0: empty) of a text's lexicon terms."""
     out = np.zeros(2 * SUBSETS, "<u4")
@@ -255,27 +268,36 @@ def imatch(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float
     rows = written(rows.unionByName(pairs.mapInArrow(finish, _ROW.format(kind=kind))), "described")
 
     n = docs.count()
-    band = F.col("df").between(min_documents, max(min_documents, int(max_share * n)))
-    lexicon = document_frequencies(docs).where(band).select("h")
+    most = max(min_documents, int(max_share * n))
+    known = written(document_frequencies(docs).where(F.col("df") >= min_documents), "frequencies")
+    band, frequent = known.where(F.col("df") <= most), known.where(F.col("df") > most)
     found = rows.select(F.inline(F.arrays_zip(F.col("terms").alias("h"), F.col("sides").alias("side"))), "uid")
     found = found.select("h", (F.shiftleft("uid", 2).bitwiseOR(F.col("side").cast("bigint"))).alias("u"))
-    inside = found.join(lexicon, "h").groupBy(F.shiftright("u", 2).alias("_uid")).agg(
-        F.collect_list(F.struct(F.col("h"), (F.col("u") % 4).cast("tinyint").alias("side"))).alias("lexicon")
+    if fits_broadcast(frequent):
+        # At most 1 / max_share times the mean number of terms: these meet in place, and no frequent term is one task's key.
+        met = found.join(F.broadcast(frequent), "h")
+        others = found.join(F.broadcast(frequent.select("h")), "h", "left_anti")
+        met = met.unionByName(others.join(band, "h"))
+    else:
+        met = found.join(known, "h")
+    inside = met.groupBy(F.shiftright("u", 2).alias("_uid")).agg(
+        F.collect_list(F.struct(F.col("h"), (F.col("u") % 4).cast("tinyint").alias("side"), F.col("df"))).alias("lexicon")
     )
     info = rows.drop("terms", "sides")
-    full = info.join(inside, info.uid == inside._uid, "left").select(*info.columns, "lexicon.h", "lexicon.side")
+    full = info.join(inside, info.uid == inside._uid, "left").select(*info.columns, "lexicon.h", "lexicon.side", "lexicon.df")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
             a, e = [], []
-            for whole, edited, j, ej, h, side in zip(
-                *(at[c] for c in ("whole", "edited", "j", "edited_j", "h", "side")), strict=True
+            for whole, edited, j, ej, h, side, df in zip(
+                *(at[c] for c in ("whole", "edited", "j", "edited_j", "h", "side", "df")), strict=True
             ):
                 h = np.array(h or [], np.int64).view(np.uint64)
-                side = np.array(side or [], np.int8)
-                a.append(fingerprint_of(h[side & 1 > 0], j, whole))
-                e.append(fingerprint_of(h[side & 2 > 0], ej, edited))
+                side, df = np.array(side or [], np.int8), np.array(df or [], np.int64)
+                for out, bit, rate, digest in ((a, 1, j, whole), (e, 2, ej, edited)):
+                    mine = side & bit > 0
+                    out.append(fingerprint_of(h[mine][in_lexicon(df[mine], most)], rate, digest))
             cols = [b.column(c) for c in ("uid", "next_uid", "doc_id", "n_chars", "edited")]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(a, pa.binary()), pa.array(e, pa.binary())],

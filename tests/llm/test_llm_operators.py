@@ -102,6 +102,55 @@ def test_imatch(small):
     assert imatch.imatch(empty(small)).count() == 0
 
 
+def brute_imatch(texts):
+    """Fingerprint of each text and of its edited text by sets and dictionaries."""
+    df = collections.Counter(t for x in texts for t in set(x.lower().split()))
+    most = max(2, int(0.02 * len(texts)))
+
+    def one(text):
+        terms = [t for t in set(text.lower().split())]
+        j = max(1, len(terms).bit_length() - 1)
+        h = np.array([xxhash.xxh64_intdigest(t.encode()) for t in terms], np.uint64)
+        drawn = set(imatch.select(h, j).tolist())
+        known = sorted((df[t], int(x)) for t, x in zip(terms, h.tolist(), strict=True) if x in drawn and df[t] >= 2)
+        limit = max(most, known[math.ceil(len(known) / 2) - 1][0]) if known else 0
+        used = np.array([x for n, x in known if n <= limit], np.uint64)
+        return imatch.fingerprint_of(used, j, hashlib.sha256(text.encode()).digest())
+
+    out = []
+    for i, text in enumerate(texts):
+        n = len(text) // 4
+        out.append((one(text), one(text[: len(text) - n] + texts[(i + 1) % len(texts)][:n])))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_imatch_fingerprints_and_hot_near_copies(spark, monkeypatch, broadcast):
+    """A third of the rows are near copies of one text (3 % of its words changed): they are alike, others are not."""
+    monkeypatch.setattr(imatch, "fits_broadcast", lambda df: broadcast)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    lexicon = [word() for _ in range(4000)]
+    base = [r.choice(lexicon) for _ in range(330)]
+    texts = []
+    for _ in range(100):
+        copy = list(base)
+        for i in r.sample(range(330), 10):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(r.choice(lexicon) for _ in range(r.randrange(40, 400))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {g["doc_id"]: g for g in as_rows(imatch.imatch(docs))}
+    want = brute_imatch(texts)
+    for i, (f, e) in enumerate(want):
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (f.hex(), e.hex())
+        assert got[i]["near_edited"] == imatch.likeness(f, e)
+        assert got[i]["near_next"] == imatch.likeness(f, want[(i + 1) % len(want)][0])
+    mean = lambda c, ids: np.mean([got[i][c] for i in ids])
+    assert mean("near_next", range(99)) > 0.5 and mean("near_edited", range(99)) > 0.3
+    assert mean("near_next", range(100, 299)) < 0.1 < 0.3 < mean("near_edited", range(100, 299))
+
+
 # --- WARC ---
 
 
@@ -532,6 +581,8 @@ def test_simhash(small):
     expect = collections.Counter((d.doc_id, f"{fps[(d.doc_id, d.text)]:016x}", least.get(classes[fps[(d.doc_id, d.text)]])) for d in docs)
     got = simhash.simhash_near_dedup(small)
     assert collections.Counter(map(tuple, got.collect())) == expect
+    tie = small.where("doc_id = 3").unionByName(small.where("doc_id = 3").withColumn("lang", F.lit("zz"))).repartition(3)
+    assert len({str(simhash.keep_one_each(tie.repartition(n)).collect()) for n in (1, 2, 5)}) == 1
     kept = simhash.keep_one_each(small)
     assert kept.columns == small.columns and kept.count() == len(set(classes.values()))
     assert simhash.simhash_near_dedup(empty(small)).count() == 0
