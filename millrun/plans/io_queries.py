@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import millrun.plans.lab_queries  # noqa: F401  (its oracles)
 from millrun.operators import lab as L
 from millrun.operators.ordinals import ordinal_within
 from millrun.plans.oracle_bindings import with_bindings as W
-from millrun.plans.registry import query
+from millrun.plans.registry import ORACLE, query
 from millrun.sources import bindings as B
 from millrun.sources import io as IO
-from millrun.sources.tables import TABLE_NAMES
+from millrun.sources.tables import TABLE_NAMES, safe_table
 
 
 @query(
@@ -223,3 +224,59 @@ def q_io_partitioned_roundtrip(t):
     back = t.spark.read.parquet(path).filter(F.col("reading_date") >= start)
     return back.groupBy("tag", "reading_date").agg(
         F.count(F.lit(1)).alias("readings"), F.count_if(F.col("value") <= 100).alias("good_readings"))
+
+
+_SPLIT_DAY = "1996-01-01"
+
+
+@query(
+    "io_overwrite_append",
+    """SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
+              count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1""",
+)
+def q_io_overwrite_append(t):
+    """IO3 + IO4: a table is written, overwritten with other columns and rows, appended to, and read back whole."""
+    path = _io_folder(t.spark, "orders")
+    IO.write_table(_orders_snapshot(t, start=_SPLIT_DAY).withColumnRenamed("total", "amount"), path)
+    IO.write_table(_orders_snapshot(t, end=_SPLIT_DAY), path)
+    IO.write_table(_orders_snapshot(t, start=_SPLIT_DAY), path, mode="append")
+    back = t.spark.read.parquet(path)
+    return back.groupBy("status").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("total").cast("decimal(18,2)")).cast("double").alias("total"),
+        F.countDistinct("customer").alias("customers"))
+
+
+@query("io_csv_roundtrip", ORACLE["inspection_export"])
+def q_io_csv_roundtrip(t):
+    """IO14 sink + IO2: the inspection export written as CSV with a header and blanks for NULL, read back with its declared schema."""
+    rows = L.export_rows(B.inspection_records(t), B.inspection_rows(t))
+    path = _io_folder(t.spark, "inspection_csv")
+    L.write_csv(rows, path)
+    back = IO.read_with_schema(t.spark, path, rows.schema, header=True)
+    return back.fillna("")  # a blank text reads as NULL
+
+
+@query(
+    "io_truncate_reset",
+    "SELECT count(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after, 6 AS n_columns FROM events",
+)
+def q_io_truncate_reset(t):
+    """IO19: a written table is replaced by an empty one of the same schema."""
+    path = _io_folder(t.spark, "events")
+    IO.write_table(t.events, path)
+    before = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_before")).first()[0]
+    IO.truncate_reset(t.events, path)
+    after = t.spark.read.parquet(path)
+    return after.agg(F.lit(before).alias("rows_before"), F.count(F.lit(1)).alias("rows_after"), F.lit(len(after.columns)).alias("n_columns"))
+
+
+@query(
+    "io_safe_scan",
+    "SELECT event_type, count(*) AS rows, CAST(0 AS BIGINT) AS missing_rows FROM events GROUP BY 1",
+)
+def q_io_safe_scan(t):
+    """IO12: a table that is there and one that is not, read alike and joined."""
+    there = safe_table(t.spark, "events", t.events.schema, t.sf_dir)
+    missing = safe_table(t.spark, "events_archive", t.events.schema, t.sf_dir)
+    both = there.withColumn("_m", F.lit(0)).unionByName(missing.withColumn("_m", F.lit(1)))
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("_m").alias("missing_rows"))
