@@ -4,19 +4,21 @@ Features are built on a (machine, hour) grid: the rolling counts are range windo
 machine's hourly rows, whose number is bounded by the time span, not by the event volume (a
 busy machine adds events per hour, not rows). Models are Spark ML pipelines (distributed
 training and batch scoring); cross-validation folds are assigned by a key column so that
-related rows (one image's augmented copies) never straddle folds (quirk Q12).
+related rows (one image's augmented copies) never straddle folds (quirk Q12). Scores are of rows
+that the model was not fitted on. Image statistics and augmentation work on pixel arrays inside a
+row: an image is never exploded or shuffled.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
@@ -73,8 +75,8 @@ def pdm_features(telemetry: DataFrame, events: DataFrame, alarms: DataFrame, mas
     )
 
 
-def _pipeline(features, label: str, weight: str | None = None) -> Pipeline:
-    gbt = GBTClassifier(featuresCol="scaled", labelCol=label, **GBT_PARAMS)
+def _pipeline(features, label: str, weight: str | None = None, **params) -> Pipeline:
+    gbt = GBTClassifier(featuresCol="scaled", labelCol=label, **{**GBT_PARAMS, **params})
     if weight:
         gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[
@@ -84,27 +86,63 @@ def _pipeline(features, label: str, weight: str | None = None) -> Pipeline:
     ])
 
 
-def cross_validate(df: DataFrame, features, label: str, fold_key: str, n_folds: int = N_FOLDS, weight: str | None = None):
-    """K-fold ROC-AUC with folds by ``fold_key`` (hash), then a fit on all rows.
+def fold_of(key: Column | str, n_folds: int = N_FOLDS) -> Column:
+    """Fold 0..n-1 of a key, from its MD5: all rows of a key are in one fold; a null key counts as empty."""
+    digest = F.md5(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n_folds).cast("int")
 
-    Returns (model, metrics DataFrame[fold, auc, rows]) - held-out AUC per fold, not training AUC."""
-    d = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(fold_key).cast("string")), F.lit(n_folds)).cast("int")).persist()
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
 
-    def fold_auc(k: int) -> tuple[int, float]:
-        train, test = d.filter(F.col("_fold") != k), d.filter(F.col("_fold") == k)
-        m = _pipeline(features, label, weight).fit(train)
-        return k, float(ev.evaluate(m.transform(test)))
-
-    # the k fits are independent Spark jobs: submit them together so the scheduler overlaps them
-    with ThreadPoolExecutor(max_workers=min(n_folds, 4)) as pool:
-        rows = list(pool.map(fold_auc, range(n_folds)))
-    model = _pipeline(features, label, weight).fit(d)
-    spark = df.sparkSession
-    metrics = spark.createDataFrame(rows, "fold int, auc double").join(
-        d.groupBy("_fold").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("_fold", "fold"), "fold", "left"
+def fold_sizes(df: DataFrame, fold_key: str, label: str, n_folds: int = N_FOLDS) -> DataFrame:
+    """Rows, positives and distinct keys of each fold that holds any."""
+    return df.groupBy(fold_of(F.col(fold_key).cast("string"), n_folds).alias("fold")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("positives"), F.count_distinct(fold_key).alias("keys")
     )
-    return model, metrics
+
+
+def cross_validate(df: DataFrame, features, label: str, fold_key: str, n_folds: int = N_FOLDS, weight: str | None = None, **params) -> DataFrame:
+    """Held-out ROC-AUC and accuracy of each fold, folds by ``fold_key`` (:func:`fold_of`).
+
+    Returns DataFrame[fold, rows, positives, auc, accuracy]. A fold whose held-out rows have one class only has
+    a null AUC; where the rows left to fit on have one class, both are null. Folds without rows are absent.
+    ``params`` override the boosting parameters."""
+    d = df.withColumn("_fold", fold_of(F.col(fold_key).cast("string"), n_folds)).persist()
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    try:
+        sizes = d.groupBy("_fold").agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).collect()  # a row a fold
+        sizes = {r[0]: (r[1], r[2]) for r in sizes}
+        n, pos = (sum(v[i] for v in sizes.values()) for i in (0, 1))
+
+        def fold_metrics(k: int):
+            rows, positives = sizes[k]
+            if pos - positives in (0, n - rows):
+                return k, rows, positives, None, None
+            m = _pipeline(features, label, weight, **params).fit(d.filter(F.col("_fold") != k))
+            scored = m.transform(d.filter(F.col("_fold") == k)).select(label, "rawPrediction", "prediction").persist()
+            try:
+                accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).first()[0]
+                auc = float(ev.evaluate(scored)) if 0 < positives < rows else None
+            finally:
+                scored.unpersist()
+            return k, rows, positives, auc, accuracy
+
+        # the fits are independent Spark jobs: submit them together so the scheduler overlaps them
+        with ThreadPoolExecutor(max_workers=min(n_folds, 4)) as pool:
+            metrics = list(pool.map(fold_metrics, sorted(sizes)))
+    finally:
+        d.unpersist()
+    return df.sparkSession.createDataFrame(metrics, "fold int, rows bigint, positives bigint, auc double, accuracy double")
+
+
+_FITTED: dict[tuple, PipelineModel] = {}
+
+
+def fit_once(df: DataFrame, features, label: str, **params) -> PipelineModel:
+    """The model fitted on ``df``; the same rows (plan and input files) are fitted once an application."""
+    files = tuple(sorted(df.inputFiles()))
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), files, tuple(features), label, tuple(sorted(params.items())))
+    if key not in _FITTED:
+        _FITTED[key] = _pipeline(features, label, **params).fit(df)
+    return _FITTED[key]
 
 
 def feature_importances(model, features) -> list[tuple[str, float]]:
@@ -112,15 +150,44 @@ def feature_importances(model, features) -> list[tuple[str, float]]:
     return list(zip(features, model.stages[-1].featureImportances.toArray().tolist()))
 
 
+def latest_rows(features_df: DataFrame) -> DataFrame:
+    """The row of each machine's newest hour."""
+    cols = features_df.columns
+    newest = features_df.groupBy("machine_id").agg(F.max_by(F.struct(*cols), F.struct("ts", *[c for c in cols if c != "ts"])).alias("r"))
+    return newest.select("r.*")
+
+
+def training_rows(features_df: DataFrame, as_of) -> DataFrame:
+    """Rows whose 24-hour label is complete at ``as_of`` and that are not a machine's newest (those are scored)."""
+    newest = features_df.groupBy("machine_id").agg(F.max("ts").alias("ts"))
+    known = F.col("ts") < F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 24 HOURS")
+    return features_df.filter(known).join(newest, ["machine_id", "ts"], "left_anti")
+
+
+def _ranked(rows: DataFrame, probability: Column) -> DataFrame:
+    """P25 + S7: probability to four places, its tier, the likeliest failure first."""
+    p = P.round_half_up(probability, 4)
+    return rows.withColumn("failure_probability", p).select(
+        "machine_id", "line", "machine_name", "ts", "failure_probability", P.risk_tier("failure_probability").alias("risk_tier")
+    ).orderBy(F.desc("failure_probability"), "machine_id")
+
+
 def score(model, features_df: DataFrame) -> DataFrame:
     """L3 + P25 + S7: failure probability of each machine's latest feature row, tier, sorted."""
-    latest = features_df.groupBy("machine_id").agg(F.max("ts").alias("ts"))
-    cur = features_df.join(latest, ["machine_id", "ts"])
-    p = model.transform(cur).withColumn("failure_probability", vector_to_array("probability")[1])
-    return p.select(
-        "machine_id", "line", "machine_name", "ts", P.round_half_up("failure_probability", 4).alias("failure_probability"),
-        P.risk_tier("failure_probability").alias("risk_tier"),
-    ).orderBy(F.desc("failure_probability"), "machine_id")
+    scored = model.transform(latest_rows(features_df))
+    return _ranked(scored, vector_to_array("probability")[1])
+
+
+def base_rate_scores(features_df: DataFrame, as_of) -> DataFrame:
+    """P25 + S7 with a machine's past share of failing hours, (1 + failures) / (2 + hours), in place of a model.
+
+    What a model must beat; a machine without a complete hour has one half."""
+    past = training_rows(features_df, as_of).groupBy("machine_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("failure_within_24h").alias("_k")
+    )
+    rows = latest_rows(features_df).join(past, "machine_id", "left")
+    rate = (1.0 + F.coalesce("_k", F.lit(0))) / (2.0 + F.coalesce("_n", F.lit(0)))
+    return _ranked(rows, rate)
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
@@ -203,6 +270,120 @@ def image_features(pixels: DataFrame, side: int = SIDE) -> DataFrame:
     return out.select(*keys, *[r6(F.col(c)).alias(c) for c in cols], r6(skew).alias("skew"))
 
 
+# ---- images as pixel arrays: three channels, one row an image ----------------------------------
+
+# Thresholds of dark and bright pixels and the border's share of the side.
+DARK_SHARE, BRIGHT_SHARE, BORDER = 0.28, 0.72, 0.15
+CHANNELS = ("red", "green", "blue")
+
+
+def rgb_images(images: DataFrame, id_col: str, channels: Column) -> DataFrame:
+    """(image_id, channels): ``channels`` holds a row-major array a channel, scaled to 0..1 by the image's extremes.
+
+    A flat image is all zero; a null entry makes its image's statistics null."""
+    ch = F.transform(channels, lambda c: F.transform(c, lambda v: v.cast("double")))
+    rows = images.select(F.col(id_col).alias("image_id"), ch.alias("channels"))
+    rows = rows.withColumn("_lo", F.array_min(F.flatten("channels"))).withColumn("_hi", F.array_max(F.flatten("channels")))
+    span = F.col("_hi") - F.col("_lo")
+    scaled = F.transform("channels", lambda c: F.transform(c, lambda v: F.when(span > 0, (v - F.col("_lo")) / span).otherwise(v - v)))
+    return rows.select("image_id", scaled.alias("channels"))
+
+
+def augment_images(images: DataFrame, side: int) -> DataFrame:
+    """L5 on pixel arrays: eight rows an image (``variant`` 0..7), each channel's pixels read in the variant's order."""
+    m = side - 1
+    at = {"r": lambda r, c: r, "c": lambda r, c: c, "m-r": lambda r, c: m - r, "m-c": lambda r, c: m - c}
+    # source position of each target position: pixel (r, c) of the image lands at the variant's coordinates
+    order = []
+    for maps in DIHEDRAL:
+        nr, nc = maps.split(",")
+        to = {at[nr](r, c) * side + at[nc](r, c): r * side + c for r in range(side) for c in range(side)}
+        order.append([to[i] for i in range(side * side)])
+    variants = F.explode(F.array(*(
+        F.struct(F.lit(k).alias("variant"), F.lit(o).alias("order")) for k, o in enumerate(order)
+    ))).alias("_v")
+    moved = F.transform("channels", lambda ch: F.transform("_v.order", lambda i: F.get(ch, i)))
+    return images.select("*", variants).select("image_id", F.col("_v.variant").alias("variant"), moved.alias("channels"))
+
+
+def _mean(a: Column) -> Column:
+    """Mean of an array of doubles; null if it is empty or holds a null."""
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a).cast("double"), F.lit(0.0))
+
+
+def _moment(a: Column, mean: Column, k: int) -> Column:
+    """The k-th central moment."""
+    def power(v: Column) -> Column:
+        out = v
+        for _ in range(k - 1):
+            out = out * v
+        return out
+
+    return _mean(F.transform(a, lambda v: power(v - mean)))
+
+
+def image_statistics(images: DataFrame, side: int) -> DataFrame:
+    """L4: 77 statistics of each (image_id[, variant], channels) row, by array expressions inside the row.
+
+    Per channel mean, deviation, skew, a histogram of 16 bins; share of pixels dark in all channels, and dark to bright
+    ones; mean and deviation of the gradient of the channels' mean (central differences, one-sided at the border);
+    channel means of the quadrants; variance of centre and border; extremes. Rounded to 6 places."""
+    keys = [c for c in ("image_id", "variant") if c in images.columns]
+    n, half, pad = side * side, side // 2, int(side * BORDER)
+    nth = lambda k: F.get(F.col("channels"), k)
+    rows = images.withColumn("_grey", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (
+        F.get(nth(0), i) + F.get(nth(1), i) + F.get(nth(2), i)) / 3.0))
+
+    def slope(i: Column, pos: Column, step: int) -> Column:
+        """Difference quotient along the axis whose neighbours lie ``step`` apart."""
+        below, above = F.when(pos > 0, i - step).otherwise(i), F.when(pos < side - 1, i + step).otherwise(i)
+        return (F.get("_grey", above) - F.get("_grey", below)) / ((above - below) / step)
+
+    def gradient(i: Column) -> Column:
+        across, down = slope(i, i % side, 1), slope(i, F.floor(i / side).cast("int"), side)
+        return F.sqrt(across * across + down * down)
+
+    def part(positions: list[int]) -> Column:
+        """These pixels, an array a channel."""
+        return F.transform("channels", lambda ch: F.transform(F.lit(positions), lambda i: F.get(ch, i)))
+
+    inside = [i for i in range(n) if all(pad <= x < side - pad for x in divmod(i, side))]
+    border = [i for i in range(n) if i not in set(inside)]
+    quads = {(a, b): [i for i in range(n) if (i // side >= half, i % side >= half) == (bool(a), bool(b))] for a in (0, 1) for b in (0, 1)}
+    pixels = F.arrays_zip(nth(0).alias("r"), nth(1).alias("g"), nth(2).alias("b"))
+    every = lambda test: F.size(F.filter(pixels, lambda p: test(p["r"]) & test(p["g"]) & test(p["b"])))
+    rows = (
+        rows.withColumn("_grad", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), gradient))
+        .withColumn("_mean", F.transform("channels", _mean))
+        .withColumn("_centre", F.flatten(part(inside))).withColumn("_border", F.flatten(part(border)))
+        .withColumn("_dark", every(lambda v: v < DARK_SHARE)).withColumn("_bright", every(lambda v: v > BRIGHT_SHARE))
+    )
+    rows = (
+        rows.withColumn("_m2", F.transform("channels", lambda c, i: _moment(c, F.get("_mean", i), 2)))
+        .withColumn("_m3", F.transform("channels", lambda c, i: _moment(c, F.get("_mean", i), 3)))
+        .withColumn("_gmean", _mean(F.col("_grad"))).withColumn("_cmean", _mean(F.col("_centre"))).withColumn("_bmean", _mean(F.col("_border")))
+        .withColumn("_bins", F.transform("channels", lambda c: F.transform(c, lambda v: F.least(F.floor(v * BINS), F.lit(BINS - 1)).cast("int"))))
+        .withColumn("_quads", F.array(*(F.transform(part(q), _mean) for q in quads.values())))
+    )
+    in_bin = lambda b: lambda x: x == b
+    out = {}
+    for k, ch in enumerate(CHANNELS):
+        deviation = F.sqrt(F.get("_m2", k))
+        out[f"{ch}_mean"], out[f"{ch}_std"] = F.get("_mean", k), deviation
+        out[f"{ch}_skew"] = F.get("_m3", k) / F.pow(deviation + 1e-6, 3)
+        for b in range(BINS):
+            out[f"{ch}_hist_{b:02d}"] = F.size(F.filter(F.get("_bins", k), in_bin(b))) / F.lit(float(n))
+        for j, (qr, qc) in enumerate(quads):
+            out[f"{ch}_quad_{qr}{qc}"] = F.get(F.get("_quads", j), k)
+    out["dark_ratio"] = F.col("_dark") / F.lit(float(n))
+    out["dark_bright_ratio"] = F.col("_dark") / F.greatest(F.lit(1.0), F.col("_bright") + 1e-6)
+    out["gradient_mean"], out["gradient_std"] = F.col("_gmean"), F.sqrt(_moment(F.col("_grad"), F.col("_gmean"), 2))
+    out["centre_var"] = _moment(F.col("_centre"), F.col("_cmean"), 2)
+    out["edge_var"] = _moment(F.col("_border"), F.col("_bmean"), 2)
+    out["min"], out["max"] = F.array_min(F.flatten("channels")), F.array_max(F.flatten("channels"))
+    return rows.select(*keys, *(P.round_half_up(v, 6).alias(c) for c, v in out.items()))
+
+
 def image_labels(images: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """Binary class: defective when the label is odd (A53 summary uses the same rule, P39)."""
     return images.select(F.col(id_col).alias("image_id"), (F.col(label_col) % 2).cast("int").alias("defective"))

@@ -1,5 +1,5 @@
-"""ML queries: features and image statistics with DuckDB oracles; training and scoring are
-registered without SQL (rows-only check) and bounded by metric floors in the tests."""
+"""ML queries: features, folds, base-rate scores and image statistics with DuckDB oracles; training
+and model scores are registered without SQL and bounded by metric floors in the tests."""
 
 from __future__ import annotations
 
@@ -54,32 +54,72 @@ def q_pdm_features(t):
     return _features(t)
 
 
-def _fit(t):
-    f = _features(t).withColumn("day", F.to_date("ts").cast("string"))
-    return f, ml.cross_validate(f, ml.FEATURE_COLS, "failure_within_24h", "day")
+def _by_day(t):
+    return _features(t).withColumn("day", F.to_date("ts").cast("string"))
+
+
+FOLD_SQL = lambda key: f"CAST(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % 5 AS INTEGER)"
 
 
 @query("pdm_train_metrics")
 def q_pdm_train_metrics(t):
-    """L2: GBT (reference hyper-parameters) 5-fold held-out ROC-AUC, folds by day."""
-    _, (model, metrics) = _fit(t)
-    return metrics
+    """L2: GBT (reference hyper-parameters) 5-fold held-out ROC-AUC and accuracy, folds by day."""
+    return ml.cross_validate(_by_day(t), ml.FEATURE_COLS, "failure_within_24h", "day")
+
+
+@query(
+    "pdm_fold_sizes",
+    W(_BINDS, [*_CTES, ("feats", SQL_FEATURES)],
+      f"""SELECT {FOLD_SQL("strftime(ts, '%Y-%m-%d')")} AS fold, count(*) AS rows, count_if(failure_within_24h = 1) AS positives,
+          count(DISTINCT CAST(ts AS DATE)) AS keys FROM feats GROUP BY 1"""),
+)
+def q_pdm_fold_sizes(t):
+    """L2: rows, positives and days of each fold."""
+    return ml.fold_sizes(_by_day(t), "day", "failure_within_24h")
+
+
+def _scores(t):
+    f = _features(t)
+    return ml.score(ml.fit_once(ml.training_rows(f, B.AS_OF_EVENTS), ml.FEATURE_COLS, "failure_within_24h"), f)
 
 
 @query("pdm_scores")
 def q_pdm_scores(t):
-    """L3 + P25 + S7: probability and risk tier of each machine's latest hour."""
-    f = _features(t)
-    model = ml._pipeline(ml.FEATURE_COLS, "failure_within_24h").fit(f)
-    return ml.score(model, f)
+    """L3 + P25 + S7: probability and risk tier of each machine's latest hour, by a model that saw earlier hours only."""
+    return _scores(t)
 
 
 @query("pdm_risk_summary")
 def q_pdm_risk_summary(t):
     """A28 + A57 over the scores."""
-    f = _features(t)
-    model = ml._pipeline(ml.FEATURE_COLS, "failure_within_24h").fit(f)
-    return ml.risk_summary(ml.score(model, f))
+    return ml.risk_summary(_scores(t))
+
+
+SQL_BASE_RATE = f"""WITH newest AS (SELECT machine_id, max(ts) AS ts FROM feats GROUP BY 1),
+      past AS (SELECT f.machine_id, count(*) AS n, sum(f.failure_within_24h) AS k FROM feats f JOIN newest w USING (machine_id)
+               WHERE f.ts < TIMESTAMP '{B.AS_OF_EVENTS}' - INTERVAL 24 HOUR AND f.ts <> w.ts GROUP BY 1),
+      s AS (SELECT f.machine_id, f.line, f.machine_name, f.ts,
+                   {RH("(1.0::DOUBLE + coalesce(p.k, 0)) / (2.0::DOUBLE + coalesce(p.n, 0))", 4)} AS failure_probability
+            FROM feats f JOIN newest w ON f.machine_id = w.machine_id AND f.ts = w.ts LEFT JOIN past p ON p.machine_id = f.machine_id)
+    SELECT *, CASE WHEN failure_probability < 0.30 THEN 'LOW' WHEN failure_probability < 0.55 THEN 'MEDIUM'
+                   WHEN failure_probability < 0.80 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier FROM s"""
+
+
+@query("pdm_base_rate_scores", W(_BINDS, [*_CTES, ("feats", SQL_FEATURES)], SQL_BASE_RATE))
+def q_pdm_base_rate_scores(t):
+    """P25 + S7: tiers by each machine's past share of failing hours."""
+    return ml.base_rate_scores(_features(t), B.AS_OF_EVENTS)
+
+
+@query(
+    "pdm_base_rate_summary",
+    W(_BINDS, [*_CTES, ("feats", SQL_FEATURES), ("b", SQL_BASE_RATE)],
+      f"""SELECT risk_tier, count(*) AS machines, {RH("avg(failure_probability)", 4)} AS avg_probability,
+          {RH("count(*) * 100.0 / (SELECT count(*) FROM b)", 1)} AS share_pct FROM b GROUP BY risk_tier"""),
+)
+def q_pdm_base_rate_summary(t):
+    """A28 + A57 over the base-rate scores."""
+    return ml.risk_summary(ml.base_rate_scores(_features(t), B.AS_OF_EVENTS))
 
 
 # ---- vision -------------------------------------------------------------------------------
@@ -152,11 +192,73 @@ def q_vision_summary(t):
     return ml.vision_summary(ml.image_labels(t.embeddings, "vec_id", "label"))
 
 
+# An image's three channels are its 64 values read from position 0, 21 and 42 on, around the end.
+def _images(t):
+    v = F.col("embedding")
+    turned = F.array(*(F.concat(F.slice(v, 21 * k + 1, 64), F.slice(v, 1, 21 * k)) if k else v for k in range(3)))
+    return ml.rgb_images(t.embeddings, "vec_id", turned)
+
+
+def _sql_rgb_statistics() -> str:
+    """One row an image from a long table of pixels, grouped."""
+    cells = []
+    for k, ch in enumerate(ml.CHANNELS):
+        v = f"CASE WHEN k = {k} THEN v END"
+        cells += [f"avg({v}) AS mean{k}", f"stddev_pop({v}) AS std{k}"]
+        cells += [f"count_if(k = {k} AND least(floor(v * 16), 15) = {b}) / 64.0 AS {ch}_hist_{b:02d}" for b in range(16)]
+        cells += [f"{_R6(f'avg(CASE WHEN k = {k} AND y {a} 4 AND x {c} 4 THEN v END)')} AS {ch}_quad_{qr}{qc}"
+                  for qr, a in ((0, "<"), (1, ">=")) for qc, c in ((0, "<"), (1, ">="))]
+    inner = "x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6"
+    skews = ", ".join(f"avg(CASE WHEN k = {k} THEN pow(v - mean{k}, 3) END) AS third{k}" for k in range(3))
+    named = ", ".join(
+        f"{_R6(f'mean{k}')} AS {ch}_mean, {_R6(f'std{k}')} AS {ch}_std, {_R6(f'third{k} / pow(std{k} + 1e-6, 3)')} AS {ch}_skew"
+        for k, ch in enumerate(ml.CHANNELS)
+    )
+    hists = ", ".join(f"{_R6(f'{ch}_hist_{b:02d}')} AS {ch}_hist_{b:02d}" for ch in ml.CHANNELS for b in range(16))
+    quads = ", ".join(f"{ch}_quad_{q}" for ch in ml.CHANNELS for q in ("00", "01", "10", "11"))
+    return f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings),
+      s AS (SELECT vec_id, pos, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)
+                                     ELSE 0.0 END AS v FROM e WINDOW w AS (PARTITION BY vec_id)),
+      p AS (SELECT vec_id, k, (pos + 64 - 21 * k) % 64 // 8 AS y, (pos + 64 - 21 * k) % 8 AS x, v FROM s, range(3) t(k)),
+      g AS (SELECT vec_id, y, x, avg(v) AS grey, count_if(v < 0.28) = 3 AS dark, count_if(v > 0.72) = 3 AS bright FROM p GROUP BY ALL),
+      d AS (SELECT *, (coalesce(lead(grey) OVER r, grey) - coalesce(lag(grey) OVER r, grey)) / CASE WHEN x IN (0, 7) THEN 1 ELSE 2 END AS gx,
+                      (coalesce(lead(grey) OVER c, grey) - coalesce(lag(grey) OVER c, grey)) / CASE WHEN y IN (0, 7) THEN 1 ELSE 2 END AS gy
+            FROM g WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y)),
+      dg AS (SELECT vec_id, avg(sqrt(gx * gx + gy * gy)) AS gm, stddev_pop(sqrt(gx * gx + gy * gy)) AS gs,
+                    count_if(dark) AS dark, count_if(bright) AS bright FROM d GROUP BY 1),
+      a AS (SELECT vec_id, {", ".join(cells)}, var_pop(CASE WHEN {inner} THEN v END) AS cv,
+                   var_pop(CASE WHEN NOT ({inner}) THEN v END) AS bv, min(v) AS lo, max(v) AS hi FROM p GROUP BY 1),
+      t3 AS (SELECT vec_id, {skews} FROM p JOIN (SELECT vec_id, mean0, mean1, mean2 FROM a) USING (vec_id) GROUP BY 1)
+    SELECT vec_id AS image_id, {named}, {hists}, {quads}, {_R6("dark / 64.0")} AS dark_ratio,
+           {_R6("dark / greatest(1.0, bright + 1e-6)")} AS dark_bright_ratio, {_R6("gm")} AS gradient_mean, {_R6("gs")} AS gradient_std,
+           {_R6("cv")} AS centre_var, {_R6("bv")} AS edge_var, {_R6("lo")} AS min, {_R6("hi")} AS max
+    FROM a JOIN dg USING (vec_id) JOIN t3 USING (vec_id)"""
+
+
+@query("image_statistics", _sql_rgb_statistics())
+def q_image_statistics(t):
+    """L4: 77 statistics of every three-channel image, inside the row."""
+    return ml.image_statistics(_images(t), 8)
+
+
+@query(
+    "defect_fold_sizes",
+    f"""SELECT {FOLD_SQL("vec_id::VARCHAR")} AS fold, 8 * count(*) AS rows, 8 * count_if(label % 2 = 1) AS positives,
+        count(DISTINCT vec_id) AS keys FROM embeddings GROUP BY 1""",
+)
+def q_defect_fold_sizes(t):
+    """Rows, defective rows and images of each fold; an image's eight copies are in one."""
+    return ml.fold_sizes(_defect_rows(t)[0], "image_id", "defective")
+
+
+def _defect_rows(t):
+    feats = ml.image_statistics(ml.augment_images(_images(t), 8), 8)
+    cols = [c for c in feats.columns if c not in ("image_id", "variant")]
+    return ml.class_weights(feats.join(ml.image_labels(t.embeddings, "vec_id", "label"), "image_id"), "defective"), cols
+
+
 @query("defect_train_metrics")
 def q_defect_train_metrics(t):
-    """Class-weighted GBT on augmented image features; folds by image (Q12)."""
-    feats = ml.image_features(ml.dihedral_augment(_pixels(t)))
-    d = ml.class_weights(feats.join(ml.image_labels(t.embeddings, "vec_id", "label"), "image_id"), "defective")
-    cols = [c for c in feats.columns if c not in ("image_id", "variant")]
-    _, metrics = ml.cross_validate(d, cols, "defective", "image_id", weight="weight")
-    return metrics
+    """Class-weighted GBT on statistics of augmented images; folds by image (Q12)."""
+    d, cols = _defect_rows(t)
+    return ml.cross_validate(d, cols, "defective", "image_id", weight="weight")
