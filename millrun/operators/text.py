@@ -17,6 +17,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -257,13 +259,11 @@ def _hits(text: Column, keywords) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.instr(text, k) > 0))
 
 
-def keyword_action_rank(texts: DataFrame, key: str, text_col: str, k: int = 3, closed_ids=()) -> DataFrame:
-    """Actions scored by keywords contained in the lower-cased text; zero scores and closed
-    actions dropped; top k by (score desc, impact desc, id)."""
-    low = F.lower(F.col(text_col))
+def _ranked_actions(rows: DataFrame, key: str, hits, k: int, closed_ids) -> DataFrame:
+    """T3 by ``hits(keywords)``, the number of an action's keywords that a row's text holds."""
     scored = F.array(*[
         F.struct(F.lit(aid).alias("action_id"), F.lit(atype).alias("action_type"), F.lit(impact).cast("bigint").alias("impact_usd"),
-                 _hits(low, kws).alias("score"))
+                 hits(kws).alias("score"))
         for aid, atype, impact, kws in ACTIONS if aid not in set(closed_ids)
     ])
     kept = F.filter(scored, lambda s: s["score"] > 0)
@@ -273,17 +273,96 @@ def keyword_action_rank(texts: DataFrame, key: str, text_col: str, k: int = 3, c
         .when(x["impact_usd"] != y["impact_usd"], F.when(y["impact_usd"] > x["impact_usd"], 1).otherwise(-1))
         .otherwise(F.when(x["action_id"] < y["action_id"], -1).when(x["action_id"] > y["action_id"], 1).otherwise(0)),
     )
-    top = texts.select(key, F.posexplode(F.slice(ordered, 1, k)).alias("pos", "a"))
+    top = rows.select(key, F.posexplode(F.slice(ordered, 1, k)).alias("pos", "a"))
     return top.select(key, (F.col("pos") + 1).cast("int").alias("rank"), "a.action_id", "a.action_type", "a.impact_usd", "a.score")
 
 
+def _best_answer(rows: DataFrame, key: str, hits) -> DataFrame:
+    """T4 by ``hits(keywords)``."""
+    scores = F.array(*[hits(kws) for kws in MANUAL_ANSWERS])
+    best = F.array_max(scores)
+    idx = F.when(best > 0, F.array_position(scores, best) - 1).otherwise(F.lit(0))
+    return rows.select(key, idx.cast("int").alias("answer_id"), best.cast("int").alias("score"))
+
+
+def keyword_action_rank(texts: DataFrame, key: str, text_col: str, k: int = 3, closed_ids=()) -> DataFrame:
+    """Actions scored by keywords contained in the lower-cased text; zero scores and closed
+    actions dropped; top k by (score desc, impact desc, id)."""
+    return _ranked_actions(texts, key, lambda kws: _hits(F.lower(F.col(text_col)), kws), k, closed_ids)
+
+
 def keyword_best_answer(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """T4: the knowledge-base item with the most keyword hits; ties keep the first; no hit -> item 0."""
+    return _best_answer(texts, key, lambda kws: _hits(F.lower(F.col(text_col)), kws))
+
+
+def conversation_action_rank(turns: DataFrame, key: str, turn_col: str, text_col: str, k: int = 3, closed_ids=()) -> DataFrame:
+    """T3 over whole conversations, a row a turn: ``keyword_action_rank`` of the turns joined by blanks, never joined."""
+    rows = keywords_of_turns(turns, key, turn_col, text_col, [w for action in ACTIONS for w in action[3]])
+    return _ranked_actions(rows, key, _found_among, k, closed_ids)
+
+
+def conversation_best_answer(turns: DataFrame, key: str, turn_col: str, text_col: str) -> DataFrame:
+    """T4 over whole conversations, a row a turn: ``keyword_best_answer`` of the turns joined by blanks, never joined."""
+    rows = keywords_of_turns(turns, key, turn_col, text_col, [w for kws in MANUAL_ANSWERS for w in kws])
+    return _best_answer(rows, key, _found_among)
+
+
+def _found_among(keywords) -> Column:
+    return F.size(F.array_intersect("found", F.array(*[F.lit(k) for k in keywords])))
+
+
+TURNS_PER_SLICE = 64
+BITS = 62  # keywords of one mask
+
+
+def keywords_of_turns(turns: DataFrame, key: str, turn_col: str, text_col: str, keywords) -> DataFrame:
+    """(key, found): the keywords contained in a conversation's lower-cased turns, in order and joined by blanks.
+
+    A keyword lies inside a turn or across the border of turns. Each turn is searched where it is read and leaves a
+    bit mask and its two ends, as long as the longest keyword less one; only these cross the shuffle. Ends meet inside
+    slices of ``TURNS_PER_SLICE`` turn numbers, then the slices' ends meet, so that a conversation of any length is
+    never gathered; masks are joined by ``bit_or``. Null texts are left out; a conversation without a text has none
+    found. Turns of equal number go by the text's MD5; null numbers come first."""
+    words = list(dict.fromkeys(keywords))
+    groups = [words[i:i + BITS] for i in range(0, len(words), BITS)]
+    masks = [f"_m{i}" for i in range(len(groups))]
+    reach = max(len(w) for w in words) - 1
+
+    def mask(text: Column, group) -> Column:
+        bits = [F.when(F.instr(text, w) > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b, w in enumerate(group)]
+        return functools.reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+    def joined(pieces: Column, at_end: bool) -> Column:
+        """The outer characters of pieces joined by blanks; null without a piece."""
+        text = F.array_join(pieces, " ")
+        return F.when(F.size(pieces) > 0, F.right(text, F.lit(reach)) if at_end else F.left(text, F.lit(reach)))
+
     low = F.lower(F.col(text_col))
-    scores = F.array(*[_hits(low, kws) for kws in MANUAL_ANSWERS])
-    best = F.array_max(scores)
-    idx = F.when(best > 0, F.array_position(scores, best) - 1).otherwise(F.lit(0))
-    return texts.select(key, idx.cast("int").alias("answer_id"), best.cast("int").alias("score"))
+    rows = turns.select(
+        F.col(key), F.col(turn_col).alias("_turn"), F.floor(F.col(turn_col) / TURNS_PER_SLICE).alias("_slice"),
+        F.col(text_col).isNull().alias("_void"), F.md5(F.col(text_col)).alias("_tie"),
+        F.left(low, F.lit(reach)).alias("_head"), F.right(low, F.lit(reach)).alias("_tail"),
+        *[mask(low, g).alias(m) for m, g in zip(masks, groups)],
+    )
+    # a turn adds at least the blank before it, so `reach` neighbours hold `reach` characters
+    w = Window.partitionBy(key, "_void", "_slice").orderBy("_turn", "_tie")
+    border = F.concat_ws(" ", "_before", "_head")
+    rows = (
+        rows.withColumn("_before", joined(F.collect_list("_tail").over(w.rowsBetween(-reach, -1)), True))
+        .withColumn("_upto", joined(F.collect_list("_tail").over(w.rowsBetween(-reach, 0)), True))
+        .withColumn("_from", joined(F.collect_list("_head").over(w.rowsBetween(0, reach)), False))
+    )
+    place = F.struct("_turn", "_tie")
+    slices = rows.groupBy(key, "_void", "_slice").agg(
+        *[F.bit_or(F.col(m).bitwiseOR(mask(border, g))).alias(m) for m, g in zip(masks, groups)],
+        F.min_by("_from", place).alias("_head"), F.max_by("_upto", place).alias("_tail"),
+    )
+    w = Window.partitionBy(key, "_void").orderBy("_slice")
+    slices = slices.withColumn("_before", joined(F.collect_list("_tail").over(w.rowsBetween(-reach, -1)), True))
+    found = slices.groupBy(key).agg(*[F.bit_or(F.col(m).bitwiseOR(mask(border, g))).alias(m) for m, g in zip(masks, groups)])
+    bits = [F.when(F.col(m).bitwiseAND(F.lit(1 << b)) != 0, F.lit(w)) for m, g in zip(masks, groups) for b, w in enumerate(g)]
+    return found.select(key, F.array_compact(F.array(*bits)).alias("found"))
 
 
 def keyword_classifier(texts: DataFrame, key: str, text_col: str, default: str = "manufacturing") -> DataFrame:
@@ -293,14 +372,6 @@ def keyword_classifier(texts: DataFrame, key: str, text_col: str, default: str =
     return texts.select(key, F.when(hit, F.lit("energy")).otherwise(F.lit(default)).alias("vertical"))
 
 
-def conversation_text(conv: DataFrame) -> DataFrame:
-    """One text per conversation: its turns in order, joined by a space (a conversation is small)."""
-    return conv.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("text")
-    )
-
-
-
 # ---- T2 as a Python UDTF (the UDF surface of SURVEY §2.12; the built-in form above is the default) ----
 
 # The whitespace class of the built-in chunker's regular expression (Java ``\s``).

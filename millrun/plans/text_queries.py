@@ -157,7 +157,7 @@ SQL_CONV = "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM con
 )
 def q_keyword_action_rank(t):
     """Top-3 actions per conversation by keyword hits, then impact."""
-    return T.keyword_action_rank(T.conversation_text(t.conversations), "conv_id", "text")
+    return T.conversation_action_rank(t.conversations, "conv_id", "turn", "text")
 
 
 _ANS = ", ".join(f"CAST(len(list_filter({_sql_list(kws)}, lambda k: instr(lower(text), k) > 0)) AS INTEGER)" for kws in T.MANUAL_ANSWERS)
@@ -174,7 +174,7 @@ _ANS = ", ".join(f"CAST(len(list_filter({_sql_list(kws)}, lambda k: instr(lower(
 def q_keyword_best_answer(t):
     """T4: best manual answer for each conversation's user turns (ties -> first, none -> item 0)."""
     user = t.conversations.filter(F.col("role") == "user")
-    return T.keyword_best_answer(T.conversation_text(user), "conv_id", "text")
+    return T.conversation_best_answer(user, "conv_id", "turn", "text")
 
 
 @query(
