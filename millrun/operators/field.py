@@ -111,3 +111,11 @@ def work_order_queue(orders: DataFrame, n: int = 10, statuses=("open", "in_progr
     Sort + limit plans as a TakeOrderedAndProject: a top-n per task, then one small merge."""
     o = orders.filter(F.col("status").isin(*statuses)).withColumn("priority_rank", priority_rank(F.col("priority")))
     return o.orderBy("priority_rank", "due_date", "work_order_id").limit(n)
+
+
+def work_orders_by_status(orders: DataFrame, as_of: str) -> DataFrame:
+    """Outstanding, overdue and total hours per rig and status, in the form the pages show ("IN_PROGRESS" -> "in-progress").
+    A NULL status is a group of its own."""
+    late = (F.col("due_date") < F.lit(as_of).cast("date")) & (P.status_slug("status") != "closed")
+    return orders.groupBy("rig_id", P.status_slug("status").alias("status")).agg(
+        F.count(F.lit(1)).alias("work_orders"), F.sum("estimated_hours").alias("hours"), F.count_if(late).alias("overdue"))

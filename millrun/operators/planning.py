@@ -77,25 +77,28 @@ def network_roles(network: DataFrame, country: str = "nation_3", tariff_pct: flo
     # exchange for them and would rescan the inputs once per consumer; a reliable checkpoint in
     # the shared folder computes the network rows once (and survives executor loss)
     rows = cut_lineage(rows)
-    # one aggregate over the (category, sku, branch) rows gives every category-level fact
-    cat = rows.groupBy("product_category").agg(
-        F.sum("raw_rows").alias("n_rows"),
-        F.max((F.col("loc") == "HUB").cast("int")).alias("has_hub"),
-        F.max((F.col("loc") == "SPOKE").cast("int")).alias("has_spoke"),
+    # a row per branch of a category holds all that depends on the category alone; nothing as long as the
+    # network is keyed by the category, which may be one of a handful
+    br = rows.groupBy("product_category", "branch_id").agg(
+        F.sum("stock").alias("tot"),
+        F.sum("raw_rows").alias("rows"),
+        F.max((F.col("loc") == "HUB").cast("int")).alias("hub"),
+        F.max((F.col("loc") == "SPOKE").cast("int")).alias("spoke"),
     )
+    wc = Window.partitionBy("product_category")
     # O1: rank branches by stock in the category; the top half (>= 1, <= n - 1) are hubs
-    br = rows.groupBy("product_category", "branch_id").agg(F.sum("stock").alias("tot"))
-    wc = Window.partitionBy("product_category")  # one row per branch of the category
-    br = br.withColumn("r", F.row_number().over(wc.orderBy(F.desc("tot"), F.asc("branch_id")))).withColumn(
-        "n", F.count(F.lit(1)).over(wc)
-    )
+    rank, n = F.row_number().over(wc.orderBy(F.desc("tot"), F.asc("branch_id"))), F.count(F.lit(1)).over(wc)
+    explicit = (F.max("hub").over(wc) == 1) & (F.max("spoke").over(wc) == 1)
+    facts = br.select("product_category", "branch_id", rank.alias("r"), n.alias("n"), F.sum("rows").over(wc).alias("n_rows"),
+                      F.coalesce(explicit, F.lit(False)).alias("explicit"))
     n_hub = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") / 2)))
-    br = br.select("product_category", "branch_id", F.when(F.col("r") <= n_hub, F.lit("HUB")).otherwise(F.lit("SPOKE")).alias("inferred"),
-                   "n")
-    r = rows.join(cat, "product_category").join(br, ["product_category", "branch_id"])
-    explicit = (F.col("has_hub") == 1) & (F.col("has_spoke") == 1)
-    r = r.withColumn("role", F.when(explicit, F.col("loc")).otherwise(F.col("inferred")))
-    return r.filter((F.col("n_rows") >= 2) & (explicit | (F.col("n") >= 2)) & F.col("role").isin("HUB", "SPOKE"))
+    inferred = F.when(F.col("r") <= n_hub, F.lit("HUB")).otherwise(F.lit("SPOKE"))
+    facts = facts.filter((F.col("n_rows") >= 2) & (F.col("explicit") | (F.col("n") >= 2))).select(
+        "product_category", "branch_id", "explicit", inferred.alias("inferred"))
+    # AQE broadcasts the facts where their measured size allows it; beyond it the key is the branch, not the category
+    r = rows.join(facts, ["product_category", "branch_id"])
+    r = r.withColumn("role", F.when(F.col("explicit"), F.col("loc")).otherwise(F.col("inferred")))
+    return r.filter(F.col("role").isin("HUB", "SPOKE"))
 
 
 def transfer_plan(network: DataFrame, country: str = "nation_3", tariff_pct: float = 0.25, region: str = "FL",

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.operators.ordinals import ordinal_within
 
 # Fixed values of the reference's plant rules.
 TELEMETRY_BOUNDS = {"oee_pct": (0, 100), "temp_c": (-50, 500), "cycle_time_sec": (0, None)}
@@ -282,6 +283,18 @@ def ranked_alarms(active: DataFrame, n: int) -> DataFrame:
     return active.orderBy(F.col("severity_rank"), F.desc("triggered_ts"), F.col("alarm_id")).limit(n)
 
 
+def alarm_ranking(active: DataFrame) -> DataFrame:
+    """S1 over all alarms: ``alarm_rank`` 1, 2, ... by severity, then newest first (alarm id breaks ties). Range slices are numbered
+    where they lie, so no task holds the whole ranking."""
+    order = [F.col("severity_rank"), F.desc("triggered_ts"), F.col("alarm_id")]
+    return ordinal_within(active, [], order, "alarm_rank", base=1, kind="bigint")
+
+
+def alarms_for_machine(alarms: DataFrame, machines: DataFrame) -> DataFrame:
+    """The alarms of the machines listed (``machine_id``; repeats and NULLs in the list add nothing)."""
+    return alarms.join(machines.select("machine_id").distinct(), "machine_id", "left_semi")
+
+
 def oee_by_shift(telemetry: DataFrame, master: DataFrame, last_n: int = 14) -> DataFrame:
     """A10 + A11 + S2: average OEE (> 0) per shift x line plus the plant ("ALL") in one pass.
 
@@ -328,14 +341,37 @@ def shift_oee_wide(g: DataFrame, last_n: int = 14) -> DataFrame:
     return wide.orderBy(F.desc("shift_date"), F.desc("shift_period")).limit(last_n)
 
 
+def _stops(events: DataFrame) -> DataFrame:
+    """A12's rows: finished stops with a reason."""
+    return events.filter((F.col("state") != "running") & F.col("downtime_category").isNotNull() & F.col("duration_minutes").isNotNull())
+
+
+def downtime_panes(events: DataFrame) -> DataFrame:
+    """Tenths of a minute of downtime per (day, reason): additive, so windows of days are sums of panes."""
+    tenths = F.round(F.col("duration_minutes") * 10).cast("bigint")
+    day = F.date_trunc("day", "event_ts").cast("timestamp")
+    return _stops(events).groupBy(day.alias("day"), F.col("downtime_category").alias("reason")).agg(F.sum(tenths).alias("t"))
+
+
+def sliding_pareto(panes: DataFrame, days: int = PARETO_DAYS) -> DataFrame:
+    """A12 for each window of ``days`` days, sliding by a day: a pane (not an event) is dealt to the windows that hold it."""
+    start = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("back")
+    dealt = panes.select("day", "reason", "t", start).withColumn("window_start", F.col("day") - F.make_dt_interval("back"))
+    agg = dealt.groupBy("window_start", "reason").agg(F.sum("t").alias("t"))
+    agg = agg.withColumn("minutes", F.floor((F.col("t") + 5) / 10).cast("double"))
+    total = F.sum("minutes").over(Window.partitionBy("window_start"))  # a window's few reasons
+    return agg.select(
+        "window_start",
+        (F.col("window_start") + F.make_dt_interval(F.lit(days))).alias("window_end"),
+        "reason",
+        "minutes",
+        F.when(total > 0, F.floor(F.col("minutes") * 1000 / total + 0.5) / 10).alias("pct"),
+    )
+
+
 def downtime_pareto(events: DataFrame, as_of: str, days: int = PARETO_DAYS) -> DataFrame:
     """A12 + W6: minutes by reason over the last ``days`` days and the share of the total."""
-    d = events.filter(
-        (F.col("state") != "running")
-        & F.col("downtime_category").isNotNull()
-        & (F.col("event_ts") >= _ts(as_of) - F.make_interval(days=F.lit(days)))
-        & F.col("duration_minutes").isNotNull()
-    )
+    d = _stops(events).filter(F.col("event_ts") >= _ts(as_of) - F.make_interval(days=F.lit(days)))
     tenths = F.round(F.col("duration_minutes") * 10).cast("bigint")
     agg = d.groupBy(F.col("downtime_category").alias("reason")).agg(F.sum(tenths).alias("t"))
     agg = agg.withColumn("minutes", F.floor((F.col("t") + 5) / 10).cast("double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from millrun.operators import field as FD
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
@@ -84,3 +86,16 @@ def q_rig_hse_rollup(t):
 def q_work_order_queue(t):
     """The next 10 outstanding work orders (P1, P2, others; then due date) - a top-k report."""
     return FD.work_order_queue(B.field_work_orders(t))
+
+
+@query(
+    "work_orders_by_status",
+    W(["field_work_orders"], [],
+      f"""SELECT rig_id, replace(lower(status), '_', '-') AS status, count(*) AS work_orders, CAST(sum(estimated_hours) AS BIGINT) AS hours,
+             count(*) FILTER (WHERE status <> 'closed' AND due_date < CAST(TIMESTAMP '{B.LAB_AS_OF}' AS DATE)) AS overdue
+         FROM field_work_orders GROUP BY ALL"""),
+)
+def q_work_orders_by_status(t):
+    """Work orders of each rig by status slug; the binding's statuses are stored in upper case, as the source system does."""
+    orders = B.field_work_orders(t)
+    return FD.work_orders_by_status(orders.withColumn("status", F.upper("status")), B.LAB_AS_OF)

@@ -12,6 +12,7 @@ from millrun.plans.registry import ORACLE, query
 from millrun.sources import bindings as B
 from millrun.sources import io as IO
 from millrun.sources.tables import TABLE_NAMES, safe_table
+from millrun.streaming.jobs import page_time_log
 
 
 @query(
@@ -153,17 +154,49 @@ def q_io_seed_if_sparse(t):
     return IO.seed_if_sparse(B.test_runs(t), "created_at", B.LAB_AS_OF)
 
 
-_ADHOC = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus"
+_ADHOC = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {} GROUP BY l_returnflag, l_linestatus"
 
 
-@query("io_adhoc_sql", f"SELECT *, FALSE AS truncated FROM ({_ADHOC}) q")
+@query("io_adhoc_sql", f"SELECT *, FALSE AS truncated FROM ({_ADHOC.format('lineitem')}) q")
 def q_io_adhoc_sql(t):
     """IO16: user SQL over a registered view with a 500-row cap and an exact truncated flag."""
-    IO.create_view(t.lineitem, "lineitem")
-    df, truncated = IO.adhoc_sql(t.spark, _ADHOC, cap=500)
+    IO.create_view(t.lineitem, "millrun_lineitem")
+    df, truncated = IO.adhoc_sql(t.spark, _ADHOC.format("millrun_lineitem"), cap=500)
     return df.withColumn("truncated", F.lit(truncated))
 
 
+_CAPPED = "SELECT l_orderkey, l_linenumber, l_quantity FROM {} ORDER BY l_quantity DESC, l_orderkey, l_linenumber"
+
+
+@query("io_adhoc_sql_capped", f"SELECT *, TRUE AS truncated FROM ({_CAPPED.format('lineitem')} LIMIT 500) q")
+def q_io_adhoc_sql_capped(t):
+    """IO11 + IO16: a statement over a view with more rows than the cap."""
+    IO.create_view(t.lineitem, "millrun_capped_lineitem")
+    df, truncated = IO.adhoc_sql(t.spark, _CAPPED.format("millrun_capped_lineitem"), cap=500)
+    return df.withColumn("truncated", F.lit(truncated))
+
+
+@query(
+    "io_event_log",
+    """SELECT CASE user_id % 3 WHEN 0 THEN 'app-0' WHEN 1 THEN 'app-1' ELSE 'app-2' END AS app_name, event_type AS page, count(*) AS log_rows,
+              CAST(sum(floor(value)) AS BIGINT) AS seconds,
+              CAST(sum(CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)) FILTER (WHERE user_id % 3 > 0) AS BIGINT) AS clicks,
+              count(*) FILTER (WHERE user_id % 3 = 0) AS rows_without_clicks
+       FROM events GROUP BY ALL""",
+)
+def q_io_event_log(t):
+    """IO21: engagement rows appended app by app to a log whose first files have no click column, read back and counted."""
+    log = page_time_log(t).withColumn("company_name", F.lit(None).cast("string"))
+    path = _io_folder(t.spark, "event_log")
+    IO.event_log_rows(log.filter("app_name = 'app-0'")).drop("click_count").write.parquet(path)
+    for app in ("app-1", "app-2"):
+        texts = log.filter(F.col("app_name") == app).withColumn("seconds_spent", F.col("seconds_spent").cast("string"))
+        IO.event_log_append_rows(texts, path)
+    return IO.read_event_log(t.spark, path).groupBy("app_name", "page").agg(
+        F.count(F.lit(1)).alias("log_rows"), F.sum("seconds_spent").alias("seconds"), F.sum("click_count").alias("clicks"),
+        F.count_if(F.col("click_count").isNull()).alias("rows_without_clicks"))
+
+
 _FLAT_SQL = """WITH g AS (SELECT *, dense_rank() OVER (ORDER BY id) AS record_group FROM inspection_records),
       e AS (SELECT r.record_group, r.id AS record_id, r.product, r.machinist,
                    CAST(r.inspection_date AS VARCHAR) AS inspection_date, ir.id AS row_id, ir.piece_iqa

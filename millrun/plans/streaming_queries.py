@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrun.plans.oracle_bindings import with_bindings as W
-from millrun.plans.plant_queries import MACHINE_STATE_ORACLE, OEE_SHIFT_ORACLE, SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY
+from millrun.plans.plant_queries import MACHINE_STATE_ORACLE, OEE_SHIFT_ORACLE, SLIDING_PARETO_ORACLE, SQL_ALARMS, SQL_STATE_EVENTS, SQL_TELEMETRY
 from millrun.plans.registry import query
 from millrun.sources import bindings as B
 from millrun.streaming import jobs as J
@@ -100,6 +100,12 @@ def q_downtime_sliding_stream(t):
     return J.downtime_sliding_stream(_st(t))
 
 
+@query("downtime_pareto_stream", SLIDING_PARETO_ORACLE)
+def q_downtime_pareto_stream(t):
+    """ST6 on A12's table: streaming twin of downtime_pareto_sliding."""
+    return J.downtime_pareto_stream(_st(t))
+
+
 @query(
     "late_data_audit_stream",
     W(["machine_telemetry_raw"], [],

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrun.session import cut_lineage
+
 # ---- IO2-IO5, IO11, IO19: ingest and write ----------------------------------------------------------
 
 
@@ -160,10 +162,10 @@ def sheet_import(flat: DataFrame, header_cols: list[str], row_cols: list[str], d
 
 def adhoc_sql(spark: SparkSession, sql: str, cap: int = 500) -> tuple[DataFrame, bool]:
     """IO16: run user SQL with a row cap; ``truncated`` is true only when more than ``cap`` rows
-    exist (reads at most cap + 1 rows, fixing the "exactly cap rows" false positive)."""
-    probe = spark.sql(sql).limit(cap + 1)
-    truncated = probe.count() > cap
-    return spark.sql(sql).limit(cap), truncated
+    exist (fixing the "exactly cap rows" false positive). The statement runs once: its first cap + 1 rows are
+    checkpointed, and both the flag and the rows come from them, so they agree even where the statement has no order."""
+    rows = cut_lineage(spark.sql(sql).limit(cap + 1))
+    return rows.limit(cap), rows.count() > cap
 
 
 def catalog_listing(spark: SparkSession) -> DataFrame:
@@ -195,6 +197,32 @@ def event_log_append(spark: SparkSession, table: str, **values) -> None:
     spark.sql(f"INSERT INTO {table} ({cols}) VALUES ({marks})", args=values)
 
 
+# The engagement log's columns and types.
+EVENT_LOG_SCHEMA = (
+    "username string, company_name string, page string, seconds_spent int, click_count int, app_name string, recorded_at timestamp"
+)
+
+
+def event_log_rows(rows: DataFrame) -> DataFrame:
+    """IO21, a batch of log calls as typed log rows: columns by name, unreadable or absent seconds and clicks count 0,
+    other absent columns are NULL, columns the log lacks are dropped."""
+    wanted = StructType.fromDDL(EVENT_LOG_SCHEMA)
+    typed = [
+        (F.col(f.name).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted
+    ]
+    return rows.select(*typed).fillna(0, ["seconds_spent", "click_count"])
+
+
+def event_log_append_rows(rows: DataFrame, path: str) -> None:
+    """IO21 for many calls at once: the typed rows go to the log's folder from the executors."""
+    event_log_rows(rows).write.mode("append").parquet(path)
+
+
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log in its present layout; files from before a column was added give NULL there."""
+    return spark.read.schema(EVENT_LOG_SCHEMA).parquet(path)
+
+
 def change_feed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """IO22: snapshot diff as a change feed (insert / update / delete) by key and row hash."""
     rest = _rest(new, keys)

@@ -299,6 +299,19 @@ def downtime_sliding_stream(st: StreamTables, watermark: str = DEFAULT_WATERMARK
     return latest_per_key(run_to_changelog(agg, "downtime"), ["window_start", "reason_desc"])
 
 
+def downtime_pareto_stream(st: StreamTables, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """ST6 on A12's table: the state durations of ST3 are written, and a second job streams that table into a pane per (day, reason).
+
+    The panes are all the state there is (days x reasons, however many events), so this job needs no watermark and the order of
+    the table's files is of no matter; the windows slide over the panes.
+    """
+    durations = state_duration_stream(st, watermark)
+    table = _scratch(st.spark, "durations")
+    durations.write.parquet(table)
+    panes = plant.downtime_panes(file_stream(st.spark, durations.schema, table, FILES_PER_TRIGGER))
+    return plant.sliding_pareto(latest_per_key(run_to_changelog(panes, "downtime_panes"), ["day", "reason"]))
+
+
 # ---- ST7: late data audit ----------------------------------------------------------------------------
 
 
