@@ -4,8 +4,8 @@ A paragraph is a line, or a window of the words of consecutive lines (a block wi
 and indents taken off), so that a notice wrapped at any width is read whole. It is a sparse bag of word n-grams. Features are the n-grams of the templates that contain a telling
 word, so a paragraph without a telling word has no feature at all: it scores as the intercepts do, which is the
 unknown class, and need not be looked at further. A multinomial logistic regression is fitted on variants
-of the templates and on lines of the corpus that hold a telling word but hardly a trigram of a template (unknown), with a temperature that is
-calibrated on variants held back. A predicted family counts only if the paragraph also holds most of the
+of the templates and on lines of the corpus with a telling word (those that hold a whole template, and as the unknown class those
+with hardly a trigram of one). Its temperature is calibrated on sets of n-grams that the model did not see. A predicted family counts only if the paragraph also holds most of the
 word trigrams of one of the family's templates. Training and scoring are DataFrame operations.
 """
 
@@ -16,7 +16,7 @@ from itertools import product
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phrases by which licences are granted or named, by family.
@@ -79,8 +79,13 @@ UNTELLING = (
 #: A paragraph without one of these has no feature.
 TELLING = r"licen[cs]e|copyright|redistribut|warrant|merchantab|permission|creative|public|cc0|\bcc\b|\bby-|software|waived"
 NGRAMS = (1, 2, 3)
-#: Corpus paragraphs that teach the unknown class, at most.
+#: Corpus paragraphs that teach the unknown class, and those that teach the family of a template they hold, at most.
 BACKGROUND_PARAGRAPHS = 2000
+KNOWN_PARAGRAPHS = 40
+#: Characters that such a paragraph keeps on each side of its first telling word.
+AROUND = 200
+#: One in this many sets of n-grams calibrates instead of teaching.
+HELD_BACK = 4
 #: Least calibrated probability, and least share of a template's trigrams.
 MIN_PROBABILITY = 0.5
 MIN_COVERAGE = 0.6
@@ -158,8 +163,8 @@ def _features(w: Column, names: list[str]) -> Column:
     return F.array_intersect(every, F.array(*map(F.lit, names)))
 
 
-def training_rows(docs: DataFrame) -> list[tuple[list[str], str]]:
-    """Words and family: variants of the templates, phrases that grant nothing, and a bounded sample of the corpus."""
+def template_rows() -> list[tuple[list[str], str]]:
+    """Words and family of variants of the templates and of phrases that grant nothing."""
     rng = np.random.default_rng(5)
     rows: list[tuple[list[str], str]] = []
     filler = _py_words("of the and in with work text file page note see also for more by this")
@@ -181,41 +186,75 @@ def training_rows(docs: DataFrame) -> list[tuple[list[str], str]]:
         n = int(rng.integers(1, 4))
         s = int(rng.integers(0, max(1, len(w) - n)))
         rows.append((padded(w[s : s + n]), UNKNOWN))
+    return rows
+
+
+def corpus_rows(docs: DataFrame) -> list[tuple[list[str], str]]:
+    """Words and family of a bounded sample of the corpus's lines with a telling word, from one scan.
+
+    Lines with hardly a trigram of a template are unknown; lines that hold a whole template are of its family
+    (less is not enough: most of an LGPL notice also stands in a GPL one).
+    """
     line = F.explode(F.split("text", LINE_END)).alias("line")
-    lines = docs.where(F.col("text").rlike(f"(?i){TELLING}")).select(line).where(F.col("line").rlike(f"(?i){TELLING}"))
+    lines = docs.where(F.col("text").rlike(f"(?i){TELLING}")).select(line)
     # The surroundings of the first telling word, so that a row is small however long the line.
-    near = lines.select(words(F.regexp_extract("line", f"(?i).{{0,200}}?(?:{TELLING}).{{0,200}}", 0)).alias("w"))
-    grams = [g for ts in template_grams().values() for g in ts]
-    share = F.transform(
-        F.array(*(F.array(*map(F.lit, g)) for g in grams)),
-        lambda t: F.size(F.array_intersect(t, ngrams(F.col("w"), 3))).cast("double") / F.size(t),
-    )
-    lines = near.where(F.array_max(share) < BACKGROUND_COVERAGE).distinct()
-    lines = lines.orderBy(F.xxhash64("w"), F.array_join("w", " ")).limit(BACKGROUND_PARAGRAPHS)
-    rows += [(list(r[0]), UNKNOWN) for r in lines.collect()]
-    return rows
+    place = F.regexp_instr("line", F.lit(f"(?i){TELLING}"))
+    near = F.substring("line", F.greatest(place - AROUND, F.lit(1)), F.least(place - 1, F.lit(AROUND)) + AROUND + 20)
+    templates = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, g)).alias("grams")) for f, ts in template_grams().items() for g in ts))
+
+    def share(own: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(t["grams"], own)).cast("double") / F.size(t["grams"])
+
+    def closest(x: Column) -> Column:
+        return F.array_max(F.transform(templates, lambda t: F.struct(share(x["own"], t).alias("share"), t["family"].alias("family"))))
+
+    def family(x: Column) -> Column:
+        known = F.when(x["best"]["share"] == 1.0, x["best"]["family"])
+        return F.when(x["best"]["share"] < BACKGROUND_COVERAGE, F.lit(UNKNOWN)).otherwise(known)
+
+    # Arrays of one element, so that each step is evaluated once a line.
+    step = F.transform(F.array(words(near)), lambda w: F.struct(w.alias("w"), ngrams(w, 3).alias("own")))
+    step = F.transform(step, lambda x: F.struct(x["w"].alias("w"), closest(x).alias("best")))
+    step = F.transform(step, lambda x: F.struct(x["w"].alias("w"), family(x).alias("family")))
+    judged = lines.where(place > 0).select(F.explode(F.filter(step, lambda x: x["family"].isNotNull())).alias("x"))
+    distinct = judged.select("x.w", "x.family").distinct()
+    # Ranks are cut in each task before the shuffle: a task takes at most this many rows of a family from each.
+    order = Window.partitionBy("family").orderBy(F.xxhash64("w"), F.array_join("w", " "))
+    ranked = distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BACKGROUND_PARAGRAPHS)
+    taken = ranked.where((F.col("family") == UNKNOWN) | (F.col("rank") <= KNOWN_PARAGRAPHS)).collect()
+    return [(list(r["w"]), r["family"]) for r in sorted(taken, key=lambda r: (r["family"], r["rank"]))]
+
+
+def training_rows(docs: DataFrame) -> list[tuple[list[str], str]]:
+    """Words and family: variants of the templates, phrases that grant nothing, and a bounded sample of the corpus."""
+    return template_rows() + corpus_rows(docs)
 
 
 class Classifier:
-    """Weights by family and n-gram, and the temperature that calibrates the probabilities."""
+    """Weights by family and n-gram, and the temperature that calibrates the probabilities.
+
+    One in four sets of n-grams is held back for the temperature, with all rows that have it: rows that differ only in words
+    which are no features are one example, and none of them is on both sides.
+    """
 
     def __init__(self, spark, rows: list[tuple[list[str], str]]):
         self.names = feature_names()
         self.families = [UNKNOWN, *TEMPLATES]
-        numbered = [(i, w, self.families.index(f)) for i, (w, f) in enumerate(rows)]
-        table = spark.createDataFrame(numbered, "i int, w array<string>, label int")
+        numbered = [(w, self.families.index(f)) for w, f in rows]
+        table = spark.createDataFrame(numbered, "w array<string>, label int")
         found = table.withColumn("found", _features(F.col("w"), self.names))
+        held_back = F.pmod(F.xxhash64(F.array_sort("found")), F.lit(HELD_BACK)) == 0
         vector = F.transform(F.array(*map(F.lit, self.names)), lambda g: F.array_contains("found", g).cast("double"))
-        data = found.select("i", "label", array_to_vector(vector).alias("features"))
+        data = found.withColumn("held", held_back & (F.size("found") > 0))
         fitted = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=100, standardization=False).fit(
-            data.where("i % 4 <> 0").select(F.col("label").cast("double"), "features")
+            data.where("not held").select(F.col("label").cast("double"), array_to_vector(vector).alias("features"))
         )
         self.weights = fitted.coefficientMatrix.toArray()
         self.intercepts = fitted.interceptVector.toArray()
         at = {g: k for k, g in enumerate(self.names)}
-        held = found.where("i % 4 = 0").select("found", "label").collect()
-        z = np.array([self.intercepts + self.weights[:, [at[g] for g in r[0]]].sum(axis=1) for r in held])
-        self.temperature = _temperature(z, np.array([r[1] for r in held]))
+        self.held = [(sorted(r["found"]), r["label"]) for r in data.where("held").collect()]
+        z = np.array([self.intercepts + self.weights[:, [at[g] for g in w]].sum(axis=1) for w, _ in self.held])
+        self.temperature = _temperature(z, np.array([label for _, label in self.held]))
 
     def probabilities(self, found: Column) -> Column:
         """Array of probabilities, one for each of ``families``, of a paragraph's n-grams."""
@@ -236,7 +275,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
         s = z / t - (z / t).max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    return min((a * b for a, b in product((0.5, 1.0, 2.0), (1.0, 1.2, 1.4, 1.7))), key=loss)
+    return min((a * b for a, b in product((0.5, 1.0, 2.0, 4.0), (1.0, 1.2, 1.4, 1.7))), key=loss)
 
 
 def scan(docs: DataFrame) -> DataFrame:

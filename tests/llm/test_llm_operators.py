@@ -230,6 +230,39 @@ def test_wrapped_licenses(spark):
     assert len(telling) == 40 and not any("hereby" in w and "charge" in w for w in taught)
 
 
+def test_licence_examples_of_the_corpus(spark):
+    long = "x " * 100_000
+    rows = [
+        (1, long + "released under the MIT license " + long, "mit"),  # one line of 400,000 characters
+        (2, "Released under the MIT license, see below", "mit"),
+        (3, "no permission without a permit " + long, licenses.UNKNOWN),
+        (4, None, None),
+        (5, "nothing to see", None),
+    ]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t, _ in rows], "doc_id int, text string, w string, family string")
+    got = licenses.corpus_rows(df)
+    assert sorted(f for _, f in got) == sorted(f for _, _, f in rows if f)
+    assert all(len(w) < 2 * licenses.AROUND for w, _ in got)
+    assert licenses.corpus_rows(empty(df)) == []
+
+
+def test_licence_calibration_sees_no_taught_example(spark):
+    rows = licenses.template_rows() + [(["mit", "license", str(i)], licenses.UNKNOWN) for i in range(50)]
+    model = licenses.Classifier(spark, rows)
+    names = set(model.names)
+
+    def features(w):
+        return tuple(sorted({g for n in licenses.NGRAMS for g in licenses._grams(w, n)} & names))
+
+    held = {tuple(f) for f, _ in model.held}
+    by_set = {}
+    for w, _ in rows:
+        by_set[features(w)] = by_set.get(features(w), 0) + 1
+    assert 0 < len(held) < len(by_set) / 2
+    assert len(model.held) == sum(by_set[f] for f in held)  # all rows of a set are on one side
+    assert {label for _, label in model.held} == set(range(len(model.families)))
+
+
 # --- mixing ---
 
 
