@@ -104,3 +104,35 @@ def test_every_probe_makes_the_index_exact(spark):
     assert sorted(map(str, found.select("qid", "rank", "doc_id", "score").collect())) == sorted(map(str, want.select("qid", "rank", "doc_id", "score").collect()))
     none = VI.indexed_topk(corpus.limit(0), "vec_id", "embedding", queries, "qid", "qvec")
     assert none.count() == 0 and none.columns == ["qid", "rank", "doc_id", "score"]
+
+
+def test_index_scores_in_blocks_without_a_row_a_pair(spark):
+    """Equal copies by the thousand, more probes than a block has, an infinite and a zero vector; ids are text. No pairs in a join."""
+    rng = np.random.default_rng(5)
+    data = [(f"a{i:05d}", rng.normal(0, 1, 6).tolist()) for i in range(900)] + [(f"b{i:05d}", [1.0, 2.0, 0.5, 4.0, 5.0, 1.0]) for i in range(1500)]
+    data += [("c0", [0.0] * 6), ("c1", [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0])]
+    corpus = spark.createDataFrame(data, "vec_id string, embedding array<float>")
+    queries = corpus.where("vec_id < 'a00300' or vec_id in ('b00007', 'c0')").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    planes = VI.Planes(np.zeros(6), np.random.default_rng(1).normal(size=(6, 6)), 2, 3)
+    found = VI.indexed_topk(corpus, "vec_id", "embedding", queries, "qid", "qvec", 7, planes, probes=4)
+    key = ["qid", "rank", "doc_id", "score"]
+    want = exact_topk(corpus, queries, 7).where("score is not null")
+    assert sorted(map(str, found.select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_index_keeps_pairs_of_a_narrow_probe_once(spark):
+    """Few probes: each answer is the best of the rows that share a probed bucket in any table, each row once."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>")
+    queries = corpus.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    planes = VI.fit_planes(corpus, "embedding", bits=5, tables=3)
+    found = VI.indexed_topk(corpus, "vec_id", "embedding", queries, "qid", "qvec", 10, planes, probes=2).collect()
+    b, unit = planes.buckets(x), x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 400, 10):
+        near = planes.nearest(x[q], 2)
+        met = np.flatnonzero(np.any([np.isin(b[:, t], near[t]) for t in range(3)], axis=0))
+        want = sorted(met, key=lambda i: (-(unit[q] @ unit[i]), i))[:10]
+        assert [r.doc_id for r in sorted(found, key=lambda r: r.rank) if r.qid == q] == want
