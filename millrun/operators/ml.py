@@ -30,6 +30,8 @@ FEATURE_COLS = (
 )
 GBT_PARAMS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.8, "minInstancesPerNode": 10, "seed": 42}
 N_FOLDS = 5
+VALUES_A_TASK = 1_000_000  # feature values (rows x features) of one boosting task
+MAX_FITS = 5  # folds fitted at a time
 HOUR = 3600
 
 
@@ -105,28 +107,32 @@ def cross_validate(df: DataFrame, features, label: str, fold_key: str, n_folds:
     Returns DataFrame[fold, rows, positives, auc, accuracy]. A fold whose held-out rows have one class only has
     a null AUC; where the rows left to fit on have one class, both are null. Folds without rows are absent.
     ``params`` override the boosting parameters."""
-    d = df.withColumn("_fold", fold_of(F.col(fold_key).cast("string"), n_folds)).persist()
+    cols = dict.fromkeys([label, *features, *([weight] if weight else [])])
+    d = df.select(*cols, fold_of(F.col(fold_key).cast("string"), n_folds).alias("_fold")).persist()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     try:
         sizes = d.groupBy("_fold").agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).collect()  # a row a fold
         sizes = {r[0]: (r[1], r[2]) for r in sizes}
         n, pos = (sum(v[i] for v in sizes.values()) for i in (0, 1))
+        # a level of a tree is a job over the rows: as many tasks as the values are worth, not as the shuffles had
+        tasks = max(1, -(-n * len(features) // VALUES_A_TASK))
+        rows = d.coalesce(tasks) if tasks <= d.rdd.getNumPartitions() else d.repartition(tasks)
 
         def fold_metrics(k: int):
-            rows, positives = sizes[k]
-            if pos - positives in (0, n - rows):
-                return k, rows, positives, None, None
-            m = _pipeline(features, label, weight, **params).fit(d.filter(F.col("_fold") != k))
-            scored = m.transform(d.filter(F.col("_fold") == k)).select(label, "rawPrediction", "prediction").persist()
+            rows_k, positives = sizes[k]
+            if pos - positives in (0, n - rows_k):
+                return k, rows_k, positives, None, None
+            m = _pipeline(features, label, weight, **params).fit(rows.filter(F.col("_fold") != k))
+            scored = m.transform(rows.filter(F.col("_fold") == k)).select(label, "rawPrediction", "prediction").persist()
             try:
                 accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).first()[0]
-                auc = float(ev.evaluate(scored)) if 0 < positives < rows else None
+                auc = float(ev.evaluate(scored)) if 0 < positives < rows_k else None
             finally:
                 scored.unpersist()
-            return k, rows, positives, auc, accuracy
+            return k, rows_k, positives, auc, accuracy
 
         # the fits are independent Spark jobs: submit them together so the scheduler overlaps them
-        with ThreadPoolExecutor(max_workers=min(n_folds, 4)) as pool:
+        with ThreadPoolExecutor(max_workers=min(n_folds, MAX_FITS)) as pool:
             metrics = list(pool.map(fold_metrics, sorted(sizes)))
     finally:
         d.unpersist()

@@ -125,3 +125,17 @@ def test_augmented_arrays_equal_the_pixel_table(spark, sf_dir):
     assert both.where(F.abs(F.col("value") - F.col("v") * 255) > 1e-3).count() == 0  # the table scales in single precision
     every = ml.augment_images(ml.rgb_images(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", F.array(*["embedding"] * 3)), 8)
     assert "Exchange" not in ml.image_statistics(every, 8)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boosting_jobs_have_as_many_tasks_as_the_values_are_worth(spark, monkeypatch):
+    """Rows that a shuffle left in many partitions are fitted in few, and in more where a task would hold too many values."""
+    seen = []
+    fit = ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    d = _labelled(spark, 300, True).repartition(7)
+    few = ml.cross_validate(d, ["x", "noise"], "y", "k", 3, **FAST).collect()
+    assert seen and set(seen) == {1} and sum(r["rows"] for r in few) == 300
+    seen.clear()
+    monkeypatch.setattr(ml, "VALUES_A_TASK", 60)
+    many = ml.cross_validate(d, ["x", "noise"], "y", "k", 3, **FAST).collect()
+    assert set(seen) == {10} and sum(r["rows"] for r in many) == 300
