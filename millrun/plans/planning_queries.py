@@ -8,6 +8,7 @@ from millrun.operators import erp, planning as PL
 from millrun.plans.erp_queries import SQL_DELIVERY_LINES, SQL_INV_GOLD, SQL_INV_POS, SQL_ORDER_LINES, SQL_PROC_GOLD, SQL_PROC_LINES
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import query
+from millrun.session import spread
 from millrun.sources import bindings as B
 
 
@@ -239,7 +240,7 @@ def q_canonical_sku(t):
 )
 def q_demand_monthly(t):
     """A17."""
-    return PL.demand_monthly(erp.order_lines(B.vbap(t), B.vbak(t)))
+    return PL.demand_monthly(erp.order_lines(spread(B.vbap(t), "vbeln"), B.vbak(t)))
 
 
 @query(

@@ -66,3 +66,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Fixed value: rows that one task of a wide join or aggregate is given where the session's own shuffles would give it more.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int, rows_a_task: int = ROWS_A_TASK) -> int | None:
+    """Tasks for ``rows`` rows at ``rows_a_task`` each; None where the session's shuffles have that many anyway."""
+    n = -(-rows // rows_a_task)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` dealt by ``keys`` to a task for every ``rows_a_task`` rows, if that is more tasks than the session's shuffles have.
+
+    A join or aggregate by the keys then runs in as many tasks, so what a task holds does not grow with the table. Counts the
+    rows at once: for a projection of a Parquet table that reads the footers only.
+    """
+    n = tasks_for(df.sparkSession, df.count(), rows_a_task)
+    return df.repartition(n, *keys) if n else df

@@ -523,3 +523,34 @@ def test_delivery_kpis_count_distinct_across_documents(spark):
     r = rows(erp.kpi_delivery(erp.delivery_lines(lips, likp)))[0]
     assert r == {"total_deliveries": 2, "total_delivery_lines": 3, "total_units_delivered": 18, "unique_customers": 1,
                  "unique_materials_delivered": 2, "on_time_delivery_rate_pct": 0.0, "avg_delivery_variance_days": 3.0}
+
+
+def test_spread_deals_by_rows_where_the_session_has_fewer_tasks(spark):
+    from millrun.session import spread
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("vbeln"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = spread(df, "vbeln", rows_a_task=1000 // (4 * n))
+    assert wide.rdd.getNumPartitions() >= 4 * n and wide.count() == 1000
+    assert spread(df, "vbeln", rows_a_task=1000) is df
+
+
+def test_demand_monthly_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A task of the join and the distinct count gets a stated number of rows, however few tasks the session's shuffles have."""
+    import datetime
+
+    from millrun import session
+    from millrun.plans.catalog import QUERIES
+
+    day = datetime.datetime(1998, 5, 3)
+    lines = [(i // 3, i % 7, 1, 1, 2.0, 1.0, "N", day) for i in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i, "O", 1.0, day, "1") for i in range(1, 200)], "o_orderkey long, o_custkey long, o_orderstatus string, "
+                          "o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(session.spread, "__kwdefaults__", {"rows_a_task": 10})
+    got = QUERIES["demand_monthly"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    kept = [x for x in lines if x[0] in range(1, 200) and x[0] % 31]
+    assert {(r.material_number, r.actual_qty, r.order_count) for r in got.collect()} == {
+        (str(m), 2 * sum(x[1] == m for x in kept), len({x[0] for x in kept if x[1] == m})) for m in range(7)}
