@@ -9,6 +9,7 @@ from millrun.operators import lab as L
 from millrun.operators.ordinals import ordinal_within
 from millrun.plans.oracle_bindings import with_bindings as W
 from millrun.plans.registry import ORACLE, query
+from millrun.session import tasks_for
 from millrun.sources import bindings as B
 from millrun.sources import io as IO
 from millrun.sources.tables import TABLE_NAMES, safe_table
@@ -213,14 +214,17 @@ def q_io_sheet_import(t):
     """IO15: flat sheet rows (header repeated per row, ISO dates) back into record headers."""
     recs, rows = B.inspection_records(t), B.inspection_rows(t)
     idx = L.dense_index(recs, "id")
+    n_rows = rows.count()  # of a projection: the footers
+    n = tasks_for(t.spark, n_rows)  # the joins follow the partitions of their first table
+    recs = recs.repartition(n, "id") if n else recs
     flat = recs.join(idx, "id").join(rows.withColumnRenamed("id", "row_id"), F.col("id") == F.col("record_id")).select(
         F.col("group_no").alias("Record Group"), F.col("id").cast("string").alias("Record Id"), F.col("product").alias("Product"),
         F.col("machinist").alias(" Machinist "), F.col("inspection_date").cast("string").alias("Inspection Date"),
         "row_id", "piece_iqa",
     )
-    flat = ordinal_within(flat, ["Record Group"], ["row_id"], "row_idx", base=1)
+    flat = ordinal_within(flat, ["Record Group"], ["row_id"], "row_idx", base=1, rows=n_rows)
     records, irows = IO.sheet_import(flat, ["Record Id", "Product", "Machinist", "Inspection Date"], ["row_id", "piece_iqa"],
-                                     date_cols=("Inspection Date",))
+                                     date_cols=("Inspection Date",), n_rows=n_rows)
     n = irows.groupBy("record_group").agg(F.count(F.lit(1)).alias("n_rows"))
     return records.join(n, "record_group").select(
         "record_group", F.col("record_id").cast("bigint").alias("record_id"), "product",

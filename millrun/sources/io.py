@@ -138,10 +138,11 @@ def parse_sheet_date(c: Column) -> Column:
     return F.coalesce(F.try_to_date(t, "yyyy-MM-dd"), F.date_add(F.lit(EXCEL_EPOCH).cast("date"), serial))
 
 
-def sheet_import(flat: DataFrame, header_cols: list[str], row_cols: list[str], date_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def sheet_import(flat: DataFrame, header_cols: list[str], row_cols: list[str], date_cols: tuple[str, ...] = (),
+                 n_rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """IO15: flat sheet rows -> (records, rows). Headers are normalised (aliases, trim); rows are
     grouped by the record group; a record's header comes from its first row (by row index);
-    children keep their order. Returns two DataFrames; nothing is gathered on the driver."""
+    children keep their order. Returns two DataFrames; nothing is gathered on the driver. ``n_rows``: see ``ordinal_within``."""
     df = flat.select(*[F.col(c).alias(_canonical(c)) for c in flat.columns])
     header_cols = [_canonical(c) for c in header_cols]
     row_cols = [_canonical(c) for c in row_cols]
@@ -153,7 +154,7 @@ def sheet_import(flat: DataFrame, header_cols: list[str], row_cols: list[str], d
         "record_group", *[F.col(f"h.{c}").alias(c) for c in header_cols])
     from millrun.operators.ordinals import ordinal_within
 
-    rows = ordinal_within(trimmed.select("record_group", "row_idx", *row_cols), ["record_group"], ["row_idx"], "order_index")
+    rows = ordinal_within(trimmed.select("record_group", "row_idx", *row_cols), ["record_group"], ["row_idx"], "order_index", rows=n_rows)
     return records, rows.select("record_group", "row_idx", *row_cols, "order_index")
 
 

@@ -554,3 +554,20 @@ def test_demand_monthly_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     kept = [x for x in lines if x[0] in range(1, 200) and x[0] % 31]
     assert {(r.material_number, r.actual_qty, r.order_count) for r in got.collect()} == {
         (str(m), 2 * sum(x[1] == m for x in kept), len({x[0] for x in kept if x[1] == m})) for m in range(7)}
+
+
+def test_ordinal_within_joins_only_the_offsets_above_zero(spark):
+    """Groups over several slices, a null group among them: numbered as by a window, and no shuffle join of the rows."""
+    from pyspark.sql import Window
+
+    from millrun.operators.ordinals import ordinal_within
+
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    got = ordinal_within(df, ["g"], ["k"], "ix")
+    want = df.withColumn("ix", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert sorted(map(str, got.select("g", "k", "ix").collect())) == sorted(map(str, want.select("g", "k", "ix").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    many = ordinal_within(df, ["g"], ["k"], "ix", rows=250_000 * 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.select("g", "k", "ix").collect())) == sorted(map(str, want.select("g", "k", "ix").collect()))
