@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrun.functions import scalar as P
+from millrun.operators.boosting import Boosting, held_out_margins
 
 # Fixed values of the reference's model set-up.
 FEATURE_COLS = (
@@ -30,7 +31,7 @@ FEATURE_COLS = (
 )
 GBT_PARAMS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.08, "subsamplingRate": 0.8, "minInstancesPerNode": 10, "seed": 42}
 N_FOLDS = 5
-VALUES_A_TASK = 1_000_000  # feature values (rows x features) of one boosting task
+VALUES_A_TASK = 6_000_000  # feature values (rows x features) of one boosting task
 MAX_FITS = 5  # folds fitted at a time
 HOUR = 3600
 
@@ -77,15 +78,15 @@ def pdm_features(telemetry: DataFrame, events: DataFrame, alarms: DataFrame, mas
     )
 
 
-def _pipeline(features, label: str, weight: str | None = None, **params) -> Pipeline:
-    gbt = GBTClassifier(featuresCol="scaled", labelCol=label, **{**GBT_PARAMS, **params})
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[
+def _scaled(features) -> list:
+    return [
         VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-        gbt,
-    ])
+    ]
+
+
+def _pipeline(features, label: str, **params) -> Pipeline:
+    return Pipeline(stages=[*_scaled(features), GBTClassifier(featuresCol="scaled", labelCol=label, **{**GBT_PARAMS, **params})])
 
 
 def fold_of(key: Column | str, n_folds: int = N_FOLDS) -> Column:
@@ -109,33 +110,38 @@ def cross_validate(df: DataFrame, features, label: str, fold_key: str, n_folds:
     ``params`` override the boosting parameters."""
     cols = dict.fromkeys([label, *features, *([weight] if weight else [])])
     d = df.select(*cols, fold_of(F.col(fold_key).cast("string"), n_folds).alias("_fold")).persist()
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="margin", metricName="areaUnderROC")
     try:
         sizes = d.groupBy("_fold").agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).collect()  # a row a fold
         sizes = {r[0]: (r[1], r[2]) for r in sizes}
         n, pos = (sum(v[i] for v in sizes.values()) for i in (0, 1))
         # a level of a tree is a job over the rows: as many tasks as the values are worth, not as the shuffles had
         tasks = max(1, -(-n * len(features) // VALUES_A_TASK))
-        rows = d.coalesce(tasks) if tasks <= d.rdd.getNumPartitions() else d.repartition(tasks)
-
-        def fold_metrics(k: int):
-            rows_k, positives = sizes[k]
-            if pos - positives in (0, n - rows_k):
-                return k, rows_k, positives, None, None
-            m = _pipeline(features, label, weight, **params).fit(rows.filter(F.col("_fold") != k))
-            scored = m.transform(rows.filter(F.col("_fold") == k)).select(label, "rawPrediction", "prediction").persist()
+        now = d.rdd.getNumPartitions()
+        rows = d if tasks == now else d.coalesce(tasks) if tasks < now else d.repartition(tasks)
+
+        # folds whose other rows have both classes
+        fitted = [k for k, (rows_k, positives) in sorted(sizes.items()) if 0 < pos - positives < n - rows_k]
+        with ThreadPoolExecutor(max_workers=MAX_FITS) as pool:
+            found = pool.map(lambda k: Pipeline(stages=_scaled(features)).fit(rows.filter(F.col("_fold") != k)), fitted)
+            prepared = dict(zip(fitted, found))
+        metrics = {k: (None, None) for k in sizes}
+        if fitted:
+            seen = {k: n - sizes[k][0] for k in fitted}
+            scored = held_out_margins(rows, prepared, seen, label, weight, "_fold", Boosting(**{**GBT_PARAMS, **params}))
             try:
-                accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).first()[0]
-                auc = float(ev.evaluate(scored)) if 0 < positives < rows_k else None
+                def fold_metrics(k: int):
+                    own = scored.filter(F.col("_fold") == k)
+                    accuracy = own.agg(F.avg(((F.col("margin") > 0) == (F.col(label) == 1)).cast("int"))).first()[0]
+                    return float(ev.evaluate(own)) if 0 < sizes[k][1] < sizes[k][0] else None, accuracy
+
+                with ThreadPoolExecutor(max_workers=MAX_FITS) as pool:
+                    metrics |= zip(fitted, pool.map(fold_metrics, fitted))
             finally:
                 scored.unpersist()
-            return k, rows_k, positives, auc, accuracy
-
-        # the fits are independent Spark jobs: submit them together so the scheduler overlaps them
-        with ThreadPoolExecutor(max_workers=min(n_folds, MAX_FITS)) as pool:
-            metrics = list(pool.map(fold_metrics, sorted(sizes)))
     finally:
         d.unpersist()
+    metrics = [(k, *sizes[k], *metrics[k]) for k in sorted(sizes)]
     return df.sparkSession.createDataFrame(metrics, "fold int, rows bigint, positives bigint, auc double, accuracy double")
 
 

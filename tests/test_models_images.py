@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrun.operators import ml
+from millrun.operators import boosting, ml
 
 FAST = {"maxIter": 10}
 
@@ -139,3 +139,65 @@ def test_boosting_jobs_have_as_many_tasks_as_the_values_are_worth(spark, monkeyp
     monkeypatch.setattr(ml, "VALUES_A_TASK", 60)
     many = ml.cross_validate(d, ["x", "noise"], "y", "k", 3, **FAST).collect()
     assert set(seen) == {10} and sum(r["rows"] for r in many) == 300
+
+
+def _weighted(spark, n):
+    """Rows in three partitions: a steep and a faint feature, one that is mostly zero, noise, and weights."""
+    share = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 1000.0
+    rows = spark.range(0, n, 1, 3).select(F.col("id").alias("k"), share(1).alias("x"), share(2).alias("noise"), share(3).alias("u"))
+    rows = rows.withColumn("y", (F.col("x") + 0.7 * F.col("u") > 0.8).cast("int")).withColumn("rare", F.when(F.col("u") > 0.8, F.col("u")).otherwise(0.0))
+    return rows.withColumn("w", F.when(F.col("y") == 1, 0.75).otherwise(1.5)).drop("u")
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_folds_boosted_together_are_spark_models(spark, monkeypatch, weight):
+    """Held-out metrics equal those of GBTClassifier fitted a fold at a time: thresholds, drawn rows, splits, leaves and residuals."""
+    monkeypatch.setattr(ml, "VALUES_A_TASK", 1000)
+    d = _weighted(spark, 900).persist()
+    features, params = ["x", "noise", "rare"], {"maxIter": 8, "maxDepth": 3}
+    got = {r["fold"]: r for r in ml.cross_validate(d, features, "y", "k", 3, weight, **params).collect()}
+    rows = d.withColumn("_fold", ml.fold_of(F.col("k").cast("string"), 3))
+    for k in range(3):
+        pipeline = ml._pipeline(features, "y", **params)
+        if weight:
+            pipeline.getStages()[-1].setWeightCol(weight)
+        scored = pipeline.fit(rows.filter(F.col("_fold") != k)).transform(rows.filter(F.col("_fold") == k))
+        right = scored.agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0]
+        auc = ml.BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC").evaluate(scored)
+        assert got[k]["accuracy"] == right and math.isclose(got[k]["auc"], auc, abs_tol=1e-9)
+    d.unpersist()
+
+
+def test_a_tree_of_all_folds_is_a_job_a_level(spark):
+    d = _weighted(spark, 300).persist()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    took = []
+    for trees in (5, 15):
+        before = jobs()
+        assert ml.cross_validate(d, ["x", "noise"], "y", "k", 3, maxIter=trees).count() == 3
+        took.append(jobs() - before)
+    assert took[1] - took[0] <= 10 * ml.GBT_PARAMS["maxDepth"]  # three folds
+    d.unpersist()
+
+
+def test_margins_lost_by_a_worker_are_made_again(monkeypatch):
+    rng = np.random.default_rng(7)
+    block = boosting.Block(np.zeros(40, np.int16), np.ones(40, np.int8), np.ones(40), rng.integers(0, 9, (3, 40)).astype(np.uint8))
+    trees = boosting.Trees(2, 2, 6)
+    trees.feature[:], trees.cut[:] = rng.integers(0, 3, trees.feature.shape), rng.integers(0, 9, trees.cut.shape)
+    trees.value[:], trees.weight[:] = rng.normal(size=trees.value.shape), 0.1
+    monkeypatch.setattr(boosting, "_MARGINS", boosting.Kept(1))
+    for m in (1, 2, 6):
+        step_by_step = boosting._margins("run", 0, block, trees.upto(m)).copy()
+    boosting._margins("run", 1, block, trees.upto(1))  # no room for both
+    assert list(boosting._MARGINS.held) == [("run", 1)]
+    assert np.array_equal(boosting._margins("run", 0, block, trees), step_by_step)
+    assert len(np.unique(step_by_step)) > 4
+
+
+def test_thresholds_of_few_many_zero_and_missing_values():
+    ones = np.ones(8)
+    assert boosting.thresholds(np.array([1.0, 1, 2, 2, 4, 4, 4, 4]), ones, 8.0, 31).tolist() == [1.5, 3.0]
+    assert boosting.thresholds(np.arange(1.0, 9.0), ones, 8.0, 3).tolist() == [2.5, 4.5, 6.5]
+    assert boosting.thresholds(np.array([0.0, 0, 0, 0, -2, -2, 2, 2]), ones, 8.0, 31).tolist() == [-1.0, 1.0]
+    assert not len(boosting.thresholds(np.full(8, 5.0), ones, 8.0, 31)) and not len(boosting.thresholds(np.array([1.0, np.nan] * 4), ones, 8.0, 31))
