@@ -318,20 +318,17 @@ def augment_images(images: DataFrame, side: int) -> DataFrame:
     return images.select("*", variants).select("image_id", F.col("_v.variant").alias("variant"), moved.alias("channels"))
 
 
-def _mean(a: Column) -> Column:
-    """Mean of an array of doubles; null if it is empty or holds a null."""
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a).cast("double"), F.lit(0.0))
+def _mean_of(a: Column, of) -> Column:
+    """Mean of ``of`` each double of an array; null if it is empty or holds a null."""
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + of(v)) / F.nullif(F.size(a).cast("double"), F.lit(0.0))
+
 
+def _mean(a: Column) -> Column:
+    return _mean_of(a, lambda v: v)
 
-def _moment(a: Column, mean: Column, k: int) -> Column:
-    """The k-th central moment."""
-    def power(v: Column) -> Column:
-        out = v
-        for _ in range(k - 1):
-            out = out * v
-        return out
 
-    return _mean(F.transform(a, lambda v: power(v - mean)))
+def _variance(a: Column, mean: Column) -> Column:
+    return _mean_of(a, lambda v: (v - mean) * (v - mean))
 
 
 def image_statistics(images: DataFrame, side: int) -> DataFrame:
@@ -346,13 +343,14 @@ def image_statistics(images: DataFrame, side: int) -> DataFrame:
     rows = images.withColumn("_grey", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (
         F.get(nth(0), i) + F.get(nth(1), i) + F.get(nth(2), i)) / 3.0))
 
-    def slope(i: Column, pos: Column, step: int) -> Column:
-        """Difference quotient along the axis whose neighbours lie ``step`` apart."""
-        below, above = F.when(pos > 0, i - step).otherwise(i), F.when(pos < side - 1, i + step).otherwise(i)
-        return (F.get("_grey", above) - F.get("_grey", below)) / ((above - below) / step)
+    def slopes(step: int) -> tuple[Column, Column, Column]:
+        """Each pixel's neighbours along the axis whose neighbours lie ``step`` apart, and how far they are."""
+        pos = [i // step % side for i in range(n)]
+        below, above = [i - step * (x > 0) for i, x in enumerate(pos)], [i + step * (x < side - 1) for i, x in enumerate(pos)]
+        return F.lit(below), F.lit(above), F.lit([(j - i) / step for i, j in zip(below, above)])
 
     def gradient(i: Column) -> Column:
-        across, down = slope(i, i % side, 1), slope(i, F.floor(i / side).cast("int"), side)
+        across, down = ((F.get("_grey", F.get(above, i)) - F.get("_grey", F.get(below, i))) / F.get(far, i) for below, above, far in (slopes(1), slopes(side)))
         return F.sqrt(across * across + down * down)
 
     def part(positions: list[int]) -> Column:
@@ -371,12 +369,12 @@ def image_statistics(images: DataFrame, side: int) -> DataFrame:
         .withColumn("_dark", every(lambda v: v < DARK_SHARE)).withColumn("_bright", every(lambda v: v > BRIGHT_SHARE))
     )
     rows = (
-        rows.withColumn("_m2", F.transform("channels", lambda c, i: _moment(c, F.get("_mean", i), 2)))
-        .withColumn("_m3", F.transform("channels", lambda c, i: _moment(c, F.get("_mean", i), 3)))
+        rows.withColumn("_off", F.transform("channels", lambda c, i: F.transform(c, lambda v: v - F.get("_mean", i))))
         .withColumn("_gmean", _mean(F.col("_grad"))).withColumn("_cmean", _mean(F.col("_centre"))).withColumn("_bmean", _mean(F.col("_border")))
         .withColumn("_bins", F.transform("channels", lambda c: F.transform(c, lambda v: F.least(F.floor(v * BINS), F.lit(BINS - 1)).cast("int"))))
         .withColumn("_quads", F.array(*(F.transform(part(q), _mean) for q in quads.values())))
     )
+    rows = rows.withColumn("_m2", F.transform("_off", lambda c: _mean_of(c, lambda v: v * v))).withColumn("_m3", F.transform("_off", lambda c: _mean_of(c, lambda v: v * v * v)))
     in_bin = lambda b: lambda x: x == b
     out = {}
     for k, ch in enumerate(CHANNELS):
@@ -389,9 +387,9 @@ def image_statistics(images: DataFrame, side: int) -> DataFrame:
             out[f"{ch}_quad_{qr}{qc}"] = F.get(F.get("_quads", j), k)
     out["dark_ratio"] = F.col("_dark") / F.lit(float(n))
     out["dark_bright_ratio"] = F.col("_dark") / F.greatest(F.lit(1.0), F.col("_bright") + 1e-6)
-    out["gradient_mean"], out["gradient_std"] = F.col("_gmean"), F.sqrt(_moment(F.col("_grad"), F.col("_gmean"), 2))
-    out["centre_var"] = _moment(F.col("_centre"), F.col("_cmean"), 2)
-    out["edge_var"] = _moment(F.col("_border"), F.col("_bmean"), 2)
+    out["gradient_mean"], out["gradient_std"] = F.col("_gmean"), F.sqrt(_variance(F.col("_grad"), F.col("_gmean")))
+    out["centre_var"] = _variance(F.col("_centre"), F.col("_cmean"))
+    out["edge_var"] = _variance(F.col("_border"), F.col("_bmean"))
     out["min"], out["max"] = F.array_min(F.flatten("channels")), F.array_max(F.flatten("channels"))
     return rows.select(*keys, *(P.round_half_up(v, 6).alias(c) for c, v in out.items()))
 
