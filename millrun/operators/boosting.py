@@ -179,16 +179,20 @@ def _binned(scales: list, cuts: list, n_features: int, batches: Iterator[pa.Reco
         label, weight = (b[c].to_numpy(zero_copy_only=False) for c in ("label", "weight"))
         if not np.isin(label, (0.0, 1.0)).all() or not (weight >= 0.0).all():
             raise ValueError("labels must be 0 or 1, and weights not negative")
+        fold = b["fold"].to_numpy(zero_copy_only=False).astype(np.int16)
         x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(n, n_features)
         codes, bins = np.zeros((n_features, n), kind), np.full((len(cuts), n_features, most), -1, np.int16)
         for f in range(n_features):
             own = []
-            for (mean, scale), cut in zip(scales, cuts, strict=True):
-                own.append(np.searchsorted(cut[f], (x[:, f] - mean[f]) * scale[f]))
+            for k, ((mean, scale), cut) in enumerate(zip(scales, cuts, strict=True)):
+                scaled = (x[:, f] - mean[f]) * scale[f]
+                if not np.isfinite(scaled[fold != k]).all():
+                    raise ValueError("features of rows to fit on must not be null, NaN or infinite")
+                own.append(np.searchsorted(cut[f], scaled))
                 codes[f] += own[-1].astype(kind)
             for k, of in enumerate(own):
                 bins[k, f, codes[f]] = of
-        parts = (b["fold"].to_numpy(zero_copy_only=False).astype(np.int16), (label * 2.0 - 1.0).astype(np.int8), weight, codes, bins)
+        parts = (fold, (label * 2.0 - 1.0).astype(np.int8), weight, codes, bins)
         yield pa.RecordBatch.from_pydict({"block": pa.array([np.ascontiguousarray(a).tobytes() for a in parts]).cast(pa.binary()), "n": pa.array([n] * len(parts), pa.int32())})
 
 

@@ -168,6 +168,13 @@ def test_folds_boosted_together_are_spark_models(spark, monkeypatch, weight):
     d.unpersist()
 
 
+def test_rows_to_fit_on_have_every_feature(spark):
+    """As GBTClassifier, which takes neither NaN nor infinite values."""
+    d = _weighted(spark, 90).withColumn("noise", F.when(F.col("k") != 3, F.col("noise")))
+    with pytest.raises(Exception, match="must not be null"):
+        ml.cross_validate(d, ["x", "noise"], "y", "k", 3, **FAST)
+
+
 def test_a_tree_of_all_folds_is_a_job_a_level(spark):
     d = _weighted(spark, 300).persist()
     jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
